@@ -195,3 +195,182 @@ def vote_ele(spark, sf_dir):
 def vote_ful(spark, sf_dir):
     return V.elect(_events(spark, sf_dir), ["user_id"], "event_type", EVENT_ORDER, mode="std",
                    default="purchase", level="ful")
+
+
+# ---------------------------------------------------------------------------
+# Label coding, metrics (P7-P9, A9-A11, A18-A20, W8) on documents: the
+# expected class is the document language, predictions come from keyword
+# sub-models.
+from clausefold.operators import ensemble as E  # noqa: E402
+from clausefold.operators import metrics as M  # noqa: E402
+from clausefold.operators import rules as R  # noqa: E402
+
+
+def _docs(spark, sf_dir, cols=("doc_id", "text", "lang", "source")):
+    return table(spark, sf_dir, "documents", list(cols))
+
+
+def _tokens(spark, sf_dir):
+    """Documents with their cleaned whitespace tokens in a projection of
+    their own (read by many keyword tests afterwards)."""
+    return _docs(spark, sf_dir).select("doc_id", "source", "lang", T.ws_split(T.clean("text")).alias("tok"))
+
+
+def _kw1_doc(spark, sf_dir):
+    kw = dict(E.KEYWORD_MODELS)["kw1"]
+    d = _tokens(spark, sf_dir)
+    return d.select("doc_id", "source", M.label_to_val("lang", E.LANG_MAPPING).alias("expected"),
+                    E.keyword_predict(F.col("tok"), kw).alias("predicted"))
+
+
+@query("label_codes_binary")
+def label_codes_binary(spark, sf_dir):
+    return _docs(spark, sf_dir, ["doc_id", "lang"]).select("doc_id", M.code_labels("lang", ["en", "fr"], "binary").alias("code"))
+
+
+@query("label_codes_ref")
+def label_codes_ref(spark, sf_dir):
+    return _docs(spark, sf_dir, ["doc_id", "lang"]).select("doc_id", M.code_labels("lang", ["fr", "de"], "ref").alias("code"))
+
+
+@query("label_codes_index")
+def label_codes_index(spark, sf_dir):
+    return _docs(spark, sf_dir, ["doc_id", "lang"]).select("doc_id", M.code_labels("lang", E.LANG_MAPPING, "index").alias("code"))
+
+
+@query("inverse_codes")
+def inverse_codes(spark, sf_dir):
+    d = _docs(spark, sf_dir, ["source", "lang"])
+    maps = M.mapping_table(d.select(F.lit(1).alias("m"), F.col("source").alias("n")), "m", "n").unionByName(
+        M.mapping_table(d.select(F.lit(2).alias("m"), F.col("lang").alias("n")), "m", "n"))
+    preds = _kw1_doc(spark, sf_dir).select("doc_id", "predicted")
+    return M.inverse_codes(preds, "predicted", maps, ["doc_id"])
+
+
+@query("class_ratio")
+def class_ratio(spark, sf_dir):
+    return M.class_ratio(_docs(spark, sf_dir, ["lang"]), "lang")
+
+
+@query("confusion")
+def confusion(spark, sf_dir):
+    return M.confusion(_kw1_doc(spark, sf_dir), "expected", "predicted")
+
+
+@query("class_report")
+def class_report(spark, sf_dir):
+    return M.class_report(M.confusion(_kw1_doc(spark, sf_dir), "expected", "predicted"))
+
+
+@query("macro_f1")
+def macro_f1(spark, sf_dir):
+    return M.macro_scores(M.confusion(_kw1_doc(spark, sf_dir), "expected", "predicted"))
+
+
+def _doc_model_scores(spark, sf_dir):
+    """Macro F1 per (source, keyword model) at document granularity."""
+    d = _tokens(spark, sf_dir)
+    toks = F.col("tok")
+    preds = d.select("doc_id", "source", M.label_to_val("lang", E.LANG_MAPPING).alias("expected"),
+                     F.explode(F.array(*[F.struct(F.lit(i + 1).alias("cfg_no"), F.lit(m).alias("model"),
+                                                  E.keyword_predict(toks, v).alias("y"))
+                                         for i, (m, v) in enumerate(E.KEYWORD_MODELS)])).alias("p"))
+    preds = preds.select("doc_id", "source", "expected", "p.cfg_no", "p.model", "p.y")
+    conf = M.confusion(preds, "expected", "y", ["source", "cfg_no", "model"])
+    return M.macro_scores(conf, ["source", "cfg_no", "model"])
+
+
+@query("best_config")
+def best_config(spark, sf_dir):
+    from pyspark.sql import Window
+    s = _doc_model_scores(spark, sf_dir)
+    w = Window.partitionBy("source").orderBy(F.round("macro_f1", 12).desc(), F.col("cfg_no").asc())
+    return s.withColumn("rk", F.row_number().over(w)).where("rk = 1").select("source", "cfg_no", "model", "macro_f1")
+
+
+@query("pivot_metric")
+def pivot_metric(spark, sf_dir):
+    s = _doc_model_scores(spark, sf_dir)
+    return M.pivot_metric(s, "source", "model", "macro_f1", [m for m, _ in E.KEYWORD_MODELS])
+
+
+@query("melt_metric")
+def melt_metric(spark, sf_dir):
+    rep = M.class_report(M.confusion(_kw1_doc(spark, sf_dir), "expected", "predicted"))
+    return M.melt_metric(rep.withColumn("support", F.col("support").cast("double")), ["label"],
+                         ["precision", "recall", "f1", "support"])
+
+
+@query("best_or_first")
+def best_or_first(spark, sf_dir):
+    d = _tokens(spark, sf_dir)
+    found = E.keyword_all(F.col("tok"), dict(E.KEYWORD_MODELS)["kw1"])
+    return d.select("doc_id", F.col("lang").alias("expected"), M.best_or_first(F.col("lang"), found).alias("chosen"))
+
+
+@query("ensemble_search")
+def ensemble_search(spark, sf_dir):
+    d = _docs(spark, sf_dir)
+    preds = E.predictions(d, "doc_id", "text")
+    answers = E.ensemble_answers(preds, E.member_table(spark))
+    truth = d.select(F.col("doc_id").alias("id"), "source", M.label_to_val("lang", E.LANG_MAPPING).alias("expected"))
+    return E.search(answers, truth, ["source"])
+
+
+# ---------------------------------------------------------------------------
+# Concepts, typing and policy rules on the contract clauses
+def _clauses(spark, sf_dir):
+    return C.contract_clauses(spark, sf_dir)
+
+
+@query("concept_in")
+def concept_in(spark, sf_dir):
+    c = _clauses(spark, sf_dir).select("clause_id", F.replace(T.clean("text"), F.lit(","), F.lit("")).alias("body"))
+    return c.select("clause_id", F.explode(R.concepts_in(F.col("body"), lowered=True)).alias("concept"))
+
+
+@query("concept_not_in")
+def concept_not_in(spark, sf_dir):
+    c = _clauses(spark, sf_dir).select("clause_id", F.replace(T.clean("text"), F.lit(","), F.lit("")).alias("body"))
+    return c.select("clause_id", F.explode(R.concepts_not_in(F.col("body"), lowered=True)).alias("concept"))
+
+
+@query("title_type_token")
+def title_type_token(spark, sf_dir):
+    c = _clauses(spark, sf_dir)
+    t = R.title_type_token(F.col("title"))
+    return c.select("clause_id", t["type"].alias("type"), t["code"].alias("code"))
+
+
+@query("title_type_contains")
+def title_type_contains(spark, sf_dir):
+    c = _clauses(spark, sf_dir)
+    return c.select("clause_id", F.explode(R.title_type_candidates(T.clean("title"))).alias("type"))
+
+
+def _analysis(spark, sf_dir):
+    return R.analyze_clauses(_clauses(spark, sf_dir), "clause_id", "title", "text")
+
+
+@query("policy_all")
+def policy_all(spark, sf_dir):
+    a = _analysis(spark, sf_dir)
+    return a.select("clause_id", "type", "valid", F.array_join("policies", ",").alias("policies"),
+                    F.size("notable").alias("n_notable"))
+
+
+@query("notable_sentences")
+def notable_sentences(spark, sf_dir):
+    a = _analysis(spark, sf_dir)
+    return a.select("clause_id", F.posexplode("notable").alias("pos", "sentence"))
+
+
+def _policy_query(pid):
+    def run(spark, sf_dir):
+        a = _analysis(spark, sf_dir)
+        return a.where(F.array_contains("policies", pid)).select("clause_id", "type")
+    return run
+
+
+for _pid in R.POLICIES:
+    Q[f"policy_{_pid}"] = _policy_query(_pid)

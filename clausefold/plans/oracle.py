@@ -213,3 +213,187 @@ SQL["vote_pnd_weighted"] = _vote_sql("pnd", "click", None, "min", weight="value"
 SQL["vote_not"] = _vote_sql("not", "view", "last", "min")
 SQL["vote_ele"] = _vote_sql("std", "purchase", None, "ele")
 SQL["vote_ful"] = _vote_sql("std", "purchase", None, "ful")
+
+
+# ---------------------------------------------------------------------------
+# Metrics and keyword sub-models on documents
+from clausefold.operators import ensemble as E  # noqa: E402
+from clausefold.operators import rules as R  # noqa: E402
+
+
+def _lang_code(x: str) -> str:
+    return "(CASE " + " ".join(f"WHEN {x} = {q(l)} THEN {i}" for i, l in enumerate(E.LANG_MAPPING)) + " ELSE -1 END)"
+
+
+def _kw_predict(tokens: str, model: str) -> str:
+    vocab = dict(E.KEYWORD_MODELS)[model]
+    whens = " ".join(
+        f"WHEN list_has_any({tokens}, [{', '.join(q(t) for t in terms)}]) THEN {E.LANG_MAPPING.index(n)}"
+        for n, terms in vocab)
+    return f"(CASE {whens} ELSE -1 END)"
+
+
+def _kw_all(tokens: str, model: str) -> str:
+    vocab = dict(E.KEYWORD_MODELS)[model]
+    items = ", ".join(f"CASE WHEN list_has_any({tokens}, [{', '.join(q(t) for t in terms)}]) THEN {q(n)} END"
+                      for n, terms in vocab)
+    return f"list_filter([{items}], lambda x: x IS NOT NULL)"
+
+
+DOCS_CLEAN = f"""dc AS (SELECT doc_id, source, lang, {X.ws_split(X.clean('text'))} AS tok FROM documents)"""
+KW1 = f"""{DOCS_CLEAN},
+preds AS (SELECT doc_id, source, {_lang_code('lang')} AS expected, {_kw_predict('tok', 'kw1')} AS predicted FROM dc),
+conf AS (SELECT expected, predicted, count(*) AS cnt FROM preds GROUP BY expected, predicted)"""
+
+
+def _per_label(conf: str, groups: list[str]) -> str:
+    g = "".join(f"{c}, " for c in groups)
+    return f"""(SELECT {g}label, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn,
+    CAST(tp + fn AS BIGINT) AS support,
+    CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS precision,
+    CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END AS recall,
+    CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0.0 END AS f1
+  FROM (SELECT {g}label, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM (
+      SELECT {g}expected AS label, CASE WHEN expected = predicted THEN cnt ELSE 0 END AS tp, 0 AS fp,
+             CASE WHEN expected = predicted THEN 0 ELSE cnt END AS fn FROM {conf}
+      UNION ALL
+      SELECT {g}predicted AS label, 0 AS tp, cnt AS fp, 0 AS fn FROM {conf} WHERE expected <> predicted)
+    GROUP BY {g}label))"""
+
+
+def _macro(pl: str, groups: list[str]) -> str:
+    g = ", ".join(groups)
+    sel = f"{g}, " if groups else ""
+    grp = f" GROUP BY {g}" if groups else ""
+    return f"""SELECT {sel}sum(tp) / sum(support) AS accuracy, avg(precision) AS macro_precision,
+  avg(recall) AS macro_recall, avg(f1) AS macro_f1, sum(f1 * support) / sum(support) AS weighted_f1
+FROM {pl} pl{grp}"""
+
+
+SQL["label_codes_binary"] = "SELECT doc_id, CASE WHEN lang = 'en' THEN -1 ELSE 1 END AS code FROM documents"
+SQL["label_codes_ref"] = "SELECT doc_id, CASE WHEN lang = 'fr' THEN 1 WHEN lang = 'de' THEN 2 ELSE -1 END AS code FROM documents"
+SQL["label_codes_index"] = f"SELECT doc_id, {_lang_code('lang')} AS code FROM documents"
+SQL["inverse_codes"] = f"""WITH {KW1},
+maps AS (
+  SELECT 1 AS model_no, name, CAST(row_number() OVER (ORDER BY name) - 1 AS INTEGER) AS code FROM (SELECT DISTINCT source AS name FROM documents)
+  UNION ALL
+  SELECT 2 AS model_no, name, CAST(row_number() OVER (ORDER BY name) - 1 AS INTEGER) AS code FROM (SELECT DISTINCT lang AS name FROM documents))
+SELECT p.doc_id, p.predicted, arg_max(m.name, m.model_no * 1000000 + m.code) AS name
+FROM preds p LEFT JOIN maps m ON m.code = p.predicted AND p.predicted <> -1
+GROUP BY p.doc_id, p.predicted"""
+SQL["class_ratio"] = """SELECT lang AS label, count(*) AS cnt, max(count(*)) OVER () / count(*) AS ratio FROM documents GROUP BY lang"""
+SQL["confusion"] = f"WITH {KW1} SELECT * FROM conf"
+SQL["macro_f1"] = f"WITH {KW1} " + _macro(_per_label("conf", []), [])
+SQL["class_report"] = f"""WITH {KW1}, pl AS {_per_label('conf', [])}
+SELECT CAST(label AS VARCHAR) AS label, precision, recall, f1, support FROM pl
+UNION ALL SELECT 'accuracy', NULL, NULL, sum(tp) / sum(support), CAST(sum(support) AS BIGINT) FROM pl
+UNION ALL SELECT 'macro avg', avg(precision), avg(recall), avg(f1), CAST(sum(support) AS BIGINT) FROM pl
+UNION ALL SELECT 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support),
+  sum(f1 * support) / sum(support), CAST(sum(support) AS BIGINT) FROM pl"""
+SQL["melt_metric"] = f"""WITH rep AS ({SQL['class_report']})
+SELECT label, 'precision' AS metric, precision AS value FROM rep
+UNION ALL SELECT label, 'recall', recall FROM rep
+UNION ALL SELECT label, 'f1', f1 FROM rep
+UNION ALL SELECT label, 'support', CAST(support AS DOUBLE) FROM rep"""
+
+_MODEL_PREDS = " UNION ALL ".join(
+    f"SELECT doc_id, source, {_lang_code('lang')} AS expected, {i + 1} AS cfg_no, {q(m)} AS model, {_kw_predict('tok', m)} AS y FROM dc"
+    for i, (m, _) in enumerate(E.KEYWORD_MODELS))
+MODEL_SCORES = f"""{DOCS_CLEAN},
+mp AS ({_MODEL_PREDS}),
+mconf AS (SELECT source, cfg_no, model, expected, y AS predicted, count(*) AS cnt FROM mp GROUP BY ALL),
+scores AS ({_macro(_per_label('mconf', ['source', 'cfg_no', 'model']), ['source', 'cfg_no', 'model'])})"""
+SQL["best_config"] = f"""WITH {MODEL_SCORES}
+SELECT source, cfg_no, model, macro_f1 FROM (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY round(macro_f1, 12) DESC, cfg_no) AS rk FROM scores) WHERE rk = 1"""
+SQL["pivot_metric"] = f"""WITH {MODEL_SCORES}
+SELECT source, {', '.join(f"max(macro_f1) FILTER (WHERE model = {q(m)}) AS {m}" for m, _ in E.KEYWORD_MODELS)}
+FROM scores GROUP BY source"""
+SQL["best_or_first"] = f"""WITH {DOCS_CLEAN}, f AS (SELECT doc_id, lang, {_kw_all('tok', 'kw1')} AS found FROM dc)
+SELECT doc_id, lang AS expected, CASE WHEN list_contains(found, lang) THEN lang ELSE found[1] END AS chosen FROM f"""
+
+_members = ", ".join(f"({e}, {q(m)}, {p})" for e, m, p in E.ensembles())
+_doc_preds = " UNION ALL ".join(f"SELECT id, '{m}_g0' AS model, {_kw_predict('tok', m)} AS y FROM d" for m, _ in E.KEYWORD_MODELS)
+_sent_preds = " UNION ALL ".join(
+    f"SELECT id, sno, '{m}_g1' AS model, {_kw_predict(X.ws_split('s'), m)} AS y FROM sents" for m, _ in E.KEYWORD_MODELS)
+SQL["ensemble_search"] = f"""WITH d AS (SELECT doc_id AS id, source, lang, {X.clean('text')} AS clean,
+    {X.ws_split(X.clean('text'))} AS tok FROM documents),
+sa AS (SELECT id, {X.split_sentences('clean')} AS arr FROM d),
+sents AS (SELECT id, unnest(range(0, len(arr))) AS sno, unnest(arr) AS s FROM sa),
+sent_preds AS ({_sent_preds}),
+sent_cand AS (SELECT id, model, y, count(*) AS cnt, min(sno) AS first_seen FROM sent_preds GROUP BY ALL),
+sent_vote AS (SELECT id, model, y FROM (SELECT *, row_number() OVER (PARTITION BY id, model ORDER BY cnt DESC, first_seen) AS rk FROM sent_cand) WHERE rk = 1),
+preds AS ({_doc_preds} UNION ALL SELECT * FROM sent_vote),
+members(ensemble_no, model, pos) AS (VALUES {_members}),
+j AS (SELECT p.id, m.ensemble_no, p.y, m.pos FROM preds p JOIN members m ON p.model = m.model),
+ens_cand AS (SELECT id, ensemble_no, y, count(*) AS cnt, min(pos) AS first_seen FROM j GROUP BY ALL),
+ans AS (SELECT id, ensemble_no, y FROM (SELECT *, row_number() OVER (PARTITION BY id, ensemble_no ORDER BY cnt DESC, first_seen) AS rk FROM ens_cand) WHERE rk = 1),
+truth AS (SELECT id, source, {_lang_code('lang')} AS expected FROM d),
+econf AS (SELECT t.source, a.ensemble_no, t.expected, a.y AS predicted, count(*) AS cnt FROM ans a JOIN truth t ON a.id = t.id GROUP BY ALL),
+scores AS ({_macro(_per_label('econf', ['source', 'ensemble_no']), ['source', 'ensemble_no'])})
+SELECT source, ensemble_no, macro_f1 FROM (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY round(macro_f1, 12) DESC, ensemble_no) AS rk FROM scores) WHERE rk = 1"""
+
+
+# ---------------------------------------------------------------------------
+# Concepts, typing and policies on contract clauses
+def _concepts(x: str, vocab=R.ALL_CONCEPTS) -> str:
+    items = ", ".join(
+        "CASE WHEN " + " OR ".join(f"contains({x}, {q(t)})" for t in terms) + f" THEN {q(n)} END"
+        for n, terms in vocab)
+    return f"list_filter([{items}], lambda c: c IS NOT NULL)"
+
+
+_ALL_NAMES = "[" + ", ".join(q(n) for n, _ in R.ALL_CONCEPTS) + "]"
+BODY = f"replace({X.clean('text')}, ',', '')"
+SQL["concept_in"] = f"""WITH {CONTRACT}, b AS (SELECT clause_id, {BODY} AS body FROM contract_clause)
+SELECT clause_id, unnest({_concepts('lower(body)')}) AS concept FROM b"""
+SQL["concept_not_in"] = f"""WITH {CONTRACT}, b AS (SELECT clause_id, {_concepts('lower(' + BODY + ')')} AS found FROM contract_clause)
+SELECT clause_id, unnest(list_filter({_ALL_NAMES}, lambda n: NOT list_contains(found, n))) AS concept FROM b"""
+
+_tt = dict(R.TYPES)
+_tok_whens = [(n, i) for i, n in enumerate(R.TYPE_CLASSES) if n in _tt]
+_TT_TYPE = "(CASE " + " ".join(
+    f"WHEN list_has_any(tok, [{', '.join(q(t) for t in _tt[n])}]) THEN {q(n)}" for n, i in _tok_whens) + " END)"
+_TT_CODE = "(CASE " + " ".join(
+    f"WHEN list_has_any(tok, [{', '.join(q(t) for t in _tt[n])}]) THEN {i}" for n, i in _tok_whens) + " END)"
+SQL["title_type_token"] = f"""WITH {CONTRACT}, t AS (SELECT clause_id, {X.ws_split('title')} AS tok FROM contract_clause)
+SELECT clause_id, {_TT_TYPE} AS type, {_TT_CODE} AS code FROM t"""
+SQL["title_type_contains"] = f"""WITH {CONTRACT}, t AS (SELECT clause_id, {X.clean('title')} AS t FROM contract_clause)
+SELECT clause_id, unnest({_concepts('t', R.TYPES)}) AS type FROM t"""
+
+
+def _arr(xs) -> str:
+    return "[" + ", ".join(q(x) for x in xs) + "]::VARCHAR[]"
+
+
+_rules_values = ", ".join(
+    f"({i}, {q(p)}, {q(ty)}, {_arr(cn)}, {_arr(cf)}, {_arr(sn)}, {q(op) if op else 'NULL'}, {days if days is not None else 'NULL'}, {q(scope)})"
+    for i, (p, no, ty, cn, cf, sn, op, days, scope) in enumerate(R.POLICY_RULES))
+_SENT_HIT = ("((r.dur_op IS NULL OR (r.dur_op = '<' AND len(list_filter(s.durs, lambda d: d < r.dur_days)) > 0)"
+             " OR (r.dur_op = '>' AND len(list_filter(s.durs, lambda d: d > r.dur_days)) > 0))"
+             " AND list_has_all(s.concepts, r.sent_need))")
+ANALYSIS = f"""{CONTRACT},
+a AS (SELECT clause_id, {X.clean('title')} AS t, {BODY} AS body FROM contract_clause),
+b AS (SELECT clause_id, {_concepts('t', R.TYPES)} AS cands, {_concepts('lower(body)')} AS concepts,
+        list_transform(string_split(body, '.'), lambda s: {{'text': s || '.', 'durs': {X.durations_days('s')},
+          'concepts': {_concepts('lower(s)')}}}) AS sents FROM a),
+rules(idx, policy, type, clause_need, clause_forbid, sent_need, dur_op, dur_days, scope) AS (VALUES {_rules_values}),
+fired AS (SELECT b.clause_id, r.* FROM b, rules r
+  WHERE list_contains(b.cands, r.type) AND list_has_all(b.concepts, r.clause_need)
+    AND NOT list_has_any(b.concepts, r.clause_forbid)
+    AND (r.scope = 'clause' OR len(list_filter(b.sents, lambda s: {_SENT_HIT})) > 0)),
+pol AS (SELECT clause_id, string_agg(policy, ',' ORDER BY first_idx) AS policies FROM
+  (SELECT clause_id, policy, min(idx) AS first_idx FROM fired GROUP BY ALL) GROUP BY clause_id),
+sx AS (SELECT clause_id, unnest(range(0, len(sents))) AS sidx, unnest(sents) AS s FROM b),
+notable AS (SELECT DISTINCT sx.clause_id, sx.sidx, sx.s.text AS text FROM sx JOIN fired r ON r.clause_id = sx.clause_id
+  WHERE r.scope = 'sentence' AND {_SENT_HIT})"""
+SQL["policy_all"] = f"""WITH {ANALYSIS}
+SELECT b.clause_id, list_min(b.cands) AS type, pol.policies IS NULL AS valid, coalesce(pol.policies, '') AS policies,
+  (SELECT count(*) FROM notable n WHERE n.clause_id = b.clause_id) AS n_notable
+FROM b LEFT JOIN pol ON pol.clause_id = b.clause_id"""
+SQL["notable_sentences"] = f"""WITH {ANALYSIS}
+SELECT clause_id, CAST(row_number() OVER (PARTITION BY clause_id ORDER BY sidx) - 1 AS INTEGER) AS pos, text AS sentence FROM notable"""
+for _pid in R.POLICIES:
+    SQL[f"policy_{_pid}"] = f"""WITH {ANALYSIS}
+SELECT DISTINCT b.clause_id, list_min(b.cands) AS type FROM b JOIN fired f ON f.clause_id = b.clause_id WHERE f.policy = {q(_pid)}"""
