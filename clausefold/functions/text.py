@@ -131,24 +131,24 @@ def rule_sentence_bodies(c) -> Column:
     return F.split(F.replace(_c(c), F.lit(","), F.lit("")), "\\.")
 
 
+def lstrip_ws(c) -> Column:
+    return F.regexp_replace(_c(c), f"^{WS_RUN}", "")
+
+
 def annotation_split(c) -> Column:
     """X11: title = first line; newlines to space; split on '.'; title removed
-    from the first part; '.' re-added to all but the last part; all but the
-    last part trimmed; whitespace-only parts dropped.  Returns
-    ``struct(title, parts)``."""
+    from the first part; every part but the last gets '.' back and is
+    stripped; whitespace-only parts are dropped (empty ones are kept).
+    Returns ``struct(title, parts)``."""
     c = _c(c)
     title = F.split(c, "\n").getItem(0)
-    flat = F.replace(c, F.lit("\n"), F.lit(" "))
-    parts = F.split(flat, "\\.")
+    parts = F.split(F.replace(c, F.lit("\n"), F.lit(" ")), "\\.")
     n = F.size(parts)
-    first = F.replace(parts.getItem(0), title, F.lit(""))
-    parts = F.when(n > 0, F.concat(F.array(first), F.slice(parts, 2, F.greatest(n - 1, F.lit(0))))).otherwise(parts)
-    parts = F.transform(
-        parts,
-        lambda s, i: F.when(i < n - 1, F.concat(strip_ws(s), F.lit("."))).otherwise(s),
-    )
-    parts = F.filter(parts, lambda s: strip_ws(s) != "")
-    return F.struct(title.alias("title"), parts.alias("parts"))
+    parts = F.concat(F.array(F.replace(parts.getItem(0), title, F.lit(""))), F.slice(parts, F.lit(2), n))
+    body = F.transform(F.slice(parts, F.lit(1), n - 1), lambda s: F.concat(lstrip_ws(s), F.lit(".")))
+    out = F.concat(body, F.array(F.element_at(parts, -1)))
+    out = F.filter(out, lambda s: (s == "") | (strip_ws(s) != ""))
+    return F.struct(title.alias("title"), out.alias("parts"))
 
 
 # ---------------------------------------------------------------------------

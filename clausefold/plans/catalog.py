@@ -374,3 +374,194 @@ def _policy_query(pid):
 
 for _pid in R.POLICIES:
     Q[f"policy_{_pid}"] = _policy_query(_pid)
+
+
+# ---------------------------------------------------------------------------
+# Documents: offsets, prefix runs, nesting
+from clausefold.operators import documents as D  # noqa: E402
+from clausefold.operators import requests as RQ  # noqa: E402
+from clausefold.operators import features as FE  # noqa: E402
+from clausefold.operators import balance as B  # noqa: E402
+from clausefold.functions import ids as I  # noqa: E402
+
+NEST_DATE = "2024-01-01"
+
+
+@query("char_offsets")
+def char_offsets(spark, sf_dir):
+    s = C.contract_sentences(spark, sf_dir)
+    return D.char_offsets(s, "clause_id", ["n", "text"], "text").select("clause_id", "n", "text", "offset")
+
+
+@query("prefix_run")
+def prefix_run(spark, sf_dir):
+    s = C.contract_sentences(spark, sf_dir)
+    return D.prefix_run(s, "clause_id", "n").select("clause_id", "n", "text")
+
+
+def _nested(spark, sf_dir, strict_prefix=False):
+    cl = C.contract_clauses(spark, sf_dir).select(
+        F.col("contract_id").alias("contract"), "clause_id", "title")
+    cl = cl.select("contract", "clause_id", "title", F.lit("None").alias("invalidity"),
+                   F.lit("None").alias("policies"), F.lit("").alias("type"))
+    s = C.contract_sentences(spark, sf_dir).select("clause_id", "n", "text", F.lit("None").alias("invalidity"),
+                                                  F.lit("None").alias("policies"))
+    return D.nest_contracts(cl, s, date=NEST_DATE, strict_prefix=strict_prefix)
+
+
+@query("contract_nest")
+def contract_nest(spark, sf_dir):
+    return D.flatten_contracts(_nested(spark, sf_dir))
+
+
+@query("contract_summary")
+def contract_summary(spark, sf_dir):
+    docs = _nested(spark, sf_dir)
+    return docs.select("title", F.size(F.col("instances")[0]["clauses"]).alias("n_clauses"),
+                       F.aggregate(F.col("instances")[0]["clauses"], F.lit(0),
+                                   lambda acc, c: acc + F.size(c["subtexts"])).alias("n_sentences"))
+
+
+@query("acquired_documents")
+def acquired_documents(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"])
+    conv = I.zfill(F.col("conv_id"), C.CONV_CLAUSE_W)
+    subs = c.select(conv.alias("doc"), I.make_id((F.col("conv_id"), 6), (F.col("turn"), 3)).alias("_id"),
+                    F.lit("1").alias("level"), conv.alias("parentText"), F.col("turn").cast("int").alias("position"),
+                    "text", F.create_map(F.lit("role"), F.col("role")).alias("annotations"))
+    docs = D.acquire_documents(subs, "doc", version="1", date=NEST_DATE)
+    flat = D.flatten_acquired(docs)
+    return flat.select("parentDocument", "level", "idx", "_id", "position",
+                       F.col("annotations")["role"].alias("role"))
+
+
+# ---------------------------------------------------------------------------
+# Requests: validation, routing, rule answers
+@query("validate_requests")
+def validate_requests(spark, sf_dir):
+    _, bad = RQ.validate(C.clause_requests(spark, sf_dir))
+    return bad.select("request_id", F.array_join("missing", ",").alias("missing"))
+
+
+@query("route_requests")
+def route_requests(spark, sf_dir):
+    return RQ.routed(C.clause_requests(spark, sf_dir)).select("request_id", "route")
+
+
+@query("reasoning_answers")
+def reasoning_answers(spark, sf_dir):
+    a = RQ.reasoning_answers(C.clause_requests(spark, sf_dir))
+    return a.select("request_id", "type", "anomalous", F.array_join("anomaly", ",").alias("anomaly"),
+                    F.size("sentence").alias("n_sentences"))
+
+
+# ---------------------------------------------------------------------------
+# Features (F1, F2, A16, F5)
+def _clean_docs(spark, sf_dir):
+    return _docs(spark, sf_dir, ["doc_id", "text"]).select("doc_id", T.clean("text").alias("text"))
+
+
+@query("tfidf")
+def tfidf(spark, sf_dir):
+    return FE.tfidf(_clean_docs(spark, sf_dir), "doc_id", "text")
+
+
+@query("term_scores")
+def term_scores(spark, sf_dir):
+    return FE.term_scores(FE.tfidf(_clean_docs(spark, sf_dir), "doc_id", "text"))
+
+
+@query("char_bag")
+def char_bag(spark, sf_dir):
+    bag = FE.char_bag(_clean_docs(spark, sf_dir), "doc_id", "text")
+    return bag.groupBy("doc_id").agg(F.sum("cnt").alias("n_grams"), F.count(F.lit(1)).alias("n_distinct"),
+                                     F.max("cnt").alias("max_cnt"))
+
+
+@query("split_25")
+def split_25(spark, sf_dir):
+    d = _docs(spark, sf_dir, ["doc_id", "lang"])
+    return FE.hash_split(d, "doc_id", 0.25, seed=1)
+
+
+# ---------------------------------------------------------------------------
+# Balancing
+@query("random_oversample")
+def random_oversample(spark, sf_dir):
+    d = _docs(spark, sf_dir, ["doc_id", "lang"])
+    return B.random_oversample(d, "lang", "doc_id", seed=1)
+
+
+@query("genetic_pairs")
+def genetic_pairs(spark, sf_dir):
+    d = _docs(spark, sf_dir, ["doc_id", "lang"])
+    return B.genetic_pairs(d, "lang", "doc_id", FE_bucket("doc_id"))
+
+
+def FE_bucket(col):
+    from clausefold.operators.ordering import id_bucket
+    return id_bucket(col)
+
+
+@query("genetic_children")
+def genetic_children(spark, sf_dir):
+    from clausefold.operators.ordering import group_positions
+    d = _docs(spark, sf_dir, ["doc_id", "lang", "text"])
+    pos = group_positions(d, ["lang"], ["doc_id"], FE_bucket("doc_id"), pos_col="rn")
+    pairs = B.genetic_pairs(d, "lang", "doc_id", FE_bucket("doc_id"))
+    a = pos.select("lang", F.col("rn").alias("a_rn"), F.col("doc_id").alias("a_id"), F.col("text").alias("ta"))
+    b = pos.select("lang", F.col("rn").alias("b_rn"), F.col("doc_id").alias("b_id"), F.col("text").alias("tb"))
+    j = pairs.join(a, ["lang", "a_rn"]).join(b, ["lang", "b_rn"]).select(
+        "lang", "a_id", "b_id", "ta", "tb", F.col("a_id").cast("string").alias("ka"), F.col("b_id").cast("string").alias("kb"))
+    kids = B.crossover(j, "ta", "tb", "ka", "kb", seed=1)
+    return kids.select("lang", "a_id", "b_id", F.md5("child_a").alias("md5_a"), F.md5("child_b").alias("md5_b"),
+                       F.size(F.split("child_a", " ")).alias("words_a"), F.size(F.split("child_b", " ")).alias("words_b"))
+
+
+@query("genetic_sizes")
+def genetic_sizes(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"])
+    c = c.select("role", "text", (F.col("conv_id") * 8 + F.col("turn")).alias("ord"))
+    out = B.genetic_oversample(c, "role", "ord", "text", generations=3, seed=1, spark=spark)
+    return out.groupBy("role").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---------------------------------------------------------------------------
+# Sources and subsets
+KEYWORDS = ["License", "token", "@"]
+
+
+@query("keyword_subset")
+def keyword_subset(spark, sf_dir):
+    return S.keyword_subset(_docs(spark, sf_dir, ["doc_id", "text", "lang"]), "text", KEYWORDS).select("doc_id", "lang")
+
+
+@query("keyword_subset_first_line")
+def keyword_subset_first_line(spark, sf_dir):
+    return S.keyword_subset(_docs(spark, sf_dir, ["doc_id", "text", "lang"]), "text", KEYWORDS,
+                            first_line_only=True).select("doc_id", "lang")
+
+
+@query("class_filter")
+def class_filter(spark, sf_dir):
+    segs = C.document_segments(spark, sf_dir).select("id", "source")
+    labels = C.document_labels(spark, sf_dir).select("id", F.col("quality").alias("label"))
+    return S.class_filter(segs, labels, ["1"])
+
+
+@query("union_documents")
+def union_documents(spark, sf_dir):
+    from pyspark.sql import Window
+    d = _docs(spark, sf_dir, ["doc_id", "source"])
+    sources = d.select("source").distinct()
+    numbered = sources.withColumn("docno", F.dense_rank().over(Window.orderBy("source")))
+    j = d.join(numbered, "source")
+    return j.select(F.concat_ws("_", I.zfill(F.col("docno"), 5), I.zfill(F.col("doc_id"), 4)).alias("id"),
+                    "source", "doc_id")
+
+
+@query("annotation_split")
+def annotation_split(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations", ["conv_id", "turn", "text"])
+    a = c.select("conv_id", "turn", T.annotation_split(F.col("text")).alias("a"))
+    return a.select("conv_id", "turn", F.col("a.title").alias("title"), F.posexplode("a.parts").alias("pos", "part"))

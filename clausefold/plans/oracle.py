@@ -397,3 +397,147 @@ SELECT clause_id, CAST(row_number() OVER (PARTITION BY clause_id ORDER BY sidx)
 for _pid in R.POLICIES:
     SQL[f"policy_{_pid}"] = f"""WITH {ANALYSIS}
 SELECT DISTINCT b.clause_id, list_min(b.cands) AS type FROM b JOIN fired f ON f.clause_id = b.clause_id WHERE f.policy = {q(_pid)}"""
+
+
+# ---------------------------------------------------------------------------
+# Documents
+SQL["char_offsets"] = f"""WITH {CONTRACT_SENT}
+SELECT clause_id, n, text, CAST(coalesce(sum(length(text) + 1) OVER (PARTITION BY clause_id ORDER BY n, text
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS offset FROM contract_sent"""
+SQL["prefix_run"] = f"""WITH {CONTRACT_SENT}
+SELECT clause_id, n, text FROM (SELECT *, dense_rank() OVER (PARTITION BY clause_id ORDER BY n) AS dr FROM contract_sent) WHERE n = dr"""
+NESTED = f"""{CONTRACT},
+off AS (SELECT clause_id, n, text, CAST(coalesce(sum(length(text) + 1) OVER (PARTITION BY clause_id ORDER BY n, text
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS position FROM contract_sent
+  WHERE text IS NOT NULL AND text <> ''),
+sp AS (SELECT *, CAST(row_number() OVER (PARTITION BY clause_id ORDER BY n, text, position) - 1 AS INTEGER) AS sentence_pos FROM off),
+cp AS (SELECT clause_id, CAST(contract_id AS VARCHAR) AS contract, title,
+  CAST(row_number() OVER (PARTITION BY contract_id ORDER BY clause_id) - 1 AS INTEGER) AS clause_pos FROM contract_clause)"""
+SQL["contract_nest"] = f"""WITH {NESTED}
+SELECT cp.contract, 0 AS instance, cp.clause_pos, cp.title, sp.sentence_pos, sp.position, sp.text
+FROM sp JOIN cp ON sp.clause_id = cp.clause_id"""
+SQL["contract_summary"] = f"""WITH {NESTED}
+SELECT cp.contract AS title, CAST(count(DISTINCT cp.clause_id) AS INTEGER) AS n_clauses, CAST(count(*) AS INTEGER) AS n_sentences
+FROM sp JOIN cp ON sp.clause_id = cp.clause_id GROUP BY cp.contract"""
+SQL["acquired_documents"] = f"""SELECT {X.zfill('conv_id', 6)} AS parentDocument, '1' AS level,
+  CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS idx,
+  {X.zfill('conv_id', 6)} || '_' || {X.zfill('turn', 3)} AS _id, CAST(turn AS INTEGER) AS position, role
+FROM conversations"""
+
+# ---------------------------------------------------------------------------
+# Requests
+_TYPES5 = "['resiliation', 'paiement', 'non_sollicitation', 'non_concurrence', 'indemnisation']"
+REQUESTS = f"""{CONTRACT_SENT}, {CONTRACT_BODY},
+requests AS (SELECT o.o_orderkey AS request_id, {TITLE} AS title, b.text, 'services' AS domain,
+  CASE WHEN o_orderstatus = 'O' THEN '' ELSE {_TYPES5}[CAST(substr(o_orderpriority, 1, 1) AS INTEGER)] END AS type,
+  CASE WHEN o_orderstatus <> 'P' THEN '' WHEN o_totalprice < 50000 THEN 'True' WHEN o_totalprice < 100000 THEN '1'
+       WHEN o_totalprice < 150000 THEN 'true' ELSE 'False' END AS anomalous
+  FROM orders o LEFT JOIN contract_body b ON o.o_orderkey = b.clause_id)"""
+_FIELDS = ["text", "title", "domain", "type", "anomalous"]
+SQL["validate_requests"] = f"""WITH {REQUESTS}
+SELECT request_id, concat_ws(',', {', '.join(f"CASE WHEN {f} IS NULL THEN '{f}' END" for f in _FIELDS)}) AS missing
+FROM requests WHERE {' OR '.join(f'{f} IS NULL' for f in _FIELDS)}"""
+SQL["route_requests"] = f"""WITH {REQUESTS}
+SELECT request_id, CASE WHEN type = '' THEN 'full' WHEN anomalous = '' THEN 'beta_gamma'
+  WHEN anomalous IN ('True', '1', 'true') THEN 'gamma' ELSE 'none' END AS route
+FROM requests WHERE {' AND '.join(f'{f} IS NOT NULL' for f in _FIELDS)}"""
+SQL["reasoning_answers"] = f"""WITH {ANALYSIS}
+SELECT b.clause_id AS request_id, list_min(b.cands) AS type,
+  CASE WHEN pol.policies IS NULL THEN 'False' ELSE 'True' END AS anomalous, coalesce(pol.policies, '') AS anomaly,
+  CAST((SELECT count(*) FROM notable n WHERE n.clause_id = b.clause_id) AS INTEGER) AS n_sentences
+FROM b LEFT JOIN pol ON pol.clause_id = b.clause_id"""
+
+# ---------------------------------------------------------------------------
+# Features
+CLEAN_DOCS = f"cd AS (SELECT doc_id, {X.clean('text')} AS text FROM documents)"
+TFIDF = f"""{CLEAN_DOCS},
+toks AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS term FROM cd),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM toks GROUP BY ALL),
+dfq AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+nd AS (SELECT count(*) AS n FROM documents),
+w AS (SELECT tf.doc_id, tf.term, tf.tf * (ln((1 + nd.n) / (1 + dfq.df)) + 1) AS raw FROM tf JOIN dfq ON tf.term = dfq.term, nd),
+tfidf AS (SELECT doc_id, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc_id)) AS weight FROM w)"""
+SQL["tfidf"] = f"WITH {TFIDF} SELECT * FROM tfidf"
+SQL["term_scores"] = f"WITH {TFIDF} SELECT term, sum(weight) AS score FROM tfidf GROUP BY term"
+SQL["char_bag"] = f"""WITH {CLEAN_DOCS},
+g AS (SELECT doc_id, unnest({X.char_wb_grams('text')}) AS gram FROM cd),
+c AS (SELECT doc_id, gram, count(*) AS cnt FROM g GROUP BY ALL)
+SELECT doc_id, sum(cnt) AS n_grams, count(*) AS n_distinct, max(cnt) AS max_cnt FROM c GROUP BY doc_id"""
+
+
+def _h32(*parts: str) -> str:
+    return f"(('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 8))::BIGINT)"
+
+
+SQL["split_25"] = f"""WITH d AS (SELECT doc_id, lang, {_h32("'1'", 'CAST(doc_id AS VARCHAR)')} AS h FROM documents)
+SELECT doc_id, lang, row_number() OVER (ORDER BY h, doc_id) <= (SELECT ceil(count(*) * 0.25) FROM documents) AS is_test FROM d"""
+
+# ---------------------------------------------------------------------------
+# Balancing
+DOC_POS = """d AS (SELECT doc_id, lang, text, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rn,
+  count(*) OVER (PARTITION BY lang) AS n FROM documents),
+sz AS (SELECT lang, n, max(n) OVER () AS mx FROM (SELECT DISTINCT lang, n FROM d))"""
+SQL["random_oversample"] = f"""WITH {DOC_POS},
+k AS (SELECT lang, n, unnest(range(1, mx - n + 1)) AS k FROM sz WHERE mx > n),
+pick AS (SELECT lang, k, ({_h32("'1'", 'lang', 'CAST(k AS VARCHAR)')} % n) + 1 AS rn FROM k)
+SELECT doc_id, lang, CAST(0 AS BIGINT) AS copy FROM d
+UNION ALL SELECT d.doc_id, d.lang, p.k FROM pick p JOIN d ON d.lang = p.lang AND d.rn = p.rn"""
+PAIRS = f"""{DOC_POS},
+kk AS (SELECT lang, CAST(floor((mx / n) / 2) + 1 AS INTEGER) AS K FROM sz),
+a AS (SELECT d.lang, d.rn AS a_rn, CAST(unnest(range(1, kk.K + 1)) AS INTEGER) AS off FROM d JOIN kk ON d.lang = kk.lang),
+pairs AS (SELECT a.lang, a.a_rn, b.rn AS b_rn, a.off FROM a JOIN d b ON b.lang = a.lang AND b.rn = a.a_rn + a.off)"""
+SQL["genetic_pairs"] = f"WITH {PAIRS} SELECT * FROM pairs"
+
+
+def _coin(tag: str, idx: str) -> str:
+    return f"({_h32(chr(39) + '1' + chr(39), 'ka', 'kb', q(tag), f'CAST({idx} AS VARCHAR)')} / 4294967296.0 < 0.25)"
+
+
+SQL["genetic_children"] = f"""WITH {PAIRS},
+j AS (SELECT p.lang, a.doc_id AS a_id, b.doc_id AS b_id, a.text AS ta, b.text AS tb,
+        CAST(a.doc_id AS VARCHAR) AS ka, CAST(b.doc_id AS VARCHAR) AS kb
+      FROM pairs p JOIN d a ON a.lang = p.lang AND a.rn = p.a_rn JOIN d b ON b.lang = p.lang AND b.rn = p.b_rn),
+s1 AS (SELECT *, CASE WHEN len(string_split(ta, ' ')) > len(string_split(tb, ' ')) THEN string_split(tb, ' ') ELSE string_split(ta, ' ') END AS A,
+                 CASE WHEN len(string_split(ta, ' ')) > len(string_split(tb, ' ')) THEN string_split(ta, ' ') ELSE string_split(tb, ' ') END AS B FROM j),
+s2 AS (SELECT *, len(A) AS nA, list_sort(list_transform(B, lambda w, j: {{'k': md5(concat_ws('|', '1', ka, kb, 'p', CAST(j - 1 AS VARCHAR))), 'j': j - 1, 'w': w}})) AS perm FROM s1),
+s3 AS (SELECT *, list_transform(perm[1:nA], lambda x: x.w) AS picks,
+                 list_sort(list_transform(perm[nA + 1:], lambda x: {{'j': x.j, 'w': x.w}})) AS lft FROM s2),
+s4 AS (SELECT lang, a_id, b_id,
+  array_to_string(list_concat(list_transform(A, lambda w, i: CASE WHEN {_coin('a', 'i - 1')} THEN picks[i] ELSE w END),
+                              list_transform(list_filter(lft, lambda x: {_coin('b', 'x.j')}), lambda x: x.w)), ' ') AS child_a,
+  array_to_string(list_concat(list_transform(A, lambda w, i: CASE WHEN {_coin('a', 'i - 1')} THEN w ELSE picks[i] END),
+                              list_transform(list_filter(lft, lambda x: NOT {_coin('b', 'x.j')}), lambda x: x.w)), ' ') AS child_b
+  FROM s3)
+SELECT lang, a_id, b_id, md5(child_a) AS md5_a, md5(child_b) AS md5_b,
+  CAST(len(string_split(child_a, ' ')) AS INTEGER) AS words_a, CAST(len(string_split(child_b, ' ')) AS INTEGER) AS words_b FROM s4"""
+
+
+def _law(m: str, ratio: str) -> str:
+    k = f"(CAST(floor(({ratio}) / 2) + 1 AS BIGINT))"
+    return (f"({m} + 2 * (CASE WHEN {m} - 1 <= {k} THEN ({m} - 1) * {m} // 2 "
+            f"ELSE {k} * ({k} + 1) // 2 + ({m} - 1 - {k}) * {k} END))")
+
+
+SQL["genetic_sizes"] = f"""WITH r0 AS (SELECT role, count(*) AS m FROM conversations GROUP BY role),
+r1 AS (SELECT role, {_law('m', 'max(m) OVER () / m')} AS m FROM r0),
+r2 AS (SELECT role, {_law('m', 'max(m) OVER () / m')} AS m FROM r1),
+r3 AS (SELECT role, {_law('m', 'max(m) OVER () / m')} AS m FROM r2)
+SELECT role, m AS n FROM r3"""
+
+# ---------------------------------------------------------------------------
+# Subsets and sources
+_KW = ["license", "token", "@"]
+SQL["keyword_subset"] = f"""SELECT doc_id, lang FROM documents WHERE {' OR '.join(f'contains(lower(text), {q(k)})' for k in _KW)}"""
+SQL["keyword_subset_first_line"] = f"""SELECT doc_id, lang FROM documents
+WHERE {' OR '.join(f"contains(split_part(lower(text), chr(10), 1), {q(k)})" for k in _KW)}"""
+SQL["class_filter"] = """SELECT CAST(d.doc_id AS VARCHAR) AS id, d.source, CAST(l.quality AS VARCHAR) AS label
+FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE l.quality = 1"""
+SQL["union_documents"] = f"""WITH s AS (SELECT source, dense_rank() OVER (ORDER BY source) AS docno FROM (SELECT DISTINCT source FROM documents))
+SELECT {X.zfill('s.docno', 5)} || '_' || {X.zfill('d.doc_id', 4)} AS id, d.source, d.doc_id FROM documents d JOIN s ON d.source = s.source"""
+_LSTRIP = "regexp_replace(s, " + q("^" + X.WS_RUN) + ", '')"
+SQL["annotation_split"] = f"""WITH c AS (SELECT conv_id, turn, text, split_part(text, chr(10), 1) AS title FROM conversations),
+p AS (SELECT conv_id, turn, title, string_split(replace(text, chr(10), ' '), '.') AS parts FROM c),
+p1 AS (SELECT conv_id, turn, title, list_concat([replace(parts[1], title, '')], parts[2:]) AS parts FROM p),
+p2 AS (SELECT conv_id, turn, title, list_filter(list_concat(list_transform(parts[1:len(parts) - 1], lambda s: {_LSTRIP} || '.'),
+         [parts[len(parts)]]), lambda s: s = '' OR {X.strip_ws('s')} <> '') AS parts FROM p1)
+SELECT conv_id, turn, title, CAST(unnest(range(0, len(parts))) AS INTEGER) AS pos, unnest(parts) AS part FROM p2"""

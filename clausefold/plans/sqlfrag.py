@@ -4,7 +4,7 @@ Spark queries; the engine itself never runs this SQL."""
 
 from __future__ import annotations
 
-from clausefold.functions.text import (
+from clausefold.functions.text import (  # noqa: F401
     DAY_TERMS, FOLD_DST, FOLD_MULTI, FOLD_SRC, MONTH_TERMS, VALUE_UNIT_RE, WS_RUN, YEAR_TERMS,
 )
 
