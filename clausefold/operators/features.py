@@ -91,9 +91,9 @@ def hash_split(df: DataFrame, id_col: str, frac: float = 0.25, seed: int = 1,
 # ---------------------------------------------------------------------------
 # MLlib stages (used for fitting)
 def tfidf_stages(text_col: str, out_col: str = "features"):
-    """F2 as MLlib stages: tokens -> counts -> idf; sklearn's idf is
-    MLlib's + 1 (both smoothed), handled by fitting on counts with
-    ``IDF`` and adding the raw counts back is not needed for ranking."""
+    """F2 as MLlib stages: tokens -> counts -> idf -> L2.  MLlib's idf is
+    ln((n+1)/(df+1)), the reference's adds 1 (see ``tfidf`` for the exact
+    relational form); the model sees the same ranking of terms."""
     from pyspark.ml.feature import CountVectorizer, IDF, Normalizer, RegexTokenizer
     tok = RegexTokenizer(inputCol=text_col, outputCol="__tok", pattern="[\\p{L}\\p{N}_]{2,}", gaps=False)
     cv = CountVectorizer(inputCol="__tok", outputCol="__tf", minDF=1.0)
@@ -115,11 +115,13 @@ def count_stages(text_col: str, out_col: str = "features"):
     return [grams, cv]
 
 
-def hashing_stages(text_col: str, out_col: str = "features"):
-    """hashing vectorizer (2^20 buckets, L2)."""
+def hashing_stages(text_col: str, out_col: str = "features", num_features: int = 1 << 20):
+    """hashing vectorizer (2^20 buckets by default, L2).  Linear models
+    aggregate a dense gradient of ``num_features`` doubles per task and
+    iteration, so exploration grids may pass a smaller size."""
     from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer
     tok = RegexTokenizer(inputCol=text_col, outputCol="__tok", pattern="[\\p{L}\\p{N}_]{2,}", gaps=False)
-    htf = HashingTF(inputCol="__tok", outputCol="__htf", numFeatures=1 << 20)
+    htf = HashingTF(inputCol="__tok", outputCol="__htf", numFeatures=num_features)
     return [tok, htf, Normalizer(inputCol="__htf", outputCol=out_col, p=2.0)]
 
 
@@ -135,6 +137,6 @@ def doc2vec_stages(text_col: str, out_col: str = "features"):
 TRANSFORMERS = {"count": count_stages, "tfidf": tfidf_stages, "hash": hashing_stages, "doc2vec": doc2vec_stages}
 
 
-def vectorizer_stages(name: str, text_col: str, out_col: str = "features"):
+def vectorizer_stages(name: str, text_col: str, out_col: str = "features", **kw):
     """F6 dispatcher; unknown names fall back to counts (F1)."""
-    return TRANSFORMERS.get(name, count_stages)(text_col, out_col)
+    return TRANSFORMERS.get(name, count_stages)(text_col, out_col, **kw)

@@ -165,7 +165,8 @@ def _clause_ok(rule) -> Column:
 
 
 def analyze_clauses(clauses: DataFrame, id_col: str, title_col: str, text_col: str,
-                    rules=POLICY_RULES) -> DataFrame:
+                    rules=POLICY_RULES, given_type_col: str | None = None,
+                    keep_cols: list[str] | None = None) -> DataFrame:
     """``(id, type, type_candidates, valid, policies, notable)``.
 
     Title and text are cleaned; the type candidates are the types whose term
@@ -180,16 +181,25 @@ def analyze_clauses(clauses: DataFrame, id_col: str, title_col: str, text_col: s
     """
     # cleaned title and body first, in their own projection: both are read
     # by many terms below (cleaned text is already lower case)
+    keep = list(keep_cols or [])
+    given = [F.col(given_type_col).alias("__given")] if given_type_col else []
     cleaned = clauses.select(
-        F.col(id_col).alias(id_col),
+        F.col(id_col).alias(id_col), *keep, *given,
         X.clean(F.col(title_col)).alias("__title"),
         F.replace(X.clean(F.col(text_col)), F.lit(","), F.lit("")).alias("__body"))
     sents = F.transform(F.split(F.col("__body"), "\\."), lambda s: F.struct(
         F.concat(s, F.lit(".")).alias("text"), X.durations_days(s).alias("durs"),
         concepts_in(s, lowered=True).alias("concepts")))
+    found = title_type_candidates(F.col("__title"))
+    if given_type_col:
+        # a request that names its type is checked against that type only
+        cands = F.when(F.coalesce(F.col("__given"), F.lit("")) != "", F.array(F.col("__given"))).otherwise(found)
+        extra = [F.array_min(found).alias("type_found")]
+    else:
+        cands, extra = found, []
     base = cleaned.select(
-        id_col,
-        title_type_candidates(F.col("__title")).alias("type_candidates"),
+        id_col, *keep, *extra,
+        cands.alias("type_candidates"),
         concepts_in(F.col("__body"), lowered=True).alias("concepts"),
         sents.alias("sentences"),
     )
@@ -199,7 +209,8 @@ def analyze_clauses(clauses: DataFrame, id_col: str, title_col: str, text_col: s
         s["text"].alias("text"),
         F.array(*[_sent_hit(s, rules[i]) for i in sent_rules]).alias("hits")))
     ok = F.array(*[_clause_ok(r) for r in rules])
-    step = base.select(id_col, "type_candidates", flags.alias("flags"), ok.alias("ok"))
+    extra_names = ["type_found"] if given_type_col else []
+    step = base.select(id_col, *keep, *extra_names, "type_candidates", flags.alias("flags"), ok.alias("ok"))
 
     fired = []
     for i, r in enumerate(rules):
@@ -220,7 +231,7 @@ def analyze_clauses(clauses: DataFrame, id_col: str, title_col: str, text_col: s
                                                   lambda z: z["h"] & z["o"]).alias("hit"))),
         lambda x: x["hit"]), lambda x: x["text"])
     return step.select(
-        id_col,
+        id_col, *keep, *extra_names,
         F.array_min("type_candidates").alias("type"),
         "type_candidates",
         (F.size(policies) == 0).alias("valid"),

@@ -565,3 +565,84 @@ def annotation_split(spark, sf_dir):
     c = table(spark, sf_dir, "conversations", ["conv_id", "turn", "text"])
     a = c.select("conv_id", "turn", T.annotation_split(F.col("text")).alias("a"))
     return a.select("conv_id", "turn", F.col("a.title").alias("title"), F.posexplode("a.parts").alias("pos", "part"))
+
+
+# ---------------------------------------------------------------------------
+# Learning (M1, M2, M6, C3, C4, C8, C9): rows-only checks (model fitting has
+# no SQL twin).  Train on the hash split's train rows, score the test rows.
+from clausefold.operators import learn as L  # noqa: E402
+
+
+def _lang_split(spark, sf_dir):
+    d = _docs(spark, sf_dir, ["doc_id", "text", "lang"]).select(
+        F.col("doc_id").alias("id"), "text", F.col("lang").alias("label"))
+    return FE.hash_split(d, "id", 0.25, seed=1)
+
+
+@query("svm_predictions")
+def svm_predictions(spark, sf_dir):
+    split = _lang_split(spark, sf_dir)
+    cfg = L.SubModel(1, E.LANG_MAPPING, granularity=0, transformer="tfidf")
+    train = L.training_rows(split.where(~F.col("is_test")), cfg)
+    model = L.fit(train, cfg)
+    test = split.where("is_test")
+    pred = L.predict_ballots(model, test, cfg)
+    return pred.join(test.select("id", M.label_to_val("label", E.LANG_MAPPING).alias("expected")), "id").select(
+        "id", "expected", "y")
+
+
+@query("alpha_ensemble")
+def alpha_ensemble(spark, sf_dir):
+    """Clause model + sentence model + keyword ballot (pos 0, wins
+    ties), std vote with priority first; codes back to names (P9)."""
+    split = _lang_split(spark, sf_dir)
+    train, test = split.where(~F.col("is_test")), split.where("is_test")
+    cfgs = [L.SubModel(1, E.LANG_MAPPING, granularity=0, transformer="tfidf"),
+            L.SubModel(2, E.LANG_MAPPING, granularity=1, transformer="tfidf")]
+    ballots = None
+    for cfg in cfgs:
+        model = L.fit(L.training_rows(train, cfg), cfg)
+        b = L.predict_ballots(model, test, cfg).withColumn("pos", F.col("model_no"))
+        ballots = b if ballots is None else ballots.unionByName(b)
+    kw = test.select("id", E.keyword_predict(T.ws_split(T.clean("text")), dict(E.KEYWORD_MODELS)["kw1"]).alias("y"))
+    kw = kw.where(F.col("y") >= 0).select("id", "y", F.lit(0).alias("model_no"), F.lit(0).alias("pos"))
+    voted = L.ensemble_vote(ballots.unionByName(kw))
+    names = F.element_at(F.array(*[F.lit(x) for x in E.LANG_MAPPING]), F.col("y") + 1)
+    return voted.select("id", "y", F.when(F.col("y") >= 0, names).alias("lang"))
+
+
+@query("model_zoo")
+def model_zoo(spark, sf_dir):
+    """Feature extraction x classifier grid, one metrics row
+    per run."""
+    split = _lang_split(spark, sf_dir)
+    train, test = split.where(~F.col("is_test")), split.where("is_test")
+    truth = test.select("id", M.label_to_val("label", E.LANG_MAPPING).alias("expected"))
+    out = None
+    for fe in ["tfidf", "hash"]:
+        for clf in ["svm", "logreg", "nb"]:
+            cfg = L.SubModel(1, E.LANG_MAPPING, granularity=0, transformer=fe, classifier=clf,
+                             vectorizer_args={"num_features": 1 << 16} if fe == "hash" else {})
+            model = L.fit(L.training_rows(train, cfg), cfg)
+            m = L.evaluate(L.predict_ballots(model, test, cfg), truth)
+            m = m.select(F.lit(fe).alias("fe"), F.lit(clf).alias("clf"), "accuracy", "macro_f1")
+            out = m if out is None else out.unionByName(m)
+    return out
+
+
+# ---------------------------------------------------------------------------
+# SS1: streaming scoring (rows-only: the output of a stream run)
+@query("stream_scoring")
+def stream_scoring(spark, sf_dir):
+    from clausefold.streaming import scoring as SS
+    out = SS.scoring_output_dir(spark)
+    SS.run_scoring_stream(spark, SS.order_request_stream(spark, sf_dir), out, f"{out}/_checkpoint")
+    a = spark.read.parquet(f"{out}/answers")
+    return a.select("request_id", "route", "type", "anomalous", F.array_join("anomaly", ",").alias("anomaly"))
+
+
+@query("batch_scoring")
+def batch_scoring(spark, sf_dir):
+    from clausefold.streaming import scoring as SS
+    answers, _ = SS.answer_batch(C.clause_requests(spark, sf_dir))
+    return answers.select("request_id", "route", "type", "anomalous", F.array_join("anomaly", ",").alias("anomaly"))

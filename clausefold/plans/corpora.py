@@ -132,13 +132,10 @@ def contract_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
         "clause_id", F.col("o_custkey").alias("contract_id"), clause_title().alias("title"), "text")
 
 
-def clause_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requests (request_id, title, text, domain, type, anomalous): every
-    order is a request; orders without lines have a null text (invalid)."""
-    o = table(spark, sf_dir, "orders", ["o_orderkey", "o_orderpriority", "o_orderstatus", "o_totalprice"])
-    s = contract_sentences(spark, sf_dir)
-    body = s.groupBy("clause_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda x: x["text"]), " ").alias("text"))
+def requests_from_orders(orders: DataFrame, bodies: DataFrame) -> DataFrame:
+    """Requests (request_id, title, text, domain, type, anomalous, o_orderdate)
+    from order rows and clause bodies (clause_id, text); orders without lines
+    get a null text (invalid)."""
     typ = F.when(F.col("o_orderstatus") == "O", F.lit("")).otherwise(
         F.element_at(F.array(*[F.lit(x) for x in ["resiliation", "paiement", "non_sollicitation", "non_concurrence", "indemnisation"]]),
                      F.substring("o_orderpriority", 1, 1).cast("int")))
@@ -147,6 +144,19 @@ def clause_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
             .when(F.col("o_totalprice") < 100000, F.lit("1"))
             .when(F.col("o_totalprice") < 150000, F.lit("true"))
             .otherwise(F.lit("False")))
-    return o.join(body, o.o_orderkey == body.clause_id, "left").select(
+    return orders.join(bodies, orders.o_orderkey == bodies.clause_id, "left").select(
         F.col("o_orderkey").alias("request_id"), clause_title().alias("title"), F.col("text"),
-        F.lit("services").alias("domain"), typ.alias("type"), anom.alias("anomalous"))
+        F.lit("services").alias("domain"), typ.alias("type"), anom.alias("anomalous"), F.col("o_orderdate"))
+
+
+def clause_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = contract_sentences(spark, sf_dir)
+    return s.groupBy("clause_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda x: x["text"]), " ").alias("text"))
+
+
+def clause_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests (request_id, title, text, domain, type, anomalous): every
+    order is a request; orders without lines have a null text (invalid)."""
+    o = table(spark, sf_dir, "orders", ["o_orderkey", "o_orderpriority", "o_orderstatus", "o_totalprice", "o_orderdate"])
+    return requests_from_orders(o, clause_bodies(spark, sf_dir)).drop("o_orderdate")
