@@ -61,14 +61,22 @@ def fold_accents(c) -> Column:
     """Transliterate Latin letters to ASCII (the subset of unidecode that
     concerns Latin script)."""
     c = _c(c)
+    folded = c
     for s, d in FOLD_MULTI:
-        c = F.replace(c, F.lit(s), F.lit(d))
-    return F.translate(c, FOLD_SRC, FOLD_DST)
+        folded = F.replace(folded, F.lit(s), F.lit(d))
+    folded = F.translate(folded, FOLD_SRC, FOLD_DST)
+    # pure ASCII (as many characters as bytes) needs no work
+    return F.when(F.length(c) == F.octet_length(c), c).otherwise(folded)
+
+
+# the same whitespace as a character set, for trim
+WS_CHARS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f "
 
 
 def strip_ws(c) -> Column:
-    """Python ``str.strip()``: remove leading/trailing whitespace."""
-    return F.regexp_replace(_c(c), f"^{WS_RUN}|{WS_RUN}$", "")
+    """Python ``str.strip()``: remove leading/trailing whitespace (a plain
+    character-set trim, no regex)."""
+    return F.trim(_c(c), F.lit(WS_CHARS))
 
 
 def normalize(c) -> Column:
@@ -92,7 +100,8 @@ def filter_words(arr, threshold: int = 3, numbers: bool = True) -> Column:
     """Keep digit-only words (when ``numbers``) and words longer than
     ``threshold``."""
     if numbers:
-        return F.filter(_c(arr), lambda w: w.rlike("^[0-9]+$") | (F.length(w) > threshold))
+        # length first: the digit test only runs on short words
+        return F.filter(_c(arr), lambda w: (F.length(w) > threshold) | w.rlike("^[0-9]+$"))
     return F.filter(_c(arr), lambda w: F.length(w) > threshold)
 
 
@@ -132,7 +141,7 @@ def rule_sentence_bodies(c) -> Column:
 
 
 def lstrip_ws(c) -> Column:
-    return F.regexp_replace(_c(c), f"^{WS_RUN}", "")
+    return F.ltrim(_c(c), F.lit(WS_CHARS))
 
 
 def annotation_split(c) -> Column:
@@ -173,19 +182,21 @@ def value_units(c) -> Column:
     )
 
 
-def _unit_factor(unit: Column) -> Column:
-    u = fold_accents(unit)
-    out = F.lit(None).cast("int")
-    for terms, factor in reversed(UNIT_FACTORS):
-        hit = u.isin(*terms) | (u.endswith("s") & F.regexp_replace(u, "s$", "").isin(*terms))
-        out = F.when(hit, F.lit(factor)).otherwise(out)
-    return out
+def _factor_map() -> Column:
+    return F.create_map(*[x for terms, f in UNIT_FACTORS for t in terms for x in (F.lit(t), F.lit(f))])
 
 
 def durations_days(c) -> Column:
-    """Durations in days found in a text, in order of appearance."""
-    found = F.transform(value_units(c), lambda vu: vu["value"] * _unit_factor(vu["unit"]))
-    return F.filter(found, lambda d: d.isNotNull())
+    """Durations in days found in a text, in order of appearance.  The
+    unit is folded once per match, then looked up (as is, or without a
+    final 's') in the unit table."""
+    folded = F.transform(value_units(c), lambda vu: F.struct(
+        vu["value"].alias("v"), fold_accents(vu["unit"]).alias("u")))
+    factors = _factor_map()
+    days = F.transform(folded, lambda x: x["v"] * F.coalesce(
+        F.try_element_at(factors, x["u"]),
+        F.when(x["u"].endswith("s"), F.try_element_at(factors, F.substring(x["u"], F.lit(1), F.length(x["u"]) - 1)))))
+    return F.filter(days, lambda d: d.isNotNull())
 
 
 # ---------------------------------------------------------------------------
@@ -241,3 +252,104 @@ def strip_cell(c) -> Column:
 def title_commas(c) -> Column:
     """Commas in a title become spaces."""
     return F.replace(_c(c), F.lit(","), F.lit(" "))
+
+
+# ---------------------------------------------------------------------------
+# Number words to digits (French cardinals 0 - 999 999)
+# French number words and their values.
+FR_NUMBER_WORDS = [
+    ("zero", 0), ("une", 1), ("un", 1), ("deux", 2), ("trois", 3), ("quatre", 4), ("cinq", 5), ("six", 6),
+    ("sept", 7), ("huit", 8), ("neuf", 9), ("dix", 10), ("onze", 11), ("douze", 12), ("treize", 13),
+    ("quatorze", 14), ("quinze", 15), ("seize", 16), ("vingts", 20), ("vingt", 20), ("trente", 30),
+    ("quarante", 40), ("cinquante", 50), ("soixante", 60), ("septante", 70), ("huitante", 80),
+    ("octante", 80), ("nonante", 90), ("cents", 100), ("cent", 100), ("mille", 1000),
+]
+# A lone article is not a number.
+FR_ARTICLES = ["un", "une"]
+
+_NUM_ALT = "(?:" + "|".join(w for w, _ in FR_NUMBER_WORDS) + ")"
+# a run of whole tokens made of number words, joined by spaces or hyphens,
+# with an optional "et" between two of them
+NUMBER_RUN_RE = f"(?<![^ ]){_NUM_ALT}(?:[ -](?:et[ -])?{_NUM_ALT})*(?![^ ])"
+
+
+def _number_fold(words: Column) -> Column:
+    """Fold one run of number words into digit strings (a run that is not
+    one number, e.g. ``deux trois``, gives several)."""
+    vals = F.create_map(*[x for w, v in FR_NUMBER_WORDS for x in (F.lit(w), F.lit(v).cast("long"))])
+    init = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).cast("long").alias("g"),
+                    F.lit(0).cast("long").alias("t"), F.lit(False).alias("on"),
+                    F.array().cast("array<string>").alias("ws"), F.lit(False).alias("et"))
+
+    def flushed(acc):
+        art = (F.size(acc["ws"]) == 1) & acc["ws"].getItem(0).isin(FR_ARTICLES)
+        num = F.when(art, acc["ws"].getItem(0)).otherwise((acc["t"] + acc["g"]).cast("string"))
+        out = F.when(acc["on"], F.concat(acc["out"], F.array(num))).otherwise(acc["out"])
+        return F.when(acc["et"], F.concat(out, F.array(F.lit("et")))).otherwise(out)
+
+    def step(acc, w):
+        g, t = acc["g"], acc["t"]
+        v = F.try_element_at(vals, w)
+        g100 = g % 100
+        is_et = w == "et"
+        quatre_vingt = w.startswith("vingt") & (g100 == 4)
+        cont = acc["on"] & F.when(acc["et"], w.isin("un", "une", "onze")).otherwise(
+            F.when(v == 0, False)
+            .when(v < 10, (g % 10 == 0) & ((g100 != 10) | (v >= 7)))
+            .when(v < 20, (g100 == 0) | (g100 == 60) | (g100 == 80))
+            .when(v < 100, quatre_vingt | (g100 == 0))
+            .when(v == 100, g < 10)
+            .otherwise((t == 0) & (g > 0)))
+        cont_g = (F.when(quatre_vingt, g - 4 + 80).when(v < 100, g + v)
+                  .when(v == 100, F.greatest(g, F.lit(1)) * 100).otherwise(F.lit(0)))
+        cont_t = F.when(v == 1000, F.greatest(g, F.lit(1)) * 1000).otherwise(t)
+        start_g = F.when(v == 1000, F.lit(0)).otherwise(v)
+        start_t = F.when(v == 1000, F.lit(1000)).otherwise(F.lit(0))
+        et_ok = acc["on"] & ~acc["et"] & (g % 10 == 0) & (g100 >= 20) & (g100 <= 60)
+        on_et = F.when(et_ok, F.struct(acc["out"].alias("out"), g.alias("g"), t.alias("t"), F.lit(True).alias("on"),
+                                       acc["ws"].alias("ws"), F.lit(True).alias("et"))).otherwise(
+            F.struct(F.concat(flushed(acc), F.array(F.lit("et"))).alias("out"), F.lit(0).cast("long").alias("g"),
+                     F.lit(0).cast("long").alias("t"), F.lit(False).alias("on"),
+                     F.array().cast("array<string>").alias("ws"), F.lit(False).alias("et")))
+        on_cont = F.struct(acc["out"].alias("out"), cont_g.cast("long").alias("g"), cont_t.cast("long").alias("t"),
+                           F.lit(True).alias("on"), F.concat(acc["ws"], F.array(w)).alias("ws"),
+                           F.lit(False).alias("et"))
+        on_new = F.struct(flushed(acc).alias("out"), start_g.cast("long").alias("g"), start_t.cast("long").alias("t"),
+                          F.lit(True).alias("on"), F.array(w).alias("ws"), F.lit(False).alias("et"))
+        return F.when(is_et, on_et).when(cont, on_cont).otherwise(on_new)
+
+    return F.aggregate(words, init, step, lambda acc: F.array_join(flushed(acc), " "))
+
+
+def _number_words(c: Column) -> Column:
+    """X6 on cleaned (lower-case, single-spaced) text: every run of French
+    number words becomes digits; a lone ``un``/``une`` stays a word.  Runs
+    are found by one regex, folded one by one (each run is a few words), and
+    put back between the untouched segments."""
+    runs = F.regexp_extract_all(c, F.lit(NUMBER_RUN_RE), 0)
+    segs = F.split(c, NUMBER_RUN_RE)
+    conv = F.transform(runs, lambda r: _number_fold(F.split(r, "[ -]")))
+    parts = F.transform(F.arrays_zip(F.slice(segs, 1, F.size(runs)).alias("s"), conv.alias("n")),
+                        lambda z: F.concat(z["s"], z["n"]))
+    return F.concat(F.array_join(parts, ""), F.element_at(segs, -1))
+
+
+def number_words(c) -> Column:
+    """X6 (see ``_number_words``); texts without a number word pay one regex
+    test only."""
+    c = _c(c)
+    return F.when(c.rlike(NUMBER_RUN_RE), _number_words(c)).otherwise(c)
+
+
+def clean_full(c) -> Column:
+    """X5 with the number-word step (X6).  ``number_words`` reads its input
+    several times: on a DataFrame prefer ``with_clean_full``, which projects
+    the cleaned text first."""
+    return number_words(clean(c))
+
+
+def with_clean_full(df, src: str, dst: str):
+    """Add ``dst`` = X5 + X6 of ``src`` in two projections (cleaned text is
+    computed once, then read by the number-word step)."""
+    tmp = f"__clean_{dst}"
+    return df.withColumn(tmp, clean(F.col(src))).withColumn(dst, number_words(F.col(tmp))).drop(tmp)

@@ -66,7 +66,8 @@ def classifier(name: str, n_rows_hint: int = 1000, features_col: str = "features
 
 def sentence_rows(clauses: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """X9 + P6 on cleaned text: ``(id, sno, text)`` per non-empty sentence."""
-    return clauses.select(id_col, F.posexplode(X.split_sentences(X.clean(F.col(text_col)))).alias("sno", text_col))
+    c = X.with_clean_full(clauses.select(id_col, text_col), text_col, "__clean")
+    return c.select(id_col, F.posexplode(X.split_sentences(F.col("__clean"))).alias("sno", text_col))
 
 
 def training_rows(data: DataFrame, cfg: SubModel, id_col: str = "id", text_col: str = "text",
@@ -80,7 +81,7 @@ def training_rows(data: DataFrame, cfg: SubModel, id_col: str = "id", text_col:
         d = d.select(F.concat_ws("_", F.col(id_col).cast("string"), F.col("sno").cast("string")).alias(id_col),
                      text_col, label_col)
     else:
-        d = d.select(id_col, X.clean(F.col(text_col)).alias(text_col), label_col)
+        d = X.with_clean_full(d, text_col, text_col)
     d = d.withColumn("y", code_column(cfg, label_col).cast("double"))
     if cfg.binary:
         d = d.withColumn("y", F.when(F.col("y") < 0, 0.0).otherwise(1.0))
@@ -118,7 +119,7 @@ def predict_ballots(model, clauses: DataFrame, cfg: SubModel, id_col: str = "id"
         v = V.elect(p, [id_col], "y", ["sno"], mode="std", level="min", keep_empty=False)
         out = v.select(id_col, F.col("winner").alias("y"))
     else:
-        c = clauses.select(id_col, X.clean(F.col(text_col)).alias(text_col))
+        c = X.with_clean_full(clauses.select(id_col, text_col), text_col, text_col)
         out = model.transform(c).select(id_col, F.col("prediction").cast("int").alias("y"))
     return out.withColumn("model_no", F.lit(cfg.model_no))
 

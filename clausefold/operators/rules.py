@@ -169,7 +169,7 @@ def analyze_clauses(clauses: DataFrame, id_col: str, title_col: str, text_col: s
                     keep_cols: list[str] | None = None) -> DataFrame:
     """``(id, type, type_candidates, valid, policies, notable)``.
 
-    Title and text are cleaned; the type candidates are the types whose term
+    Title and text are cleaned (X5 with number words, X6); the type candidates are the types whose term
     the title contains (the reported type is the first by name); commas are
     removed from the body; clause concepts are searched in the body,
     sentences are the body split on '.', each with its durations (days) and
@@ -183,10 +183,13 @@ def analyze_clauses(clauses: DataFrame, id_col: str, title_col: str, text_col: s
     # by many terms below (cleaned text is already lower case)
     keep = list(keep_cols or [])
     given = [F.col(given_type_col).alias("__given")] if given_type_col else []
-    cleaned = clauses.select(
+    pre = clauses.select(
         F.col(id_col).alias(id_col), *keep, *given,
-        X.clean(F.col(title_col)).alias("__title"),
-        F.replace(X.clean(F.col(text_col)), F.lit(","), F.lit("")).alias("__body"))
+        X.clean(F.col(title_col)).alias("__t0"), X.clean(F.col(text_col)).alias("__b0"))
+    cleaned = pre.select(
+        id_col, *keep, *(["__given"] if given_type_col else []),
+        X.number_words(F.col("__t0")).alias("__title"),
+        F.replace(X.number_words(F.col("__b0")), F.lit(","), F.lit("")).alias("__body"))
     sents = F.transform(F.split(F.col("__body"), "\\."), lambda s: F.struct(
         F.concat(s, F.lit(".")).alias("text"), X.durations_days(s).alias("durs"),
         concepts_in(s, lowered=True).alias("concepts")))

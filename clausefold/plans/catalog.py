@@ -117,8 +117,14 @@ def rule_sentences(spark, sf_dir):
 @query("char_grams")
 def char_grams(spark, sf_dir):
     d = table(spark, sf_dir, "documents", ["doc_id", "text"])
-    g = d.select("doc_id", F.explode(T.char_wb_grams(T.clean("text"))).alias("gram"))
-    return g.groupBy("gram").agg(F.count(F.lit(1)).alias("cnt"), F.count_distinct("doc_id").alias("df"))
+    # per-document counts first (F1's bag), then per gram: no distinct aggregate
+    bag = FE_char_bag(d.select("doc_id", T.clean("text").alias("text")))
+    return bag.groupBy("gram").agg(F.sum("cnt").alias("cnt"), F.count(F.lit(1)).alias("df"))
+
+
+def FE_char_bag(d):
+    from clausefold.operators.features import char_bag
+    return char_bag(d, "doc_id", "text")
 
 
 @query("value_units")
@@ -344,8 +350,8 @@ def title_type_token(spark, sf_dir):
 
 @query("title_type_contains")
 def title_type_contains(spark, sf_dir):
-    c = _clauses(spark, sf_dir)
-    return c.select("clause_id", F.explode(R.title_type_candidates(T.clean("title"))).alias("type"))
+    c = _clauses(spark, sf_dir).select("clause_id", T.clean("title").alias("t"))
+    return c.select("clause_id", F.explode(R.title_type_candidates(F.col("t"))).alias("type"))
 
 
 def _analysis(spark, sf_dir):
@@ -604,7 +610,8 @@ def alpha_ensemble(spark, sf_dir):
         model = L.fit(L.training_rows(train, cfg), cfg)
         b = L.predict_ballots(model, test, cfg).withColumn("pos", F.col("model_no"))
         ballots = b if ballots is None else ballots.unionByName(b)
-    kw = test.select("id", E.keyword_predict(T.ws_split(T.clean("text")), dict(E.KEYWORD_MODELS)["kw1"]).alias("y"))
+    kw = test.select("id", T.ws_split(T.clean("text")).alias("tok")).select(
+        "id", E.keyword_predict(F.col("tok"), dict(E.KEYWORD_MODELS)["kw1"]).alias("y"))
     kw = kw.where(F.col("y") >= 0).select("id", "y", F.lit(0).alias("model_no"), F.lit(0).alias("pos"))
     voted = L.ensemble_vote(ballots.unionByName(kw))
     names = F.element_at(F.array(*[F.lit(x) for x in E.LANG_MAPPING]), F.col("y") + 1)
@@ -646,3 +653,14 @@ def batch_scoring(spark, sf_dir):
     from clausefold.streaming import scoring as SS
     answers, _ = SS.answer_batch(C.clause_requests(spark, sf_dir))
     return answers.select("request_id", "route", "type", "anomalous", F.array_join("anomaly", ",").alias("anomaly"))
+
+
+@query("number_words")
+def number_words(spark, sf_dir):
+    """X6 on cleaned documents: documents where number words became digits,
+    with the number of converted runs (rows-only: no SQL twin of the fold)."""
+    d = _clean_docs(spark, sf_dir)
+    runs = F.size(F.regexp_extract_all(F.col("text"), F.lit(T.NUMBER_RUN_RE), 0))
+    conv = T.number_words(F.col("text"))
+    return d.select("doc_id", runs.alias("runs"), F.md5(conv).alias("converted_md5"), (conv != F.col("text")).alias("changed")) \
+        .where(F.col("runs") > 0)

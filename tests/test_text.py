@@ -54,3 +54,23 @@ def test_annotation_split(spark):
 def test_value_units(spark):
     r = one(spark, T.value_units(F.col("t")), "12 345 jours et 3 ans")
     assert [(x["value"], x["unit"]) for x in r] == [(12, "345"), (3, "ans")]
+
+
+def test_number_words(spark):
+    cases = {
+        "deux cent trente jours": "230 jours",
+        "quatre-vingt-dix-sept": "97",
+        "vingt et un ans": "21 ans",
+        "soixante et onze": "71",
+        "dix-sept mois": "17 mois",
+        "un chat et une souris": "un chat et une souris",
+        "deux mille vingt-quatre": "2024",
+        "deux trois": "2 3",
+        "vingt et bleu": "20 et bleu",
+        "quatre-vingts": "80",
+        "sixieme": "sixieme",
+        "le delai de trente jours et vingt et un mois": "le delai de 30 jours et 21 mois",
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "t string")
+    got = {r.t: r.n for r in df.select("t", T.number_words(F.col("t")).alias("n")).collect()}
+    assert got == cases
