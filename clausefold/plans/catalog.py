@@ -664,3 +664,36 @@ def number_words(spark, sf_dir):
     conv = T.number_words(F.col("text"))
     return d.select("doc_id", runs.alias("runs"), F.md5(conv).alias("converted_md5"), (conv != F.col("text")).alias("changed")) \
         .where(F.col("runs") > 0)
+
+
+# ---------------------------------------------------------------------------
+# A17 preparation report; C15 rule-path evaluation
+@query("preparation_report")
+def preparation_report(spark, sf_dir):
+    split = _lang_split(spark, sf_dir)
+    train = split.where(~F.col("is_test"))
+    balanced = B.random_oversample(train.select("id", "label"), "label", "id")
+    sizes = (split.agg(F.count(F.lit(1)).alias("rows_in"), F.count_if("is_test").alias("test"),
+                       F.count_if(~F.col("is_test")).alias("train"))
+             .crossJoin(balanced.agg(F.count(F.lit(1)).alias("train_balanced"))))
+    long = sizes.unpivot([], ["rows_in", "train", "test", "train_balanced"], "key", "value")
+    mapping = spark.createDataFrame([(n, i) for i, n in enumerate(E.LANG_MAPPING)], "key string, value long")
+    return long.select(F.lit("size").alias("section"), "key", "value").unionByName(
+        mapping.select(F.lit("mapping").alias("section"), "key", "value"))
+
+
+EXPECTED_TYPES = ["resiliation", "paiement", "non_sollicitation", "non_concurrence", "indemnisation"]
+
+
+@query("kb_evaluation")
+def kb_evaluation(spark, sf_dir):
+    o = table(spark, sf_dir, "orders", ["o_orderkey", "o_orderpriority"])
+    cl = _clauses(spark, sf_dir)
+    cl = S.nonblank_of_types(
+        cl.join(o, cl.clause_id == o.o_orderkey).withColumn(
+            "expected", F.element_at(F.array(*[F.lit(x) for x in EXPECTED_TYPES]),
+                                     F.substring("o_orderpriority", 1, 1).cast("int"))),
+        "text", "expected", EXPECTED_TYPES)
+    a = R.analyze_clauses(cl, "clause_id", "title", "text", keep_cols=["expected"])
+    pred = a.select("expected", F.coalesce("type", F.lit("None")).alias("predicted"))
+    return M.class_report(M.confusion(pred, "expected", "predicted"))

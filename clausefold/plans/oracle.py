@@ -541,3 +541,27 @@ p1 AS (SELECT conv_id, turn, title, list_concat([replace(parts[1], title, '')],
 p2 AS (SELECT conv_id, turn, title, list_filter(list_concat(list_transform(parts[1:len(parts) - 1], lambda s: {_LSTRIP} || '.'),
          [parts[len(parts)]]), lambda s: s = '' OR {X.strip_ws('s')} <> '') AS parts FROM p1)
 SELECT conv_id, turn, title, CAST(unnest(range(0, len(parts))) AS INTEGER) AS pos, unnest(parts) AS part FROM p2"""
+
+
+SQL["preparation_report"] = f"""WITH d AS (SELECT doc_id, lang, {_h32("'1'", 'CAST(doc_id AS VARCHAR)')} AS h FROM documents),
+s AS (SELECT doc_id, lang, row_number() OVER (ORDER BY h, doc_id) <= (SELECT ceil(count(*) * 0.25) FROM documents) AS is_test FROM d),
+tr AS (SELECT lang, count(*) AS n FROM s WHERE NOT is_test GROUP BY lang)
+SELECT 'size' AS section, 'rows_in' AS key, count(*) AS value FROM s
+UNION ALL SELECT 'size', 'train', count(*) FILTER (WHERE NOT is_test) FROM s
+UNION ALL SELECT 'size', 'test', count(*) FILTER (WHERE is_test) FROM s
+UNION ALL SELECT 'size', 'train_balanced', count(*) * max(n) FROM tr
+UNION ALL SELECT 'mapping', key, value FROM (VALUES {', '.join(f"({q(n)}, {i})" for i, n in enumerate(E.LANG_MAPPING))}) m(key, value)"""
+
+_EXP = "['resiliation', 'paiement', 'non_sollicitation', 'non_concurrence', 'indemnisation']"
+SQL["kb_evaluation"] = f"""WITH {ANALYSIS},
+ev AS (SELECT {_EXP}[CAST(substr(o.o_orderpriority, 1, 1) AS INTEGER)] AS expected,
+              coalesce(list_min(b.cands), 'None') AS predicted
+       FROM b JOIN orders o ON o.o_orderkey = b.clause_id JOIN contract_clause c ON c.clause_id = b.clause_id
+       WHERE {X.strip_ws('c.text')} <> ''),
+conf AS (SELECT expected, predicted, count(*) AS cnt FROM ev GROUP BY ALL),
+pl AS {_per_label('conf', [])}
+SELECT CAST(label AS VARCHAR) AS label, precision, recall, f1, support FROM pl
+UNION ALL SELECT 'accuracy', NULL, NULL, sum(tp) / sum(support), CAST(sum(support) AS BIGINT) FROM pl
+UNION ALL SELECT 'macro avg', avg(precision), avg(recall), avg(f1), CAST(sum(support) AS BIGINT) FROM pl
+UNION ALL SELECT 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support),
+  sum(f1 * support) / sum(support), CAST(sum(support) AS BIGINT) FROM pl"""
