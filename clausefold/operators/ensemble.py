@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clausefold.functions import text as X
+from clausefold.functions.arrays import explode_rows
 from clausefold.operators import metrics as M
 from clausefold.operators import vote as V
 
@@ -77,14 +78,14 @@ def predictions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     clean = docs.select(F.col(id_col).alias("id"), X.clean(F.col(text_col)).alias("clean"))
     # tokens get a projection of their own: every keyword test reads them
     doc_tok = clean.select("id", X.ws_split(F.col("clean")).alias("tok"))
-    doc_preds = doc_tok.select("id", F.explode(F.array(*[
+    doc_preds = explode_rows(doc_tok, ["id"], F.array(*[
         F.struct(F.lit(f"{m}_g0").alias("model"), keyword_predict(F.col("tok"), vocab[m]).alias("y"))
-        for m, _ in KEYWORD_MODELS])).alias("p")).select("id", "p.model", "p.y")
-    sents = clean.select("id", F.posexplode(X.split_sentences(F.col("clean"))).alias("sno", "s"))
+        for m, _ in KEYWORD_MODELS]), "p").select("id", "p.model", "p.y")
+    sents = explode_rows(clean, ["id"], X.split_sentences(F.col("clean")), "s", "sno")
     sent_tok = sents.select("id", "sno", X.ws_split(F.col("s")).alias("tok"))
-    sent_preds = sent_tok.select("id", "sno", F.explode(F.array(*[
+    sent_preds = explode_rows(sent_tok, ["id", "sno"], F.array(*[
         F.struct(F.lit(f"{m}_g1").alias("model"), keyword_predict(F.col("tok"), vocab[m]).alias("y"))
-        for m, _ in KEYWORD_MODELS])).alias("p")).select("id", "sno", "p.model", "p.y")
+        for m, _ in KEYWORD_MODELS]), "p").select("id", "sno", "p.model", "p.y")
     voted = V.elect(sent_preds, ["id", "model"], "y", ["sno"], mode="std", level="min", keep_empty=False)
     return doc_preds.unionByName(voted.select("id", "model", F.col("winner").alias("y")))
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clausefold.functions import text as X
+from clausefold.functions.arrays import explode_rows
 
 MD5_32 = 4294967296.0  # 2^32: md5 prefix of 8 hex digits mapped to [0, 1)
 
@@ -30,7 +31,7 @@ def unit_random(*parts) -> Column:
 # F1 bag of character n-grams (relational twin of a count vectorizer)
 def char_bag(df: DataFrame, id_col: str, text_col: str, min_n: int = 4, max_n: int = 5) -> DataFrame:
     """``(id, gram, cnt)`` counts of char_wb n-grams (min_df 1)."""
-    g = df.select(id_col, F.explode(X.char_wb_grams(F.col(text_col), min_n, max_n)).alias("gram"))
+    g = explode_rows(df, [id_col], X.char_wb_grams(F.col(text_col), min_n, max_n), "gram")
     return g.groupBy(id_col, "gram").agg(F.count(F.lit(1)).alias("cnt"))
 
 
@@ -40,7 +41,7 @@ def tfidf(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(id, term, weight)``.  Terms: runs of two or more word characters on
     lower-cased text.  n and df come from aggregates (no driver round trip);
     the document count is a one-row aggregate joined to every term."""
-    toks = df.select(id_col, F.explode(X.word_tokens(F.col(text_col))).alias("term"))
+    toks = explode_rows(df, [id_col], X.word_tokens(F.col(text_col)), "term")
     tf = toks.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
     dfreq = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     n = df.agg(F.count(F.lit(1)).alias("n"))

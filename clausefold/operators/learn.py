@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausefold.functions import text as X
+from clausefold.functions.arrays import explode_rows
 from clausefold.operators import features as FE
 from clausefold.operators import metrics as M
 from clausefold.operators import vote as V
@@ -67,7 +68,7 @@ def classifier(name: str, n_rows_hint: int = 1000, features_col: str = "features
 def sentence_rows(clauses: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """X9 + P6 on cleaned text: ``(id, sno, text)`` per non-empty sentence."""
     c = X.with_clean_full(clauses.select(id_col, text_col), text_col, "__clean")
-    return c.select(id_col, F.posexplode(X.split_sentences(F.col("__clean"))).alias("sno", text_col))
+    return explode_rows(c, [id_col], X.split_sentences(F.col("__clean")), text_col, "sno")
 
 
 def training_rows(data: DataFrame, cfg: SubModel, id_col: str = "id", text_col: str = "text",

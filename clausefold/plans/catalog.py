@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clausefold.functions import arrays as XA
 from clausefold.functions import text as T
 from clausefold.operators import select as S
 from clausefold.operators import vote as V
@@ -105,13 +106,13 @@ def word_filter(spark, sf_dir):
 @query("sentences")
 def sentences(spark, sf_dir):
     d = table(spark, sf_dir, "documents", ["doc_id", "text"])
-    return d.select("doc_id", F.posexplode(T.split_sentences(T.clean("text"))).alias("pos", "sentence"))
+    return XA.explode_rows(d, ["doc_id"], T.split_sentences(T.clean("text")), "sentence", "pos")
 
 
 @query("rule_sentences")
 def rule_sentences(spark, sf_dir):
     cl = C.contract_clauses(spark, sf_dir)
-    return cl.select("clause_id", F.posexplode(T.rule_sentences(T.clean("text"))).alias("pos", "sentence"))
+    return XA.explode_rows(cl, ["clause_id"], T.rule_sentences(T.clean("text")), "sentence", "pos")
 
 
 @query("char_grams")
@@ -130,20 +131,20 @@ def FE_char_bag(d):
 @query("value_units")
 def value_units(spark, sf_dir):
     s = C.contract_sentences(spark, sf_dir)
-    vu = s.select("clause_id", "n", F.posexplode(T.value_units(T.clean("text"))).alias("pos", "vu"))
+    vu = XA.explode_rows(s, ["clause_id", "n"], T.value_units(T.clean("text")), "vu", "pos")
     return vu.select("clause_id", "n", "pos", F.col("vu.value").alias("value"), F.col("vu.unit").alias("unit"))
 
 
 @query("durations")
 def durations(spark, sf_dir):
     s = C.contract_sentences(spark, sf_dir)
-    return s.select("clause_id", "n", F.posexplode(T.durations_days(T.clean("text"))).alias("pos", "days"))
+    return XA.explode_rows(s, ["clause_id", "n"], T.durations_days(T.clean("text")), "days", "pos")
 
 
 @query("durations_documents")
 def durations_documents(spark, sf_dir):
     d = table(spark, sf_dir, "documents", ["doc_id", "text"])
-    return d.select("doc_id", F.posexplode(T.durations_days(F.col("text"))).alias("pos", "days"))
+    return XA.explode_rows(d, ["doc_id"], T.durations_days(F.col("text")), "days", "pos")
 
 
 # ---------------------------------------------------------------------------
@@ -277,10 +278,10 @@ def _doc_model_scores(spark, sf_dir):
     """Macro F1 per (source, keyword model) at document granularity."""
     d = _tokens(spark, sf_dir)
     toks = F.col("tok")
-    preds = d.select("doc_id", "source", M.label_to_val("lang", E.LANG_MAPPING).alias("expected"),
-                     F.explode(F.array(*[F.struct(F.lit(i + 1).alias("cfg_no"), F.lit(m).alias("model"),
-                                                  E.keyword_predict(toks, v).alias("y"))
-                                         for i, (m, v) in enumerate(E.KEYWORD_MODELS)])).alias("p"))
+    preds = XA.explode_rows(d, ["doc_id", "source", M.label_to_val("lang", E.LANG_MAPPING).alias("expected")],
+                            F.array(*[F.struct(F.lit(i + 1).alias("cfg_no"), F.lit(m).alias("model"),
+                                               E.keyword_predict(toks, v).alias("y"))
+                                      for i, (m, v) in enumerate(E.KEYWORD_MODELS)]), "p")
     preds = preds.select("doc_id", "source", "expected", "p.cfg_no", "p.model", "p.y")
     conf = M.confusion(preds, "expected", "y", ["source", "cfg_no", "model"])
     return M.macro_scores(conf, ["source", "cfg_no", "model"])
@@ -332,13 +333,13 @@ def _clauses(spark, sf_dir):
 @query("concept_in")
 def concept_in(spark, sf_dir):
     c = _clauses(spark, sf_dir).select("clause_id", F.replace(T.clean("text"), F.lit(","), F.lit("")).alias("body"))
-    return c.select("clause_id", F.explode(R.concepts_in(F.col("body"), lowered=True)).alias("concept"))
+    return XA.explode_rows(c, ["clause_id"], R.concepts_in(F.col("body"), lowered=True), "concept")
 
 
 @query("concept_not_in")
 def concept_not_in(spark, sf_dir):
     c = _clauses(spark, sf_dir).select("clause_id", F.replace(T.clean("text"), F.lit(","), F.lit("")).alias("body"))
-    return c.select("clause_id", F.explode(R.concepts_not_in(F.col("body"), lowered=True)).alias("concept"))
+    return XA.explode_rows(c, ["clause_id"], R.concepts_not_in(F.col("body"), lowered=True), "concept")
 
 
 @query("title_type_token")
@@ -351,7 +352,7 @@ def title_type_token(spark, sf_dir):
 @query("title_type_contains")
 def title_type_contains(spark, sf_dir):
     c = _clauses(spark, sf_dir).select("clause_id", T.clean("title").alias("t"))
-    return c.select("clause_id", F.explode(R.title_type_candidates(F.col("t"))).alias("type"))
+    return XA.explode_rows(c, ["clause_id"], R.title_type_candidates(F.col("t")), "type")
 
 
 def _analysis(spark, sf_dir):
@@ -368,13 +369,17 @@ def policy_all(spark, sf_dir):
 @query("notable_sentences")
 def notable_sentences(spark, sf_dir):
     a = _analysis(spark, sf_dir)
-    return a.select("clause_id", F.posexplode("notable").alias("pos", "sentence"))
+    return XA.explode_rows(a, ["clause_id"], F.col("notable"), "sentence", "pos")
 
 
 def _policy_query(pid):
     def run(spark, sf_dir):
+        # one row per violated policy, then the policy asked for: a filter on
+        # the computed array itself would be pushed below (and inline) the
+        # whole rule projection
         a = _analysis(spark, sf_dir)
-        return a.where(F.array_contains("policies", pid)).select("clause_id", "type")
+        v = XA.explode_rows(a, ["clause_id", "type"], F.col("policies"), "policy")
+        return v.where(F.col("policy") == pid).select("clause_id", "type")
     return run
 
 
@@ -570,7 +575,7 @@ def union_documents(spark, sf_dir):
 def annotation_split(spark, sf_dir):
     c = table(spark, sf_dir, "conversations", ["conv_id", "turn", "text"])
     a = c.select("conv_id", "turn", T.annotation_split(F.col("text")).alias("a"))
-    return a.select("conv_id", "turn", F.col("a.title").alias("title"), F.posexplode("a.parts").alias("pos", "part"))
+    return XA.explode_rows(a, ["conv_id", "turn", F.col("a.title").alias("title")], F.col("a.parts"), "part", "pos")
 
 
 # ---------------------------------------------------------------------------
