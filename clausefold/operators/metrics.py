@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from clausefold.functions.arrays import explode_rows
+
 
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -77,14 +79,17 @@ def per_label(conf: DataFrame, group_cols: list[str] | None = None) -> DataFrame
     per-label precision, recall, F1 (0 when undefined)."""
     g = group_cols or []
     hit = F.col("expected").eqNullSafe(F.col("predicted"))
-    a = conf.select(*g, F.col("expected").alias("label"),
-                    F.when(hit, F.col("cnt")).otherwise(0).alias("tp"),
-                    F.lit(0).cast("long").alias("fp"),
-                    F.when(hit, 0).otherwise(F.col("cnt")).alias("fn"))
-    b = conf.where(~hit).select(*g, F.col("predicted").alias("label"), F.lit(0).cast("long").alias("tp"),
-                               F.col("cnt").alias("fp"), F.lit(0).cast("long").alias("fn"))
-    s = a.unionByName(b).groupBy(*g, "label").agg(
-        F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"))
+    zero = F.lit(0).cast("long")
+    # one pass over the confusion table: every cell credits its expected
+    # label (tp or fn) and, when wrong, its predicted label (fp)
+    credits = F.array(
+        F.struct(F.col("expected").alias("label"), F.when(hit, F.col("cnt")).otherwise(zero).alias("tp"),
+                 zero.alias("fp"), F.when(hit, zero).otherwise(F.col("cnt")).alias("fn")),
+        F.when(~hit, F.struct(F.col("predicted").alias("label"), zero.alias("tp"), F.col("cnt").alias("fp"),
+                              zero.alias("fn"))))
+    e = explode_rows(conf, g, credits, "c").where(F.col("c").isNotNull())
+    s = e.groupBy(*g, F.col("c.label").alias("label")).agg(
+        F.sum("c.tp").alias("tp"), F.sum("c.fp").alias("fp"), F.sum("c.fn").alias("fn"))
 
     def ratio(n, d):
         return F.when(d > 0, n / d).otherwise(F.lit(0.0))

@@ -16,11 +16,36 @@ TABLES = (
 ).split()
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, cols: list[str] | None = None) -> DataFrame:
+SPREAD_MIN_BYTES = 1 << 20
+
+
+def _bytes(spark: SparkSession, path: str) -> int:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return int(fs.getContentSummary(p).getLength())
+
+
+def spread(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
+    """Give a table stored in fewer files than there are cores one
+    round-robin redistribution, so the per-row text work after the scan uses
+    every core (a parquet file with one row group is read by one task).  A
+    large table is stored in many files and is left as it is."""
+    par = spark.sparkContext.defaultParallelism
+    if len(df.inputFiles()) >= par or _bytes(spark, path) < SPREAD_MIN_BYTES:
+        return df
+    return df.repartition(par)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, cols: list[str] | None = None,
+          redistribute: bool = True) -> DataFrame:
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
-    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
-    return df.select(*cols) if cols else df
+    path = os.path.join(sf_dir, f"{name}.parquet")
+    df = spark.read.parquet(path)
+    if cols:
+        df = df.select(*cols)
+    return spread(spark, df, path) if redistribute else df
 
 
 def register_views(spark: SparkSession, sf_dir: str) -> None:
