@@ -96,17 +96,48 @@ def training_rows(data: DataFrame, cfg: SubModel, id_col: str = "id", text_col:
 
 def fit(data: DataFrame, cfg: SubModel, text_col: str = "text", n_rows_hint: int = 1000):
     """Fit vectorizer + classifier as one ``PipelineModel``."""
-    from pyspark import StorageLevel
     from pyspark.ml import Pipeline
+
+    from clausefold.session import checkpoint_dir
     stages = FE.vectorizer_stages(cfg.transformer, text_col, "features", **cfg.vectorizer_args)
     # the cleaned, coded rows are read by every vectorizer fit and every
-    # optimizer iteration: keep them (memory, spilling to disk; lost blocks
-    # are recomputed from lineage)
-    data = data.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return Pipeline(stages=stages + [classifier(cfg.classifier, n_rows_hint)]).fit(data)
-    finally:
-        data.unpersist()
+    # optimizer pass: write them once to the shared checkpoint folder, which
+    # also cuts the lineage (every job of the fit then plans a plain scan)
+    checkpoint_dir(data.sparkSession)
+    data = data.checkpoint(eager=True)
+    # classes present in the training rows (a handful of values): one-vs-rest
+    # needs labels 0..k-1, so sparse codes are made dense for the fit and
+    # mapped back at prediction time; a single class needs no model
+    codes = sorted(r[0] for r in data.select("y").distinct().collect())
+    if len(codes) <= 1:
+        return FittedSubModel(None, codes)
+    dense = data.withColumn("y", (F.array_position(F.array(*[F.lit(c) for c in codes]), F.col("y")) - 1).cast("double"))
+    model = Pipeline(stages=stages + [classifier(cfg.classifier, n_rows_hint)]).fit(dense)
+    return FittedSubModel(model, codes)
+
+
+class FittedSubModel:
+    """A fitted pipeline and the class codes its dense predictions stand
+    for.  ``transform`` adds ``prediction`` in the original codes."""
+
+    def __init__(self, model, codes: list[float]):
+        self.model, self.codes = model, codes
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        if self.model is None:
+            c = self.codes[0] if self.codes else -1.0
+            return df.withColumn("prediction", F.lit(float(c)))
+        out = self.model.transform(df)
+        back = F.element_at(F.array(*[F.lit(float(c)) for c in self.codes]), F.col("prediction").cast("int") + 1)
+        return out.withColumn("prediction", back)
+
+    def save(self, path: str) -> None:
+        """The pipeline plus its class codes."""
+        if self.model is not None:
+            self.model.write().overwrite().save(f"{path}/pipeline")
+        from pyspark.sql import SparkSession
+        spark = SparkSession.getActiveSession()
+        spark.createDataFrame([(float(c),) for c in self.codes], "code double").write.mode("overwrite").parquet(f"{path}/codes")
 
 
 def predict_ballots(model, clauses: DataFrame, cfg: SubModel, id_col: str = "id",
@@ -139,14 +170,20 @@ def registry_rows(spark: SparkSession, rows: list[tuple]) -> DataFrame:
                                        "vote_mode string, vote_default int")
 
 
-def save_model(model, path: str) -> None:
-    """Model artefact (vectorizer + classifier in one pipeline)."""
-    model.write().overwrite().save(path)
+def save_model(model: "FittedSubModel", path: str) -> None:
+    """Model artefact (vectorizer + classifier in one pipeline, and the
+    class codes)."""
+    model.save(path)
+
 
+def load_model(spark: SparkSession, path: str) -> "FittedSubModel":
+    import os
 
-def load_model(path: str):
     from pyspark.ml import PipelineModel
-    return PipelineModel.load(path)
+    codes = sorted(r[0] for r in spark.read.parquet(f"{path}/codes").collect())
+    pipe = f"{path}/pipeline"
+    model = PipelineModel.load(pipe) if len(codes) > 1 and (not pipe.startswith("/") or os.path.exists(pipe)) else None
+    return FittedSubModel(model, codes)
 
 
 def evaluate(pred: DataFrame, truth: DataFrame, id_col: str = "id") -> DataFrame:
