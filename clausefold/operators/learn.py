@@ -190,3 +190,61 @@ def evaluate(pred: DataFrame, truth: DataFrame, id_col: str = "id") -> DataFrame
     """Macro scores of predictions against expected codes."""
     j = pred.join(truth, id_col, "inner")
     return M.macro_scores(M.confusion(j, "expected", "y"))
+
+
+# ---------------------------------------------------------------------------
+# M2 / M3 / M4 / M5: exploration extras
+def mlp_classifier(n_features: int, n_classes: int, hidden: int = 32, features_col: str = "features",
+                   label_col: str = "y"):
+    """M2: multilayer perceptron (one hidden layer)."""
+    from pyspark.ml.classification import MultilayerPerceptronClassifier
+    return MultilayerPerceptronClassifier(featuresCol=features_col, labelCol=label_col,
+                                          layers=[n_features, hidden, n_classes], maxIter=50, seed=1)
+
+
+def percentile_selector(percentile: float, features_col: str = "features", out_col: str = "selected",
+                        label_col: str = "y"):
+    """M3: keep the given fraction of features ranked by the ANOVA F test."""
+    from pyspark.ml.feature import UnivariateFeatureSelector
+    sel = UnivariateFeatureSelector(featuresCol=features_col, outputCol=out_col, labelCol=label_col,
+                                    selectionMode="percentile")
+    sel.setFeatureType("continuous").setLabelType("categorical").setSelectionThreshold(percentile)
+    return sel
+
+
+def stacked_forest(features_col: str = "features", label_col: str = "y", trees: int = 50):
+    """M5: a first forest's class probabilities appended to the features of
+    a second forest, as one pipeline."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.feature import VectorAssembler
+    rf1 = RandomForestClassifier(featuresCol=features_col, labelCol=label_col, numTrees=trees, seed=1,
+                                 predictionCol="__p1", probabilityCol="__prob1", rawPredictionCol="__raw1")
+    asm = VectorAssembler(inputCols=[features_col, "__prob1"], outputCol="__stacked")
+    rf2 = RandomForestClassifier(featuresCol="__stacked", labelCol=label_col, numTrees=trees, seed=2)
+    return Pipeline(stages=[rf1, asm, rf2])
+
+
+def recursive_elimination(data: DataFrame, n_keep: int, step: float = 0.4, features_col: str = "features",
+                          label_col: str = "y", trees: int = 20) -> list[int]:
+    """M4: recursive feature elimination by forest importances: drop the
+    lowest ``step`` fraction of the remaining features until ``n_keep`` are
+    left.  Returns the kept feature indices (the loop runs on the driver
+    over fits; the data work is the distributed forest fit)."""
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.feature import VectorSlicer
+    n = len(data.select(features_col).first()[0])
+    kept = list(range(n))
+    cur = data
+    while len(kept) > n_keep:
+        model = RandomForestClassifier(featuresCol=features_col, labelCol=label_col, numTrees=trees,
+                                       seed=1).fit(cur)
+        imp = model.featureImportances.toArray()
+        order = sorted(range(len(kept)), key=lambda i: (imp[i], i))
+        drop = max(1, int(len(kept) * step))
+        drop = min(drop, len(kept) - n_keep)
+        survivors = sorted(order[drop:])
+        kept = [kept[i] for i in survivors]
+        cur = VectorSlicer(inputCol=features_col, outputCol="__sliced", indices=survivors).transform(cur) \
+            .drop(features_col).withColumnRenamed("__sliced", features_col)
+    return kept

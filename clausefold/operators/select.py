@@ -56,21 +56,26 @@ def attach_text(labels: DataFrame, texts: DataFrame, id_col: str = "id") -> Data
     return labels.join(texts, on=id_col, how="inner")
 
 
-def merge_granules(data: DataFrame, id_col: str = "id", text_col: str = "text", level: int = 0) -> DataFrame:
+def merge_granules(data: DataFrame, id_col: str = "id", text_col: str = "text", level: int = 0,
+                   extra_cols: list[str] | None = None) -> DataFrame:
     """A1: concatenate child texts into their ancestor at ``level``.
 
     Children sorted by id string, each text followed by one space (so the
     result ends with a space).  One group is one clause, so the collected
     array is bounded by the clause size; map-side partial aggregation
-    applies to ``collect_list``.
+    applies to ``collect_list``.  ``extra_cols`` are returned as arrays in
+    the same child order.
     """
+    extra = list(extra_cols or [])
     parent = I.id_prefix(F.col(id_col), level)
     grouped = data.groupBy(parent.alias(id_col)).agg(
-        F.array_sort(F.collect_list(F.struct(F.col(id_col).alias("k"), F.col(text_col).alias("t")))).alias("__parts")
+        F.array_sort(F.collect_list(F.struct(F.col(id_col).alias("k"), F.col(text_col).alias("t"),
+                                             *[F.col(c).alias(c) for c in extra]))).alias("__parts")
     )
     return grouped.select(
         id_col,
         F.concat(F.array_join(F.transform("__parts", lambda p: p["t"]), " "), F.lit(" ")).alias(text_col),
+        *[F.col("__parts")[c].alias(c) for c in extra],
     )
 
 
@@ -108,8 +113,9 @@ def keyword_subset(df: DataFrame, text_col: str, terms: list[str], first_line_on
     t = F.lower(F.col(text_col))
     if first_line_only:
         t = F.split(t, "\n").getItem(0)
-    lowered = [x.lower() for x in terms]
-    return df.where(F.exists(F.array(*[F.lit(x) for x in lowered]), lambda w: F.contains(t, w)))
+    # an OR of contains (no lambda): the lowered text is computed once
+    hit = reduce(lambda a, b: a | b, [F.contains(t, F.lit(x.lower())) for x in terms], F.lit(False))
+    return df.where(hit)
 
 
 def nonblank_of_types(df: DataFrame, text_col: str, type_col: str, types: list[str]) -> DataFrame:

@@ -43,11 +43,12 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     sents = C.conversation_sentences(spark, sf_dir)
     lv = S.filter_levels([clauses, sents], [["first_role", "band"], ["role", "size"]], CONV_SELECTION)
     kept = lv[1]
-    merged = S.merge_granules(kept.select("id", "text"), level=0)
-    ballots = kept.select(F.split("id", "_").getItem(0).alias("clause_id"), "role", "id")
-    winner = V.elect(ballots, ["clause_id"], "role", ["id"], mode="std", level="min")
-    return merged.join(winner.withColumnRenamed("clause_id", "id"), "id", "inner").select(
-        "id", F.col("winner").alias("majority_role"), T.clean("text").alias("text"))
+    # one grouping of the kept turns by conversation gives both the merged
+    # text (A1) and the ballots of the vote, which runs inside the row on
+    # the (clause-sized) ordered array
+    groups = S.merge_granules(kept.select("id", "text", "role"), level=0, extra_cols=["role"])
+    voted = groups.withColumn("majority_role", V.vote_arrays(F.col("role")))
+    return voted.select("id", "majority_role", T.clean("text").alias("text"))
 
 
 # ---------------------------------------------------------------------------

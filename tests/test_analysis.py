@@ -23,3 +23,25 @@ def test_rule_labels(spark):
     df = spark.createDataFrame([(1, "Paiement", "Paiement par cheque.")], "id int, title string, text string")
     r = AN.rule_labels(df, "id").first()
     assert (r.type, r.invalid, r.policy) == ("paiement", True, "R11")
+
+
+def _vec_data(spark):
+    from pyspark.ml.linalg import Vectors
+    rows = []
+    for i in range(40):
+        y = float(i % 2)
+        rows.append((Vectors.dense([y * 2 + (i % 3) * 0.1, (i % 5) * 0.01, 1.0 - y, (i % 7) * 0.3]), y))
+    return spark.createDataFrame(rows, ["features", "y"])
+
+
+def test_exploration_extras(spark):
+    from clausefold.operators import learn as L
+    d = _vec_data(spark)
+    sel = L.percentile_selector(0.5).fit(d).transform(d)
+    assert len(sel.first()["selected"]) == 2
+    st = L.stacked_forest(trees=5).fit(d).transform(d)
+    assert st.where("prediction = y").count() >= 36
+    kept = L.recursive_elimination(d, 2, trees=5)
+    assert len(kept) == 2 and (0 in kept or 2 in kept)
+    mlp = L.mlp_classifier(4, 2, hidden=4).fit(d)
+    assert mlp.transform(d).count() == 40
