@@ -201,9 +201,20 @@ def durations_days(c) -> Column:
 
 # ---------------------------------------------------------------------------
 # Tokens and n-grams
-def pack_words(c) -> Column:
-    """Single-space split, empty tokens kept (``str.split(' ')``)."""
-    return F.split(_c(c), " ")
+def pack_words(c, nb_pack: int = 0) -> Column:
+    """Single-space split, empty tokens kept (``str.split(' ')``).  With
+    ``nb_pack > 0`` the words form ``nb_pack`` packs of ``floor(n / nb_pack)``
+    consecutive words (at least one), the remainder going to the last pack;
+    each pack is returned as its words joined by one space."""
+    words = F.split(_c(c), " ")
+    if nb_pack <= 0:
+        return words
+    n = F.size(words)
+    per = F.greatest(F.floor(n / F.lit(nb_pack)), F.lit(1)).cast("int")
+    packs = F.least(F.lit(nb_pack), n)
+    starts = F.sequence(F.lit(0), packs - 1)
+    return F.transform(starts, lambda k: F.array_join(F.slice(
+        words, k * per + 1, F.when(k == packs - 1, n - k * per).otherwise(per)), " "))
 
 
 def _gram_at(p: Column, n: int):

@@ -78,7 +78,8 @@ def genetic_pairs(df: DataFrame, label_col: str, order_col: str, bucket: Column
 
 
 def crossover(pairs: DataFrame, ta: str, tb: str, ka: str, kb: str, seed: int = 1, rate: float = 0.25,
-              out_a: str = "child_a", out_b: str = "child_b") -> DataFrame:
+              out_a: str = "child_a", out_b: str = "child_b", ordered: bool = False,
+              nb_pack: int = 0) -> DataFrame:
     """G3 on every pair row: adds the two children ``out_a``, ``out_b``.
 
     Words are single-space splits.  A is the text with fewer words (A first
@@ -91,12 +92,19 @@ def crossover(pairs: DataFrame, ta: str, tb: str, ka: str, kb: str, seed: int =
     the draws.  Each step is its own projection and lambdas only read their
     arguments and plain row attributes.
     """
+    from clausefold.functions.text import pack_words
     keep = pairs.columns
-    wa, wb = F.split(F.col(ta), " "), F.split(F.col(tb), " ")
+    wa, wb = pack_words(F.col(ta), nb_pack), pack_words(F.col(tb), nb_pack)
     s1 = pairs.withColumn("__swap", F.size(wa) > F.size(wb)).select(
         *keep, F.when(F.col("__swap"), wb).otherwise(wa).alias("__A"),
         F.when(F.col("__swap"), wa).otherwise(wb).alias("__B"))
     k_a, k_b = F.col(ka), F.col(kb)
+    if ordered:
+        # matched word = B's word at the same position; leftovers = B's tail
+        s3 = s1.select(*keep, "__A", F.slice("__B", F.lit(1), F.size("__A")).alias("__picks"),
+                       F.transform(F.slice("__B", F.size("__A") + 1, F.size("__B")),
+                                   lambda w, j: F.struct((j + F.size("__A")).alias("j"), w.alias("w"))).alias("__left"))
+        return _crossover_out(s3, keep, k_a, k_b, seed, rate, out_a, out_b)
     s2 = s1.select(*keep, "__A", F.size("__B").alias("__nB"), F.size("__A").alias("__nA"), F.array_sort(
         F.transform("__B", lambda w, j: F.struct(
             F.md5(F.concat_ws("|", F.lit(seed), k_a, k_b, F.lit("p"), j.cast("string"))).alias("k"),
@@ -106,6 +114,11 @@ def crossover(pairs: DataFrame, ta: str, tb: str, ka: str, kb: str, seed: int =
                    F.array_sort(F.transform(F.slice("__perm", F.col("__nA") + 1, F.col("__nB")),
                                             lambda x: F.struct(x["j"].alias("j"), x["w"].alias("w")))).alias("__left"))
 
+    return _crossover_out(s3, keep, k_a, k_b, seed, rate, out_a, out_b)
+
+
+def _crossover_out(s3: DataFrame, keep: list[str], k_a: Column, k_b: Column, seed: int, rate: float,
+                   out_a: str, out_b: str) -> DataFrame:
     def coin(tag, i):
         return unit_random(F.lit(seed), k_a, k_b, F.lit(tag), i) < F.lit(rate)
 

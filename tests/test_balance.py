@@ -46,3 +46,19 @@ def test_genetic_size_law(spark):
             new[k] = v + 2 * sum(min(d, K) for d in range(v))
         m = new
     assert got == m
+
+
+def test_crossover_ordered_and_packs(spark):
+    df = spark.createDataFrame([("a b c d", "e f g h i j", "1", "2")], "ta string, tb string, ka string, kb string")
+    for kw in ({"ordered": True}, {"nb_pack": 2}, {"ordered": True, "nb_pack": 3}):
+        r = B.crossover(df, "ta", "tb", "ka", "kb", seed=9, **kw).first()
+        assert sorted((r.ta + " " + r.tb).split(" ")) == sorted((r.child_a + " " + r.child_b).split(" ")), kw
+
+
+def test_pack_words(spark):
+    from pyspark.sql import functions as F
+    from clausefold.functions.text import pack_words
+    df = spark.createDataFrame([("a b c d e",)], "t string")
+    assert df.select(pack_words(F.col("t"), 2).alias("p")).first().p == ["a b", "c d e"]
+    assert df.select(pack_words(F.col("t"), 9).alias("p")).first().p == ["a", "b", "c", "d", "e"]
+    assert df.select(pack_words(F.col("t")).alias("p")).first().p == ["a", "b", "c", "d", "e"]
