@@ -114,13 +114,13 @@ SELECT s.id, c.first_role FROM conv_sent s JOIN conv_clause c ON s.pid = c.id WH
 
 @sql("clean_text")
 def _():
-    return f"""SELECT doc_id, md5({X.clean('text')}) AS clean_md5, length({X.clean('text')}) AS clean_len FROM documents"""
+    return f"""SELECT doc_id, md5({X.clean('text')}) AS clean_md5, CAST(length({X.clean('text')}) AS INTEGER) AS clean_len FROM documents"""
 
 
 @sql("word_filter")
 def _():
     w = X.filter_words(X.ws_split("text"), 3, True)
-    return f"""SELECT doc_id, len({w}) AS n_words, md5(array_to_string({w}, ' ')) AS kept_md5 FROM documents"""
+    return f"""SELECT doc_id, CAST(len({w}) AS INTEGER) AS n_words, md5(array_to_string({w}, ' ')) AS kept_md5 FROM documents"""
 
 
 @sql("sentences")
@@ -390,7 +390,7 @@ notable AS (SELECT DISTINCT sx.clause_id, sx.sidx, sx.s.text AS text FROM sx JOI
   WHERE r.scope = 'sentence' AND {_SENT_HIT})"""
 SQL["policy_all"] = f"""WITH {ANALYSIS}
 SELECT b.clause_id, list_min(b.cands) AS type, pol.policies IS NULL AS valid, coalesce(pol.policies, '') AS policies,
-  (SELECT count(*) FROM notable n WHERE n.clause_id = b.clause_id) AS n_notable
+  CAST((SELECT count(*) FROM notable n WHERE n.clause_id = b.clause_id) AS INTEGER) AS n_notable
 FROM b LEFT JOIN pol ON pol.clause_id = b.clause_id"""
 SQL["notable_sentences"] = f"""WITH {ANALYSIS}
 SELECT clause_id, CAST(row_number() OVER (PARTITION BY clause_id ORDER BY sidx) - 1 AS INTEGER) AS pos, text AS sentence FROM notable"""
@@ -462,7 +462,7 @@ SQL["term_scores"] = f"WITH {TFIDF} SELECT term, sum(weight) AS score FROM tfidf
 SQL["char_bag"] = f"""WITH {CLEAN_DOCS},
 g AS (SELECT doc_id, unnest({X.char_wb_grams('text')}) AS gram FROM cd),
 c AS (SELECT doc_id, gram, count(*) AS cnt FROM g GROUP BY ALL)
-SELECT doc_id, sum(cnt) AS n_grams, count(*) AS n_distinct, max(cnt) AS max_cnt FROM c GROUP BY doc_id"""
+SELECT doc_id, CAST(sum(cnt) AS BIGINT) AS n_grams, count(*) AS n_distinct, max(cnt) AS max_cnt FROM c GROUP BY doc_id"""
 
 
 def _h32(*parts: str) -> str:
