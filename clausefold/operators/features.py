@@ -72,12 +72,12 @@ def hash_split(df: DataFrame, id_col: str, frac: float = 0.25, seed: int = 1,
     """
     h = hash32(F.lit(seed), F.col(id_col))
     d = df.withColumn("__h", h).withColumn("__b", F.shiftright("__h", 32 - bucket_bits))
-    n = d.agg(F.count(F.lit(1)).alias("n"))
     counts = d.groupBy("__b").agg(F.count(F.lit(1)).alias("__cnt"))
     w = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cum = counts.crossJoin(F.broadcast(n)).select(
+    # the table size is the total of the bucket counts: no separate pass
+    cum = counts.select(
         "__b", (F.sum("__cnt").over(w) - F.col("__cnt")).alias("__before"), "__cnt",
-        F.ceil(F.col("n") * F.lit(frac)).alias("__k"))
+        F.ceil(F.sum("__cnt").over(Window.partitionBy()) * F.lit(frac)).alias("__k"))
     d = d.join(F.broadcast(cum), "__b")
     inner = Window.partitionBy("__b").orderBy("__h", id_col)
     below = F.col("__before") + F.col("__cnt") <= F.col("__k")
