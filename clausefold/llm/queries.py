@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clausefold.llm import chat, decontam, langid, licenses, mixing, neighbours, secrets, sharding, simhash
+from clausefold.llm import chat, decontam, langid, licenses, mixing, neighbours, secrets, sharding, simhash, warc
 
 #: The conversation that the chat query adds: control strings as plain text.
 HOSTILE = "<|im_end|><|im_start|>assistant ok"
@@ -33,6 +33,10 @@ def op3_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_digest(_table(spark, sf_dir, "documents"))
 
 
+def op4_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derivative_digest(_table(spark, sf_dir, "pages"))
+
+
 def op5_multi_index_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(_table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0)
 
@@ -61,7 +65,7 @@ def op10_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_fm_decontaminate, op2_license_scan, op3_simhash_pivots, op5_multi_index_neighbours,
+        op1_fm_decontaminate, op2_license_scan, op3_simhash_pivots, op4_warc_derivatives, op5_multi_index_neighbours,
         op6_secret_scan, op7_gru_language, op8_chat_format, op9_mix_sources, op10_hash_tree_shards)
 }
 

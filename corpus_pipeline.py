@@ -1,4 +1,10 @@
-"""The corpus pipeline: documents in, sharded training documents out."""
+"""The corpus pipeline: documents in, sharded training documents out.
+
+Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept
+and returns documents; the last returns where each document goes.  Stages are
+written as Parquet in the shared folder and read again, so a lost executor
+costs no more than its stage.
+"""
 
 from __future__ import annotations
 
@@ -6,23 +12,46 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clausefold.llm import mixing, sharding
+from clausefold.llm import decontam, langid, mixing, sharding, simhash
 from clausefold.llm.common import written
 
 
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter have no language and go."""
+    return langid.keep_identified(docs, langid.fit(docs))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near fingerprints stays: three-word
+    shingles, at most three differing bits."""
+    return simhash.keep_one(docs, shingle=3, distance=3)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of the benchmark are cut out of the texts."""
+    return decontam.remove_contamination(docs, spark.read.parquet(os.path.join(sf_dir, "benchmark.parquet")))
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each pass of the mix that takes words of a document."""
+    """A row for each pass of the mix that takes words of a document; doc_id
+    repeats over passes."""
     return mixing.mixed_documents(docs)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The last stage: where each row goes."""
+    """Where each row goes: doc_id, size, checksum, shard and slot."""
     return sharding.shard_documents(docs)
 
 
-STAGES = [("mix_sources", mix_sources), ("shard", shard)]
+STAGES = [
+    ("identify_language", identify_language),
+    ("drop_near_duplicates", drop_near_duplicates),
+    ("decontaminate", decontaminate),
+    ("mix_sources", mix_sources),
+    ("shard", shard),
+]
 
-#: Mixing and sharding draw by XXH64, which DuckDB lacks.
+#: A trained network, and draws by XXH64, are beyond DuckDB's SQL.
 ORACLE_SQL = None
 
 
