@@ -244,4 +244,4 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
 
 
 def license_digest(docs: DataFrame) -> DataFrame:
-    return scan_licenses(docs.select("doc_id", "text"))
+    return scan_licenses(docs.select("doc_id", "text")).drop("text")
