@@ -111,12 +111,8 @@ def filter_text(c, threshold: int = 3, numbers: bool = True) -> Column:
 
 
 def clean(c) -> Column:
-    """Normalize -> merge lines -> filter words (threshold 1).
-
-    Number words are turned into digits by a separate token job
-    (``clausefold.operators.numbers``) because it needs a lexicon join; the
-    Column form here is the part that is a pure per-row expression.
-    """
+    """X5 without its number words: normalize -> merge lines -> filter words
+    (threshold 1).  ``clean_full`` adds the number words (X6)."""
     return filter_text(merge_lines(normalize(c)), 1, True)
 
 

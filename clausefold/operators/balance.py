@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from clausefold.operators.features import hash32, unit_random
-from clausefold.operators.ordering import group_positions, id_bucket
+from clausefold.operators.features import hash60, unit_random
+from clausefold.operators.ordering import group_positions, order_bucket
 
 COPY_CHUNK = 4096
 
@@ -24,25 +25,34 @@ def random_oversample(df: DataFrame, label_col: str, id_col: str, seed: int = 1,
                       bucket: Column | None = None) -> DataFrame:
     """G1: every class is topped up to the majority size with copies drawn
     with replacement: copy k of class c is the row at position
-    ``hash32(seed, c, k) mod n_c + 1`` (positions ordered by id).
+    ``hash60(seed, c, k) mod n_c + 1``.  Positions are ordered by id; text
+    ids, which have no even buckets, by their md5 and then the id.
 
     Output: the input rows with ``copy = 0`` plus the copies (``copy = k``).
     The copies are generated in chunks of ``COPY_CHUNK`` so a class needing
-    many copies is spread over many tasks, and are joined back on
-    (class, position), which is evenly spread too.
+    many copies is spread over many tasks.  They are joined back on (class,
+    position, salt): the copies of one row, which are many in a tiny class,
+    are dealt over as many salts as there are ``COPY_CHUNK``s of them.
     """
-    bucket = bucket if bucket is not None else id_bucket(id_col)
-    pos = group_positions(df, [label_col], [id_col], bucket, pos_col="__rn")
+    source, order = df, [id_col]
+    if bucket is None and isinstance(df.schema[id_col].dataType, T.StringType):
+        source, order = df.withColumn("__md5", F.md5(id_col)), ["__md5", id_col]
+    bucket = bucket if bucket is not None else order_bucket(source, order[0])
+    pos = group_positions(source, [label_col], order, bucket, pos_col="__rn")
     sizes = _class_sizes(df, label_col).where(F.col("max_n") > F.col("n"))
     need = sizes.select(label_col, "n", (F.col("max_n") - F.col("n")).alias("need"))
-    chunks = need.select(label_col, "n", "need", F.explode(
+    need = need.withColumn("salts", F.ceil(F.col("need") / F.col("n") / COPY_CHUNK).cast("bigint"))
+    chunks = need.select(label_col, "n", "need", "salts", F.explode(
         F.sequence(F.lit(0), F.floor((F.col("need") - 1) / COPY_CHUNK))).alias("chunk"))
     chunks = chunks.repartition(label_col, "chunk")
-    copies = chunks.select(label_col, "n", F.explode(F.sequence(
+    copies = chunks.select(label_col, "n", "salts", F.explode(F.sequence(
         F.col("chunk") * COPY_CHUNK + 1, F.least((F.col("chunk") + 1) * COPY_CHUNK, F.col("need")))).alias("copy"))
-    copies = copies.select(label_col, "copy", (F.pmod(hash32(F.lit(seed), F.col(label_col), F.col("copy")), F.col("n")) + 1).alias("__rn"))
-    drawn = copies.join(pos.select(label_col, "__rn", *[c for c in df.columns if c != label_col]),
-                        [label_col, "__rn"], "inner").drop("__rn")
+    copies = copies.select(label_col, "copy", (F.pmod(hash60(F.lit(seed), F.col(label_col), F.col("copy")), F.col("n")) + 1).alias("__rn"),
+                           F.pmod(F.col("copy"), F.col("salts")).alias("__salt"))
+    rows = pos.join(need.select(label_col, "salts"), label_col).select(
+        label_col, "__rn", *[c for c in df.columns if c != label_col],
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)).alias("__salt"))
+    drawn = copies.join(rows, [label_col, "__rn", "__salt"], "inner").drop("__rn", "__salt")
     base = df.withColumn("copy", F.lit(0).cast("bigint"))
     return base.unionByName(drawn.withColumn("copy", F.col("copy").cast("bigint")))
 
@@ -56,15 +66,18 @@ def partner_count(ratio: Column) -> Column:
 
 
 def _pairs_from_positions(pos: DataFrame, sizes: DataFrame, label_col: str) -> DataFrame:
-    a = pos.join(sizes, label_col).select(
-        label_col, F.col("rn").alias("a_rn"), F.explode(F.sequence(F.lit(1), F.col("K"))).alias("off"))
+    # only offsets that a partner lies at: none for the last row of a class
+    reach = F.least(F.col("K").cast("bigint"), F.col("n") - F.col("rn")).cast("int")
+    offs = F.when(reach > 0, F.sequence(F.lit(1), reach)).otherwise(F.array().cast("array<int>"))
+    a = pos.join(sizes, label_col).select(label_col, F.col("rn").alias("a_rn"), F.explode(offs).alias("off"))
     b = pos.select(label_col, F.col("rn").alias("b_rn"))
     return a.join(b, (a[label_col] == b[label_col]) & (b["b_rn"] == a["a_rn"] + a["off"]), "inner").select(
         a[label_col].alias(label_col), "a_rn", "b_rn", "off")
 
 
 def _partners(df: DataFrame, label_col: str) -> DataFrame:
-    return _class_sizes(df, label_col).select(label_col, partner_count(F.col("max_n") / F.col("n")).alias("K"))
+    return _class_sizes(df, label_col).select(
+        label_col, partner_count(F.col("max_n") / F.col("n")).alias("K"), "n")
 
 
 def genetic_pairs(df: DataFrame, label_col: str, order_col: str, bucket: Column | None = None) -> DataFrame:
@@ -72,8 +85,8 @@ def genetic_pairs(df: DataFrame, label_col: str, order_col: str, bucket: Column
     ``partner_count``).  The band ``a.rn < b.rn <= a.rn + K`` becomes an
     equi-join on ``(class, rn + offset)`` for offsets 1..K, so the work is
     linear in rows x K and a large class is spread by its positions."""
-    bucket = bucket if bucket is not None else F.lit(0)
-    pos = group_positions(df, [label_col], [order_col], bucket, pos_col="rn")
+    bucket = bucket if bucket is not None else order_bucket(df, order_col)
+    pos = group_positions(df.select(label_col, order_col), [label_col], [order_col], bucket, pos_col="rn")
     return _pairs_from_positions(pos, _partners(df, label_col), label_col)
 
 
@@ -138,32 +151,47 @@ def key_string(c: Column) -> Column:
 def genetic_round(df: DataFrame, label_col: str, key_col: str, text_col: str, seed: int = 1,
                   bucket: Column | None = None) -> DataFrame:
     """One G2 round: originals plus two children per pair.  ``key_col`` is
-    an array<int> order key; a child's key is its first parent's key plus
+    an array<bigint> order key; a child's key is its first parent's key plus
     ``[2*off - 1]`` / ``[2*off]`` (originals get ``[0]``), so the next
     round's order is the reference's order: each original followed by its
     children."""
-    pos = group_positions(df, [label_col], [key_col], bucket if bucket is not None else F.lit(0), pos_col="rn")
+    bucket = bucket if bucket is not None else key_bucket(F.col(key_col))
+    # positions and pairs are worked out on the keys; a text is joined twice,
+    # once as each parent
+    pos = group_positions(df.select(label_col, key_col), [label_col], [key_col], bucket, pos_col="rn")
     pairs = _pairs_from_positions(pos, _partners(df, label_col), label_col)
-    a = pos.select(label_col, F.col("rn").alias("a_rn"), F.col(key_col).alias("a_key"), F.col(text_col).alias("ta"))
-    b = pos.select(label_col, F.col("rn").alias("b_rn"), F.col(key_col).alias("b_key"), F.col(text_col).alias("tb"))
-    j = pairs.join(a, [label_col, "a_rn"]).join(b, [label_col, "b_rn"])
+    a = pos.select(label_col, F.col("rn").alias("a_rn"), F.col(key_col).alias("a_key"))
+    b = pos.select(label_col, F.col("rn").alias("b_rn"), F.col(key_col).alias("b_key"))
+    keys = pairs.join(a, [label_col, "a_rn"]).join(b, [label_col, "b_rn"]).select(label_col, "a_key", "b_key", "off")
+    texts = df.select(F.col(label_col).alias("__l"), F.col(key_col).alias("__k"), F.col(text_col).alias("__t"))
+    j = keys.join(texts, (F.col(label_col) == F.col("__l")) & (F.col("a_key") == F.col("__k"))).withColumnRenamed("__t", "ta").drop("__l", "__k")
+    j = j.join(texts, (F.col(label_col) == F.col("__l")) & (F.col("b_key") == F.col("__k"))).withColumnRenamed("__t", "tb").drop("__l", "__k")
     j = j.select(label_col, "a_key", "off", "ta", "tb", key_string(F.col("a_key")).alias("ka"),
                  key_string(F.col("b_key")).alias("kb"))
     j = crossover(j, "ta", "tb", "ka", "kb", seed)
     kids = j.select(label_col, F.explode(F.array(
-        F.struct(F.concat("a_key", F.array(2 * F.col("off") - 1)).alias(key_col), F.col("child_a").alias(text_col)),
-        F.struct(F.concat("a_key", F.array(2 * F.col("off"))).alias(key_col), F.col("child_b").alias(text_col)))).alias("k"))
+        F.struct(F.concat("a_key", F.array(2 * F.col("off").cast("bigint") - 1)).alias(key_col), F.col("child_a").alias(text_col)),
+        F.struct(F.concat("a_key", F.array(2 * F.col("off").cast("bigint"))).alias(key_col), F.col("child_b").alias(text_col)))).alias("k"))
     kids = kids.select(label_col, F.col(f"k.{key_col}").alias(key_col), F.col(f"k.{text_col}").alias(text_col))
-    orig = df.select(label_col, F.concat(F.col(key_col), F.array(F.lit(0))).alias(key_col), text_col)
+    orig = df.select(label_col, F.concat(F.col(key_col), F.array(F.lit(0).cast("bigint"))).alias(key_col), text_col)
     return orig.unionByName(kids)
 
 
-def genetic_oversample(df: DataFrame, label_col: str, order_col: str, text_col: str, generations: int = 1,
+def key_bucket(key: Column) -> Column:
+    """An order-preserving bucket of an order key: its first two parts, the
+    second coarsened; a key of one part stands before longer ones."""
+    second = F.coalesce(F.floor(F.try_element_at(key, F.lit(2)) / F.lit(16)), F.lit(-1))
+    return F.struct(F.element_at(key, 1).alias("first"), second.alias("second"))
+
+
+def genetic_oversample(df: DataFrame, label_col: str, order_cols: str | list[str], text_col: str, generations: int = 1,
                        seed: int = 1, spark: SparkSession | None = None) -> DataFrame:
     """``generations`` rounds; each round is cut from its lineage with
-    ``checkpoint()`` into the cluster's checkpoint folder."""
+    ``checkpoint()`` into the cluster's checkpoint folder.  ``order_cols``
+    are one or more integer columns that number the rows."""
     from clausefold.session import checkpoint_dir
-    cur = df.select(label_col, F.array(F.col(order_col).cast("int")).alias("__key"), text_col)
+    order_cols = [order_cols] if isinstance(order_cols, str) else order_cols
+    cur = df.select(label_col, F.array(*[F.col(c).cast("bigint") for c in order_cols]).alias("__key"), text_col)
     for g in range(generations):
         cur = genetic_round(cur, label_col, "__key", text_col, seed + g)
         if spark is not None:

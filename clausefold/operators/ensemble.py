@@ -90,6 +90,40 @@ def predictions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return doc_preds.unionByName(voted.select("id", "model", F.col("winner").alias("y")))
 
 
+def ballot_rows(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
+    """M6 / A7 inside the row: ``(keep..., y)`` with one ballot per sub-model
+    in the order of ``sub_models``.  Sentences of a document are an array of
+    it, so their votes need neither rows nor a shuffle."""
+    vocab = [v for _, v in KEYWORD_MODELS]
+    # cleaned text, then tokens: each in a projection of its own
+    clean = docs.select(*keep, X.clean(F.col(text_col)).alias("clean"))
+    tok = clean.select(*keep, X.ws_split(F.col("clean")).alias("tok"),
+                       F.transform(X.split_sentences(F.col("clean")), lambda s: X.ws_split(s)).alias("sents"))
+    codes = F.transform("sents", lambda t: F.struct(*[keyword_predict(t, v).alias(f"m{i}") for i, v in enumerate(vocab)]))
+    coded = tok.select(*keep, F.array(*[keyword_predict(F.col("tok"), v) for v in vocab]).alias("doc"), codes.alias("codes"))
+
+    def of_model(i: int) -> Column:
+        return F.transform("codes", lambda c: c[f"m{i}"])
+
+    split = coded.select(*keep, "doc", *[of_model(i).alias(f"s{i}") for i in range(len(vocab))])
+    return split.select(*keep, F.concat("doc", F.array(*[V.vote_arrays(F.col(f"s{i}")) for i in range(len(vocab))])).alias("y"))
+
+
+def search_rows(ballots: DataFrame, group_cols: list[str], expected_col: str = "expected") -> DataFrame:
+    """A8 + A11 + W8 on rows that hold all ballots: every ensemble votes in
+    the row, the confusion of all ensembles is one aggregation."""
+    names = [m for m, _, _ in sub_models()]
+    members: dict[int, list[int]] = {}
+    for no, model, _ in ensembles():
+        members.setdefault(no, []).append(names.index(model))
+    picks = F.array(*[F.struct(F.lit(no).alias("ensemble_no"), F.array(*[F.col("y")[k] for k in own]).alias("b")) for no, own in members.items()])
+    votes = explode_rows(ballots, [*group_cols, F.col(expected_col).alias("expected")], picks, "p")
+    # a document without sentences has no sentence ballot: null ballots don't vote
+    votes = votes.select(*group_cols, "expected", "p.ensemble_no", F.filter("p.b", lambda v: v.isNotNull()).alias("b"))
+    voted = votes.select(*group_cols, "expected", "ensemble_no", V.vote_arrays(F.col("b")).alias("y")).where(F.col("y").isNotNull())
+    return best_ensemble(M.confusion(voted, "expected", "y", group_cols + ["ensemble_no"]), group_cols)
+
+
 def ensemble_answers(preds: DataFrame, members: DataFrame) -> DataFrame:
     """Std vote of member ballots per (id, ensemble); ties go to the
     earlier member."""
@@ -106,7 +140,11 @@ def search(answers: DataFrame, truth: DataFrame, group_cols: list[str]) -> DataF
     """A11 + W8: macro F1 per (group, ensemble); best ensemble per group
     (higher F1 wins, ties to the first generated)."""
     j = answers.join(truth, "id", "inner")
-    conf = M.confusion(j, "expected", "y", group_cols + ["ensemble_no"])
+    return best_ensemble(M.confusion(j, "expected", "y", group_cols + ["ensemble_no"]), group_cols)
+
+
+def best_ensemble(conf: DataFrame, group_cols: list[str]) -> DataFrame:
+    """W8 on the confusion of (group, ensemble)."""
     scores = M.macro_scores(conf, group_cols + ["ensemble_no"])
     # scores equal up to float summation order are ties: the first wins
     w = Window.partitionBy(*group_cols).orderBy(F.round("macro_f1", 12).desc(), F.col("ensemble_no").asc())

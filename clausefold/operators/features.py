@@ -22,6 +22,12 @@ def hash32(*parts) -> Column:
     return F.conv(F.substring(F.md5(s), 1, 8), 16, 10).cast("bigint")
 
 
+def hash60(*parts) -> Column:
+    """As ``hash32`` with 15 hex digits, for draws from more than 2^32."""
+    s = F.concat_ws("|", *[F.lit(p) if not isinstance(p, Column) else p.cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(s), 1, 15), 16, 10).cast("bigint")
+
+
 def unit_random(*parts) -> Column:
     """Deterministic uniform draw in [0, 1) (never ``rand()``)."""
     return hash32(*parts) / F.lit(MD5_32)
@@ -35,6 +41,16 @@ def char_bag(df: DataFrame, id_col: str, text_col: str, min_n: int = 4, max_n: i
     return g.groupBy(id_col, "gram").agg(F.count(F.lit(1)).alias("cnt"))
 
 
+def gram_counts(df: DataFrame, text_col: str, min_n: int = 4, max_n: int = 5) -> DataFrame:
+    """``(gram, cnt, df)`` over all texts: grams are sorted inside their row,
+    so the first of each is marked there and one aggregation counts both."""
+    grams = df.select(F.sort_array(X.char_wb_grams(F.col(text_col), min_n, max_n)).alias("g"))
+    marked = F.zip_with("g", F.concat(F.array(F.lit(None).cast("string")), F.slice("g", 1, F.greatest(F.size("g") - 1, F.lit(0)))),
+                        lambda g, before: F.struct(g.alias("gram"), (~g.eqNullSafe(before)).cast("long").alias("first")))
+    rows = explode_rows(grams, [], marked, "x").where(F.col("x.gram").isNotNull())
+    return rows.groupBy(F.col("x.gram").alias("gram")).agg(F.count(F.lit(1)).alias("cnt"), F.sum("x.first").alias("df"))
+
+
 # ---------------------------------------------------------------------------
 # F2 TF-IDF (relational twin): tf * (ln((1+n)/(1+df)) + 1), L2-normalised
 def tfidf(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -65,73 +81,88 @@ def hash_split(df: DataFrame, id_col: str, frac: float = 0.25, seed: int = 1,
     smallest ``(hash32(seed, id), id)``.
 
     A row-number over the whole table would run in one task.  Instead the
-    hash's top ``bucket_bits`` bits form buckets; bucket counts (at most
-    2^bucket_bits rows, a proven bound, so broadcast) give each bucket's
-    running total; buckets fully below the cut are test, buckets above are
-    train, and only the one bucket holding the cut is ranked.
+    largest test row is found from the ids alone: the hash's top
+    ``bucket_bits`` bits form buckets, bucket counts (at most 2^bucket_bits
+    rows) tell which bucket holds the cut, and only that bucket is ranked.
+    The result is one row, a proven bound, so it is broadcast and every row
+    is flagged in one pass that moves nothing.  Rows that share an id share
+    their side.
     """
     h = hash32(F.lit(seed), F.col(id_col))
-    d = df.withColumn("__h", h).withColumn("__b", F.shiftright("__h", 32 - bucket_bits))
-    counts = d.groupBy("__b").agg(F.count(F.lit(1)).alias("__cnt"))
+    ids = df.select(F.col(id_col).alias("__id"), h.alias("__h")).withColumn("__b", F.shiftright("__h", 32 - bucket_bits))
+    counts = ids.groupBy("__b").agg(F.count(F.lit(1)).alias("__cnt"))
     w = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # the table size is the total of the bucket counts: no separate pass
     cum = counts.select(
         "__b", (F.sum("__cnt").over(w) - F.col("__cnt")).alias("__before"), "__cnt",
         F.ceil(F.sum("__cnt").over(Window.partitionBy()) * F.lit(frac)).alias("__k"))
-    d = d.join(F.broadcast(cum), "__b")
-    inner = Window.partitionBy("__b").orderBy("__h", id_col)
-    below = F.col("__before") + F.col("__cnt") <= F.col("__k")
-    above = F.col("__before") >= F.col("__k")
-    cut = d.where(~below & ~above).withColumn("__r", F.row_number().over(inner))
-    cut = cut.withColumn(flag_col, F.col("__before") + F.col("__r") <= F.col("__k"))
-    rest = d.where(below | above).withColumn(flag_col, below)
-    cols = df.columns + [flag_col]
-    return rest.select(*cols).unionByName(cut.select(*cols))
+    cut = cum.where((F.col("__before") < F.col("__k")) & (F.col("__k") <= F.col("__before") + F.col("__cnt")))
+    rank = F.row_number().over(Window.partitionBy("__b").orderBy("__h", "__id"))
+    last = (ids.join(F.broadcast(cut), "__b").withColumn("__r", F.col("__before") + rank)
+            .where(F.col("__r") == F.col("__k")).agg(F.max(F.struct("__h", "__id")).alias("__last")))
+    flag = F.coalesce(F.struct(h.alias("__h"), F.col(id_col).alias("__id")) <= F.col("__last"), F.lit(False))
+    return df.crossJoin(F.broadcast(last)).select(*df.columns, flag.alias(flag_col))
 
 
 # ---------------------------------------------------------------------------
 # MLlib stages (used for fitting)
-def tfidf_stages(text_col: str, out_col: str = "features"):
-    """F2 as MLlib stages: tokens -> counts -> idf -> L2.  MLlib's idf is
-    ln((n+1)/(df+1)), the reference's adds 1 (see ``tfidf`` for the exact
-    relational form); the model sees the same ranking of terms."""
-    from pyspark.ml.feature import CountVectorizer, IDF, Normalizer, RegexTokenizer
+# Terms are hashed into a space of fixed size, a documented parameter: no
+# vocabulary is gathered on the driver, no term is dropped, and two terms
+# share a feature with a chance of 1 in HASH_SPACE.
+HASH_SPACE = 1 << 18
+
+
+def smooth_idf(input_col: str, output_col: str):
+    """An estimator of ``tf * (ln((1 + n) / (1 + df)) + 1)``: MLlib's idf has
+    no ``+ 1``, so its fitted weights are raised by one."""
+    from pyspark.ml import Estimator
+    from pyspark.ml.feature import IDF, ElementwiseProduct
+    from pyspark.ml.linalg import Vectors
+
+    class SmoothIDF(Estimator):
+        def _fit(self, dataset):
+            idf = IDF(inputCol=input_col, outputCol="__unused").fit(dataset).idf
+            return ElementwiseProduct(scalingVec=Vectors.dense(idf.toArray() + 1.0), inputCol=input_col, outputCol=output_col)
+
+    return SmoothIDF()
+
+
+def tfidf_stages(text_col: str, out_col: str = "features", num_features: int = HASH_SPACE):
+    """F2 as MLlib stages: tokens -> hashed counts -> smoothed idf -> L2; the
+    weights of ``tfidf``."""
+    from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer
     tok = RegexTokenizer(inputCol=text_col, outputCol="__tok", pattern="[\\p{L}\\p{N}_]{2,}", gaps=False)
-    cv = CountVectorizer(inputCol="__tok", outputCol="__tf", minDF=1.0)
-    idf = IDF(inputCol="__tf", outputCol="__idf")
-    norm = Normalizer(inputCol="__idf", outputCol=out_col, p=2.0)
-    return [tok, cv, idf, norm]
+    tf = HashingTF(inputCol="__tok", outputCol="__tf", numFeatures=num_features)
+    return [tok, tf, smooth_idf("__tf", "__idf"), Normalizer(inputCol="__idf", outputCol=out_col, p=2.0)]
 
 
-def count_stages(text_col: str, out_col: str = "features"):
-    """F1 as MLlib stages: char_wb n-grams then counts (min_df 1)."""
-    from pyspark.ml.feature import CountVectorizer, SQLTransformer
+def count_stages(text_col: str, out_col: str = "features", num_features: int = HASH_SPACE):
+    """F1 as MLlib stages: char_wb n-grams, then hashed counts."""
+    from pyspark.ml.feature import HashingTF, SQLTransformer
     grams = SQLTransformer(statement=(
         "SELECT *, flatten(transform(filter(split(lower(" + text_col + "), '[\\\\t\\\\n\\\\x0B\\\\f\\\\r\\\\x1C-\\\\x1F ]+'), "
         "w -> w <> ''), w -> CASE WHEN length(' ' || w || ' ') <= 4 THEN array(' ' || w || ' ') ELSE concat("
         "transform(sequence(0, length(' ' || w || ' ') - 4), i -> substring(' ' || w || ' ', i + 1, 4)), "
         "CASE WHEN length(' ' || w || ' ') >= 5 THEN transform(sequence(0, length(' ' || w || ' ') - 5), "
         "i -> substring(' ' || w || ' ', i + 1, 5)) ELSE array() END) END)) AS __grams FROM __THIS__"))
-    cv = CountVectorizer(inputCol="__grams", outputCol=out_col, minDF=1.0)
-    return [grams, cv]
+    return [grams, HashingTF(inputCol="__grams", outputCol=out_col, numFeatures=num_features)]
 
 
 def hashing_stages(text_col: str, out_col: str = "features", num_features: int = 1 << 20):
-    """hashing vectorizer (2^20 buckets by default, L2).  Linear models
-    aggregate a dense gradient of ``num_features`` doubles per task and
-    iteration, so exploration grids may pass a smaller size."""
+    """hashing vectorizer (2^20 buckets by default, L2)."""
     from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer
     tok = RegexTokenizer(inputCol=text_col, outputCol="__tok", pattern="[\\p{L}\\p{N}_]{2,}", gaps=False)
     htf = HashingTF(inputCol="__tok", outputCol="__htf", numFeatures=num_features)
     return [tok, htf, Normalizer(inputCol="__htf", outputCol=out_col, p=2.0)]
 
 
-def doc2vec_stages(text_col: str, out_col: str = "features"):
+def doc2vec_stages(text_col: str, out_col: str = "features", partitions: int = 8):
     """document embedding = average of word vectors (30 dims, window 2,
-    min count 2, 10 iterations), trained on words."""
+    min count 2, 10 iterations), trained on words in ``partitions`` tasks whose
+    vectors are averaged after each iteration."""
     from pyspark.ml.feature import RegexTokenizer, Word2Vec
     tok = RegexTokenizer(inputCol=text_col, outputCol="__tok", pattern="\\s+", gaps=True)
-    w2v = Word2Vec(inputCol="__tok", outputCol=out_col, vectorSize=30, windowSize=2, minCount=2, maxIter=10, seed=1)
+    w2v = Word2Vec(inputCol="__tok", outputCol=out_col, vectorSize=30, windowSize=2, minCount=2, maxIter=10, seed=1,
+                   numPartitions=partitions)
     return [tok, w2v]
 
 

@@ -32,6 +32,8 @@ class SubModel:
     oversample: bool = False           # G1 on the training rows
     classifier: str = "svm"            # svm | logreg | nb | rf | mlp
     vectorizer_args: dict = field(default_factory=dict)
+    vote_mode: str = "std"             # vote of sentence ballots: std | ato | not
+    vote_default: int | None = None
 
 
 def code_column(cfg: SubModel, label_col: str = "label"):
@@ -42,9 +44,9 @@ def code_column(cfg: SubModel, label_col: str = "label"):
     return M.label_to_val(label_col, cfg.classes)
 
 
-def classifier(name: str, n_rows_hint: int = 1000, features_col: str = "features", label_col: str = "y"):
-    """M1 / M2: the default is a linear SVM (C = 25 -> regParam = 1/(C n))
-    one-vs-rest; others are the exploration zoo."""
+def classifier(name: str, n_rows: int, features_col: str = "features", label_col: str = "y"):
+    """M1 / M2: the default is a linear SVM (C = 25, so regParam = 1/(C n) for
+    n training rows) one-vs-rest; others are the exploration zoo."""
     from pyspark.ml.classification import (LinearSVC, LogisticRegression, MultilayerPerceptronClassifier,
                                            NaiveBayes, OneVsRest, RandomForestClassifier)
     if name == "logreg":
@@ -60,7 +62,7 @@ def classifier(name: str, n_rows_hint: int = 1000, features_col: str = "features
     if name == "mlp":
         raise ValueError("mlp needs layer sizes; use mlp_classifier()")
     svm = LinearSVC(featuresCol=features_col, labelCol=label_col, maxIter=20,
-                    regParam=1.0 / (25.0 * max(n_rows_hint, 1)))
+                    regParam=1.0 / (25.0 * max(n_rows, 1)))
     # one binary SVM per class, fitted concurrently (each is a distributed job)
     return OneVsRest(classifier=svm, featuresCol=features_col, labelCol=label_col, parallelism=4)
 
@@ -94,7 +96,7 @@ def training_rows(data: DataFrame, cfg: SubModel, id_col: str = "id", text_col:
     return d
 
 
-def fit(data: DataFrame, cfg: SubModel, text_col: str = "text", n_rows_hint: int = 1000):
+def fit(data: DataFrame, cfg: SubModel, text_col: str = "text"):
     """Fit vectorizer + classifier as one ``PipelineModel``."""
     from pyspark.ml import Pipeline
 
@@ -108,11 +110,12 @@ def fit(data: DataFrame, cfg: SubModel, text_col: str = "text", n_rows_hint: int
     # classes present in the training rows (a handful of values): one-vs-rest
     # needs labels 0..k-1, so sparse codes are made dense for the fit and
     # mapped back at prediction time; a single class needs no model
-    codes = sorted(r[0] for r in data.select("y").distinct().collect())
+    counts = {r["y"]: r["count"] for r in data.groupBy("y").count().collect()}
+    codes = sorted(counts)
     if len(codes) <= 1:
         return FittedSubModel(None, codes)
     dense = data.withColumn("y", (F.array_position(F.array(*[F.lit(c) for c in codes]), F.col("y")) - 1).cast("double"))
-    model = Pipeline(stages=stages + [classifier(cfg.classifier, n_rows_hint)]).fit(dense)
+    model = Pipeline(stages=stages + [classifier(cfg.classifier, sum(counts.values()))]).fit(dense)
     return FittedSubModel(model, codes)
 
 
@@ -133,23 +136,24 @@ class FittedSubModel:
 
     def save(self, path: str) -> None:
         """The pipeline plus its class codes."""
+        spark = SparkSession.getActiveSession()
         if self.model is not None:
             self.model.write().overwrite().save(f"{path}/pipeline")
-        from pyspark.sql import SparkSession
-        spark = SparkSession.getActiveSession()
         spark.createDataFrame([(float(c),) for c in self.codes], "code double").write.mode("overwrite").parquet(f"{path}/codes")
 
 
 def predict_ballots(model, clauses: DataFrame, cfg: SubModel, id_col: str = "id",
                     text_col: str = "text") -> DataFrame:
     """One ballot ``(id, model_no, y)`` per clause.  Sentence models
-    predict every sentence and the sentence ballots are voted per clause
-    (std vote, ties to the earlier sentence)."""
+    predict every sentence and the sentence ballots are voted per clause by
+    the model's vote mode, ties to the earlier sentence.  A vote without a
+    winner (``ato``, and no sentence has the default) and a clause without
+    sentences give a null ballot."""
     if cfg.granularity >= 1:
         s = sentence_rows(clauses.select(id_col, text_col), id_col, text_col)
         p = model.transform(s).select(id_col, "sno", F.col("prediction").cast("int").alias("y"))
-        v = V.elect(p, [id_col], "y", ["sno"], mode="std", level="min", keep_empty=False)
-        out = v.select(id_col, F.col("winner").alias("y"))
+        v = V.elect(p, [id_col], "y", ["sno"], mode=cfg.vote_mode, default=cfg.vote_default, level="min", keep_empty=False)
+        out = clauses.select(id_col).join(v, id_col, "left").select(id_col, F.col("winner").alias("y"))
     else:
         c = X.with_clean_full(clauses.select(id_col, text_col), text_col, text_col)
         out = model.transform(c).select(id_col, F.col("prediction").cast("int").alias("y"))
@@ -159,9 +163,12 @@ def predict_ballots(model, clauses: DataFrame, cfg: SubModel, id_col: str = "id"
 def ensemble_vote(ballots: DataFrame, id_col: str = "id", mode: str = "std", default=None,
                   priority: str | None = "first") -> DataFrame:
     """Vote of all ballots of a clause (``pos`` orders them; a
-    keyword ballot at ``pos = 0`` wins ties); no ballot -> -1."""
-    v = V.elect(ballots, [id_col], "y", ["pos"], mode=mode, default=default, priority=priority, level="min")
-    return v.select(id_col, F.coalesce(F.col("winner"), F.lit(-1)).alias("y"))
+    keyword ballot at ``pos = 0`` wins ties).  Null ballots don't vote; a
+    clause that is left without a winner gets -1."""
+    v = V.elect(ballots.where(F.col("y").isNotNull()), [id_col], "y", ["pos"], mode=mode, default=default, priority=priority,
+                level="min", keep_empty=False)
+    every = ballots.groupBy(id_col).agg(F.lit(1).alias("__one")).drop("__one")
+    return every.join(v, id_col, "left").select(id_col, F.coalesce(F.col("winner"), F.lit(-1)).alias("y"))
 
 
 def registry_rows(spark: SparkSession, rows: list[tuple]) -> DataFrame:
@@ -177,19 +184,23 @@ def save_model(model: "FittedSubModel", path: str) -> None:
 
 
 def load_model(spark: SparkSession, path: str) -> "FittedSubModel":
-    import os
-
+    """A model of one class has no pipeline; any other must have one, and a
+    missing one is an error."""
     from pyspark.ml import PipelineModel
     codes = sorted(r[0] for r in spark.read.parquet(f"{path}/codes").collect())
-    pipe = f"{path}/pipeline"
-    model = PipelineModel.load(pipe) if len(codes) > 1 and (not pipe.startswith("/") or os.path.exists(pipe)) else None
-    return FittedSubModel(model, codes)
+    return FittedSubModel(PipelineModel.load(f"{path}/pipeline") if len(codes) > 1 else None, codes)
 
 
 def evaluate(pred: DataFrame, truth: DataFrame, id_col: str = "id") -> DataFrame:
-    """Macro scores of predictions against expected codes."""
-    j = pred.join(truth, id_col, "inner")
-    return M.macro_scores(M.confusion(j, "expected", "y"))
+    """Macro scores of predictions against expected codes."""
+    return M.macro_scores(M.confusion(expected_join(pred, truth, id_col=id_col), "expected", "y"))
+
+
+def expected_join(pred: DataFrame, truth: DataFrame, default: int = -1, id_col: str = "id") -> DataFrame:
+    """Every expected row with its prediction; a row that none predicts
+    gets the default code (-1 when a model is evaluated, 1 in the searches)."""
+    p = pred.select(id_col, F.col("y"))
+    return truth.join(p, id_col, "left").withColumn("y", F.coalesce("y", F.lit(default)))
 
 
 # ---------------------------------------------------------------------------
@@ -235,16 +246,15 @@ def recursive_elimination(data: DataFrame, n_keep: int, step: float = 0.4, featu
     from pyspark.ml.feature import VectorSlicer
     n = len(data.select(features_col).first()[0])
     kept = list(range(n))
-    cur = data
     while len(kept) > n_keep:
+        # sliced from the input each round: the plan never grows
+        cur = data if len(kept) == n else VectorSlicer(inputCol=features_col, outputCol="__sliced", indices=kept).transform(data) \
+            .drop(features_col).withColumnRenamed("__sliced", features_col)
         model = RandomForestClassifier(featuresCol=features_col, labelCol=label_col, numTrees=trees,
                                        seed=1).fit(cur)
         imp = model.featureImportances.toArray()
         order = sorted(range(len(kept)), key=lambda i: (imp[i], i))
         drop = max(1, int(len(kept) * step))
         drop = min(drop, len(kept) - n_keep)
-        survivors = sorted(order[drop:])
-        kept = [kept[i] for i in survivors]
-        cur = VectorSlicer(inputCol=features_col, outputCol="__sliced", indices=survivors).transform(cur) \
-            .drop(features_col).withColumnRenamed("__sliced", features_col)
+        kept = [kept[i] for i in sorted(order[drop:])]
     return kept

@@ -52,10 +52,10 @@ def mapping_table(df: DataFrame, model_col: str, name_col: str) -> DataFrame:
 def inverse_codes(preds: DataFrame, code_col: str, mappings: DataFrame, id_cols: list[str]) -> DataFrame:
     """Code -> name over several mappings; the last match (highest
     ``(model_no, entry_no)``) wins; -1 or no match -> null."""
-    m = mappings.select(F.col("code").alias("__code"), "name", "model_no", "entry_no")
-    j = preds.join(m, (F.col(code_col) == F.col("__code")) & (F.col(code_col) != -1), "left")
-    return j.groupBy(*id_cols, code_col).agg(
+    # one row per code first: the predictions themselves are only looked up
+    m = mappings.where(F.col("code") != -1).groupBy(F.col("code").alias("__code")).agg(
         F.max_by("name", F.struct("model_no", "entry_no")).alias("name"))
+    return preds.join(m, F.col(code_col) == F.col("__code"), "left").select(*id_cols, code_col, "name")
 
 
 # ---------------------------------------------------------------------------

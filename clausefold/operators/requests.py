@@ -53,7 +53,7 @@ def reasoning_answers(requests: DataFrame, id_col: str = "request_id") -> DataFr
     ``(id, title, type, anomalous, anomaly, sentence)``."""
     from clausefold.operators.rules import analyze_clauses
     valid, _ = validate(requests, FULL_FIELDS)
-    a = analyze_clauses(valid, id_col, "title", "text")
-    return valid.select(id_col, "title").join(a, id_col, "inner").select(
+    a = analyze_clauses(valid.withColumn("__title", F.col("title")), id_col, "__title", "text", keep_cols=["title"])
+    return a.select(
         id_col, "title", F.col("type"), F.when(F.col("valid"), "False").otherwise("True").alias("anomalous"),
         F.col("policies").alias("anomaly"), F.col("notable").alias("sentence"))

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clausefold.operators.ordering import group_positions
+from clausefold.operators.ordering import group_positions, order_bucket
 
 MODES = ("std", "ato", "pnd", "not")
 LEVELS = ("min", "ele", "ful")
@@ -56,22 +56,19 @@ def tally(ballots: DataFrame, group_cols: list[str], value_col: str, order_cols:
             w = F.col("__w").cast("double")
         else:
             if bucket is None:
-                bucket = F.lit(0)
+                bucket = order_bucket(b, order_cols[0])
             b = group_positions(b, group_cols, order_cols, bucket, pos_col="__pos", size_col="__n")
             w = ((F.col("__n") - F.col("__pos") + 1) if priority == "first" else F.col("__pos")).cast("double")
         return b.groupBy(*group_cols, "value").agg(
             F.count(F.lit(1)).alias("cnt"), F.sum(w).alias("pcount"), first)
-    # mode == "not": everything but the default; groups holding only the
-    # default (or nothing) yield the default with its count
-    isdef = _is_default(F.col("value"), default)
-    others = b.where(~isdef).groupBy(*group_cols, "value").agg(
+    # mode == "not": everything but the default; a group that holds nothing
+    # else keeps the default with its count.  One aggregation of the ballots;
+    # the window only sees a group's candidates
+    cands = b.groupBy(*group_cols, "value").agg(
         F.count(F.lit(1)).alias("cnt"), F.count(F.lit(1)).cast("double").alias("pcount"), first)
-    per_group = b.groupBy(*group_cols).agg(
-        F.count_if(~isdef).alias("__others"), F.count_if(isdef).alias("__ndef"), first)
-    fallback = per_group.where(F.col("__others") == 0).select(
-        *group_cols, F.lit(default).cast(ballots.schema[value_col].dataType).alias("value"),
-        F.col("__ndef").alias("cnt"), F.col("__ndef").cast("double").alias("pcount"), "first_seen")
-    return others.unionByName(fallback)
+    isdef = _is_default(F.col("value"), default)
+    others = F.max(~isdef).over(Window.partitionBy(*group_cols))
+    return cands.withColumn("__others", others).where(~isdef | ~F.col("__others")).drop("__others")
 
 
 def rank_candidates(cands: DataFrame, group_cols: list[str], default=None,
@@ -111,6 +108,8 @@ def elect(ballots: DataFrame, group_cols: list[str], value_col: str, order_cols:
     winners = ranked.where(F.col("rank") == 1).select(*group_cols, F.col("value").alias("winner"))
     if not keep_empty:
         return winners
+    if mode != "ato":  # only a vote for the default alone leaves groups without a candidate
+        return winners
     groups = ballots.select(*group_cols).distinct()
     return groups.join(winners, on=group_cols, how="left")
 

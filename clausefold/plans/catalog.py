@@ -119,14 +119,8 @@ def rule_sentences(spark, sf_dir):
 @query("char_grams")
 def char_grams(spark, sf_dir):
     d = table(spark, sf_dir, "documents", ["doc_id", "text"])
-    # per-document counts first (F1's bag), then per gram: no distinct aggregate
-    bag = FE_char_bag(d.select("doc_id", T.clean("text").alias("text")))
-    return bag.groupBy("gram").agg(F.sum("cnt").alias("cnt"), F.count(F.lit(1)).alias("df"))
-
-
-def FE_char_bag(d):
-    from clausefold.operators.features import char_bag
-    return char_bag(d, "doc_id", "text")
+    from clausefold.operators.features import gram_counts
+    return gram_counts(d.select(T.clean("text").alias("text")), "text")
 
 
 @query("value_units")
@@ -144,8 +138,9 @@ def durations(spark, sf_dir):
 
 @query("durations_documents")
 def durations_documents(spark, sf_dir):
-    d = table(spark, sf_dir, "documents", ["doc_id", "text"])
-    return XA.explode_rows(d, ["doc_id"], T.durations_days(F.col("text")), "days", "pos")
+    """Durations of whole clauses, number words read as numbers (X5 + X6)."""
+    c = T.with_clean_full(C.contract_clauses(spark, sf_dir).select("clause_id", "text"), "text", "full")
+    return XA.explode_rows(c, ["clause_id"], T.durations_days(F.col("full")), "days", "pos")
 
 
 # ---------------------------------------------------------------------------
@@ -318,11 +313,9 @@ def best_or_first(spark, sf_dir):
 
 @query("ensemble_search")
 def ensemble_search(spark, sf_dir):
-    d = _docs(spark, sf_dir)
-    preds = E.predictions(d, "doc_id", "text")
-    answers = E.ensemble_answers(preds, E.member_table(spark))
-    truth = d.select(F.col("doc_id").alias("id"), "source", M.label_to_val("lang", E.LANG_MAPPING).alias("expected"))
-    return E.search(answers, truth, ["source"])
+    d = _docs(spark, sf_dir).select("doc_id", "text", "source", M.label_to_val("lang", E.LANG_MAPPING).alias("expected"))
+    ballots = E.ballot_rows(d, "text", ["source", "expected"])
+    return E.search_rows(ballots, ["source"])
 
 
 # ---------------------------------------------------------------------------
@@ -412,8 +405,7 @@ def prefix_run(spark, sf_dir):
 
 
 def _nested(spark, sf_dir, strict_prefix=False):
-    cl = C.contract_clauses(spark, sf_dir).select(
-        F.col("contract_id").alias("contract"), "clause_id", "title")
+    cl = C.order_clauses(spark, sf_dir)
     cl = cl.select("contract", "clause_id", "title", F.lit("None").alias("invalidity"),
                    F.lit("None").alias("policies"), F.lit("").alias("type"))
     s = C.contract_sentences(spark, sf_dir).select("clause_id", "n", "text", F.lit("None").alias("invalidity"),
@@ -428,10 +420,11 @@ def contract_nest(spark, sf_dir):
 
 @query("contract_summary")
 def contract_summary(spark, sf_dir):
-    docs = _nested(spark, sf_dir)
-    return docs.select("title", F.size(F.col("instances")[0]["clauses"]).alias("n_clauses"),
-                       F.aggregate(F.col("instances")[0]["clauses"], F.lit(0),
-                                   lambda acc, c: acc + F.size(c["subtexts"])).alias("n_sentences"))
+    """Clauses and sentences of each contract, counted without building one."""
+    n = C.contract_sentences(spark, sf_dir).where("text <> ''").groupBy("clause_id").agg(F.count(F.lit(1)).alias("n"))
+    cl = C.order_clauses(spark, sf_dir).join(n, "clause_id", "left")
+    return cl.groupBy(F.col("contract").cast("string").alias("title")).agg(
+        F.count(F.lit(1)).alias("n_clauses"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_sentences"))
 
 
 @query("acquired_documents")
@@ -533,8 +526,7 @@ def genetic_children(spark, sf_dir):
 @query("genetic_sizes")
 def genetic_sizes(spark, sf_dir):
     c = table(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"])
-    c = c.select("role", "text", (F.col("conv_id") * 8 + F.col("turn")).alias("ord"))
-    out = B.genetic_oversample(c, "role", "ord", "text", generations=3, seed=1, spark=spark)
+    out = B.genetic_oversample(c, "role", ["conv_id", "turn"], "text", generations=3, seed=1, spark=spark)
     return out.groupBy("role").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -634,8 +626,7 @@ def model_zoo(spark, sf_dir):
     out = None
     for fe in ["tfidf", "hash"]:
         for clf in ["svm", "logreg", "nb"]:
-            cfg = L.SubModel(1, E.LANG_MAPPING, granularity=0, transformer=fe, classifier=clf,
-                             vectorizer_args={"num_features": 1 << 16} if fe == "hash" else {})
+            cfg = L.SubModel(1, E.LANG_MAPPING, granularity=0, transformer=fe, classifier=clf)
             model = L.fit(L.training_rows(train, cfg), cfg)
             m = L.evaluate(L.predict_ballots(model, test, cfg), truth)
             m = m.select(F.lit(fe).alias("fe"), F.lit(clf).alias("clf"), "accuracy", "macro_f1")
@@ -650,15 +641,18 @@ def stream_scoring(spark, sf_dir):
     from clausefold.streaming import scoring as SS
     out = SS.scoring_output_dir(spark)
     SS.run_scoring_stream(spark, SS.order_request_stream(spark, sf_dir), out, f"{out}/_checkpoint")
-    a = spark.read.parquet(f"{out}/answers")
-    return a.select("request_id", "route", "type", "anomalous", F.array_join("anomaly", ",").alias("anomaly"))
+    return _scored(SS.results(spark, out))
+
+
+def _scored(rows):
+    return rows.select("request_id", "status", "route", "type", "anomalous", F.array_join("anomaly", ",").alias("anomaly"),
+                       F.array_join("missing", ",").alias("missing"))
 
 
 @query("batch_scoring")
 def batch_scoring(spark, sf_dir):
     from clausefold.streaming import scoring as SS
-    answers, _ = SS.answer_batch(C.clause_requests(spark, sf_dir))
-    return answers.select("request_id", "route", "type", "anomalous", F.array_join("anomaly", ",").alias("anomaly"))
+    return _scored(SS.answer_rows(C.clause_requests(spark, sf_dir)))
 
 
 @query("number_words")
@@ -693,12 +687,9 @@ EXPECTED_TYPES = ["resiliation", "paiement", "non_sollicitation", "non_concurren
 
 @query("kb_evaluation")
 def kb_evaluation(spark, sf_dir):
-    o = table(spark, sf_dir, "orders", ["o_orderkey", "o_orderpriority"])
-    cl = _clauses(spark, sf_dir)
     cl = S.nonblank_of_types(
-        cl.join(o, cl.clause_id == o.o_orderkey).withColumn(
-            "expected", F.element_at(F.array(*[F.lit(x) for x in EXPECTED_TYPES]),
-                                     F.substring("o_orderpriority", 1, 1).cast("int"))),
+        _clauses(spark, sf_dir).withColumn(
+            "expected", F.element_at(F.array(*[F.lit(x) for x in EXPECTED_TYPES]), F.substring("priority", 1, 1).cast("int"))),
         "text", "expected", EXPECTED_TYPES)
     a = R.analyze_clauses(cl, "clause_id", "title", "text", keep_cols=["expected"])
     pred = a.select("expected", F.coalesce("type", F.lit("None")).alias("predicted"))

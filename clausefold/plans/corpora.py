@@ -64,8 +64,8 @@ def document_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Clause titles per order priority and sentence templates per
-# (return flag, line status); {q} = quantity, {n} = line number,
-# {p} = floor of the extended price.
+# (return flag, line status); {q} = quantity, {w} = quantity in words,
+# {n} = line number, {p} = floor of the extended price.
 CLAUSE_TITLES = [
     ("1-URGENT", "Résiliation du contrat"),
     ("2-HIGH", "Conditions de paiement"),
@@ -76,7 +76,7 @@ CLAUSE_TITLES = [
 PENDING_TITLE_SUFFIX = " et facturation"
 SENTENCE_TEMPLATES = [
     ("R", "F", "Le fournisseur peut résilier avec un préavis de {q} jours."),
-    ("R", "O", "Le client peut résilier le contrat sous {n} mois, sans indemnité."),
+    ("R", "O", "Le client peut résilier le contrat sous {w} jours, sans indemnité."),
     ("A", "F", "Le client paie par virement sous {q} jours."),
     ("A", "O", "Le paiement par chèque est accepté dans un délai de {n} mois."),
     ("N", "F", "Le partenaire s'interdit de solliciter le personnel pendant {n} ans, contre une rémunération de {p} euros."),
@@ -84,6 +84,22 @@ SENTENCE_TEMPLATES = [
 ]
 
 
+def french_name(n: int) -> str:
+    """The French cardinal of 0 to 99, written with hyphens and ``et``."""
+    # The names that the others are made of
+    low = ("zéro un deux trois quatre cinq six sept huit neuf dix onze douze treize quatorze quinze seize "
+           "dix-sept dix-huit dix-neuf").split()
+    tens = {2: "vingt", 3: "trente", 4: "quarante", 5: "cinquante", 6: "soixante", 7: "soixante", 8: "quatre-vingt", 9: "quatre-vingt"}
+    if n < 20:
+        return low[n]
+    ten, rest = divmod(n, 10)
+    if ten in (7, 9):
+        rest += 10
+    if rest == 0:
+        return tens[ten] + ("s" if ten == 8 else "")
+    return tens[ten] + (" et " if rest in (1, 11) and ten < 8 else "-") + low[rest]
+
+
 def _template(tpl: str):
     parts = []
     rest = tpl
@@ -97,6 +113,7 @@ def _template(tpl: str):
         key = rest[i + 1]
         parts.append({
             "q": F.col("l_quantity").cast("int").cast("string"),
+            "w": F.element_at(F.array(*[F.lit(french_name(k)) for k in range(100)]), F.col("l_quantity").cast("int") % 100 + 1),
             "n": F.col("l_linenumber").cast("string"),
             "p": F.floor("l_extendedprice").cast("string"),
         }[key])
@@ -122,14 +139,22 @@ def contract_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def contract_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(clause_id, contract_id, title, text): text = the clause's sentences in
-    line order joined by one space; orders without lines have no clause."""
+    """(clause_id, contract_id, title, text, priority): text = the clause's
+    sentences in line order joined by one space; orders without lines have no
+    clause here."""
     o = table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus"])
     s = contract_sentences(spark, sf_dir)
     body = s.groupBy("clause_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda x: x["text"]), " ").alias("text"))
     return o.join(body, o.o_orderkey == body.clause_id, "inner").select(
-        "clause_id", F.col("o_custkey").alias("contract_id"), clause_title().alias("title"), "text")
+        "clause_id", F.col("o_custkey").alias("contract_id"), clause_title().alias("title"), "text",
+        F.col("o_orderpriority").alias("priority"))
+
+
+def order_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(contract, clause_id, title) of every order, with or without lines."""
+    o = table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus"])
+    return o.select(F.col("o_custkey").alias("contract"), F.col("o_orderkey").alias("clause_id"), clause_title().alias("title"))
 
 
 def requests_from_orders(orders: DataFrame, bodies: DataFrame) -> DataFrame:

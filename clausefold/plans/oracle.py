@@ -29,7 +29,22 @@ DOC_LABELS = """doc_labels AS (
   FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"""
 
 
-def _template_sql(tpl: str) -> str:
+def _french_99() -> list[str]:
+    """French names of 0 to 99, written for the check alone."""
+    ones = ["", "un", "deux", "trois", "quatre", "cinq", "six", "sept", "huit", "neuf", "dix", "onze", "douze", "treize",
+            "quatorze", "quinze", "seize", "dix-sept", "dix-huit", "dix-neuf"]
+    out = ["zéro", *ones[1:]]
+    for base, start, stop in (("vingt", 20, 30), ("trente", 30, 40), ("quarante", 40, 50), ("cinquante", 50, 60), ("soixante", 60, 80)):
+        out += [base if n == start else f"{base} et {ones[n - start]}" if (n - start) in (1, 11) else f"{base}-{ones[n - start]}" for n in range(start, stop)]
+    return out + ["quatre-vingts", *[f"quatre-vingt-{ones[n]}" for n in range(1, 20)]]
+
+
+# the quantity in words, and as X6 reads it: a lone "un" stays a word
+_WORDS = "[" + ", ".join(q(w) for w in _french_99()) + "][CAST(l_quantity AS INTEGER) % 100 + 1]"
+_READ = "(CASE WHEN CAST(l_quantity AS INTEGER) % 100 = 1 THEN 'un' ELSE CAST(CAST(l_quantity AS INTEGER) % 100 AS VARCHAR) END)"
+
+
+def _template_sql(tpl: str, words: str = _WORDS) -> str:
     out, rest = [], tpl
     while rest:
         i = rest.find("{")
@@ -38,25 +53,30 @@ def _template_sql(tpl: str) -> str:
             break
         if i > 0:
             out.append(q(rest[:i]))
-        out.append({"q": "CAST(CAST(l_quantity AS INTEGER) AS VARCHAR)",
+        out.append({"q": "CAST(CAST(l_quantity AS INTEGER) AS VARCHAR)", "w": words,
                     "n": "CAST(l_linenumber AS VARCHAR)",
                     "p": "CAST(CAST(floor(l_extendedprice) AS BIGINT) AS VARCHAR)"}[rest[i + 1]])
         rest = rest[i + 3:]
     return " || ".join(out)
 
 
-_SENT_CASE = "CASE " + " ".join(
-    f"WHEN l_returnflag = {q(rf)} AND l_linestatus = {q(ls)} THEN {_template_sql(t)}"
-    for rf, ls, t in C.SENTENCE_TEMPLATES) + " END"
+def _sent_case(words: str) -> str:
+    return "CASE " + " ".join(
+        f"WHEN l_returnflag = {q(rf)} AND l_linestatus = {q(ls)} THEN {_template_sql(t, words)}"
+        for rf, ls, t in C.SENTENCE_TEMPLATES) + " END"
+
+
+
 _TITLE_CASE = "(CASE " + " ".join(f"WHEN o_orderpriority = {q(p)} THEN {q(t)}" for p, t in C.CLAUSE_TITLES) + " END)"
 TITLE = f"(CASE WHEN o_orderstatus = 'P' THEN {_TITLE_CASE} || {q(C.PENDING_TITLE_SUFFIX)} ELSE {_TITLE_CASE} END)"
 
 CONTRACT_SENT = f"""contract_sent AS (
-  SELECT l_orderkey AS clause_id, l_linenumber AS n, {_SENT_CASE} AS text FROM lineitem)"""
+  SELECT l_orderkey AS clause_id, l_linenumber AS n, {_sent_case(_WORDS)} AS text, {_sent_case(_READ)} AS dtext FROM lineitem)"""
 CONTRACT_BODY = """contract_body AS (
-  SELECT clause_id, string_agg(text, ' ' ORDER BY n, text) AS text FROM contract_sent GROUP BY clause_id)"""
+  SELECT clause_id, string_agg(text, ' ' ORDER BY n, text) AS text, string_agg(dtext, ' ' ORDER BY n, text) AS dtext
+  FROM contract_sent GROUP BY clause_id)"""
 CONTRACT_CLAUSE = f"""contract_clause AS (
-  SELECT b.clause_id, o.o_custkey AS contract_id, {TITLE} AS title, b.text
+  SELECT b.clause_id, o.o_custkey AS contract_id, {TITLE} AS title, b.text, b.dtext
   FROM orders o JOIN contract_body b ON o.o_orderkey = b.clause_id)"""
 CONTRACT = ",\n".join([CONTRACT_SENT, CONTRACT_BODY, CONTRACT_CLAUSE])
 
@@ -159,8 +179,9 @@ SELECT clause_id, n, CAST(unnest(range(0, len(arr))) AS INTEGER) AS pos, unnest(
 
 @sql("durations_documents")
 def _():
-    return f"""WITH s AS (SELECT doc_id, {X.durations_days('text')} AS arr FROM documents)
-SELECT doc_id, CAST(unnest(range(0, len(arr))) AS INTEGER) AS pos, unnest(arr) AS days FROM s"""
+    return f"""WITH {CONTRACT},
+s AS (SELECT clause_id, {X.durations_days(X.clean('dtext'))} AS arr FROM contract_clause)
+SELECT clause_id, CAST(unnest(range(0, len(arr))) AS INTEGER) AS pos, unnest(arr) AS days FROM s"""
 
 
 # ---------------------------------------------------------------------------
@@ -374,7 +395,7 @@ _SENT_HIT = ("((r.dur_op IS NULL OR (r.dur_op = '<' AND len(list_filter(s.durs,
              " OR (r.dur_op = '>' AND len(list_filter(s.durs, lambda d: d > r.dur_days)) > 0))"
              " AND list_has_all(s.concepts, r.sent_need))")
 ANALYSIS = f"""{CONTRACT},
-a AS (SELECT clause_id, {X.clean('title')} AS t, {BODY} AS body FROM contract_clause),
+a AS (SELECT clause_id, {X.clean('title')} AS t, replace({X.clean('dtext')}, ',', '') AS body FROM contract_clause),
 b AS (SELECT clause_id, {_concepts('t', R.TYPES)} AS cands, {_concepts('lower(body)')} AS concepts,
         list_transform(string_split(body, '.'), lambda s: {{'text': s || '.', 'durs': {X.durations_days('s')},
           'concepts': {_concepts('lower(s)')}}}) AS sents FROM a),
@@ -411,14 +432,14 @@ off AS (SELECT clause_id, n, text, CAST(coalesce(sum(length(text) + 1) OVER (PAR
   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS position FROM contract_sent
   WHERE text IS NOT NULL AND text <> ''),
 sp AS (SELECT *, CAST(row_number() OVER (PARTITION BY clause_id ORDER BY n, text, position) - 1 AS INTEGER) AS sentence_pos FROM off),
-cp AS (SELECT clause_id, CAST(contract_id AS VARCHAR) AS contract, title,
-  CAST(row_number() OVER (PARTITION BY contract_id ORDER BY clause_id) - 1 AS INTEGER) AS clause_pos FROM contract_clause)"""
+cp AS (SELECT o_orderkey AS clause_id, CAST(o_custkey AS VARCHAR) AS contract, {TITLE} AS title,
+  CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INTEGER) AS clause_pos FROM orders)"""
 SQL["contract_nest"] = f"""WITH {NESTED}
 SELECT cp.contract, 0 AS instance, cp.clause_pos, cp.title, sp.sentence_pos, sp.position, sp.text
-FROM sp JOIN cp ON sp.clause_id = cp.clause_id"""
+FROM cp LEFT JOIN sp ON sp.clause_id = cp.clause_id"""
 SQL["contract_summary"] = f"""WITH {NESTED}
-SELECT cp.contract AS title, CAST(count(DISTINCT cp.clause_id) AS INTEGER) AS n_clauses, CAST(count(*) AS INTEGER) AS n_sentences
-FROM sp JOIN cp ON sp.clause_id = cp.clause_id GROUP BY cp.contract"""
+SELECT cp.contract AS title, count(DISTINCT cp.clause_id) AS n_clauses, count(sp.text) AS n_sentences
+FROM cp LEFT JOIN sp ON sp.clause_id = cp.clause_id GROUP BY cp.contract"""
 SQL["acquired_documents"] = f"""SELECT {X.zfill('conv_id', 6)} AS parentDocument, '1' AS level,
   CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS idx,
   {X.zfill('conv_id', 6)} || '_' || {X.zfill('turn', 3)} AS _id, CAST(turn AS INTEGER) AS position, role
@@ -447,6 +468,26 @@ SELECT b.clause_id AS request_id, list_min(b.cands) AS type,
   CAST((SELECT count(*) FROM notable n WHERE n.clause_id = b.clause_id) AS INTEGER) AS n_sentences
 FROM b LEFT JOIN pol ON pol.clause_id = b.clause_id"""
 
+# a request that names its type is checked against that type only
+_ANSWERS = ANALYSIS.replace("a AS (SELECT clause_id, ", "a AS (SELECT clause_id, given, ").replace(
+    "FROM contract_clause),\nb AS (SELECT clause_id, ", "FROM asked),\nb AS (SELECT clause_id, given, ").replace(
+    f"{_concepts('t', R.TYPES)} AS cands", f"{_concepts('t', R.TYPES)} AS found, CASE WHEN given <> '' THEN [given] ELSE {_concepts('t', R.TYPES)} END AS cands")
+_ANSWERS = _ANSWERS.replace(CONTRACT + ",", f"""{REQUESTS.replace("b.text, 'services'", "b.text, b.dtext, 'services'")},
+routed AS (SELECT *, concat_ws(',', {', '.join(f"CASE WHEN {f} IS NULL THEN '{f}' END" for f in _FIELDS)}) AS missing,
+  CASE WHEN type = '' THEN 'full' WHEN anomalous = '' THEN 'beta_gamma'
+    WHEN anomalous IN ('True', '1', 'true') THEN 'gamma' ELSE 'none' END AS way FROM requests),
+asked AS (SELECT request_id AS clause_id, title, dtext, type AS given FROM routed WHERE missing = '' AND way <> 'none'),""")
+SQL["batch_scoring"] = f"""WITH {_ANSWERS}
+SELECT r.request_id, CASE WHEN r.missing = '' THEN 'answered' ELSE 'quarantined' END AS status,
+  CASE WHEN r.missing = '' THEN way END AS route,
+  CASE WHEN r.missing <> '' THEN NULL WHEN way = 'full' THEN list_min(b.found) ELSE r.type END AS type,
+  CASE WHEN r.missing <> '' THEN NULL WHEN way = 'gamma' THEN 'True' WHEN way = 'none' THEN 'False'
+    WHEN pol.policies IS NULL THEN 'False' ELSE 'True' END AS anomalous,
+  CASE WHEN r.missing = '' AND way <> 'none' THEN coalesce(pol.policies, '') END AS anomaly,
+  CASE WHEN r.missing <> '' THEN r.missing END AS missing
+FROM routed r LEFT JOIN b ON b.clause_id = r.request_id AND r.missing = '' AND way <> 'none' LEFT JOIN pol ON pol.clause_id = b.clause_id"""
+SQL["stream_scoring"] = SQL["batch_scoring"]
+
 # ---------------------------------------------------------------------------
 # Features
 CLEAN_DOCS = f"cd AS (SELECT doc_id, {X.clean('text')} AS text FROM documents)"
@@ -465,6 +506,10 @@ c AS (SELECT doc_id, gram, count(*) AS cnt FROM g GROUP BY ALL)
 SELECT doc_id, CAST(sum(cnt) AS BIGINT) AS n_grams, count(*) AS n_distinct, max(cnt) AS max_cnt FROM c GROUP BY doc_id"""
 
 
+def _h60(*parts: str) -> str:
+    return f"(('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 15))::BIGINT)"
+
+
 def _h32(*parts: str) -> str:
     return f"(('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 8))::BIGINT)"
 
@@ -479,7 +524,7 @@ DOC_POS = """d AS (SELECT doc_id, lang, text, row_number() OVER (PARTITION BY la
 sz AS (SELECT lang, n, max(n) OVER () AS mx FROM (SELECT DISTINCT lang, n FROM d))"""
 SQL["random_oversample"] = f"""WITH {DOC_POS},
 k AS (SELECT lang, n, unnest(range(1, mx - n + 1)) AS k FROM sz WHERE mx > n),
-pick AS (SELECT lang, k, ({_h32("'1'", 'lang', 'CAST(k AS VARCHAR)')} % n) + 1 AS rn FROM k)
+pick AS (SELECT lang, k, ({_h60("'1'", 'lang', 'CAST(k AS VARCHAR)')} % n) + 1 AS rn FROM k)
 SELECT doc_id, lang, CAST(0 AS BIGINT) AS copy FROM d
 UNION ALL SELECT d.doc_id, d.lang, p.k FROM pick p JOIN d ON d.lang = p.lang AND d.rn = p.rn"""
 PAIRS = f"""{DOC_POS},

@@ -28,13 +28,10 @@ def get_spark(master: str | None = None, app: str = "clausefold",
               extra: dict | None = None) -> SparkSession:
     """Return (or create) a session with the engine's defaults.
 
-    ``master`` defaults to ``local[$BENCH_CPUS or *]`` when no cluster master
-    is configured; on a cluster pass ``master=None`` and let spark-submit
-    decide.
+    With ``master=None`` the master is left to spark-submit or the Spark
+    configuration; tests and the benchmark name a local one.
     """
     builder = SparkSession.builder.appName(app)
-    if master is None and not os.environ.get("SPARK_MASTER"):
-        master = f"local[{os.environ.get('BENCH_CPUS', '*')}]"
     if master:
         builder = builder.master(master)
         if master.startswith("local"):
@@ -53,9 +50,9 @@ def get_spark(master: str | None = None, app: str = "clausefold",
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
-    The cluster names it in ``spark.checkpoint.dir``; we only set our own
-    (a fresh temporary folder) when it is unset, which is the case in local
-    tests.
+    The cluster names it in ``spark.checkpoint.dir``.  Only a local session,
+    where all executors are this process, gets a fresh temporary folder when
+    the setting is missing; on a cluster that is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -63,6 +60,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     d = sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="clausefold-ckpt-")
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d

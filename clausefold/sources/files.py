@@ -27,15 +27,16 @@ def _file_order() -> Column:
 # ---------------------------------------------------------------------------
 # Multi-level label CSVs
 def read_labels(spark: SparkSession, path: str, columns: list[str], id_col: str = "id") -> DataFrame:
-    """One label level: CSV without header; cells after the key stripped; rows
-    with fewer than two fields dropped; a repeated key keeps its last row
-    (file order)."""
+    """One label level: CSV without header; cells after the key stripped, empty
+    or missing ones empty; rows with fewer than two fields dropped; a repeated
+    key keeps its last row (file order)."""
     schema = T.StructType([T.StructField(id_col, T.StringType())] +
                           [T.StructField(c, T.StringType()) for c in columns])
-    raw = spark.read.schema(schema).option("header", "false").option("mode", "PERMISSIVE").csv(path)
-    raw = raw.select("*", _file_order().alias("__ord"))
-    ok = raw.where(F.col(columns[0]).isNotNull())
-    stripped = ok.select(id_col, *[X.strip_ws(F.col(c)).alias(c) for c in columns], "__ord")
+    lines = spark.read.text(path).select("value", _file_order().alias("__ord"))
+    # a second field begins at a comma; its cell may be empty
+    rows = lines.where(F.col("value").contains(",")).select(F.from_csv("value", schema.simpleString()[7:-1].replace(":", " ")).alias("r"), "__ord")
+    stripped = rows.select(F.col(f"r.{id_col}").alias(id_col), *[
+        F.coalesce(X.strip_ws(F.col(f"r.{c}")), F.lit("")).alias(c) for c in columns], "__ord")
     last = stripped.groupBy(id_col).agg(F.max_by(F.struct(*columns), F.col("__ord")).alias("__row"))
     return last.select(id_col, *[F.col(f"__row.{c}").alias(c) for c in columns])
 
@@ -89,14 +90,20 @@ def read_many_label_sets(spark: SparkSession, folders: list[str], file: str, col
 
 # ---------------------------------------------------------------------------
 # Encoding repair
+# what ISO-8859-1 reads as control characters, and what windows-1252 means
+# (its five undefined bytes stay as they are)
+_CONTROLS = [bytes([b]) for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)]
+WINDOWS_1252 = ("".join(b.decode("latin-1") for b in _CONTROLS), "".join(b.decode("cp1252") for b in _CONTROLS))
+
+
 def read_repaired_texts(spark: SparkSession, folder: str) -> DataFrame:
     """``(path, text, repaired)``: valid UTF-8 is kept, anything else is
-    decoded as ISO-8859-1 (Spark 4 only decodes windows-1252 with a legacy
-    charset flag; the two differ only in 0x80-0x9F)."""
+    read as windows-1252: decoded as ISO-8859-1, which Spark knows, and the 27
+    code points in which the two differ are put right."""
     b = spark.read.format("binaryFile").load(folder).select("path", "content")
     as_utf8 = F.col("content").cast("string")
     ok = F.is_valid_utf8(as_utf8)
-    return b.select("path", F.when(ok, as_utf8).otherwise(F.decode("content", "ISO-8859-1")).alias("text"),
+    return b.select("path", F.when(ok, as_utf8).otherwise(F.translate(F.decode("content", "ISO-8859-1"), *WINDOWS_1252)).alias("text"),
                     (~ok).alias("repaired"))
 
 

@@ -62,3 +62,29 @@ def test_pack_words(spark):
     assert df.select(pack_words(F.col("t"), 2).alias("p")).first().p == ["a b", "c d e"]
     assert df.select(pack_words(F.col("t"), 9).alias("p")).first().p == ["a", "b", "c", "d", "e"]
     assert df.select(pack_words(F.col("t")).alias("p")).first().p == ["a", "b", "c", "d", "e"]
+
+
+def test_text_ids_and_tiny_classes(spark, monkeypatch):
+    """Text ids are drawn from too; the copies of a class of one row are
+    dealt over salts and none is lost."""
+    monkeypatch.setattr(B, "COPY_CHUNK", 7)
+    rows = [(f"{i}_0", "a") for i in range(100)] + [("x_1", "b"), ("y_1", "c"), ("y_2", "c")]
+    out = B.random_oversample(spark.createDataFrame(rows, "id string, label string"), "label", "id", seed=2)
+    assert {r.label: r["count"] for r in out.groupBy("label").count().collect()} == {"a": 100, "b": 100, "c": 100}
+    assert out.where("label = 'c' AND copy > 0").select("id").distinct().count() == 2
+
+
+def test_pairs_of_a_rare_class_stay_in_the_band(spark):
+    rows = [(i, "a") for i in range(3000)] + [(2**40, "b"), (2**40 + 1, "b")]
+    p = B.genetic_pairs(spark.createDataFrame(rows, "id long, label string"), "label", "id")
+    assert [(r.a_rn, r.b_rn) for r in p.where("label = 'b'").collect()] == [(1, 2)]
+
+
+def test_genetic_rounds_take_large_keys_in_order(spark):
+    rows = [(2**33 + i // 5, i % 5, "ab"[i % 3 == 0], f"w{i} v{i}") for i in range(40)]
+    df = spark.createDataFrame(rows, "conv long, turn long, label string, text string")
+    one = B.genetic_oversample(df, "label", ["conv", "turn"], "text", generations=1, seed=1, spark=spark)
+    again = B.genetic_oversample(df.repartition(5), "label", ["conv", "turn"], "text", generations=1, seed=1, spark=spark)
+    assert one.exceptAll(again).count() == 0 and one.count() == again.count()
+    # plain row numbers give the same pairs: every child holds its parents' words
+    assert one.where("size(__key) = 3 AND element_at(__key, 3) = 0").count() == 40

@@ -14,6 +14,13 @@ def test_label_csv_last_wins_and_short_rows(spark, tmp_dir):
     assert got == {"0001": ("False", "R12", "paiement"), "0002": ("False", "R9", "resiliation")}
 
 
+def test_label_rows_with_empty_cells_stay(spark, tmp_dir):
+    p = f"{tmp_dir}/c.csv"
+    open(p, "w").write("0002,,R9,resiliation\n0003,,\n0004\n\n0005, x\n")
+    got = {r.id: (r.a, r.b, r.c) for r in SF.read_labels(spark, p, ["a", "b", "c"]).collect()}
+    assert got == {"0002": ("", "R9", "resiliation"), "0003": ("", "", ""), "0005": ("x", "", "")}
+
+
 def test_text_scan_and_semi_join(spark, tmp_dir):
     os.makedirs(f"{tmp_dir}/texts")
     for i, t in [("0001_001", "Un."), ("0001_002", "Deux\nlignes."), ("0002_001", "Trois.")]:
@@ -26,8 +33,9 @@ def test_text_scan_and_semi_join(spark, tmp_dir):
 def test_encoding_repair(spark, tmp_dir):
     open(f"{tmp_dir}/u.txt", "wb").write("préavis".encode("utf-8"))
     open(f"{tmp_dir}/l.txt", "wb").write("préavis".encode("latin-1"))
+    open(f"{tmp_dir}/w.txt", "wb").write(b"l\x92\x9cuvre \x80 5 \x81")
     got = {os.path.basename(r.path): (r.text, r.repaired) for r in SF.read_repaired_texts(spark, tmp_dir).collect()}
-    assert got == {"u.txt": ("préavis", False), "l.txt": ("préavis", True)}
+    assert got == {"u.txt": ("préavis", False), "l.txt": ("préavis", True), "w.txt": ("l’œuvre € 5 \x81", True)}
 
 
 def test_listing_and_annotation_outputs(spark, tmp_dir):
@@ -44,7 +52,7 @@ def test_listing_and_annotation_outputs(spark, tmp_dir):
 
 
 def test_contract_roundtrip(spark, tmp_dir):
-    clauses = spark.createDataFrame([("c", 1, "T1", "None", "None", "paiement"), ("c", 2, "T2", "False", "R9", "")],
+    clauses = spark.createDataFrame([("c", 1, "T1", "None", "None", "paiement"), ("c", 2, "T2", "False", "R9", ""), ("c", 3, "T3", "None", "None", "")],
                                     "contract string, clause_id long, title string, invalidity string, policies string, type string")
     sents = spark.createDataFrame([(1, 2, "bb", "None", "None"), (1, 1, "a", "None", "None"), (2, 1, "", "x", "y"),
                                    (2, 3, "ccc", "None", "R9")],
@@ -53,8 +61,9 @@ def test_contract_roundtrip(spark, tmp_dir):
     D.write_contracts(docs, f"{tmp_dir}/json")
     back = D.read_contracts(spark, f"{tmp_dir}/json")
     flat = D.flatten_contracts(back).orderBy("clause_pos", "sentence_pos").collect()
-    assert [(r.clause_pos, r.sentence_pos, r.position, r.text) for r in flat] == [(0, 0, 0, "a"), (0, 1, 2, "bb"), (1, 0, 0, "ccc")]
+    assert [(r.clause_pos, r.sentence_pos, r.position, r.text) for r in flat] == [
+        (0, 0, 0, "a"), (0, 1, 2, "bb"), (1, 0, 0, "ccc"), (2, None, None, None)]
     strict = D.flatten_contracts(D.nest_contracts(clauses, sents, date="d", strict_prefix=True)).count()
-    assert strict == 2
+    assert strict == 4  # two sentences, and the clauses that are left without any
     rows = D.clause_rows(back).orderBy("title").collect()
-    assert rows[0].text == "a bb" and rows[1].policies == "R9"
+    assert [r.text for r in rows] == ["a bb ", "ccc ", ""] and rows[1].policies == "R9"

@@ -6,17 +6,35 @@ from clausefold.streaming import scoring as SS
 SF = "/root/testdata/sf0.001"
 
 
-def test_stream_equals_batch(spark):
+def run(spark, sf_dir):
     out = SS.scoring_output_dir(spark)
-    SS.run_scoring_stream(spark, SS.order_request_stream(spark, SF), out, f"{out}/_checkpoint")
-    cols = ["request_id", "route", "type", "anomalous", F.array_join("anomaly", ",").alias("anomaly")]
-    stream = spark.read.parquet(f"{out}/answers").select(*cols)
-    answers, bad = SS.answer_batch(C.clause_requests(spark, SF))
-    batch = answers.select(*cols)
+    SS.run_scoring_stream(spark, SS.order_request_stream(spark, sf_dir), out, f"{out}/_checkpoint")
+    return SS.results(spark, out).drop("batch_id")
+
+
+def test_stream_equals_batch(spark):
+    stream = run(spark, SF)
+    batch = SS.answer_rows(C.clause_requests(spark, SF)).select(stream.columns)
     assert stream.count() == batch.count() > 0
     assert stream.exceptAll(batch).count() == 0
-    q = spark.read.parquet(f"{out}/quarantine")
-    assert q.count() == bad.count()
+
+
+def test_no_request_is_lost_over_several_files_and_years(spark, tmp_dir):
+    """A folder table of four files whose dates lie years apart, newest first."""
+    orders = spark.read.parquet(f"{SF}/orders.parquet")
+    years = orders.repartitionByRange(4, F.col("o_orderdate").desc()).sortWithinPartitions(F.col("o_orderdate").desc())
+    years.write.parquet(f"{tmp_dir}/orders.parquet")
+    spark.read.parquet(f"{SF}/lineitem.parquet").write.parquet(f"{tmp_dir}/lineitem.parquet")
+    got = run(spark, tmp_dir)
+    assert got.count() == orders.count() == got.select("request_id").distinct().count()
+    assert got.groupBy("status").count().count() == 2
+
+
+def test_repeated_requests_are_answered_once(spark, tmp_dir):
+    orders = spark.read.parquet(f"{SF}/orders.parquet").limit(20)
+    orders.unionAll(orders).repartition(3).write.parquet(f"{tmp_dir}/orders.parquet")
+    spark.read.parquet(f"{SF}/lineitem.parquet").write.parquet(f"{tmp_dir}/lineitem.parquet")
+    assert run(spark, tmp_dir).count() == 20
 
 
 def test_routes(spark):

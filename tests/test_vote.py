@@ -94,3 +94,17 @@ def test_group_positions_split_by_bucket_equals_plain(spark):
     b = df.withColumn("p", F.row_number().over(Window.partitionBy("g").orderBy("o")))
     assert a.select("g", "o", "p").exceptAll(b.select("g", "o", "p")).count() == 0
     assert a.count() == 5000
+
+
+def test_two_level_positions_match_row_number(spark, monkeypatch):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from clausefold.operators import ordering as O
+
+    monkeypatch.setattr(O, "STRETCH", 3)
+    df = spark.range(500).select((F.col("id") * 7 % 501).alias("id"), (F.col("id") % 3 == 0).alias("g"))
+    got = O.group_positions(df, ["g"], ["id"], O.id_bucket("id", 8), size_col="n")
+    w = Window.partitionBy("g").orderBy("id")
+    want = df.withColumn("pos", F.row_number().over(w)).withColumn("n", F.count("*").over(Window.partitionBy("g")))
+    assert got.select("id", "g", "pos", "n").exceptAll(want.select("id", "g", "pos", "n")).count() == 0 and got.count() == 500
