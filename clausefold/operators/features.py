@@ -105,10 +105,25 @@ def hash_split(df: DataFrame, id_col: str, frac: float = 0.25, seed: int = 1,
 
 # ---------------------------------------------------------------------------
 # MLlib stages (used for fitting)
-# Terms are hashed into a space of fixed size, a documented parameter: no
-# vocabulary is gathered on the driver, no term is dropped, and two terms
-# share a feature with a chance of 1 in HASH_SPACE.
-HASH_SPACE = 1 << 18
+# Terms are hashed: no vocabulary is gathered on the driver and no term is
+# dropped.  The space follows the number of distinct terms, HASH_ROOM places
+# for each (up to LARGEST_SPACE), so as few terms share a feature at any size.
+HASH_ROOM, LARGEST_SPACE = 4, 1 << 24
+
+
+def hashed_counts(input_col: str, output_col: str):
+    """An estimator that counts the distinct terms and gives the
+    ``HashingTF`` of that many times ``HASH_ROOM`` places."""
+    from pyspark.ml import Estimator
+    from pyspark.ml.feature import HashingTF
+
+    class HashedCounts(Estimator):
+        def _fit(self, dataset):
+            n = dataset.select(F.explode(input_col).alias("term")).distinct().count()
+            places = min(LARGEST_SPACE, 1 << max(8, (HASH_ROOM * n - 1).bit_length()))
+            return HashingTF(inputCol=input_col, outputCol=output_col, numFeatures=places)
+
+    return HashedCounts()
 
 
 def smooth_idf(input_col: str, output_col: str):
@@ -126,25 +141,24 @@ def smooth_idf(input_col: str, output_col: str):
     return SmoothIDF()
 
 
-def tfidf_stages(text_col: str, out_col: str = "features", num_features: int = HASH_SPACE):
+def tfidf_stages(text_col: str, out_col: str = "features"):
     """F2 as MLlib stages: tokens -> hashed counts -> smoothed idf -> L2; the
     weights of ``tfidf``."""
-    from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer
+    from pyspark.ml.feature import Normalizer, RegexTokenizer
     tok = RegexTokenizer(inputCol=text_col, outputCol="__tok", pattern="[\\p{L}\\p{N}_]{2,}", gaps=False)
-    tf = HashingTF(inputCol="__tok", outputCol="__tf", numFeatures=num_features)
-    return [tok, tf, smooth_idf("__tf", "__idf"), Normalizer(inputCol="__idf", outputCol=out_col, p=2.0)]
+    return [tok, hashed_counts("__tok", "__tf"), smooth_idf("__tf", "__idf"), Normalizer(inputCol="__idf", outputCol=out_col, p=2.0)]
 
 
-def count_stages(text_col: str, out_col: str = "features", num_features: int = HASH_SPACE):
+def count_stages(text_col: str, out_col: str = "features"):
     """F1 as MLlib stages: char_wb n-grams, then hashed counts."""
-    from pyspark.ml.feature import HashingTF, SQLTransformer
+    from pyspark.ml.feature import SQLTransformer
     grams = SQLTransformer(statement=(
         "SELECT *, flatten(transform(filter(split(lower(" + text_col + "), '[\\\\t\\\\n\\\\x0B\\\\f\\\\r\\\\x1C-\\\\x1F ]+'), "
         "w -> w <> ''), w -> CASE WHEN length(' ' || w || ' ') <= 4 THEN array(' ' || w || ' ') ELSE concat("
         "transform(sequence(0, length(' ' || w || ' ') - 4), i -> substring(' ' || w || ' ', i + 1, 4)), "
         "CASE WHEN length(' ' || w || ' ') >= 5 THEN transform(sequence(0, length(' ' || w || ' ') - 5), "
         "i -> substring(' ' || w || ' ', i + 1, 5)) ELSE array() END) END)) AS __grams FROM __THIS__"))
-    return [grams, HashingTF(inputCol="__grams", outputCol=out_col, numFeatures=num_features)]
+    return [grams, hashed_counts("__grams", out_col)]
 
 
 def hashing_stages(text_col: str, out_col: str = "features", num_features: int = 1 << 20):

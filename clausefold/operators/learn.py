@@ -171,10 +171,9 @@ def ensemble_vote(ballots: DataFrame, id_col: str = "id", mode: str = "std", def
     return every.join(v, id_col, "left").select(id_col, F.coalesce(F.col("winner"), F.lit(-1)).alias("y"))
 
 
-def registry_rows(spark: SparkSession, rows: list[tuple]) -> DataFrame:
-    """``(phase, type, model_no, path, granularity, vote_mode, vote_default)``."""
-    return spark.createDataFrame(rows, "phase string, type string, model_no int, path string, granularity int, "
-                                       "vote_mode string, vote_default int")
+# The registry of a trained analysis, one row a sub-model
+REGISTRY = ("phase string, type string, model_no int, path string, granularity int, vote_mode string, vote_default int, "
+            "only_policy string, classes array<string>, sentence_mode string, sentence_default int, types array<string>")
 
 
 def save_model(model: "FittedSubModel", path: str) -> None:

@@ -136,6 +136,29 @@ def class_report(conf: DataFrame) -> DataFrame:
     return pl.drop("tp").unionByName(acc).unionByName(mac).unionByName(wei)
 
 
+def grouped_report(conf: DataFrame, group_cols: list[str]) -> DataFrame:
+    """A10 for several reports at once: per-label rows and an ``accuracy``,
+    a ``macro avg`` and a ``weighted avg`` row for each group."""
+    pl = per_label(conf, group_cols).select(*group_cols, F.col("label").cast("string").alias("label"), "precision", "recall", "f1", "support", "tp")
+
+    def total(c: str) -> Column:
+        return F.sum(c)
+
+    def weighted(c: str) -> Column:
+        return F.sum(F.col(c) * F.col("support")) / F.sum("support")
+
+    none = F.lit(None).cast("double")
+    rows = F.array(
+        F.struct(F.lit("accuracy").alias("label"), none.alias("precision"), none.alias("recall"), (F.col("tp") / F.col("n")).alias("f1")),
+        F.struct(F.lit("macro avg").alias("label"), F.col("mp").alias("precision"), F.col("mr").alias("recall"), F.col("mf").alias("f1")),
+        F.struct(F.lit("weighted avg").alias("label"), F.col("wp").alias("precision"), F.col("wr").alias("recall"), F.col("wf").alias("f1")))
+    tot = pl.groupBy(*group_cols).agg(
+        total("support").alias("n"), total("tp").alias("tp"), F.avg("precision").alias("mp"), F.avg("recall").alias("mr"), F.avg("f1").alias("mf"),
+        weighted("precision").alias("wp"), weighted("recall").alias("wr"), weighted("f1").alias("wf"))
+    sums = tot.select(*group_cols, "n", F.explode(rows).alias("r")).select(*group_cols, "r.label", "r.precision", "r.recall", "r.f1", F.col("n").alias("support"))
+    return pl.drop("tp").unionByName(sums)
+
+
 # ---------------------------------------------------------------------------
 # A18 / A19 / A20
 def pivot_metric(df: DataFrame, row_col: str, col_col: str, value_col: str, values: list) -> DataFrame:

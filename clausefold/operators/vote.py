@@ -130,4 +130,4 @@ def vote_arrays(values: Column, default=None, priority: str | None = None) -> Co
     else:
         key = lambda c: F.struct(-c["cnt"], -c["isdef"], c["first"])
     ordered = F.array_sort(F.transform(cands, lambda c: F.struct(key(c).alias("k"), c["v"].alias("v"))))
-    return ordered.getItem(0)["v"]
+    return F.get(ordered, F.lit(0))["v"]

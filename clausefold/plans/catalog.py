@@ -634,6 +634,136 @@ def model_zoo(spark, sf_dir):
     return out
 
 
+# ---------------------------------------------------------------------------
+# Searches and phased analysis (C5-C7, C9-C12, C14, C18) on the contract
+# clauses: the type comes from the order priority, the policy from the rules
+from clausefold.operators import analysis as AN  # noqa: E402
+
+# The words that stand-in sub-models look for, one for each
+# transformer (count, tfidf, hash).
+STAND_INS = {
+    "non_sollicitation": ("solliciter", "personnel", "interdit"), "resiliation": ("resilier", "preavis", "sous"),
+    "paiement": ("paie", "virement", "cheque"), "indemnisation": ("indemnite", "sans", "remuneration"),
+    "non_concurrence": ("concurrence", "prestataire", "fera"),
+    "R2": ("ans", "an", "mois"), "R3": ("partenaire", "personnel", "client"), "R4": ("remuneration", "euros", "contre"),
+    "R5": ("fournisseur", "prestataire", "partenaire"), "R7": ("jours", "sous", "preavis"), "R8": ("fournisseur", "prestataire", "resilier"),
+    "R9": ("preavis", "sans", "indemnite"), "R10": ("preavis", "delai", "fournisseur"), "R11": ("cheque", "virement", "accepte"),
+    "R12": ("mois", "jours", "delai"), "R13": ("indemnite", "sans", "euros"), "R15": ("mois", "concurrence", "prestataire"),
+}
+SEARCH_TYPES = AN.types_of_rules()
+
+
+def stand_in_hints(member) -> list[tuple[int, str]]:
+    """``(code, word)`` in order: the first word that a text holds decides."""
+    k = AN.TRANSFORMERS.index(member.transformer)
+    if member.target == "type":
+        return [(i, STAND_INS[t][k]) for i, t in enumerate(SEARCH_TYPES)]
+    own = [p for p in (member.only_policies or AN.policies_of(member.only_type or "") or R.POLICIES) if p in STAND_INS]
+    return [(1 if member.target == "anomalous" else R.POLICY_CLASSES.index(p), STAND_INS[p][k]) for p in own]
+
+
+def stand_in_else(member) -> int:
+    return 0 if member.target != "type" else len(SEARCH_TYPES) - 1 if member.oversample else -1
+
+
+def _stand_in(member, sentence_default):
+    def code(x):
+        out = F.lit(stand_in_else(member))
+        for c, word in reversed(stand_in_hints(member)):
+            out = F.when(F.contains(x, F.lit(word)), F.lit(c)).otherwise(out)
+        return out
+
+    if member.granularity == 0:
+        return code(F.col("body"))
+    votes = F.transform("sents", code)
+    if sentence_default is None:
+        return V.vote_arrays(votes)
+    return F.when(F.array_contains(votes, F.lit(sentence_default)), F.lit(sentence_default))
+
+
+def _labelled(spark, sf_dir):
+    """(id, title, text, type, policy): the type by the order priority, the
+    first policy that the rules find violated."""
+    cl = _clauses(spark, sf_dir).withColumn("ctype", F.element_at(F.array(*[F.lit(x) for x in EXPECTED_TYPES]), F.substring("priority", 1, 1).cast("int")))
+    a = R.analyze_clauses(cl.withColumn("__t", F.col("title")).withColumn("__b", F.col("text")), "clause_id", "__t", "__b", keep_cols=["title", "text", "ctype"])
+    return a.select(F.col("clause_id").alias("id"), "title", "text", F.col("ctype").alias("type"),
+                    F.coalesce(F.try_element_at(F.col("policies"), F.lit(1)), F.lit(AN.NONE)).alias("policy"))
+
+
+def _search(rows, configs, ctype):
+    """The best configuration over stand-in sub-models, all in the row."""
+    from itertools import chain
+    kept = rows.where(F.col("type") == ctype) if ctype else rows
+    members = AN.distinct_members(configs)
+    ballots = F.create_map(*chain.from_iterable((F.lit(m.key), _stand_in(m, d)) for m, d in members))
+    d = kept.select(AN.expected_codes(configs[0].members[0].target, SEARCH_TYPES).alias("expected"), ballots.alias("ballots"))
+    best = AN.best_configs(AN.vote_configs(d, configs, ["expected"]), [])
+    return best.select(F.lit(ctype or AN.DEFAULT).alias("type"), "config", "macro_f1")
+
+
+def _search_rows(spark, sf_dir):
+    lab = T.with_clean_full(_labelled(spark, sf_dir), "text", "body")
+    return lab.select("type", "policy", "body", T.split_sentences(F.col("body")).alias("sents"))
+
+
+@query("search_alpha")
+def search_alpha(spark, sf_dir):
+    return _search(_search_rows(spark, sf_dir), AN.alpha_configs(), None)
+
+
+def _search_types(spark, sf_dir, configs_of):
+    from functools import reduce
+    rows = _search_rows(spark, sf_dir)
+    found = [_search(rows, configs, t) for t in [*SEARCH_TYPES, None] if (configs := configs_of(t))]
+    return reduce(lambda a, b: a.unionByName(b), found)
+
+
+@query("search_beta")
+def search_beta(spark, sf_dir):
+    return _search_types(spark, sf_dir, AN.beta_configs)
+
+
+@query("search_gamma")
+def search_gamma(spark, sf_dir):
+    return _search_types(spark, sf_dir, AN.gamma_configs)
+
+
+def _phases(spark, sf_dir):
+    """The analysis fitted on the train side of the split; the labelled,
+    split clauses are written once for all fits."""
+    from clausefold.session import checkpoint_dir
+    checkpoint_dir(spark)
+    split = FE.hash_split(_labelled(spark, sf_dir), "id", 0.25, seed=1).checkpoint()
+    train, test = split.where(~F.col("is_test")).drop("is_test"), split.where("is_test").drop("is_test")
+    # Bernoulli models: one pass over the rows for each of the dozen sub-models
+    return AN.train_phases(train, classifier="nb"), test
+
+
+@query("phased_analysis")
+def phased_analysis(spark, sf_dir):
+    """C12 with fitted sub-models on the test side of the split."""
+    pm, test = _phases(spark, sf_dir)
+    a = AN.analyze(pm, test.select("id", "title", "text"))
+    return a.select("id", "type", "anomalous", F.array_join("anomaly", ",").alias("anomaly"))
+
+
+@query("phased_evaluation")
+def phased_evaluation(spark, sf_dir):
+    """C14: the four reports of the phased analysis on the test side."""
+    pm, test = _phases(spark, sf_dir)
+    return AN.evaluate_phases(AN.analyze(pm, test.select("id", "title", "text")), test.select("id", "type", "policy"), SEARCH_TYPES, R.POLICIES)
+
+
+@query("rule_phase_evaluation")
+def rule_phase_evaluation(spark, sf_dir):
+    """The same four reports for the rule analysis, whose type is
+    found in the title, against the labels."""
+    lab = _labelled(spark, sf_dir)
+    a = R.analyze_clauses(lab.select("id", "title", "text").withColumn("__t", F.col("title")), "id", "__t", "text")
+    answers = a.select("id", "type", (~F.col("valid")).alias("anomalous"), F.col("policies").alias("anomaly"))
+    return AN.evaluate_phases(answers, lab.select("id", "type", "policy"), SEARCH_TYPES, R.POLICIES)
+
+
 # ---------------------------------------------------------------------------
 # SS1: streaming scoring (rows-only: the output of a stream run)
 @query("stream_scoring")

@@ -610,3 +610,89 @@ UNION ALL SELECT 'accuracy', NULL, NULL, sum(tp) / sum(support), CAST(sum(suppor
 UNION ALL SELECT 'macro avg', avg(precision), avg(recall), avg(f1), CAST(sum(support) AS BIGINT) FROM pl
 UNION ALL SELECT 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support),
   sum(f1 * support) / sum(support), CAST(sum(support) AS BIGINT) FROM pl"""
+
+
+# ---------------------------------------------------------------------------
+# Searches over stand-in sub-models
+from clausefold.operators import analysis as AN  # noqa: E402
+
+_LABELLED = f"""{ANALYSIS},
+lab AS (SELECT c.clause_id AS id, {_EXP}[CAST(substr(o.o_orderpriority, 1, 1) AS INTEGER)] AS type,
+    coalesce(f.policy, 'None') AS policy, {X.clean('c.dtext')} AS body
+  FROM contract_clause c JOIN orders o ON o.o_orderkey = c.clause_id
+  LEFT JOIN (SELECT clause_id, arg_min(policy, idx) AS policy FROM fired GROUP BY clause_id) f ON f.clause_id = c.clause_id),
+sent AS (SELECT id, type, unnest(range(0, len(arr))) AS sno, unnest(arr) AS s FROM (SELECT id, type, {X.split_sentences('body')} AS arr FROM lab))"""
+
+
+def _stand_in_sql(member, x: str) -> str:
+    from clausefold.plans.catalog import stand_in_else, stand_in_hints
+    whens = " ".join(f"WHEN contains({x}, {q(w)}) THEN {c}" for c, w in stand_in_hints(member))
+    return f"(CASE {whens} ELSE {stand_in_else(member)} END)"
+
+
+def _search_sql(configs, ctype, n: int) -> str:
+    """CTEs and the final SELECT of one search; ``n`` keeps names apart."""
+    from clausefold.plans.catalog import SEARCH_TYPES
+    only = f" WHERE type = {q(ctype)}" if ctype else ""
+    preds = []
+    for m, d in AN.distinct_members(configs):
+        if m.granularity == 0:
+            preds.append(f"SELECT id, {q(m.key)} AS key, {_stand_in_sql(m, 'body')} AS y FROM lab{only}")
+        elif d is None:
+            preds.append(f"""SELECT id, {q(m.key)} AS key, y FROM (SELECT id, y, row_number() OVER (PARTITION BY id ORDER BY count(*) DESC, min(sno)) AS rk
+  FROM (SELECT id, sno, {_stand_in_sql(m, 's')} AS y FROM sent{only}) GROUP BY id, y) WHERE rk = 1""")
+        else:
+            preds.append(f"SELECT id, {q(m.key)} AS key, CASE WHEN bool_or({_stand_in_sql(m, 's')} = {d}) THEN {d} END AS y FROM sent{only} GROUP BY id")
+    members = ", ".join(f"({c.number}, {i}, {q(m.key)}, {q(c.mode)}, {c.default if c.default is not None else 'NULL'})" for c in configs for i, m in enumerate(c.members))
+    target = configs[0].members[0].target
+    code = {"type": "CASE " + " ".join(f"WHEN type = {q(t)} THEN {i}" for i, t in enumerate(SEARCH_TYPES)) + " ELSE 1 END",
+            "anomalous": "CAST(policy <> 'None' AS INTEGER)",
+            "policy": "CASE " + " ".join(f"WHEN policy = {q(p)} THEN {i}" for i, p in enumerate(R.POLICY_CLASSES)) + " ELSE 1 END"}[target]
+    return f"""p{n} AS ({' UNION ALL '.join(preds)}),
+m{n}(config, pos, key, mode, def) AS (VALUES {members}),
+j{n} AS (SELECT p.id, m.config, m.pos, m.mode, m.def, p.y FROM p{n} p JOIN m{n} m ON m.key = p.key WHERE p.y IS NOT NULL),
+c{n} AS (SELECT id, config, mode, def, y, count(*) AS cnt, min(pos) AS fs FROM j{n} GROUP BY ALL),
+a{n} AS (SELECT *, count(*) FILTER (WHERE y <> def) OVER (PARTITION BY id, config) AS others FROM c{n}),
+w{n} AS (SELECT id, config, y FROM (SELECT *, row_number() OVER (PARTITION BY id, config ORDER BY cnt DESC, fs) AS rk FROM a{n}
+  WHERE mode = 'std' OR (mode = 'ato' AND y = def) OR (mode = 'not' AND (y <> def OR others = 0))) WHERE rk = 1),
+e{n} AS (SELECT x.config, x.expected, coalesce(w.y, -1) AS predicted, count(*) AS cnt
+  FROM (SELECT id, {code} AS expected, g.config FROM lab, (SELECT DISTINCT config FROM m{n}) g{only}) x
+  LEFT JOIN w{n} w ON w.id = x.id AND w.config = x.config GROUP BY ALL),
+s{n} AS ({_macro(_per_label(f'e{n}', ['config']), ['config'])}),
+b{n} AS (SELECT {q(ctype or 'default')} AS type, config, macro_f1 FROM
+  (SELECT *, row_number() OVER (ORDER BY round(macro_f1, 12) DESC, config) AS rk FROM s{n}) WHERE rk = 1)"""
+
+
+def _searches(configs_of, types) -> str:
+    parts = [(configs, t) for t in types if (configs := configs_of(t))]
+    ctes = ",\n".join(_search_sql(c, t, i) for i, (c, t) in enumerate(parts))
+    return f"WITH {_LABELLED},\n{ctes}\n" + " UNION ALL ".join(f"SELECT * FROM b{i}" for i in range(len(parts)))
+
+
+SQL["search_alpha"] = _searches(lambda t: AN.alpha_configs(), [None])
+SQL["search_beta"] = _searches(AN.beta_configs, [*AN.types_of_rules(), None])
+SQL["search_gamma"] = _searches(AN.gamma_configs, [*AN.types_of_rules(), None])
+
+
+def _case_code(x: str, names: list[str]) -> str:
+    return "(CASE " + " ".join(f"WHEN {x} = {q(n)} THEN {i}" for i, n in enumerate(names)) + " ELSE -1 END)"
+
+
+_POL = "[" + ", ".join(q(p) for p in R.POLICIES) + "]"
+SQL["rule_phase_evaluation"] = f"""WITH {_LABELLED},
+ans AS (SELECT lab.id, lab.type, lab.policy, list_min(b.cands) AS p_type, pol.policies,
+    list_transform(string_split(pol.policies, ','), lambda p: list_position({_POL}, p) - 1) AS codes
+  FROM lab JOIN b ON b.clause_id = lab.id LEFT JOIN pol ON pol.clause_id = lab.id),
+cell AS (
+  SELECT 'type' AS report, {_case_code('type', AN.types_of_rules())} AS expected, {_case_code('p_type', AN.types_of_rules())} AS predicted FROM ans
+  UNION ALL SELECT 'validity', CAST(policy IN ({', '.join(q(p) for p in R.POLICIES)}) AS INTEGER), CAST(policies IS NOT NULL AS INTEGER) FROM ans
+  UNION ALL SELECT 'policy_first', {_case_code('policy', R.POLICIES)}, coalesce(codes[1], -1) FROM ans
+  UNION ALL SELECT 'policy_best', {_case_code('policy', R.POLICIES)},
+    CASE WHEN list_contains(codes, {_case_code('policy', R.POLICIES)}) THEN {_case_code('policy', R.POLICIES)} ELSE coalesce(codes[1], -1) END FROM ans),
+conf AS (SELECT report, expected, predicted, count(*) AS cnt FROM cell GROUP BY ALL),
+pl AS {_per_label('conf', ['report'])}
+SELECT report, CAST(label AS VARCHAR) AS label, precision, recall, f1, support FROM pl
+UNION ALL SELECT report, 'accuracy', NULL, NULL, sum(tp) / sum(support), CAST(sum(support) AS BIGINT) FROM pl GROUP BY report
+UNION ALL SELECT report, 'macro avg', avg(precision), avg(recall), avg(f1), CAST(sum(support) AS BIGINT) FROM pl GROUP BY report
+UNION ALL SELECT report, 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support),
+  sum(f1 * support) / sum(support), CAST(sum(support) AS BIGINT) FROM pl GROUP BY report"""

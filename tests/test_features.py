@@ -15,7 +15,7 @@ def test_stage_weights_equal_the_relational_form(spark):
     df = spark.createDataFrame(TEXTS, "id long, text string")
     model = Pipeline(stages=FE.tfidf_stages("text")).fit(df)
     got = {r.id: r.features for r in model.transform(df).collect()}
-    place = HashingTF(numFeatures=FE.HASH_SPACE)
+    place = HashingTF(numFeatures=model.stages[1].getNumFeatures())
     for r in FE.tfidf(df, "id", "text").collect():
         assert abs(got[r.id][place.indexOf(r.term)] - r.weight) < 1e-9
     assert all(abs(math.sqrt(sum(x * x for x in v.values)) - 1) < 1e-9 for v in got.values())
