@@ -634,6 +634,125 @@ def model_zoo(spark, sf_dir):
     return out
 
 
+# ---------------------------------------------------------------------------
+# File formats, written from the given tables to the shared folder and read
+# back (S1, S4, S8, S10, S12-S14, A13, A14, J2, J8, J9, N5)
+from clausefold.operators import rules as RU  # noqa: E402
+from clausefold.sources import files as SF  # noqa: E402
+
+
+def _folder(spark, name):
+    import os
+    import uuid
+
+    from clausefold.session import checkpoint_dir
+    return os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
+
+
+@query("labels_roundtrip")
+def labels_roundtrip(spark, sf_dir):
+    """The label file of the documents; unlabelled ones have empty cells."""
+    folder, cols = _folder(spark, "labels"), ["lang", "quality", "toxic"]
+    d = table(spark, sf_dir, "documents", ["doc_id", "lang"]).join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    d.select("doc_id", *[F.concat(F.lit(" "), F.coalesce(F.col(c).cast("string"), F.lit(""))).alias(c) for c in cols]).write.option(
+        "ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").csv(folder)
+    return SF.read_labels(spark, folder, cols, "id")
+
+
+@query("attach_text")
+def attach_text(spark, sf_dir):
+    """Labelled documents with their texts."""
+    segs = C.document_segments(spark, sf_dir).select("id", "text")
+    rows = S.attach_text(C.document_labels(spark, sf_dir).select("id", F.col("quality").alias("label")), segs)
+    return rows.select("id", "label", F.md5("text").alias("text_md5"))
+
+
+@query("labels_or_empty")
+def labels_or_empty(spark, sf_dir):
+    """Every document with its labels, empty where it has none."""
+    lab = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("string").alias("quality"), F.col("toxic").cast("string").alias("toxic"))
+    return D.attach_labels(table(spark, sf_dir, "documents", ["doc_id", "source"]), lab, "doc_id", ["quality", "toxic"])
+
+
+@query("contracts_json")
+def contracts_json(spark, sf_dir):
+    """Contract documents as JSON, read back as clauses."""
+    folder = _folder(spark, "contracts")
+    D.write_contracts(_nested(spark, sf_dir), folder)
+    return D.clause_rows(D.read_contracts(spark, folder)).select("title", F.md5("text").alias("text_md5"), "invalidity", "policies", "type")
+
+
+@query("annotations")
+def annotations(spark, sf_dir):
+    """Annotated clauses and sentences; returned sentences are
+    suppressed."""
+    folder = _folder(spark, "annotations")
+    clauses = C.contract_clauses(spark, sf_dir).select(
+        F.col("clause_id").alias("clause_no"), F.col("contract_id").cast("string").alias("contract"),
+        F.concat("title", F.lit(", "), "priority").alias("title"), F.col("priority").alias("label"))
+    li = table(spark, sf_dir, "lineitem", ["l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus"])
+    sents = li.select(F.col("l_orderkey").alias("clause_no"), F.col("l_linenumber").alias("sent_no"), (F.col("l_returnflag") == "R").alias("suppressed"),
+                      F.concat("l_returnflag", "l_linestatus").alias("text"), F.col("l_linestatus").alias("label"))
+    SF.write_annotations(SF.annotation_outputs(clauses, sents, ["label"], ["label"]), folder)
+    # sentence numbers repeat within a clause of the tables, so the outputs are
+    # listed, not joined
+    shapes = {"clause_props": ["id", "contract", "title"], "clause_labels": ["id", "label"], "sentence_labels": ["id", "label"], "sentence_texts": ["id", "text"]}
+    parts = [SF.read_annotations(spark, folder, name, cols).select(F.lit(name).alias("output"), "id", F.concat_ws("|", *cols[1:]).alias("cells"))
+             for name, cols in shapes.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+def rule_lines() -> list[str]:
+    """The policy rules in the format of a rule file."""
+    out = ["# policy rules", ""]
+    for p, _, ctype, need, forbid, sent_need, op, days, scope in RU.POLICY_RULES:
+        parts = ['is(?c, "clause")', f'type(?c, "{ctype}")']
+        if op:
+            parts += ["hasDuration(?c, ?d)", f"{'lessThan' if op == '<' else 'greaterThan'}(?d, {days})"]
+        parts += [f'contains(?c, "{x}")' for x in sent_need] + [f'hasSubject(?c, "{x}")' for x in need] + [f'notContains(?c, "{x}")' for x in forbid]
+        out.append(f"{p}: {' ^ '.join(parts)} -> validity(?c, 0)")
+    return out
+
+
+@query("rule_table")
+def rule_table(spark, sf_dir):
+    """The rules of a rule file, and for each clause type of
+    the orders its policies, in how many clauses, and whether one sentence
+    tells."""
+    folder = _folder(spark, "rules")
+    spark.createDataFrame([("\n".join(rule_lines()),)], "value string").coalesce(1).write.text(folder)
+    rules = RU.read_rule_file(spark, folder)
+    n = C.contract_clauses(spark, sf_dir).select(F.element_at(F.array(*[F.lit(x) for x in EXPECTED_TYPES]), F.substring("priority", 1, 1).cast("int")).alias("type"))
+    n = n.groupBy("type").agg(F.count(F.lit(1)).alias("n_clauses"))
+    order = RU.rule_types(rules).select("type", "first_pos")
+    per = RU.policies_of_type(rules).select("type", "policy").join(RU.policy_applies_to_sentence(rules), "policy")
+    return n.join(order, "type").join(per, "type").select("type", "first_pos", "policy", "applies", "n_clauses")
+
+
+@query("encoding_repair")
+def encoding_repair(spark, sf_dir):
+    """S10 on the documents' bytes: every other one is stored as Windows text,
+    with a typographic apostrophe and a euro sign."""
+    d = table(spark, sf_dir, "documents", ["doc_id", "text"])
+    # the two marks are the bytes 92 and 80 in Windows text
+    odd = F.col("doc_id") % 2 == 1
+    stored = F.when(odd, F.concat(F.encode("text", "ISO-8859-1"), F.unhex(F.lit("9280")))).otherwise(F.encode(F.concat("text", F.lit("’€")), "UTF-8"))
+    r = SF.repaired_text(stored)
+    return d.select("doc_id", F.md5(r["text"].cast("binary")).alias("text_md5"), r["repaired"].alias("repaired"))
+
+
+@query("document_store")
+def document_store(spark, sf_dir):
+    """Texts and their metadata appended by domain, and read back
+    joined on the document id."""
+    folder = _folder(spark, "store")
+    d = table(spark, sf_dir, "documents", ["doc_id", "source", "lang", "n_chars"]).withColumn("domain", F.coalesce("lang", F.lit("none")))
+    key = D.document_id("source", "doc_id").alias("_id")
+    SF.store_documents(d.select(key, "doc_id", "domain"), d.select(key, "source", "n_chars", "domain"), folder)
+    texts, docs = spark.read.parquet(f"{folder}/Texts"), spark.read.parquet(f"{folder}/Documents")
+    return texts.join(docs.drop("domain"), "_id").select("_id", "doc_id", "domain", "source", "n_chars")
+
+
 # ---------------------------------------------------------------------------
 # Searches and phased analysis (C5-C7, C9-C12, C14, C18) on the contract
 # clauses: the type comes from the order priority, the policy from the rules

@@ -696,3 +696,44 @@ UNION ALL SELECT report, 'accuracy', NULL, NULL, sum(tp) / sum(support), CAST(su
 UNION ALL SELECT report, 'macro avg', avg(precision), avg(recall), avg(f1), CAST(sum(support) AS BIGINT) FROM pl GROUP BY report
 UNION ALL SELECT report, 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support),
   sum(f1 * support) / sum(support), CAST(sum(support) AS BIGINT) FROM pl GROUP BY report"""
+
+
+# ---------------------------------------------------------------------------
+# File formats
+SQL["labels_roundtrip"] = """SELECT CAST(d.doc_id AS VARCHAR) AS id, coalesce(d.lang, '') AS lang,
+  coalesce(CAST(l.quality AS VARCHAR), '') AS quality, coalesce(CAST(l.toxic AS VARCHAR), '') AS toxic
+FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id"""
+SQL["attach_text"] = """SELECT CAST(d.doc_id AS VARCHAR) AS id, CAST(l.quality AS VARCHAR) AS label, md5(d.text) AS text_md5
+FROM documents d JOIN labels l ON l.doc_id = d.doc_id"""
+SQL["labels_or_empty"] = """SELECT d.doc_id, d.source, coalesce(CAST(l.quality AS VARCHAR), '') AS quality, coalesce(CAST(l.toxic AS VARCHAR), '') AS toxic
+FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id"""
+SQL["contracts_json"] = f"""WITH {CONTRACT_SENT},
+body AS (SELECT clause_id, string_agg(text || ' ', '' ORDER BY n, text) AS text FROM contract_sent WHERE text <> '' GROUP BY clause_id)
+SELECT {TITLE} AS title, md5(coalesce(b.text, '')) AS text_md5, 'None' AS invalidity, 'None' AS policies, '' AS type
+FROM orders o LEFT JOIN body b ON b.clause_id = o.o_orderkey"""
+SQL["annotations"] = f"""WITH {CONTRACT},
+c AS (SELECT {X.zfill('clause_id', 4)} AS id, CAST(contract_id AS VARCHAR) AS contract, title, o_orderpriority AS priority
+  FROM contract_clause JOIN orders ON o_orderkey = clause_id),
+s AS (SELECT {X.zfill('l_orderkey', 4)} || '_' || {X.zfill('l_linenumber', 3)} AS id, l_linestatus AS label, l_returnflag || l_linestatus AS text
+  FROM lineitem WHERE l_returnflag <> 'R')
+SELECT 'clause_props' AS output, id, contract || '|' || replace(title || ', ' || priority, ',', ' ') AS cells FROM c
+UNION ALL SELECT 'clause_labels', id, priority FROM c
+UNION ALL SELECT 'sentence_labels', id, label FROM s
+UNION ALL SELECT 'sentence_texts', id, text FROM s"""
+# the rules as a table: place in the rule file, policy, type, whether a
+# sentence tells (a policy that also looks at the whole clause does not)
+SQL["rule_table"] = f"""WITH {CONTRACT},
+rules(pos, policy, type, sentence, whole) AS (VALUES
+  (2, 'R2', 'non_sollicitation', true, false), (3, 'R3', 'non_sollicitation', false, true), (4, 'R4', 'non_sollicitation', true, false),
+  (5, 'R4', 'non_sollicitation', false, true), (6, 'R5', 'non_sollicitation', false, true), (7, 'R7', 'resiliation', true, false),
+  (8, 'R7', 'resiliation', true, false), (9, 'R8', 'resiliation', false, true), (10, 'R9', 'resiliation', false, true),
+  (11, 'R10', 'resiliation', false, true), (12, 'R11', 'paiement', true, false), (13, 'R11', 'paiement', false, true),
+  (14, 'R12', 'paiement', true, false), (15, 'R13', 'indemnisation', false, false), (16, 'R15', 'non_concurrence', true, false)),
+n AS (SELECT {_EXP}[CAST(substr(o.o_orderpriority, 1, 1) AS INTEGER)] AS type, count(*) AS n_clauses
+  FROM contract_clause c JOIN orders o ON o.o_orderkey = c.clause_id GROUP BY 1),
+t AS (SELECT type, CAST(min(pos) AS INTEGER) AS first_pos FROM rules GROUP BY type),
+p AS (SELECT policy, bool_or(sentence) AND NOT bool_or(whole) AS applies FROM rules GROUP BY policy)
+SELECT DISTINCT n.type, t.first_pos, r.policy, p.applies, n.n_clauses
+FROM n JOIN t ON t.type = n.type JOIN rules r ON r.type = n.type JOIN p ON p.policy = r.policy"""
+SQL["encoding_repair"] = "SELECT doc_id, md5(text || '’€') AS text_md5, doc_id % 2 = 1 AS repaired FROM documents"
+SQL["document_store"] = """SELECT md5(concat_ws('|', source, CAST(doc_id AS VARCHAR))) AS _id, doc_id, coalesce(lang, 'none') AS domain, source, n_chars FROM documents"""

@@ -101,10 +101,16 @@ def read_repaired_texts(spark: SparkSession, folder: str) -> DataFrame:
     read as windows-1252: decoded as ISO-8859-1, which Spark knows, and the 27
     code points in which the two differ are put right."""
     b = spark.read.format("binaryFile").load(folder).select("path", "content")
-    as_utf8 = F.col("content").cast("string")
+    r = repaired_text(F.col("content"))
+    return b.select("path", r["text"].alias("text"), r["repaired"].alias("repaired"))
+
+
+def repaired_text(content: Column) -> Column:
+    """S10 on bytes: ``struct(text, repaired)``."""
+    as_utf8 = content.cast("string")
     ok = F.is_valid_utf8(as_utf8)
-    return b.select("path", F.when(ok, as_utf8).otherwise(F.translate(F.decode("content", "ISO-8859-1"), *WINDOWS_1252)).alias("text"),
-                    (~ok).alias("repaired"))
+    windows = F.translate(F.decode(content, "ISO-8859-1"), *WINDOWS_1252)
+    return F.struct(F.when(ok, as_utf8).otherwise(windows).alias("text"), (~ok).alias("repaired"))
 
 
 # ---------------------------------------------------------------------------
@@ -147,6 +153,13 @@ def write_annotations(outputs: dict[str, DataFrame], folder: str) -> None:
         df.write.mode("append").option("header", "false").csv(f"{folder}/{name}")
 
 
+def read_annotations(spark: SparkSession, folder: str, name: str, columns: list[str]) -> DataFrame:
+    """One output of ``write_annotations``; empty cells stay empty."""
+    schema = ", ".join(f"`{c}` string" for c in columns)
+    rows = spark.read.schema(schema).option("header", "false").csv(f"{folder}/{name}")
+    return rows.select(*[F.coalesce(c, F.lit("")).alias(c) for c in columns])
+
+
 # ---------------------------------------------------------------------------
 # Document store and metric sinks
 def store_documents(texts: DataFrame, documents: DataFrame, folder: str) -> None:
