@@ -262,8 +262,8 @@ def title_commas(c) -> Column:
 
 
 # ---------------------------------------------------------------------------
-# Number words to digits (French cardinals 0 - 999 999)
-# French number words and their values.
+# Number words to digits (cardinals 0 - 999 999 in French, English, Spanish)
+# Number words and their values, on accent-folded lower case.
 FR_NUMBER_WORDS = [
     ("zero", 0), ("une", 1), ("un", 1), ("deux", 2), ("trois", 3), ("quatre", 4), ("cinq", 5), ("six", 6),
     ("sept", 7), ("huit", 8), ("neuf", 9), ("dix", 10), ("onze", 11), ("douze", 12), ("treize", 13),
@@ -271,95 +271,159 @@ FR_NUMBER_WORDS = [
     ("quarante", 40), ("cinquante", 50), ("soixante", 60), ("septante", 70), ("huitante", 80),
     ("octante", 80), ("nonante", 90), ("cents", 100), ("cent", 100), ("mille", 1000),
 ]
-# A lone article is not a number.
-FR_ARTICLES = ["un", "une"]
+EN_NUMBER_WORDS = [
+    ("zero", 0), ("one", 1), ("two", 2), ("three", 3), ("four", 4), ("five", 5), ("six", 6), ("seven", 7), ("eight", 8),
+    ("nine", 9), ("ten", 10), ("eleven", 11), ("twelve", 12), ("thirteen", 13), ("fourteen", 14), ("fifteen", 15),
+    ("sixteen", 16), ("seventeen", 17), ("eighteen", 18), ("nineteen", 19), ("twenty", 20), ("thirty", 30), ("forty", 40),
+    ("fifty", 50), ("sixty", 60), ("seventy", 70), ("eighty", 80), ("ninety", 90), ("hundred", 100), ("thousand", 1000),
+]
+ES_NUMBER_WORDS = [
+    ("cero", 0), ("uno", 1), ("una", 1), ("un", 1), ("dos", 2), ("tres", 3), ("cuatro", 4), ("cinco", 5), ("seis", 6), ("siete", 7),
+    ("ocho", 8), ("nueve", 9), ("diez", 10), ("once", 11), ("doce", 12), ("trece", 13), ("catorce", 14), ("quince", 15),
+    ("dieciseis", 16), ("diecisiete", 17), ("dieciocho", 18), ("diecinueve", 19), ("veinte", 20), ("veintiuno", 21),
+    ("veintiuna", 21), ("veintiun", 21), ("veintidos", 22), ("veintitres", 23), ("veinticuatro", 24), ("veinticinco", 25),
+    ("veintiseis", 26), ("veintisiete", 27), ("veintiocho", 28), ("veintinueve", 29), ("treinta", 30), ("cuarenta", 40),
+    ("cincuenta", 50), ("sesenta", 60), ("setenta", 70), ("ochenta", 80), ("noventa", 90), ("cien", 100), ("ciento", 100),
+    ("doscientos", 200), ("doscientas", 200), ("trescientos", 300), ("trescientas", 300), ("cuatrocientos", 400),
+    ("cuatrocientas", 400), ("quinientos", 500), ("quinientas", 500), ("seiscientos", 600), ("seiscientas", 600),
+    ("setecientos", 700), ("setecientas", 700), ("ochocientos", 800), ("ochocientas", 800), ("novecientos", 900),
+    ("novecientas", 900), ("mil", 1000),
+]
+
+
+class NumberWords:
+    """A language's number words and how they combine.
 
-_NUM_ALT = "(?:" + "|".join(w for w, _ in FR_NUMBER_WORDS) + ")"
-# a run of whole tokens made of number words, joined by spaces or hyphens,
-# with an optional "et" between two of them
-NUMBER_RUN_RE = f"(?<![^ ]){_NUM_ALT}(?:[ -](?:et[ -])?{_NUM_ALT})*(?![^ ])"
-# a text can only change if it holds a number word that is not an article
-_NON_ARTICLE_ALT = "(?:" + "|".join(w for w, _ in FR_NUMBER_WORDS if w not in FR_ARTICLES) + ")"
-NUMBER_HINT_RE = f"(?<![^ -]){_NON_ARTICLE_ALT}(?![^ -])"
+    ``articles`` are words that are no number when alone; ``link`` may stand
+    between two words.  A run is folded with g, the value below a thousand, and
+    t, the thousands so far: ``goes_on(g, t, v, word)`` tells whether the word
+    of value v continues the number, ``link_ok(g, t)`` whether the link may
+    follow, ``after_link(v, word)`` what may follow the link, and ``add(g, v,
+    word)`` gives the new g for v below 1000.
+    """
 
+    def __init__(self, words, articles, link, goes_on, link_ok, after_link, add):
+        self.words, self.articles, self.link = words, articles, link
+        self.goes_on, self.link_ok, self.after_link, self.add = goes_on, link_ok, after_link, add
+        # longer words first, so that none hides behind its beginning
+        alt = "(?:" + "|".join(sorted((w for w, _ in words), key=len, reverse=True)) + ")"
+        # a run of whole tokens made of number words, joined by spaces or
+        # hyphens, with an optional link between two of them
+        self.run = f"(?<![^ ]){alt}(?:[ -](?:{link}[ -])?{alt})*(?![^ ])"
+        # a text can only change if it holds a number word that is no article
+        plain = "(?:" + "|".join(w for w, _ in words if w not in articles) + ")"
+        self.hint = f"(?<![^ -]){plain}(?![^ -])"
 
-def _number_fold(words: Column) -> Column:
+
+def _fr_twenty(g, w):
+    return w.startswith("vingt") & (g % 100 == 4)
+
+
+NUMBER_WORDS = {
+    "fr": NumberWords(
+        FR_NUMBER_WORDS, ["un", "une"], "et",
+        lambda g, t, v, w: (
+            F.when(v == 0, False)
+            .when(v < 10, (g % 10 == 0) & ((g % 100 != 10) | (v >= 7)))
+            .when(v < 20, (g % 100 == 0) | (g % 100 == 60) | (g % 100 == 80))
+            .when(v < 100, _fr_twenty(g, w) | (g % 100 == 0))
+            .when(v == 100, g < 10)
+            .otherwise((t == 0) & (g > 0))),
+        lambda g, t: (g % 10 == 0) & (g % 100 >= 20) & (g % 100 <= 60),
+        lambda v, w: w.isin("un", "une", "onze"),
+        lambda g, v, w: F.when(_fr_twenty(g, w), g - 4 + 80).when(v == 100, F.greatest(g, F.lit(1)) * 100).otherwise(g + v)),
+    "en": NumberWords(
+        EN_NUMBER_WORDS, [], "and",
+        lambda g, t, v, w: (
+            F.when(v == 0, False)
+            .when(v < 10, (g % 10 == 0) & ((g % 100 == 0) | (g % 100 >= 20)))
+            .when(v < 100, g % 100 == 0)
+            .when(v == 100, (g > 0) & (g < 10))
+            .otherwise((t == 0) & (g > 0))),
+        lambda g, t: (g % 100 == 0) & ((g > 0) | (t > 0)),
+        lambda v, w: (v > 0) & (v < 100),
+        lambda g, v, w: F.when(v == 100, F.greatest(g, F.lit(1)) * 100).otherwise(g + v)),
+    # the link "y" is one letter: cleaning drops it, so tens and units may meet
+    "es": NumberWords(
+        ES_NUMBER_WORDS, ["un", "una", "uno"], "y",
+        lambda g, t, v, w: (
+            F.when(v == 0, False)
+            .when(v < 10, (g % 10 == 0) & ((g % 100 == 0) | (g % 100 >= 30)))
+            .when(v < 100, g % 100 == 0)
+            .when(v < 1000, (g == 0) & (t > 0))
+            .otherwise((t == 0) & (g > 0))),
+        lambda g, t: (g % 10 == 0) & (g % 100 >= 30),
+        lambda v, w: (v > 0) & (v < 10),
+        lambda g, v, w: g + v),
+}
+FR_ARTICLES = NUMBER_WORDS["fr"].articles
+NUMBER_RUN_RE, NUMBER_HINT_RE = NUMBER_WORDS["fr"].run, NUMBER_WORDS["fr"].hint
+
+
+def _number_fold(words: Column, lang: NumberWords) -> Column:
     """Fold one run of number words into digit strings (a run that is not
     one number, e.g. ``deux trois``, gives several)."""
-    vals = F.create_map(*[x for w, v in FR_NUMBER_WORDS for x in (F.lit(w), F.lit(v).cast("long"))])
-    init = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).cast("long").alias("g"),
-                    F.lit(0).cast("long").alias("t"), F.lit(False).alias("on"),
-                    F.array().cast("array<string>").alias("ws"), F.lit(False).alias("et"))
+    vals = F.create_map(*[x for w, v in lang.words for x in (F.lit(w), F.lit(v).cast("long"))])
+    none = F.array().cast("array<string>")
+
+    def state(out, g, t, on, ws, link):
+        return F.struct(out.alias("out"), g.cast("long").alias("g"), t.cast("long").alias("t"), on.alias("on"), ws.alias("ws"), link.alias("link"))
+
+    init = state(none, F.lit(0), F.lit(0), F.lit(False), none, F.lit(False))
 
     def flushed(acc):
-        art = (F.size(acc["ws"]) == 1) & acc["ws"].getItem(0).isin(FR_ARTICLES)
+        art = (F.size(acc["ws"]) == 1) & acc["ws"].getItem(0).isin(lang.articles) if lang.articles else F.lit(False)
         num = F.when(art, acc["ws"].getItem(0)).otherwise((acc["t"] + acc["g"]).cast("string"))
         out = F.when(acc["on"], F.concat(acc["out"], F.array(num))).otherwise(acc["out"])
-        return F.when(acc["et"], F.concat(out, F.array(F.lit("et")))).otherwise(out)
+        return F.when(acc["link"], F.concat(out, F.array(F.lit(lang.link)))).otherwise(out)
 
     def step(acc, w):
         g, t = acc["g"], acc["t"]
         v = F.try_element_at(vals, w)
-        g100 = g % 100
-        is_et = w == "et"
-        quatre_vingt = w.startswith("vingt") & (g100 == 4)
-        cont = acc["on"] & F.when(acc["et"], w.isin("un", "une", "onze")).otherwise(
-            F.when(v == 0, False)
-            .when(v < 10, (g % 10 == 0) & ((g100 != 10) | (v >= 7)))
-            .when(v < 20, (g100 == 0) | (g100 == 60) | (g100 == 80))
-            .when(v < 100, quatre_vingt | (g100 == 0))
-            .when(v == 100, g < 10)
-            .otherwise((t == 0) & (g > 0)))
-        cont_g = (F.when(quatre_vingt, g - 4 + 80).when(v < 100, g + v)
-                  .when(v == 100, F.greatest(g, F.lit(1)) * 100).otherwise(F.lit(0)))
-        cont_t = F.when(v == 1000, F.greatest(g, F.lit(1)) * 1000).otherwise(t)
-        start_g = F.when(v == 1000, F.lit(0)).otherwise(v)
-        start_t = F.when(v == 1000, F.lit(1000)).otherwise(F.lit(0))
-        et_ok = acc["on"] & ~acc["et"] & (g % 10 == 0) & (g100 >= 20) & (g100 <= 60)
-        on_et = F.when(et_ok, F.struct(acc["out"].alias("out"), g.alias("g"), t.alias("t"), F.lit(True).alias("on"),
-                                       acc["ws"].alias("ws"), F.lit(True).alias("et"))).otherwise(
-            F.struct(F.concat(flushed(acc), F.array(F.lit("et"))).alias("out"), F.lit(0).cast("long").alias("g"),
-                     F.lit(0).cast("long").alias("t"), F.lit(False).alias("on"),
-                     F.array().cast("array<string>").alias("ws"), F.lit(False).alias("et")))
-        on_cont = F.struct(acc["out"].alias("out"), cont_g.cast("long").alias("g"), cont_t.cast("long").alias("t"),
-                           F.lit(True).alias("on"), F.concat(acc["ws"], F.array(w)).alias("ws"),
-                           F.lit(False).alias("et"))
-        on_new = F.struct(flushed(acc).alias("out"), start_g.cast("long").alias("g"), start_t.cast("long").alias("t"),
-                          F.lit(True).alias("on"), F.array(w).alias("ws"), F.lit(False).alias("et"))
-        return F.when(is_et, on_et).when(cont, on_cont).otherwise(on_new)
+        goes_on = acc["on"] & lang.goes_on(g, t, v, w) & (~acc["link"] | lang.after_link(v, w))
+        on_link = F.when(acc["on"] & ~acc["link"] & lang.link_ok(g, t), state(acc["out"], g, t, F.lit(True), acc["ws"], F.lit(True))).otherwise(
+            state(F.concat(flushed(acc), F.array(F.lit(lang.link))), F.lit(0), F.lit(0), F.lit(False), none, F.lit(False)))
+        thousand = v == 1000
+        on_cont = state(
+            acc["out"], F.when(thousand, F.lit(0)).otherwise(lang.add(g, v, w)), F.when(thousand, F.greatest(g, F.lit(1)) * 1000).otherwise(t),
+            F.lit(True), F.concat(acc["ws"], F.array(w)), F.lit(False))
+        on_new = state(
+            flushed(acc), F.when(thousand, F.lit(0)).otherwise(v), F.when(thousand, F.lit(1000)).otherwise(F.lit(0)),
+            F.lit(True), F.array(w), F.lit(False))
+        return F.when(w == lang.link, on_link).when(goes_on, on_cont).otherwise(on_new)
 
     return F.aggregate(words, init, step, lambda acc: F.array_join(flushed(acc), " "))
 
 
-def _number_words(c: Column) -> Column:
-    """X6 on cleaned (lower-case, single-spaced) text: every run of French
-    number words becomes digits; a lone ``un``/``une`` stays a word.  Runs
-    are found by one regex, folded one by one (each run is a few words), and
-    put back between the untouched segments."""
-    runs = F.regexp_extract_all(c, F.lit(NUMBER_RUN_RE), 0)
-    segs = F.split(c, NUMBER_RUN_RE)
-    conv = F.transform(runs, lambda r: _number_fold(F.split(r, "[ -]")))
+def _number_words(c: Column, lang: NumberWords) -> Column:
+    """X6 on cleaned (lower-case, single-spaced) text: every run of number
+    words becomes digits; a lone article stays a word.  Runs are found by one
+    regex, folded one by one (each run is a few words), and put back between
+    the untouched segments."""
+    runs = F.regexp_extract_all(c, F.lit(lang.run), 0)
+    segs = F.split(c, lang.run)
+    conv = F.transform(runs, lambda r: _number_fold(F.split(r, "[ -]"), lang))
     parts = F.transform(F.arrays_zip(F.slice(segs, 1, F.size(runs)).alias("s"), conv.alias("n")),
                         lambda z: F.concat(z["s"], z["n"]))
     return F.concat(F.array_join(parts, ""), F.element_at(segs, -1))
 
 
-def number_words(c) -> Column:
-    """X6 (see ``_number_words``); texts whose only number words are lone
-    articles (most French text) pay one regex test only."""
-    c = _c(c)
-    return F.when(c.rlike(NUMBER_HINT_RE), _number_words(c)).otherwise(c)
+def number_words(c, lang: str = "fr") -> Column:
+    """X6 in French, English (``en``) or Spanish (``es``); texts whose only
+    number words are lone articles pay one regex test only."""
+    c, words = _c(c), NUMBER_WORDS[lang]
+    return F.when(c.rlike(words.hint), _number_words(c, words)).otherwise(c)
 
 
-def clean_full(c) -> Column:
+def clean_full(c, lang: str = "fr") -> Column:
     """X5 with the number-word step (X6).  ``number_words`` reads its input
     several times: on a DataFrame prefer ``with_clean_full``, which projects
     the cleaned text first."""
-    return number_words(clean(c))
+    return number_words(clean(c), lang)
 
 
-def with_clean_full(df, src: str, dst: str):
+def with_clean_full(df, src: str, dst: str, lang: str = "fr"):
     """Add ``dst`` = X5 + X6 of ``src`` in two projections (cleaned text is
     computed once, then read by the number-word step)."""
     tmp = f"__clean_{dst}"
-    return df.withColumn(tmp, clean(F.col(src))).withColumn(dst, number_words(F.col(tmp))).drop(tmp)
+    return df.withColumn(tmp, clean(F.col(src))).withColumn(dst, number_words(F.col(tmp), lang)).drop(tmp)

@@ -74,3 +74,48 @@ def test_number_words(spark):
     df = spark.createDataFrame([(k,) for k in cases], "t string")
     got = {r.t: r.n for r in df.select("t", T.number_words(F.col("t")).alias("n")).collect()}
     assert got == cases
+
+
+EN = ("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen").split()
+EN_TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
+
+
+def english(n, joint=" and "):
+    if n < 20:
+        return EN[n]
+    if n < 100:
+        return EN_TENS[n // 10 - 2] + (f"-{EN[n % 10]}" if n % 10 else "")
+    if n < 1000:
+        return f"{EN[n // 100]} hundred" + (joint + english(n % 100) if n % 100 else "")
+    rest = n % 1000
+    return f"{english(n // 1000, ' ')} thousand" + ((joint if rest < 100 else " ") + english(rest, joint) if rest else "")
+
+
+ES = ("cero uno dos tres cuatro cinco seis siete ocho nueve diez once doce trece catorce quince dieciséis diecisiete dieciocho diecinueve "
+      "veinte veintiuno veintidós veintitrés veinticuatro veinticinco veintiséis veintisiete veintiocho veintinueve").split()
+ES_TENS = "treinta cuarenta cincuenta sesenta setenta ochenta noventa".split()
+ES_HUNDREDS = "ciento doscientos trescientos cuatrocientos quinientos seiscientos setecientos ochocientos novecientos".split()
+
+
+def spanish(n):
+    if n < 30:
+        return ES[n]
+    if n < 100:
+        return ES_TENS[n // 10 - 3] + (f" y {ES[n % 10]}" if n % 10 else "")
+    if n < 1000:
+        return "cien" if n == 100 else ES_HUNDREDS[n // 100 - 1] + (f" {spanish(n % 100)}" if n % 100 else "")
+    return ("mil" if n // 1000 == 1 else f"{spanish(n // 1000)} mil") + (f" {spanish(n % 1000)}" if n % 1000 else "")
+
+
+def test_number_words_in_english_and_spanish(spark):
+    from clausefold.functions import text as T
+    numbers = [*range(0, 130), *range(190, 1000, 37), 1000, 1001, 1100, 2019, 10000, 21345, 100000, 305042, 999999]
+    for lang, name, alone in (("en", english, ()), ("es", spanish, (1,))):
+        rows = [(n, f"abc {name(n)} xyz") for n in numbers]
+        df = T.with_clean_full(spark.createDataFrame(rows, "n long, text string"), "text", "got", lang)
+        for r in df.collect():
+            want = name(r.n) if r.n in alone else str(r.n)
+            assert r.got == f"abc {want} xyz", (lang, r.text, r.got)
+    plain = [("en", "thirty days or one hundred and five"), ("es", "treinta dias y veinticinco meses"), ("en", "two three"), ("en", "sand and band")]
+    got = [spark.createDataFrame([(t,)], "text string").select(T.clean_full(F.col("text"), lang)).first()[0] for lang, t in plain]
+    assert got == ["30 days or 105", "30 dias 25 meses", "2 3", "sand and band"]
