@@ -23,7 +23,7 @@ WORD_BYTES = bytes(
 SPACED_WORD = r"[^\x20\x09-\x0D]+"
 
 #: Rows that one numbering bucket holds on average, at any table size.
-ROWS_PER_BUCKET = 1 << 14
+ROWS_PER_BUCKET = 1 << 11
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
