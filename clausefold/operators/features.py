@@ -108,7 +108,7 @@ def hash_split(df: DataFrame, id_col: str, frac: float = 0.25, seed: int = 1,
 # Terms are hashed: no vocabulary is gathered on the driver and no term is
 # dropped.  The space follows the number of distinct terms, HASH_ROOM places
 # for each (up to LARGEST_SPACE), so as few terms share a feature at any size.
-HASH_ROOM, LARGEST_SPACE = 4, 1 << 24
+HASH_ROOM, LARGEST_SPACE = 2, 1 << 24
 
 
 def hashed_counts(input_col: str, output_col: str):

@@ -105,8 +105,10 @@ def fit(data: DataFrame, cfg: SubModel, text_col: str = "text"):
     # the cleaned, coded rows are read by every vectorizer fit and every
     # optimizer pass: write them once to the shared checkpoint folder, which
     # also cuts the lineage (every job of the fit then plans a plain scan)
+    # the optimizer waits for its largest task in every pass, so the rows are
+    # dealt evenly to all cores
     checkpoint_dir(data.sparkSession)
-    data = data.checkpoint(eager=True)
+    data = data.repartition(data.sparkSession.sparkContext.defaultParallelism).checkpoint(eager=True)
     # classes present in the training rows (a handful of values): one-vs-rest
     # needs labels 0..k-1, so sparse codes are made dense for the fit and
     # mapped back at prediction time; a single class needs no model

@@ -358,21 +358,21 @@ SELECT source, ensemble_no, macro_f1 FROM (
 
 # ---------------------------------------------------------------------------
 # Concepts, typing and policies on contract clauses
-def _concepts(x: str, vocab=R.ALL_CONCEPTS) -> str:
+def _concepts(x: str, vocab=X.CONCEPT_TERMS) -> str:
     items = ", ".join(
         "CASE WHEN " + " OR ".join(f"contains({x}, {q(t)})" for t in terms) + f" THEN {q(n)} END"
         for n, terms in vocab)
     return f"list_filter([{items}], lambda c: c IS NOT NULL)"
 
 
-_ALL_NAMES = "[" + ", ".join(q(n) for n, _ in R.ALL_CONCEPTS) + "]"
+_ALL_NAMES = "[" + ", ".join(q(n) for n, _ in X.CONCEPT_TERMS) + "]"
 BODY = f"replace({X.clean('text')}, ',', '')"
 SQL["concept_in"] = f"""WITH {CONTRACT}, b AS (SELECT clause_id, {BODY} AS body FROM contract_clause)
 SELECT clause_id, unnest({_concepts('lower(body)')}) AS concept FROM b"""
 SQL["concept_not_in"] = f"""WITH {CONTRACT}, b AS (SELECT clause_id, {_concepts('lower(' + BODY + ')')} AS found FROM contract_clause)
 SELECT clause_id, unnest(list_filter({_ALL_NAMES}, lambda n: NOT list_contains(found, n))) AS concept FROM b"""
 
-_tt = dict(R.TYPES)
+_tt = dict(X.TYPE_TERMS)
 _tok_whens = [(n, i) for i, n in enumerate(R.TYPE_CLASSES) if n in _tt]
 _TT_TYPE = "(CASE " + " ".join(
     f"WHEN list_has_any(tok, [{', '.join(q(t) for t in _tt[n])}]) THEN {q(n)}" for n, i in _tok_whens) + " END)"
@@ -381,22 +381,20 @@ _TT_CODE = "(CASE " + " ".join(
 SQL["title_type_token"] = f"""WITH {CONTRACT}, t AS (SELECT clause_id, {X.ws_split('title')} AS tok FROM contract_clause)
 SELECT clause_id, {_TT_TYPE} AS type, {_TT_CODE} AS code FROM t"""
 SQL["title_type_contains"] = f"""WITH {CONTRACT}, t AS (SELECT clause_id, {X.clean('title')} AS t FROM contract_clause)
-SELECT clause_id, unnest({_concepts('t', R.TYPES)}) AS type FROM t"""
+SELECT clause_id, unnest({_concepts('t', X.TYPE_TERMS)}) AS type FROM t"""
 
 
 def _arr(xs) -> str:
     return "[" + ", ".join(q(x) for x in xs) + "]::VARCHAR[]"
 
 
-_rules_values = ", ".join(
-    f"({i}, {q(p)}, {q(ty)}, {_arr(cn)}, {_arr(cf)}, {_arr(sn)}, {q(op) if op else 'NULL'}, {days if days is not None else 'NULL'}, {q(scope)})"
-    for i, (p, no, ty, cn, cf, sn, op, days, scope) in enumerate(R.POLICY_RULES))
+_rules_values = X.RULE_ROWS
 _SENT_HIT = ("((r.dur_op IS NULL OR (r.dur_op = '<' AND len(list_filter(s.durs, lambda d: d < r.dur_days)) > 0)"
              " OR (r.dur_op = '>' AND len(list_filter(s.durs, lambda d: d > r.dur_days)) > 0))"
              " AND list_has_all(s.concepts, r.sent_need))")
 ANALYSIS = f"""{CONTRACT},
 a AS (SELECT clause_id, {X.clean('title')} AS t, replace({X.clean('dtext')}, ',', '') AS body FROM contract_clause),
-b AS (SELECT clause_id, {_concepts('t', R.TYPES)} AS cands, {_concepts('lower(body)')} AS concepts,
+b AS (SELECT clause_id, {_concepts('t', X.TYPE_TERMS)} AS cands, {_concepts('lower(body)')} AS concepts,
         list_transform(string_split(body, '.'), lambda s: {{'text': s || '.', 'durs': {X.durations_days('s')},
           'concepts': {_concepts('lower(s)')}}}) AS sents FROM a),
 rules(idx, policy, type, clause_need, clause_forbid, sent_need, dur_op, dur_days, scope) AS (VALUES {_rules_values}),
@@ -471,7 +469,7 @@ FROM b LEFT JOIN pol ON pol.clause_id = b.clause_id"""
 # a request that names its type is checked against that type only
 _ANSWERS = ANALYSIS.replace("a AS (SELECT clause_id, ", "a AS (SELECT clause_id, given, ").replace(
     "FROM contract_clause),\nb AS (SELECT clause_id, ", "FROM asked),\nb AS (SELECT clause_id, given, ").replace(
-    f"{_concepts('t', R.TYPES)} AS cands", f"{_concepts('t', R.TYPES)} AS found, CASE WHEN given <> '' THEN [given] ELSE {_concepts('t', R.TYPES)} END AS cands")
+    f"{_concepts('t', X.TYPE_TERMS)} AS cands", f"{_concepts('t', X.TYPE_TERMS)} AS found, CASE WHEN given <> '' THEN [given] ELSE {_concepts('t', X.TYPE_TERMS)} END AS cands")
 _ANSWERS = _ANSWERS.replace(CONTRACT + ",", f"""{REQUESTS.replace("b.text, 'services'", "b.text, b.dtext, 'services'")},
 routed AS (SELECT *, concat_ws(',', {', '.join(f"CASE WHEN {f} IS NULL THEN '{f}' END" for f in _FIELDS)}) AS missing,
   CASE WHEN type = '' THEN 'full' WHEN anomalous = '' THEN 'beta_gamma'

@@ -1,12 +1,50 @@
 """DuckDB SQL fragments mirroring the Column builders in
 ``clausefold.functions``.  Used only to write the oracle SQL that checks the
-Spark queries; the engine itself never runs this SQL."""
+Spark queries; the engine itself never runs this SQL.  Patterns, folds, units,
+vocabularies and rules are stated here once more, so a wrong one in the engine
+shows."""
 
 from __future__ import annotations
 
-from clausefold.functions.text import (  # noqa: F401
-    DAY_TERMS, FOLD_DST, FOLD_MULTI, FOLD_SRC, MONTH_TERMS, VALUE_UNIT_RE, WS_RUN, YEAR_TERMS,
-)
+# White space, a value with its unit, and duration units
+WS_RUN = "[\\t\\n\\x0B\\f\\r\\x1C-\\x1F ]+"
+VALUE_UNIT_RE = "([0-9]+)" + WS_RUN + "([\\p{L}\\p{N}_]+)"
+DAY_TERMS, MONTH_TERMS, YEAR_TERMS = ["day", "jour", "journee"], ["month", "mois"], ["year", "an", "annee"]
+# Letters that fold to more than one
+LIGATURES = [("ß", "ss"), ("æ", "ae"), ("œ", "oe"), ("Æ", "AE"), ("Œ", "OE")]
+
+# Types and concepts with their terms, types last
+TYPE_TERMS = [
+    ("indemnisation", ["indemnite", "indemnisation"]), ("non_concurrence", ["concurrence"]),
+    ("non_sollicitation", ["debauchage", "sollicitation"]),
+    ("paiement", ["prix", "paiement", "finance", "financier", "financieres", "remuneration", "facturation"]),
+    ("resiliation", ["resiliation"]),
+]
+CONCEPT_TERMS = [
+    ("cheque", ["cheque"]), ("client", ["client"]), ("convenance", ["convenance"]), ("fournisseur", ["prestataire", "fournisseur"]),
+    ("partenaire", ["associe", "partenaire", "intermediaire"]), ("preavis", ["delai", "preavis"]),
+    ("remuneration", ["indemnite", "remuneration"]), ("virement", ["transfert", "virement"]), *TYPE_TERMS,
+]
+
+# The policy rules as SQL rows (place, policy, type, concepts a
+# clause needs, concepts it must not have, concepts of the sentence, duration
+# test, days, scope)
+RULE_ROWS = """
+(0, 'R2', 'non_sollicitation', []::VARCHAR[], []::VARCHAR[], []::VARCHAR[], '<', 365, 'sentence'),
+(1, 'R3', 'non_sollicitation', ['partenaire'], ['client'], []::VARCHAR[], NULL, NULL, 'clause'),
+(2, 'R4', 'non_sollicitation', []::VARCHAR[], []::VARCHAR[], ['remuneration'], '<', 360, 'sentence'),
+(3, 'R4', 'non_sollicitation', []::VARCHAR[], ['remuneration'], []::VARCHAR[], NULL, NULL, 'clause'),
+(4, 'R5', 'non_sollicitation', ['fournisseur'], ['client'], []::VARCHAR[], NULL, NULL, 'clause'),
+(5, 'R7', 'resiliation', []::VARCHAR[], []::VARCHAR[], []::VARCHAR[], '>', 60, 'sentence'),
+(6, 'R7', 'resiliation', []::VARCHAR[], []::VARCHAR[], []::VARCHAR[], '<', 30, 'sentence'),
+(7, 'R8', 'resiliation', ['fournisseur'], ['client'], []::VARCHAR[], NULL, NULL, 'clause'),
+(8, 'R9', 'resiliation', []::VARCHAR[], ['preavis'], []::VARCHAR[], NULL, NULL, 'clause'),
+(9, 'R10', 'resiliation', ['preavis', 'fournisseur'], ['client'], []::VARCHAR[], NULL, NULL, 'clause'),
+(10, 'R11', 'paiement', []::VARCHAR[], []::VARCHAR[], ['cheque'], NULL, NULL, 'sentence'),
+(11, 'R11', 'paiement', []::VARCHAR[], ['virement'], []::VARCHAR[], NULL, NULL, 'clause'),
+(12, 'R12', 'paiement', []::VARCHAR[], []::VARCHAR[], []::VARCHAR[], '>', 45, 'sentence'),
+(13, 'R13', 'indemnisation', []::VARCHAR[], []::VARCHAR[], []::VARCHAR[], NULL, NULL, 'clause'),
+(14, 'R15', 'non_concurrence', []::VARCHAR[], []::VARCHAR[], []::VARCHAR[], '>', 365, 'sentence')"""
 
 
 def q(s: str) -> str:
@@ -19,9 +57,9 @@ def zfill(x: str, w: int) -> str:
 
 
 def fold(x: str) -> str:
-    for s, d in FOLD_MULTI:
+    for s, d in LIGATURES:
         x = f"replace({x}, {q(s)}, {q(d)})"
-    return f"translate({x}, {q(FOLD_SRC)}, {q(FOLD_DST)})"
+    return f"strip_accents({x})"
 
 
 def strip_ws(x: str) -> str:
