@@ -79,6 +79,19 @@ def numbered(df: DataFrame, group: list[str], order: list[Column | str], spread:
             .drop(b, "__sb", first, *[f"__{c}" for c in group]))
 
 
+#: Bytes of a batch that goes to a Python worker; Spark's own bound is 64 MB,
+#: of which a worker holds several copies.
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's bound on Arrow batches to ``BATCH_BYTES``."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key).lower().removesuffix("b")
+    if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def binary(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     """The UTF-8 bytes of a string column, without decoding them."""
     if isinstance(column, pa.ChunkedArray):
@@ -98,6 +111,7 @@ def append_columns(df: DataFrame, needs: list[str], new: list[T.StructField],
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    bound_batches(df.sparkSession)
     names = {f.name for f in new}
     kept = [f for f in df.schema.fields if f.name not in names]
     schema = T.StructType([*kept, *new])
