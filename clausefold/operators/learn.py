@@ -96,6 +96,39 @@ def training_rows(data: DataFrame, cfg: SubModel, id_col: str = "id", text_col:
     return d
 
 
+@dataclass
+class Prepared:
+    """Rows to learn from, rows to test on, and the size of each class
+    after each step (A17)."""
+    train: DataFrame
+    test: DataFrame
+    report: DataFrame
+
+
+def prepare(data: DataFrame, cfg: SubModel, generations: int = 0, fraction: float = 0.25, seed: int = 1) -> Prepared:
+    """split, then ``generations`` rounds of genetic oversampling (G2) of
+    the training texts, then cleaning and coding, and random oversampling (G1)
+    if the configuration asks for it; the vectorizer follows in ``fit``.
+    ``data`` is (id, text, label) with an integer id; a child's id is its key.
+    """
+    from clausefold.operators import balance as B
+
+    split = FE.hash_split(data, "id", fraction, seed)
+    train, test = split.where(~F.col("is_test")).drop("is_test"), split.where("is_test").drop("is_test")
+    grown = train.select(F.col("id").cast("string").alias("id"), "text", "label")
+    if generations:
+        out = B.genetic_oversample(train, "label", "id", "text", generations, seed, data.sparkSession)
+        grown = out.select(B.key_string(F.col("__key")).alias("id"), "text", "label")
+    rows = training_rows(grown, cfg)
+
+    def sizes(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy("label").agg(F.count(F.lit(1)).alias(name))
+
+    report = sizes(data, "n_rows").join(sizes(train, "n_train"), "label", "left").join(
+        sizes(grown, "n_genetic"), "label", "left").join(sizes(rows, "n_prepared"), "label", "left")
+    return Prepared(rows, test, report)
+
+
 def fit(data: DataFrame, cfg: SubModel, text_col: str = "text"):
     """Fit vectorizer + classifier as one ``PipelineModel``."""
     from pyspark.ml import Pipeline

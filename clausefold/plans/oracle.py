@@ -600,7 +600,7 @@ SQL["kb_evaluation"] = f"""WITH {ANALYSIS},
 ev AS (SELECT {_EXP}[CAST(substr(o.o_orderpriority, 1, 1) AS INTEGER)] AS expected,
               coalesce(list_min(b.cands), 'None') AS predicted
        FROM b JOIN orders o ON o.o_orderkey = b.clause_id JOIN contract_clause c ON c.clause_id = b.clause_id
-       WHERE {X.strip_ws('c.text')} <> ''),
+       WHERE {X.strip_ws('c.text')} <> '' AND substr(o.o_orderpriority, 1, 1) <> '5'),
 conf AS (SELECT expected, predicted, count(*) AS cnt FROM ev GROUP BY ALL),
 pl AS {_per_label('conf', [])}
 SELECT CAST(label AS VARCHAR) AS label, precision, recall, f1, support FROM pl
@@ -735,3 +735,19 @@ SELECT DISTINCT n.type, t.first_pos, r.policy, p.applies, n.n_clauses
 FROM n JOIN t ON t.type = n.type JOIN rules r ON r.type = n.type JOIN p ON p.policy = r.policy"""
 SQL["encoding_repair"] = "SELECT doc_id, md5(text || '’€') AS text_md5, doc_id % 2 = 1 AS repaired FROM documents"
 SQL["document_store"] = """SELECT md5(concat_ws('|', source, CAST(doc_id AS VARCHAR))) AS _id, doc_id, coalesce(lang, 'none') AS domain, source, n_chars FROM documents"""
+
+_ROUND = SQL["genetic_children"].split("SELECT lang, a_id, b_id, md5(child_a)")[0].replace("SELECT p.lang, a.doc_id AS a_id", "SELECT p.lang, p.off, a.doc_id AS a_id").replace(
+    "s4 AS (SELECT lang, a_id", "s4 AS (SELECT lang, off, a_id")
+SQL["genetic_round_texts"] = f"""{_ROUND}
+SELECT lang, CAST(doc_id AS VARCHAR) || '.0' AS key, md5(text) AS text_md5 FROM d
+UNION ALL SELECT lang, CAST(a_id AS VARCHAR) || '.' || CAST(2 * off - 1 AS VARCHAR), md5(child_a) FROM s4
+UNION ALL SELECT lang, CAST(a_id AS VARCHAR) || '.' || CAST(2 * off AS VARCHAR), md5(child_b) FROM s4"""
+SQL["prepared_sizes"] = f"""WITH s AS (SELECT lang, row_number() OVER (ORDER BY {_h32("'1'", 'CAST(doc_id AS VARCHAR)')}, doc_id) <=
+    (SELECT ceil(count(*) * 0.25) FROM documents) AS is_test FROM documents),
+n AS (SELECT lang AS label, count(*) AS n_rows, count(*) FILTER (WHERE NOT is_test) AS m FROM s GROUP BY lang),
+g AS (SELECT label, n_rows, m AS n_train, CAST({_law('m', 'max(m) OVER () / m')} AS BIGINT) AS n_genetic FROM n)
+SELECT label, n_rows, n_train, n_genetic, max(n_genetic) OVER () AS n_prepared FROM g"""
+_ORDERED = ", ".join(f"({i}, {q(m)})" for i, (m, _, _) in enumerate(E.sub_models()))
+SQL["composite_predictions"] = SQL["ensemble_search"].split("members(ensemble_no")[0] + f"""names(pos, model) AS (VALUES {_ORDERED})
+SELECT d.id AS doc_id, string_agg(coalesce(CAST(p.y AS VARCHAR), '-'), ',' ORDER BY n.pos) AS codes
+FROM d CROSS JOIN names n LEFT JOIN preds p ON p.id = d.id AND p.model = n.model GROUP BY d.id"""
