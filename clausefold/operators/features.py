@@ -161,11 +161,12 @@ def count_stages(text_col: str, out_col: str = "features"):
     return [grams, hashed_counts("__grams", out_col)]
 
 
-def hashing_stages(text_col: str, out_col: str = "features", num_features: int = 1 << 20):
-    """hashing vectorizer (2^20 buckets by default, L2)."""
+def hashing_stages(text_col: str, out_col: str = "features", num_features: int | None = 1 << 20):
+    """hashing vectorizer (2^20 buckets by default, L2); without a number
+    the space follows the distinct terms, as in the other stages."""
     from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer
     tok = RegexTokenizer(inputCol=text_col, outputCol="__tok", pattern="[\\p{L}\\p{N}_]{2,}", gaps=False)
-    htf = HashingTF(inputCol="__tok", outputCol="__htf", numFeatures=num_features)
+    htf = HashingTF(inputCol="__tok", outputCol="__htf", numFeatures=num_features) if num_features else hashed_counts("__tok", "__htf")
     return [tok, htf, Normalizer(inputCol="__htf", outputCol=out_col, p=2.0)]
 
 

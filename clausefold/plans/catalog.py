@@ -650,7 +650,8 @@ def model_zoo(spark, sf_dir):
     out = None
     for fe in ["tfidf", "hash"]:
         for clf in ["svm", "logreg", "nb"]:
-            cfg = L.SubModel(1, E.LANG_MAPPING, granularity=0, transformer=fe, classifier=clf)
+            cfg = L.SubModel(1, E.LANG_MAPPING, granularity=0, transformer=fe, classifier=clf,
+                             vectorizer_args={"num_features": None} if fe == "hash" else {})
             model = L.fit(L.training_rows(train, cfg), cfg)
             m = L.evaluate(L.predict_ballots(model, test, cfg), truth)
             m = m.select(F.lit(fe).alias("fe"), F.lit(clf).alias("clf"), "accuracy", "macro_f1")
