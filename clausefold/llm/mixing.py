@@ -2,8 +2,12 @@
 
 1. Words are counted per source, and targets are filled like water: sources
    share the words by weight, none above ``max_epochs`` times its size.
-2. A source is laid end to end along a word axis and cut into at most
-   ``blocks`` equal blocks; its quota is a whole number of blocks.
+2. A source is laid end to end along a word axis, which is cut into at most
+   ``blocks`` equal stretches; a block is the run of documents whose first
+   words lie in one stretch.  Only a document of more than ``LONG_WORDS``
+   words that is also longer than a stretch is split, into runs of its words.
+   A quota is a number of blocks: all of them for each full pass, and for the
+   rest blocks in random order, by their real words, as long as they fit.
 3. The quotas are dealt to the output shards down a binary tree: a node's
    left half takes an exact share of the node's blocks, and how many of them
    come from each source is one multivariate-hypergeometric draw, made source
@@ -26,6 +30,10 @@ from clausefold.llm.common import SPACED_WORD, bucket_count, let, uniform, writt
 
 #: Beyond so many entries the permutation table is joined, not broadcast.
 BROADCAST_ENTRIES = 1 << 20
+#: No document of up to so many words is split, however small its source.
+LONG_WORDS = 1 << 12
+#: Blocks on either side that are traded to meet a target.
+TRADED = 64
 
 
 def word_count(text: Column) -> Column:
@@ -158,14 +166,78 @@ def split_quotas(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
     return by_shard.select("idx", bounds.alias("bounds"))
 
 
+def _parts(at: Column, size: Column, words: Column, blocks: int) -> Column:
+    """The parts (block, word_from, word_to) of a document of ``size`` words
+    that begins at word ``at`` of the ``words`` of its source.
+
+    One part, the whole document, in the block of its first word; a document
+    that is longer than ``LONG_WORDS`` and than a stretch has as few equal runs
+    of words as are not.
+    """
+    z = F.lit(0).cast("long")
+    stretches = F.least(words, F.lit(blocks).cast("long"))
+    facts = F.struct(at.alias("at"), size.alias("size"), words.alias("words"), stretches.alias("n"),
+                     F.greatest(F.lit(LONG_WORDS).cast("long"), F.call_function("div", words + stretches - 1, stretches)).alias("most"))
+
+    def cut(f: Column) -> Column:
+        runs = F.call_function("div", f["size"] + f["most"] - 1, f["most"])
+
+        def part(i: Column) -> Column:
+            lo, hi = F.call_function("div", f["size"] * i, runs), F.call_function("div", f["size"] * (i + 1), runs)
+            return F.struct(F.call_function("div", (f["at"] + lo) * f["n"], f["words"]).alias("block"), lo.alias("word_from"), hi.alias("word_to"))
+
+        return F.transform(F.sequence(z, runs - 1), part)
+
+    nothing = F.array().cast("array<struct<block:bigint,word_from:bigint,word_to:bigint>>")
+    return F.when(size > 0, let(facts, cut)).otherwise(nothing)
+
+
+def _fit(drawn: Column, goal: Column) -> Column:
+    """The numbers of the blocks of ``drawn`` (h, b, words) that share
+    ``goal`` words: in their order, every block that still fits; then, if the
+    sum comes nearer to the goal, one of the last ``TRADED`` of these goes, one
+    of the first ``TRADED`` others comes, or both.  The sum misses the goal by
+    less than the smallest block not taken."""
+    z = F.lit(0).cast("long")
+    # blocks up to the first that does not fit, found without copying arrays
+    start = F.struct(goal.alias("left"), z.alias("k"), F.lit(True).alias("on"))
+
+    def step(s: Column, x: Column) -> Column:
+        return F.when(s["on"] & (x["words"] <= s["left"]), F.struct(
+            (s["left"] - x["words"]).alias("left"), (s["k"] + 1).alias("k"), s["on"].alias("on"))).otherwise(
+            F.struct(s["left"].alias("left"), s["k"].alias("k"), F.lit(False).alias("on")))
+
+    def fill(s: Column) -> Column:
+        blocks = F.transform(drawn, lambda x: F.struct(x["words"].alias("words"), x["b"].alias("b")))
+        head, tail = F.slice(blocks, F.lit(1), s["k"].cast("int")), F.slice(blocks, (s["k"] + 1).cast("int"), F.size(drawn))
+        none = F.array().cast("array<struct<words:bigint,b:bigint>>")
+        some = F.aggregate(tail, F.struct(s["left"].alias("left"), none.alias("out")), lambda t, x: F.when(
+            x["words"] <= t["left"], F.struct((t["left"] - x["words"]).alias("left"), F.concat(t["out"], F.array(x)).alias("out"))).otherwise(t))
+        return let(some, lambda t: let(F.struct(
+            F.concat(head, t["out"]).alias("taken"), F.array_except(tail, t["out"]).alias("rest"), t["left"].alias("left")), trade))
+
+    def trade(f: Column) -> Column:
+        nobody = F.array(F.struct(z.alias("words"), F.lit(-1).cast("long").alias("b")))
+        n = F.size(f["taken"])
+        goes = F.concat(nobody, F.slice(f["taken"], F.greatest(F.lit(1), n - F.lit(TRADED - 1)), F.lit(TRADED)))
+        comes = F.concat(nobody, F.slice(f["rest"], F.lit(1), F.lit(TRADED)))
+        pairs = F.flatten(F.transform(goes, lambda g: F.transform(comes, lambda c: F.struct(
+            F.abs(f["left"] + g["words"] - c["words"]).alias("error"), g["b"].alias("goes"), c["b"].alias("comes")))))
+        return let(F.array_min(pairs), lambda m: F.filter(
+            F.concat(F.transform(f["taken"], lambda x: x["b"]), F.array(m["comes"])), lambda b: (b >= 0) & (b != m["goes"])))
+
+    return let(F.aggregate(drawn, start, step), fill)
+
+
 def mix(docs: DataFrame, carry: list[str], shards: int = 8, weights: tuple[float, ...] = (1.0, 2.0, 3.0),
         max_epochs: int = 3, blocks: int = 4096, seed: int = 20) -> DataFrame:
     """One row per document: the columns ``carry``, then ``size``,
     ``source_size``, ``target`` and ``pieces``.
 
-    A piece (pass, block, word_from, word_to, shard, order_key) is a run of the
-    document's words that goes to a shard in one pass over its source; a
-    document that is not taken has none.  Null texts and texts without words
+    A piece (pass, block, word_from, word_to, rank, shard, order_key) is a run
+    of the document's words that goes to a shard in one pass over its source:
+    all of them, unless the document is split.  A document that is not taken
+    has none.  Null texts and texts without words
     have size 0 and no pieces; null sources form one source; repeated rows are
     documents like any other; an empty table gives no rows.  Columns named
     like the new ones are replaced.  Positions along a source come from two
@@ -181,53 +253,55 @@ def mix(docs: DataFrame, carry: list[str], shards: int = 8, weights: tuple[float
     base = base.withColumn(key, _source_key(F.col("source"))).withColumn(bucket, F.pmod("__h", F.lit(buckets)))
     starts = base.groupBy(key, bucket).agg(F.first("source").alias("source"), F.sum("size").alias("words"))
     starts = written(starts, "mix-buckets")
+    before = Window.partitionBy(key).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    first = starts.select(key, bucket, F.coalesce(F.sum("words").over(before), F.lit(0)).alias("__first"),
+                          F.sum("words").over(Window.partitionBy(key)).alias("__words"))
+    inside = Window.partitionBy(key, bucket).orderBy("__h", "size", "__crc").rowsBetween(Window.unboundedPreceding, -1)
+
+    def laid_out(rows: DataFrame) -> DataFrame:
+        at = F.col("__first") + F.coalesce(F.sum("size").over(inside), F.lit(0))
+        return rows.join(first, [key, bucket]).withColumn("parts", _parts(at, F.col("size"), F.col("__words"), blocks))
 
     sizes = starts.groupBy(key).agg(F.first("source").alias("source"), F.sum("words").alias("source_size"))
     plan = targets(sizes, list(weights), max_epochs).withColumn(key, _source_key(F.col("source")))
-    plan = plan.withColumn("n_blocks", F.least(F.col("source_size"), F.lit(blocks).cast("long")))
-    plan = plan.withColumn("quota", F.when(F.col("source_size") > 0, F.round(
-        F.col("target") * F.col("n_blocks") / F.col("source_size")).cast("long")).otherwise(F.lit(0).cast("long")))
-    plan = written(plan, "mix-plan")
+    narrow = laid_out(base.select(key, bucket, "__h", "size", "__crc")).select(key, F.explode("parts").alias("p"))
+    filled = narrow.groupBy(key, F.col("p.block").alias("b")).agg(F.sum(F.col("p.word_to") - F.col("p.word_from")).alias("words"))
+    drawn = filled.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.xxhash64(F.lit(seed), key, "b").alias("h"), "b", "words"))).alias("drawn"))
+    plan = plan.join(drawn, key, "left").withColumn("drawn", F.coalesce("drawn", F.array().cast(drawn.schema["drawn"].dataType)))
+    # whole passes take all blocks; what is left of the target takes some
+    plan = plan.withColumn("goal", F.round("target").cast("long")).withColumn("n_blocks", F.size("drawn").cast("long"))
+    passes = F.when(F.col("source_size") > 0, F.call_function("div", F.col("goal"), F.col("source_size"))).otherwise(F.lit(0).cast("long"))
+    plan = plan.withColumn("passes", passes)
+    plan = written(plan.withColumn("fit", _fit(F.col("drawn"), F.col("goal") - F.col("passes") * F.col("source_size"))), "mix-plan")
+    plan = plan.withColumn("quota", F.col("passes") * F.col("n_blocks") + F.size("fit"))
     n_sources = plan.count()
     plan = plan.join(split_quotas(plan.select("idx", "quota"), shards, seed), "idx")
-    # ranks[b] is the place of block b in the source's permuted list
-    at = F.transform(F.sequence(F.lit(1).cast("long"), F.col("n_blocks")), lambda b: F.struct(F.xxhash64(F.lit(seed), key, b).alias("h"), b.alias("b")))
-    listed = F.transform(F.array_sort(at), lambda s, r: F.struct(s["b"].alias("b"), r.cast("long").alias("r")))
-    ranks = F.when(F.col("n_blocks") > 0, F.transform(F.array_sort(listed), lambda s: s["r"])).otherwise(F.array().cast("array<bigint>"))
+    # ranks[b] is the place of block b in the source's permuted list, in which
+    # the blocks of the last, partial pass come first; null if b holds nothing
+    every = F.transform("drawn", lambda s: s["b"])
+    order = F.concat(F.col("fit"), F.array_except(every, "fit"))
+    listed = F.transform(order, lambda b, r: F.struct(b.alias("b"), r.cast("long").alias("r")))
+    stretches = F.least(F.col("source_size"), F.lit(blocks).cast("long"))
+    unused = F.when(stretches > 0, F.array_except(F.sequence(F.lit(0).cast("long"), stretches - 1), every)).otherwise(F.array().cast("array<bigint>"))
+    unused = F.transform(unused, lambda b: F.struct(b.alias("b"), F.lit(None).cast("long").alias("r")))
+    ranks = F.transform(F.array_sort(F.concat(listed, unused)), lambda s: s["r"])
     plan = written(plan.select(key, "source_size", "target", "n_blocks", "quota", "bounds", ranks.alias("ranks")), "mix-ranks")
 
-    before = Window.partitionBy(key).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    first = starts.select(key, bucket, F.coalesce(F.sum("words").over(before), F.lit(0)).alias("__first"))
-    inside = Window.partitionBy(key, bucket).orderBy("__h", "size", "__crc").rowsBetween(Window.unboundedPreceding, -1)
-    laid = base.join(first, [key, bucket]).withColumn("__at", F.col("__first") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     small = n_sources * blocks <= BROADCAST_ENTRIES
-    laid = laid.join(F.broadcast(plan) if small else plan, key)
-
-    n, words, begin, end = F.col("n_blocks"), F.col("source_size"), F.col("__at"), F.col("__at") + F.col("size")
-
-    def edge(b: Column) -> Column:
-        """The first word of block b: the smallest x whose block is b."""
-        return F.call_function("div", b * words + n - 1, n)
-
-    def block(x: Column) -> Column:
-        return F.call_function("div", x * n, words)
+    laid = laid_out(base).join(F.broadcast(plan) if small else plan, key)
 
-    touched = F.when(F.col("size") > 0, F.sequence(block(begin), block(end - 1))).otherwise(F.array().cast("array<bigint>"))
-
-    def pieces_of(b: Column) -> Column:
-        lo = F.greatest(edge(b), begin) - begin
-        hi = F.least(edge(b + 1), end) - begin
+    def pieces_of(part: Column) -> Column:
 
         def piece(p: Column) -> Column:
-            t = F.element_at(F.col("ranks"), (b + 1).cast("int")) + p * n
+            t = F.element_at(F.col("ranks"), (part["block"] + 1).cast("int")) + p * F.col("n_blocks")
             shard = F.size(F.filter("bounds", lambda e: e <= t)) - 1
             return F.struct(
-                p.cast("int").alias("pass"), b.alias("block"), lo.alias("word_from"), hi.alias("word_to"), t.alias("rank"),
-                shard.cast("int").alias("shard"), F.xxhash64(F.lit(seed), shard, F.col(key), t, F.col("__h")).alias("order_key"))
+                p.cast("int").alias("pass"), part["block"].alias("block"), part["word_from"].alias("word_from"), part["word_to"].alias("word_to"),
+                t.alias("rank"), shard.cast("int").alias("shard"), F.xxhash64(F.lit(seed), shard, F.col(key), t, F.col("__h")).alias("order_key"))
 
         return F.transform(F.sequence(F.lit(0).cast("long"), F.lit(max_epochs - 1).cast("long")), piece)
 
-    pieces = F.filter(F.flatten(F.transform(touched, pieces_of)), lambda p: p["rank"] < F.col("quota"))
+    pieces = F.filter(F.flatten(F.transform("parts", pieces_of)), lambda p: p["rank"] < F.col("quota"))
     return laid.select(*carry, "size", "source_size", "target", pieces.alias("pieces"))
 
 
@@ -239,23 +313,32 @@ def mix_digest(docs: DataFrame, **options) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix as documents: a row for each pass that takes words of a
-    document, with the columns of ``docs``.  A pass that takes all words keeps
-    the text as it is; else the text is the taken words, joined by spaces.
-    ``n_chars``, if there is such a column, follows the text."""
+    """The mix as documents: a row for each pass that takes a document, with
+    the columns of ``docs`` and the text as it is.  Of a split document, each
+    run of words that lie together is a row, joined by spaces unless it is the
+    whole.  ``n_chars``, if there is such a column, follows the text."""
     columns = docs.columns
     kept = [F.col(c).alias(f"c{i}") for i, c in enumerate(columns)]
     inner = docs.select("doc_id", "source", "text", *kept)
     laid = mix(inner, inner.columns, **options)
-    passes = F.array_distinct(F.transform("pieces", lambda p: p["pass"]))
-    rows = laid.select("size", "text", *[f"c{i}" for i in range(len(columns))], "pieces", F.explode(passes).alias("__pass"))
-    own = F.filter("pieces", lambda p: p["pass"] == F.col("__pass"))
-    rows = rows.withColumn("pieces", own)
-    taken = F.aggregate("pieces", F.lit(0).cast("long"), lambda a, p: a + p["word_to"] - p["word_from"])
+
+    def runs(s: Column) -> Column:
+        """From sorted pieces: where one begins and where one ends without a
+        neighbour in the same pass."""
+
+        def apart(a: Column, b: Column) -> Column:
+            return (a["pass"] != b["pass"]) | (a["word_to"] != b["word_from"])
+
+        heads = F.filter(s, lambda p, i: F.when(i == 0, True).otherwise(apart(F.get(s, i - 1), p)))
+        tails = F.filter(s, lambda p, i: F.when(i == F.size(s) - 1, True).otherwise(apart(p, F.get(s, i + 1))))
+        return F.zip_with(heads, tails, lambda a, b: F.struct(a["word_from"].alias("begin"), b["word_to"].alias("end")))
+
+    placed = F.array_sort(F.transform("pieces", lambda p: F.struct(p["pass"].alias("pass"), p["word_from"].alias("word_from"), p["word_to"].alias("word_to"))))
+    rows = laid.select("size", "text", *[f"c{i}" for i in range(len(columns))], F.explode(let(placed, runs)).alias("__run"))
     words = F.regexp_extract_all(F.col("text"), F.lit(SPACED_WORD), F.lit(0))
-    cut = let(words, lambda w: F.array_join(F.flatten(F.transform(
-        "pieces", lambda p: F.slice(w, (p["word_from"] + 1).cast("int"), (p["word_to"] - p["word_from"]).cast("int")))), " "))
-    rows = rows.withColumn("text", F.when(taken == F.col("size"), F.col("text")).otherwise(cut))
+    run = F.col("__run")
+    cut = F.array_join(F.slice(words, (run["begin"] + 1).cast("int"), (run["end"] - run["begin"]).cast("int")), " ")
+    rows = rows.withColumn("text", F.when(run["end"] - run["begin"] == F.col("size"), F.col("text")).otherwise(cut))
     out = []
     for i, c in enumerate(columns):
         if c == "text":

@@ -188,6 +188,27 @@ def test_mixed_documents_keep_columns_and_words(spark):
     assert mixing.mixed_documents(docs.limit(0)).count() == 0 and mixing.mix_digest(docs.limit(0)).count() == 0
 
 
+def test_mix_takes_documents_whole(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, "\n".join(f"d{i}w{k}" for k in range(int(rng.integers(280, 510)))), f"s{i % 3}", 1) for i in range(150)]
+    long = [f"long{k}" for k in range(30000)]
+    docs = spark.createDataFrame([*rows, (900, " ".join(long), "s0", 1)], "doc_id bigint, text string, source string, target int")
+    text, times = {i: t for i, t, *_ in rows}, Counter()
+    for r in mixing.mixed_documents(docs).collect():
+        if r["doc_id"] == 900:
+            w = r["text"].split()
+            assert w == long[int(w[0][4:]) :][: len(w)] and len(w) >= 2048
+        else:
+            assert r["text"] == text[r["doc_id"]]
+            times[r["doc_id"]] += 1
+    # some documents are taken once more than others of their source
+    assert any(len({times[i] for i, _, s, _ in rows if s == f"s{k}"}) == 2 for k in range(3))
+    taken = {r["doc_id"]: r for r in mixing.mix_digest(docs).collect()}
+    for k in range(3):
+        own = [r for i, r in taken.items() if (0 if i == 900 else i % 3) == k]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 255
+
+
 # --- sharding --------------------------------------------------------------
 
 
