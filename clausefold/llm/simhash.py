@@ -27,7 +27,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -235,6 +235,13 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return now.select(F.col("b").alias("node"), F.col("a").alias("root")).unionAll(now.select("a", "a").distinct().toDF("node", "root"))
 
 
+def _rooted(distinct: DataFrame, distance: int) -> DataFrame:
+    """(fp, least) with the component's smallest fingerprint as ``root``."""
+    distinct = written(distinct, "distinct-fingerprints")
+    joined = components(links(distinct.select("fp"), distance))
+    return distinct.join(joined, distinct["fp"] == joined["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3) -> DataFrame:
     """doc_id, fp and component_id, the smallest doc_id that a row reaches
     over links of at most ``distance`` differing bits.
@@ -244,9 +251,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3) -> Dat
     unless a component has no other; an empty table gives no rows.
     """
     table = written(fingerprints(docs.select("doc_id", "text"), shingle).select("doc_id", "fp"), "fingerprints")
-    distinct = written(table.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    joined = components(links(distinct.select("fp"), distance))
-    roots = distinct.join(joined, distinct["fp"] == joined["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
+    roots = _rooted(table.groupBy("fp").agg(F.min("doc_id").alias("least")), distance)
     named = roots.join(roots.groupBy("root").agg(F.min("least").alias("component_id")), "root").select(F.col("fp").alias("own"), "component_id")
     # the side with the rows of all documents is on the left: AQE may split it
     return table.join(named, table["fp"] == named["own"], "left").select("doc_id", "fp", "component_id")
@@ -261,14 +266,22 @@ def near_duplicate_digest(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, shingle: int = 3, distance: int = 3) -> DataFrame:
-    """The documents without near-duplicates: of each component the one with
-    the smallest doc_id stays, of rows that share that doc_id the one whose
-    other columns come first."""
-    groups = near_duplicates(docs, shingle, distance)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept"), "fp").distinct()
-    # one row a component, also if one doc_id has several fingerprints of it
-    kept = kept.groupBy("__kept").agg(F.lit(1).alias("__one"))
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["__kept"])).drop("__kept", "__one")
-    order = [F.col(c) for c in docs.columns if c != "doc_id" and not isinstance(docs.schema[c].dataType, T.MapType)]
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(*order)) if order else F.lit(1)
-    return rows.withColumn("__place", place).where("__place = 1").drop("__place")
+    """The documents without near-duplicates: of each component one row stays,
+    that with the smallest doc_id, null last, and then the smallest row hash.
+
+    A doc_id, null or not, may name rows of several components; each of them
+    keeps a row.  Rows are told apart by doc_id and 128 bits of their hash, so
+    equal rows are of one component, and one of them stays.
+    """
+    plain = [c for c in docs.columns if "map<" not in docs.schema[c].dataType.simpleString()]
+    # hashes pass over nulls, so where these are is hashed too
+    parts = [x for c in plain for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())]
+    halves = ["__high", "__low"]
+    rows = docs.select("*", *[F.xxhash64(F.lit(i), *parts).alias(h) for i, h in enumerate(halves)])
+    table = fingerprints(rows.select("doc_id", "text", *halves), shingle).select("fp", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *halves).alias("row"))
+    roots = _rooted(table.groupBy("fp").agg(F.min("row").alias("least")), distance)
+    kept = roots.groupBy("root").agg(F.min("least").alias("k")).select(F.col("k.doc_id").alias("__id"), *[F.col(f"k.{h}").alias(f"{h}_kept") for h in halves])
+    same = rows["doc_id"].eqNullSafe(kept["__id"])
+    for h in halves:
+        same = same & (rows[h] == kept[f"{h}_kept"])
+    return rows.join(kept, same).dropDuplicates(["doc_id", *halves]).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -92,3 +92,13 @@ def test_one_of_each_group_stays(spark):
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["20", "3", "30", "None"]
     empty = spark.createDataFrame([], DOCS)
     assert simhash.keep_one(empty).count() == 0 and simhash.near_duplicate_digest(empty).count() == 0
+
+
+def test_one_row_of_each_component_whatever_its_doc_id(spark):
+    a, b, c, d = (" ".join(f"{x}{i} {x}{i % 13}" for i in range(60)) for x in ("mo", "ra", "ku", "ti"))
+    rows = [(None, a, "x", None), (None, b, "x", None), (None, c, None, "x"), (None, c, None, "x"), (1, d, "x", "y"), (7, d, "a", "y"), (7, "unique " + a[::-1], "b", "y"),
+            (8, "first of eight " + b[::-1], "x", "y"), (8, "second of eight " + c[::-1], "x", "y")]
+    label = brute_components([brute_fingerprint(t) for _, t, _, _ in rows])
+    assert len(set(label)) == 7
+    kept = sorted((str(r["doc_id"]), r["text"]) for r in simhash.keep_one(spark.createDataFrame(rows, DOCS)).collect())
+    assert kept == sorted((str(i), t) for i, t in {(i, t) for i, t, _, _ in rows if (i, t) != (7, d)})
