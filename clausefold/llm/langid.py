@@ -26,12 +26,15 @@ from clausefold.llm.common import append_columns, binary, uniform
 
 #: Bytes of a window, units of a layer.
 LENGTH, UNITS = 128, 8
-#: Bounds of the training sample: languages (the most frequent), documents of
-#: each, windows of a document.
-MAX_LANGUAGES, SAMPLE_DOCS, SAMPLE_WINDOWS = 64, 400, 6
+#: Bounds of the training sample: documents of each language, windows of a
+#: document.  Every language is learned.
+SAMPLE_DOCS, SAMPLE_WINDOWS = 400, 6
+#: Steps and windows of a step; with more than ``MANY`` languages both grow.
 STEPS, BATCH, RATE = 200, 192, 0.012
-#: Windows that are read at once.
-LANES = 1024
+MANY = 16
+#: Windows that are read at once, and probabilities of each of their positions
+#: that are held at once.
+LANES, HELD = 1024, 1 << 16
 UNKNOWN = "und"
 #: The symbol behind a window's last byte.
 PAD = 256
@@ -124,22 +127,31 @@ def gradients(net: Network, symbols: np.ndarray, labels: np.ndarray) -> tuple[fl
     return float(loss), [d_in, d_rec, d_out, p.sum(axis=(0, 1))]
 
 
-def train(windows: list[bytes], labels: list[int], languages: list[str], units: int = UNITS, steps: int = STEPS, seed: int = 3) -> Network:
+def schedule(languages: int) -> tuple[int, int]:
+    """Windows of each language in a step, and steps."""
+    return max(BATCH // languages, BATCH // MANY), round(STEPS * max(1.0, 1 + float(np.log2(languages / MANY))))
+
+
+def train(windows: list[bytes], labels: list[int], languages: list[str], units: int = UNITS, steps: int | None = None, seed: int = 3) -> Network:
     """Fit a network to windows of bytes; no window or one language gives a
-    network that knows no difference."""
+    network that knows no difference.  A step reads as many windows of each
+    language, never fewer than ``BATCH // MANY``; steps grow with the logarithm
+    of the number of languages."""
     rng = np.random.default_rng(seed)
     net = _new_network(languages, units, rng)
     if not windows or len(languages) < 2:
         return net
-    symbols = _FOLD[_windows(windows, LENGTH // 2)[0]]
+    symbols = _windows(windows, LENGTH // 2)[0]
     own = np.repeat(labels, [max(1, -(-len(w) // (LENGTH // 2))) for w in windows])
+    there = [at for at in (np.flatnonzero(own == c) for c in range(len(languages))) if len(at)]
+    each, enough = schedule(len(languages))
+    steps = enough if steps is None else steps
     weights = [net.inputs, net.recurrent, net.output, net.bias]
     first, second = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
     for step in range(1, steps + 1):
         # as many windows of each language
-        pick = rng.integers(0, len(symbols), BATCH * 4)
-        chosen = np.concatenate([pick[own[pick] == c][: max(1, BATCH // len(languages))] for c in range(len(languages))])
-        _, slopes = gradients(net, symbols[chosen], own[chosen])
+        chosen = np.concatenate([at[rng.integers(0, len(at), each)] for at in there])
+        _, slopes = gradients(net, _FOLD[symbols[chosen]], own[chosen])
         norm = np.sqrt(sum((s * s).sum() for s in slopes))
         rate = RATE * min(1.0, 2 * (1 - step / (steps + 1)))
         for w, s, a, b in zip(weights, slopes, first, second, strict=True):
@@ -216,11 +228,12 @@ class Reader:
     def documents(self, texts: list[bytes]) -> np.ndarray:
         """Mean probabilities of each document's positions."""
         symbols, first = _windows(texts, LENGTH)
-        sums = np.empty((len(symbols), len(self.languages)))
-        for at in range(0, len(symbols), LANES):
-            block = symbols[at : at + LANES]
-            sums[at : at + LANES] = np.where((block != PAD)[..., None], self.positions(block), 0).sum(axis=1, dtype=np.float64)
-        total = np.add.reduceat(sums, first, axis=0)
+        lanes = max(1, min(LANES, HELD // len(self.languages)))
+        owner = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(symbols))))
+        total = np.zeros((len(first), len(self.languages)))
+        for at in range(0, len(symbols), lanes):
+            block = symbols[at : at + lanes]
+            np.add.at(total, owner[at : at + lanes], np.where((block != PAD)[..., None], self.positions(block), 0).sum(axis=1, dtype=np.float64))
         return total / np.maximum(total.sum(axis=1, keepdims=True), 1e-9)
 
 
@@ -232,21 +245,22 @@ def held_out(doc_id: Column) -> Column:
 def training_windows(docs: DataFrame) -> tuple[list[bytes], list[int], list[str]]:
     """The bounded sample of windows with their labels."""
     labelled = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
+    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     counts = {r["lang"]: r["n"] for r in counts.collect()}
     languages = sorted(counts)
+    number = {c: i for i, c in enumerate(languages)}
     if not languages:
         return [], [], []
     u = uniform(F.lit("sample"), F.col("doc_id"))
-    share = F.create_map(*[x for c in languages for x in (F.lit(c), F.lit(3.0 * SAMPLE_DOCS / counts[c]))])
-    drawn = labelled.select("doc_id", "lang", "text", u.alias("u")).where(F.col("u") <= share[F.col("lang")])
+    share = docs.sparkSession.createDataFrame([(c, 3.0 * SAMPLE_DOCS / n) for c, n in counts.items()], "lang string, share double")
+    drawn = labelled.select("doc_id", "lang", "text", u.alias("u")).join(F.broadcast(share), "lang").where("u <= share")
     size = F.length("text")
     places = F.transform(F.sequence(F.lit(0), F.lit(SAMPLE_WINDOWS - 1)), lambda k: F.substr(
         F.col("text"), (F.floor(uniform(F.lit("place"), F.col("doc_id"), k) * F.greatest(size - LENGTH, F.lit(0))) + 1).cast("int"), F.lit(LENGTH)))
     few = drawn.select("lang", "u", "doc_id", F.array_distinct(places).alias("w"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("u", "doc_id"))
     rows = few.withColumn("rank", rank).where(F.col("rank") <= SAMPLE_DOCS).orderBy("lang", "u", "doc_id", "w").collect()
-    windows = [(w.encode(), languages.index(r["lang"])) for r in rows for w in r["w"] if w]
+    windows = [(w.encode(), number[r["lang"]]) for r in rows for w in r["w"] if w]
     return [w for w, _ in windows], [c for _, c in windows], languages
 
 

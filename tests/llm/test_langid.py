@@ -80,3 +80,16 @@ def test_nothing_to_learn_from(docs):
     assert langid.language_digest(docs.limit(0)).count() == 0
     one = docs.selectExpr("doc_id", "text", "'only' as lang")
     assert {r["lang_pred"] for r in langid.language_digest(one).collect()} == {"only", "und"}
+
+
+def test_every_language_is_learned(spark):
+    """More languages than a fixed few dozen, some of them rare."""
+    rng = np.random.default_rng(11)
+    words = {f"l{k:02}": [chr(0x4E00 + 40 * k + j) * 2 for j in range(4)] for k in range(72)}
+    rows = [(i, " ".join(rng.choice(words[c], 25)), c) for i, c in enumerate(c for c in words for _ in range(4 if c < "l08" else 9))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    windows, labels, languages = langid.training_windows(docs)
+    assert languages == sorted(words) and set(labels) == set(range(72))
+    assert min(labels.count(c) for c in range(72)) > 0
+    assert langid.train(windows, labels, languages, steps=2).languages == languages
+    assert langid.schedule(3) == (64, 200) and langid.schedule(72)[0] == 12 and langid.schedule(72)[1] > 600
