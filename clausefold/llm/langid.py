@@ -270,6 +270,11 @@ def fit(docs: DataFrame) -> Network:
     return train(*training_windows(docs))
 
 
+def has_letter(text: Column) -> Column:
+    """Never null; a null text has none."""
+    return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
+
+
 def identify(docs: DataFrame, net: Network, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """All rows and columns of ``docs`` with the predicted language and its
     probability, from nothing but the whole text.
@@ -301,7 +306,7 @@ def identify(docs: DataFrame, net: Network, names: tuple[str, str] = ("lang_pred
                 start = stop
             yield [pa.array(best.tolist(), pa.string()), pa.array(score)]
 
-    marked = docs.withColumn("__letter", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    marked = docs.withColumn("__letter", has_letter(F.col("text")))
     fields = [T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())]
     return append_columns(marked, ["text", "__letter"], fields, work).drop("__letter")
 
@@ -313,8 +318,8 @@ def language_digest(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, net: Network) -> DataFrame:
-    """The documents whose language is identified; texts that are null or have
-    no letter go."""
+    """The documents whose language is identified, or could be if there were a
+    network that knows languages; texts that are null or have no letter go."""
     names = ("__lang", "__score")
-    found = identify(docs, net, names).where(F.col(names[0]) != UNKNOWN)
+    found = identify(docs, net, names).where((F.col(names[0]) != UNKNOWN) | has_letter(F.col("text")))
     return found.select(*docs.columns)

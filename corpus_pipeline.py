@@ -17,7 +17,8 @@ from clausefold.llm.common import written
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter have no language and go."""
+    """Documents without a letter have no language and go; all others stay,
+    also if no language can be learned."""
     return langid.keep_identified(docs, langid.fit(docs))
 
 

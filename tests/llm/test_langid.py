@@ -93,3 +93,11 @@ def test_every_language_is_learned(spark):
     assert min(labels.count(c) for c in range(72)) > 0
     assert langid.train(windows, labels, languages, steps=2).languages == languages
     assert langid.schedule(3) == (64, 200) and langid.schedule(72)[0] == 12 and langid.schedule(72)[1] > 600
+
+
+def test_stage_keeps_letters_without_a_model(docs):
+    """An unlabelled corpus loses only texts without a letter."""
+    blank = docs.selectExpr("doc_id", "text", "cast(null as string) as lang")
+    net = langid.fit(blank)
+    assert net.languages == []
+    assert langid.keep_identified(blank, net).count() == docs.count() - 3
