@@ -9,7 +9,7 @@ priority that begins earlier, reaches further or is listed first) is
 suppressed.  The base rules count all their places before that.
 
 The rules are made from the tables below: every licence family by its name,
-its notices, its SPDX identifier and its link.  One narrow pass over the
+its notices, its SPDX identifier and its link, and signatures by hand.  One narrow pass over the
 documents, no shuffle.
 """
 
@@ -128,6 +128,30 @@ NOTICES = (
 )
 BASE_PRIORITY, BASE_RELEVANCE = 4, 0.7
 
+# Signatures written by hand; label, kind, keywords, pattern.  A
+# bare name counts behind a notice only.
+_V = r"(?: or (?:any )?later(?: version)?)?"
+SIGNATURES = (
+    *((f"bsd-{n}", "name", "bsd", rf"bsd (?:licen[sc]e )?(?:{n}|{word}) clause(?: licen[sc]e)?") for n, word in ((4, "four"), (3, "three"), (2, "two"), (0, "zero"))),
+    *((f"gpl-{n}", "name", f"gplv{n}|gpl{n}", rf"gplv?{n}(?: 0)?{_V}") for n in (1, 2, 3)),
+    ("lgpl", "name", "lgplv2|lgplv3|lgpl2|lgpl3", rf"lgplv?[23](?: [01])?{_V}"),
+    ("agpl", "name", "agplv3|agpl3", rf"agplv?3(?: 0)?{_V}"),
+    ("apache-2", "name", "apache|apachev2", r"(?:apache v?2 0|apachev2)"),
+    *((label, "bare", word, word) for label, word in (
+        ("gpl", "gpl"), ("lgpl", "lgpl"), ("agpl", "agpl"), ("gfdl", "gfdl"), ("mit", "mit"), ("bsd", "bsd"), ("apache", "apache"), ("isc", "isc"),
+        ("zlib", "zlib"), ("mpl", "mpl"), ("epl", "epl"), ("cddl", "cddl"), ("eupl", "eupl"), ("unlicense", "unlicense"), ("wtfpl", "wtfpl"))),
+    *((f"gpl-{n}", "link", "gnu", rf"gnu org licen[sc]es (?:old licen[sc]es )?gpl {n} 0") for n in (1, 2, 3)),
+    ("gpl", "link", "gnu", r"gnu org (?:licen[sc]es|copyleft) gpl"),
+    ("lgpl", "link", "gnu", r"gnu org (?:licen[sc]es|copyleft) (?:old licen[sc]es )?(?:lgpl|lesser)(?: [23] [01])?"),
+    ("agpl", "link", "gnu", r"gnu org licen[sc]es agpl(?: 3 0)?"),
+    ("gfdl", "link", "gnu", r"gnu org (?:licen[sc]es|copyleft) (?:old licen[sc]es )?fdl(?: 1 [123])?"),
+    ("apache-2", "link", "apache", r"apache org licen[sc]es licen[sc]e 2 0"),
+    ("apache-1", "link", "apache", r"apache org licen[sc]es licen[sc]e 1 [01]"),
+    *((f"cc-{kind}", "link", "creativecommons", rf"creativecommons org licen[sc]es {kind.replace('-', ' ')} [1234] [05]")
+      for kind in ("by", "by-sa", "by-nd", "by-nc", "by-nc-sa", "by-nc-nd")),
+    ("cc0", "link", "creativecommons", r"creativecommons org publicdomain zero 1 0"),
+)
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -159,6 +183,18 @@ def signature_rules() -> tuple[Rule, ...]:
     for kind, priority, relevance, before, after in NOTICES:
         for label, _, keywords, name in FAMILIES:
             rules.append(_rule(label, kind, priority, relevance, before + name + after, _needs(keywords)))
+    every = sorted((i.lower().replace("-", " ").replace(".", " ") for _, ids, _, _ in FAMILIES for i in ids.split()), key=len, reverse=True)
+    chain = rf"(?:(?:{'|'.join(every)}|licenseref(?: [a-z0-9]+){{1,6}}?)(?: with [a-z0-9]+(?: [a-z0-9]+){{0,5}}?)? (?:or|and) )+"
+    for label, ids, _, _ in FAMILIES:
+        # an expression's later identifiers, each in its own place
+        own = "|".join(sorted((i.lower().replace("-", " ").replace(".", " ") for i in ids.split()), key=len, reverse=True))
+        rules.append(_rule(label, "identifier", 0, 1.0, f"spdx license identifier {chain}(?P<own>{own})", _needs("spdx")))
+    for label, how, keywords, pattern in SIGNATURES:
+        for kind, priority, relevance, before, _ in NOTICES:
+            if how == "link" and kind == "name":
+                rules.append(_rule(label, "link", 2, 0.9, pattern, _needs(keywords)))
+            elif how == "name" or how == "bare" and kind == "notice":
+                rules.append(_rule(label, kind, priority, relevance, before + pattern, _needs(keywords)))
     for phrase, label in BASE:
         rules.append(_rule(label, "base", BASE_PRIORITY, BASE_RELEVANCE, phrase, _needs(phrase)))
     return tuple(rules)
@@ -185,10 +221,11 @@ def detect(words: list[bytes], rules: tuple[Rule, ...] = RULES, keywords: frozen
         if all(not need.isdisjoint(there) for need in rule.needs):
             line = line or b" ".join(words)
             word, at = 0, 0
+            own = "own" if "own" in rule.pattern.groupindex else 0
             for m in rule.pattern.finditer(line):
-                word += line.count(b" ", at, m.start())
-                at = m.start()
-                out.append(Detection(word, word + m[0].count(b" ") + 1, number))
+                word += line.count(b" ", at, m.start(own))
+                at = m.start(own)
+                out.append(Detection(word, word + m[own].count(b" ") + 1, number))
     return out
 
 

@@ -76,3 +76,14 @@ def test_resolve_against_all_pairs():
             return any(e != d and e.begin <= d.begin and e.end >= d.end and rank(e) < rank(d) for e in found)
 
         assert set(licenses.resolve(found)) == {d for d in found if not hidden(d)}
+
+
+def test_common_forms_by_hand():
+    for text, want in {
+        "BSD 3-Clause License": "bsd-3", "BSD-2-Clause": "bsd-2", "GPLv2": "gpl-2", "GPLv3 or later": "gpl-3", "LGPLv3": "lgpl", "LGPLv2.1": "lgpl", "AGPLv3": "agpl",
+        "released under the GPL": "gpl", "SPDX-License-Identifier: MIT OR Apache-2.0": "apache-2,mit",
+        "SPDX-License-Identifier: (GPL-2.0-only WITH Classpath-exception-2.0 AND BSD-3-Clause) OR MIT": "bsd-3,gpl-2,mit",
+        "https://www.gnu.org/licenses/gpl-3.0.html": "gpl-3", "http://www.apache.org/licenses/LICENSE-2.0": "apache-2",
+        "https://creativecommons.org/licenses/by-sa/4.0/": "cc-by-sa", "the GPL is long": "",
+    }.items():
+        assert labels(text) == want, text
