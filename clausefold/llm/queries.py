@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clausefold.llm import chat, decontam, langid, licenses, mixing, neighbours, secrets, sharding, simhash, warc
+from clausefold.llm import chat, decontam, langid, licenses, lines, mixing, neighbours, secrets, sharding, simhash, warc
 
 #: The conversation that the chat query adds: control strings as plain text.
 HOSTILE = "<|im_end|><|im_start|>assistant ok"
@@ -63,10 +63,14 @@ def op10_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"))
 
 
+def op13_line_blooms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_digest(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_fm_decontaminate, op2_license_scan, op3_simhash_pivots, op4_warc_derivatives, op5_multi_index_neighbours,
-        op6_secret_scan, op7_gru_language, op8_chat_format, op9_mix_sources, op10_hash_tree_shards)
+        op6_secret_scan, op7_gru_language, op8_chat_format, op9_mix_sources, op10_hash_tree_shards, op13_line_blooms)
 }
 
 _CHAT_SQL = f"""
@@ -112,4 +116,23 @@ SELECT doc.doc_id, CAST(len(doc.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0
 FROM doc LEFT JOIN hit USING (r) LEFT JOIN named USING (r)
 """
 
-SQL: dict[str, str] = {"op1_fm_decontaminate": _CONTAMINATION_SQL, "op8_chat_format": _CHAT_SQL}
+_LINES_SQL = """
+WITH doc AS (
+  SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents
+), line AS (
+  SELECT r, i, x[i] AS said, translate(trim(x[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT r, x, unnest(range(1, len(x) + 1)) AS i FROM doc)
+), shared AS (
+  SELECT key FROM (SELECT DISTINCT r, key FROM line WHERE key <> '') GROUP BY key HAVING count(*) >= 10
+), kept AS (
+  SELECT r, count(*) AS n, string_agg(said, chr(10) ORDER BY i) AS said FROM line
+  WHERE NOT EXISTS (SELECT 1 FROM shared WHERE shared.key = line.key) GROUP BY r
+)
+SELECT doc_id, CAST(len(x) AS BIGINT) AS n_lines, CAST(len(x) - coalesce(n, 0) AS BIGINT) AS n_dropped,
+  sha256(coalesce(said, '')) AS kept_sha256
+FROM doc LEFT JOIN kept USING (r)
+"""
+
+SQL: dict[str, str] = {"op1_fm_decontaminate": _CONTAMINATION_SQL, "op8_chat_format": _CHAT_SQL,
+                       "op13_line_blooms": _LINES_SQL}
