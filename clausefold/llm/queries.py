@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clausefold.llm import chat, decontam, langid, licenses, lines, mixing, neighbours, secrets, sharding, simhash, warc
+from clausefold.llm import chat, decontam, langid, licenses, lines, mixing, neighbours, repair, secrets, sharding, simhash, warc
 
 #: The conversation that the chat query adds: control strings as plain text.
 HOSTILE = "<|im_end|><|im_start|>assistant ok"
@@ -63,6 +63,10 @@ def op10_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"))
 
 
+def op11_repair_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_digest(_table(spark, sf_dir, "conversations"))
+
+
 def op13_line_blooms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_digest(_table(spark, sf_dir, "documents"))
 
@@ -70,7 +74,8 @@ def op13_line_blooms(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_fm_decontaminate, op2_license_scan, op3_simhash_pivots, op4_warc_derivatives, op5_multi_index_neighbours,
-        op6_secret_scan, op7_gru_language, op8_chat_format, op9_mix_sources, op10_hash_tree_shards, op13_line_blooms)
+        op6_secret_scan, op7_gru_language, op8_chat_format, op9_mix_sources, op10_hash_tree_shards,
+        op11_repair_conversations, op13_line_blooms)
 }
 
 _CHAT_SQL = f"""
@@ -134,5 +139,81 @@ SELECT doc_id, CAST(len(x) AS BIGINT) AS n_lines, CAST(len(x) - coalesce(n, 0) A
 FROM doc LEFT JOIN kept USING (r)
 """
 
+def _repair_sql() -> str:
+    """A recursive query over the turns: the best (cost, audit, text) in each
+    state of the grammar, insertions counted with the turn after them."""
+    crc = ("xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(k, ''), lambda x: ord(x)::UBIGINT)), lambda c, b: "
+           "list_reduce(list_prepend(xor(c, b), range(8)::UBIGINT[]), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::UBIGINT) ELSE x >> 1 END)),"
+           " 4294967295::UBIGINT)")
+
+    def way(state: str, cost: str, letters: str, text: str, when: str) -> str:
+        return f"CASE WHEN {when} AND {state} IS NOT NULL THEN {{'c': {state}.c + {cost}, 'a': {state}.a || '{letters}', 'r': {state}.r || {text}}} END"
+
+    def best(ways: list[str]) -> str:
+        return f"list_sort(list_filter([{', '.join(ways)}], lambda x: x IS NOT NULL))[1]"
+
+    def added(name: str) -> str:
+        return f"chr(10) || '{name}:'"
+
+    def turn(state: str, to: str, inserted: str = "") -> list[str]:
+        extra, letters = (2, "I") if inserted else (0, "")
+        text = f"{added(inserted)} || " if inserted else ""
+        return [way(state, f"{extra} + cut", letters + "K", f"{text}chr(10) || role || ':' || text", f"NOT go AND ini = '{to[0]}'"),
+                way(state, f"{extra + 2} + cut", letters + "R", f"{text}{added(to)} || text", f"NOT go AND ini <> '{to[0]}'")]
+
+    def gone(state: str) -> str:
+        return way(state, "3", "D", "''", "true")
+
+    new = {
+        "b": [gone("b")],
+        "s": [gone("s"), way("b", "cut", "K", "chr(10) || role || ':' || text", "NOT go AND ini = 's'")],
+        "u": [gone("u"), *(w for x in "bsd" for w in turn(x, "user")), *turn("u", "user", "assistant")],
+        "d": [gone("d"), *turn("u", "assistant"), *(w for x in "bsd" for w in turn(x, "assistant", "user"))],
+    }
+    states = ", ".join(f"{best(ways)} AS {name}" for name, ways in new.items())
+    ends = best([way("b", "0", "", "''", "true"), way("s", "4", "II", f"{added('user')} || {added('assistant')}", "true"),
+                 way("u", "2", "I", added("assistant"), "true"), way("d", "0", "", "''", "true")])
+    kind = "STRUCT(c BIGINT, a VARCHAR, r VARCHAR)"
+    return f"""
+WITH RECURSIVE keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations
+), hurt AS (
+  SELECT conv_id, turn, role, text, CAST({crc} % 20 AS INT) AS h FROM keyed
+), rows_ AS (
+  SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN h = 1 THEN '' WHEN h = 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+    unnest(CASE WHEN h = 3 THEN [1, 2] ELSE [1] END) AS copy FROM hurt WHERE h <> 0
+), placed AS (
+  SELECT *, row_number() OVER w AS i, lag(role[1]) OVER w AS before,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again,
+    trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS plain
+  FROM rows_ WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy)
+), turns AS (
+  SELECT *, role[1] AS ini, plain = '' AS blank, plain <> '' AND again AS duplicate, plain = '' OR again AS go,
+    CASE WHEN plain <> '' AND NOT again AND right(plain, 1) NOT IN ('.', '!', '?') THEN 1 ELSE 0 END AS cut
+  FROM placed
+), walk AS (
+  SELECT conv_id, 0::BIGINT AS i, {{'c': 0::BIGINT, 'a': '', 'r': ''}} AS b, CAST(NULL AS {kind}) AS s, CAST(NULL AS {kind}) AS u, CAST(NULL AS {kind}) AS d
+  FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL
+  SELECT conv_id, i, {states} FROM (
+    SELECT w.conv_id, w.i + 1 AS i, w.b, w.s, w.u, w.d, t.role, t.text, t.ini, t.go, t.cut
+    FROM walk w JOIN turns t ON t.conv_id IS NOT DISTINCT FROM w.conv_id AND t.i = w.i + 1)
+), done AS (
+  SELECT conv_id, {ends} AS e FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) AS back FROM walk) WHERE back = 1
+), counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, sum(CAST(blank AS INT)) AS blank,
+    sum(CAST(duplicate AS INT)) AS duplicate, sum(cut) AS truncated,
+    sum(CASE WHEN i > 1 AND before || ini NOT IN ('su', 'ua', 'au') THEN 1 ELSE 0 END) AS illegal
+  FROM turns GROUP BY conv_id
+)
+SELECT done.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank,
+  CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated,
+  CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, e.c AS cost, e.a AS audit, sha256(e.r[2:]) AS repaired_sha256
+FROM done LEFT JOIN counts ON counts.conv_id IS NOT DISTINCT FROM done.conv_id
+"""
+
+
 SQL: dict[str, str] = {"op1_fm_decontaminate": _CONTAMINATION_SQL, "op8_chat_format": _CHAT_SQL,
-                       "op13_line_blooms": _LINES_SQL}
+                       "op11_repair_conversations": _repair_sql(), "op13_line_blooms": _LINES_SQL}
