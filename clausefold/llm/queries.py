@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clausefold.llm import chat, decontam, langid, licenses, lines, mixing, neighbours, repair, secrets, sharding, simhash, warc
+from clausefold.llm import chat, decontam, langid, licenses, lines, mixing, negatives, neighbours, repair, secrets, sharding, simhash, warc
 
 #: The conversation that the chat query adds: control strings as plain text.
 HOSTILE = "<|im_end|><|im_start|>assistant ok"
@@ -67,6 +67,10 @@ def op11_repair_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair_digest(_table(spark, sf_dir, "conversations"))
 
 
+def op12_rtree_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.negative_digest(_table(spark, sf_dir, "embeddings"))
+
+
 def op13_line_blooms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_digest(_table(spark, sf_dir, "documents"))
 
@@ -75,7 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_fm_decontaminate, op2_license_scan, op3_simhash_pivots, op4_warc_derivatives, op5_multi_index_neighbours,
         op6_secret_scan, op7_gru_language, op8_chat_format, op9_mix_sources, op10_hash_tree_shards,
-        op11_repair_conversations, op13_line_blooms)
+        op11_repair_conversations, op12_rtree_negatives, op13_line_blooms)
 }
 
 _CHAT_SQL = f"""
@@ -139,6 +143,27 @@ SELECT doc_id, CAST(len(x) AS BIGINT) AS n_lines, CAST(len(x) - coalesce(n, 0) A
 FROM doc LEFT JOIN kept USING (r)
 """
 
+_NEGATIVES_SQL = """
+WITH wide AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v,
+    CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), score AS (
+  SELECT a.vec_id AS anchor_id, a.label AS anchor_label, b.vec_id, b.label, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS s
+  FROM wide a JOIN wide b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0
+), positive AS (
+  SELECT anchor_id, vec_id AS positive_id, s AS positive_score FROM (
+    SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY s DESC, vec_id) AS k FROM score WHERE label = anchor_label) WHERE k <= 5
+)
+SELECT anchor_id, positive_id, CAST(rank AS INT) AS rank, vec_id AS negative_id, positive_score, s AS negative_score FROM (
+  SELECT p.*, n.vec_id, n.s, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY n.s DESC, n.vec_id) AS rank
+  FROM positive p JOIN score n ON n.anchor_id = p.anchor_id AND n.label <> n.anchor_label
+    AND 50 * positive_score <= 100 * n.s AND 100 * n.s <= 95 * positive_score)
+WHERE rank <= 3
+"""
+
+
 def _repair_sql() -> str:
     """A recursive query over the turns: the best (cost, audit, text) in each
     state of the grammar, insertions counted with the turn after them."""
@@ -216,4 +241,4 @@ FROM done LEFT JOIN counts ON counts.conv_id IS NOT DISTINCT FROM done.conv_id
 
 
 SQL: dict[str, str] = {"op1_fm_decontaminate": _CONTAMINATION_SQL, "op8_chat_format": _CHAT_SQL,
-                       "op11_repair_conversations": _repair_sql(), "op13_line_blooms": _LINES_SQL}
+                       "op11_repair_conversations": _repair_sql(), "op12_rtree_negatives": _NEGATIVES_SQL, "op13_line_blooms": _LINES_SQL}
