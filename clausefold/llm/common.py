@@ -113,10 +113,12 @@ def append_columns(df: DataFrame, needs: list[str], new: list[T.StructField],
 
     bound_batches(df.sparkSession)
     names = {f.name for f in new}
+    # inside, columns go by place: Spark would read a dot in a name as a field
+    at = {f.name: k for k, f in enumerate(df.schema.fields)}
     kept = [f for f in df.schema.fields if f.name not in names]
-    schema = T.StructType([*kept, *new])
+    schema = T.StructType([T.StructField(f"c{k}", f.dataType) for k, f in enumerate([*kept, *new])])
     arrow = to_arrow_schema(schema)
-    kept_names = [f.name for f in kept]
+    needed, stay = [at[c] for c in needs], [at[f.name] for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -125,12 +127,13 @@ def append_columns(df: DataFrame, needs: list[str], new: list[T.StructField],
             for batch in batches:
                 if batch.num_rows:
                     held.append(batch)
-                    yield [batch.column(batch.schema.get_field_index(c)) for c in needs]
+                    yield [batch.column(k) for k in needed]
 
         for arrays in work(feed()):
             batch = held.pop(0)
-            columns = [batch.column(batch.schema.get_field_index(c)) for c in kept_names] + list(arrays)
+            columns = [batch.column(k) for k in stay] + list(arrays)
             yield pa.RecordBatch.from_arrays(
                 [c if c.type == f.type else c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
-    return df.mapInArrow(run, schema)
+    placed = df.toDF(*(f"c{k}" for k in range(len(at))))
+    return placed.mapInArrow(run, schema).toDF(*(f.name for f in [*kept, *new]))
