@@ -309,13 +309,20 @@ def policy_applies_to_sentence(rules: DataFrame) -> DataFrame:
 
 def parse_vocab_files(spark: SparkSession, directory: str, is_type: bool) -> DataFrame:
     """Every file of a vocabulary directory (with or without extension):
-    name = file name minus extension, terms = whitespace-split content."""
-    df = spark.read.text(directory, wholetext=True).select(
-        F.col("value"), F.col("_metadata.file_name").alias("file"))
-    return df.select(
-        F.regexp_replace("file", "\\.[^.]*$", "").alias("name"),
-        X.ws_split(F.col("value")).alias("terms"),
-        F.lit(is_type).alias("is_type"))
+    name = file name minus extension, terms = whitespace-split content.
+    Files of a ``name=<concept>`` folder, as ``write_vocab`` lays them out,
+    belong to that concept, in any number of parts."""
+    df = spark.read.text(directory, wholetext=True, recursiveFileLookup=True).select(
+        F.col("value"), F.col("_metadata.file_name").alias("file"), F.regexp_extract("_metadata.file_path", "/name=([^/]*)/[^/]*$", 1).alias("part"))
+    name = F.when(F.col("part") != "", F.url_decode("part")).otherwise(F.regexp_replace("file", "\\.[^.]*$", ""))
+    rows = df.select(name.alias("name"), X.ws_split(F.col("value")).alias("terms"))
+    return rows.groupBy("name").agg(F.flatten(F.collect_list("terms")).alias("terms")).select("name", "terms", F.lit(is_type).alias("is_type"))
+
+
+def write_vocab(vocab: DataFrame, directory: str) -> None:
+    """Vocabulary ``(name, terms)`` as a directory that S6 reads: a folder for
+    each concept, written by the tasks that hold its terms."""
+    vocab.select("name", F.array_join("terms", " ").alias("value")).write.mode("overwrite").partitionBy("name").text(directory)
 
 
 def class_files(spark: SparkSession, directory: str) -> DataFrame:

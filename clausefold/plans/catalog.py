@@ -940,6 +940,151 @@ def number_words(spark, sf_dir):
         .where(F.col("runs") > 0)
 
 
+# ---------------------------------------------------------------------------
+# Rules and vocabularies from files
+from clausefold.operators import patterns as PT  # noqa: E402
+from clausefold.operators import rulebase as RB  # noqa: E402
+
+
+def reasoner_rule(policy, ctype, need, forbid, sent_need, op, days, by_sentence):
+    """A line of a rule file in the reasoner's predicates, as a Column."""
+    def named(var, name):
+        return F.concat(F.lit(f" ^ has_name({var}, '"), name, F.lit("')"))
+
+    def linked(pred, subject, var, names):
+        return F.array_join(F.transform(names, lambda n, i: F.concat(
+            F.lit(f" ^ {pred}({subject}, {var}"), i.cast("string"), F.lit(f") ^ has_name({var}"), i.cast("string"), F.lit(", '"), n, F.lit("')"))), "")
+
+    less = F.when(op == "<", F.lit(" ^ lessThan(?d, ")).otherwise(F.lit(" ^ greaterThan(?d, "))
+    duration = F.when(op.isNotNull(), F.concat(F.lit(" ^ has_duration(?s, ?d)"), less, days.cast("string"), F.lit(")"))).otherwise(F.lit(""))
+    return F.concat(policy, F.lit(": Policy(?p) ^ has_id(?p, '"), policy, F.lit("') ^ Clause(?c) ^ has_type(?c, ?t)"), named("?t", ctype),
+                    linked("has_concept", "?c", "?n", need), linked("has_not_concept", "?c", "?f", forbid),
+                    F.when(by_sentence, F.lit(" ^ has_subtext(?c, ?s)")).otherwise(F.lit("")), duration, linked("has_concept", "?s", "?k", sent_need),
+                    F.lit(" -> violates_policy(?c, ?p)"))
+
+
+RULE_ROW = "place int, policy string, type string, need array<string>, forbid array<string>, sent_need array<string>, op string, days int, by_sentence boolean"
+
+
+def _rule_file(spark, rows):
+    """``rows`` (RULE_ROW) as one rule file, read back and compiled."""
+    folder = _folder(spark, "rules")
+    line = reasoner_rule(F.col("policy"), F.col("type"), F.col("need"), F.col("forbid"), F.col("sent_need"), F.col("op"), F.col("days"), F.col("by_sentence"))
+    # a rule file is one text: its lines are in order
+    text = rows.select("place", line.alias("line")).groupBy().agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "line"))), lambda x: x["line"]), "\n").alias("value"))
+    text.write.text(folder)
+    return RB.compile_rules(RU.read_rule_file(spark, folder))
+
+
+def _vocab_folders(spark):
+    """The vocabularies as folders of concepts and types, read back."""
+    parts = []
+    for vocab, is_type in ((R.CONCEPTS, False), (R.TYPES, True)):
+        folder = _folder(spark, "vocab")
+        RU.write_vocab(spark.createDataFrame(vocab, "name string, terms array<string>"), folder)
+        parts.append(RU.parse_vocab_files(spark, folder, is_type))
+    return parts[0].unionByName(parts[1])
+
+
+def _by_rule_file(spark, sf_dir, rows):
+    return RB.analyze(_clauses(spark, sf_dir), "clause_id", "title", "text", _rule_file(spark, rows), _vocab_folders(spark))
+
+
+def _policy_rows(spark):
+    return spark.createDataFrame([(i, p, t, need, forbid, sent, op, days, scope == "sentence")
+                                  for i, (p, _, t, need, forbid, sent, op, days, scope) in enumerate(R.POLICY_RULES)], RULE_ROW)
+
+
+@query("policy_rule_file")
+def policy_rule_file(spark, sf_dir):
+    """C13 with rules and vocabularies read from files."""
+    a = _by_rule_file(spark, sf_dir, _policy_rows(spark))
+    return a.select("clause_id", "type", "valid", F.array_join("policies", ",").alias("policies"), F.size("notable").alias("n_notable"))
+
+
+@query("rule_file_sentences")
+def rule_file_sentences(spark, sf_dir):
+    """The notable sentences of the same analysis."""
+    a = _by_rule_file(spark, sf_dir, _policy_rows(spark))
+    return XA.explode_rows(a, ["clause_id"], F.col("notable"), "sentence", "pos")
+
+
+def _part_rules(spark, sf_dir):
+    """About a thousand rules drawn from the parts' types, sizes and keys."""
+    parts = table(spark, sf_dir, "part", ["p_partkey", "p_type", "p_size"])
+    key = F.concat_ws("|", "p_type", F.col("p_size").cast("string"), (F.col("p_partkey") % 4).cast("string"))
+    keys = parts.select(key.alias("k")).distinct().select("k", F.md5("k").alias("h"))
+
+    def digit(i):
+        return F.conv(F.substring("h", i, 1), 16, 10).cast("int")
+
+    concepts, types = (F.array(*[F.lit(n) for n, _ in v]) for v in (R.CONCEPTS, R.TYPES))
+    none = F.array().cast("array<string>")
+
+    def some(i):
+        return F.when(digit(i) < 8, F.array(F.element_at(concepts, digit(i) + 1))).otherwise(none)
+
+    op = F.when(digit(5) < 4, F.lit("<")).when(digit(5) < 8, F.lit(">"))
+    days = (digit(6) + 1) * 30
+    # positions follow the keys; one window over the thousand rules
+    from pyspark.sql import Window
+    place = F.row_number().over(Window.orderBy("k")).cast("int")
+    return keys.select(place.alias("place"), F.concat(F.lit("G"), F.substring("h", 7, 2)).alias("policy"), F.element_at(types, digit(1) % 5 + 1).alias("type"),
+                       some(2).alias("need"), some(3).alias("forbid"), some(4).alias("sent_need"), op.alias("op"), days.alias("days"),
+                       (op.isNotNull() | (digit(4) < 8)).alias("by_sentence"))
+
+
+@query("policy_many_rules")
+def policy_many_rules(spark, sf_dir):
+    """C13 for about a thousand rules, written to and read from a rule file."""
+    a = _by_rule_file(spark, sf_dir, _part_rules(spark, sf_dir))
+    return a.select("clause_id", "type", "valid", F.size("policies").alias("n_policies"), F.md5(F.array_join("policies", ",")).alias("policies_md5"),
+                    F.size("notable").alias("n_notable"))
+
+
+@query("concept_table")
+def concept_table(spark, sf_dir):
+    """S6 and J5 with a large vocabulary: the insides of every eighth token of
+    the documents, as a folder of 256 concepts, searched in all documents."""
+    d = table(spark, sf_dir, "documents", ["doc_id", "text"])
+    tokens = d.select(F.explode(T.ws_split(F.lower(F.col("text")))).alias("t")).where("length(t) between 5 and 30").distinct()
+    terms = tokens.where(F.md5("t").rlike("^[01]")).select(F.expr("substring(t, 2, length(t) - 2)").alias("term")).distinct()
+    vocab = terms.groupBy(F.concat(F.lit("k"), F.substring(F.md5("term"), 1, 2)).alias("name")).agg(F.collect_list("term").alias("terms"))
+    folder = _folder(spark, "vocab")
+    RU.write_vocab(vocab, folder)
+    return PT.concept_table(d, ["doc_id"], "text", RU.parse_vocab_files(spark, folder, False))
+
+
+# ---------------------------------------------------------------------------
+# T5: nearest neighbours by the letters' shares in a text
+from clausefold.operators import knn as KN  # noqa: E402
+
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+def _letter_shares(spark, sf_dir):
+    """(id, v, label): for each letter its share in thousandths."""
+    d = table(spark, sf_dir, "documents", ["doc_id", "text", "lang"]).select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("low"), "lang")
+    size = F.greatest(F.length("low"), F.lit(1))
+    shares = [F.floor(F.lit(1000) * (F.length("low") - F.length(F.replace("low", F.lit(c), F.lit("")))) / size).cast("double") for c in LETTERS]
+    return d.select(F.col("doc_id").alias("id"), F.array(*shares).alias("v"), F.col("lang").alias("label"))
+
+
+@query("knn_l1")
+def knn_l1(spark, sf_dir):
+    """T5: the 50 nearest documents of every 50th, all others searched."""
+    n = KN.knn_join(_letter_shares(spark, sf_dir), F.col("id") % 50 == 0, 50)
+    return n.select("query_id", "rank", F.col("id").alias("doc_id"), "distance")
+
+
+@query("knn_language")
+def knn_language(spark, sf_dir):
+    """T5 and M2: the language that the 50 nearest vote for."""
+    rows = _letter_shares(spark, sf_dir)
+    vote = KN.distance_vote(KN.knn_join(rows, F.col("id") % 50 == 0, 50), rows)
+    return rows.select(F.col("id").alias("query_id"), F.col("label").alias("expected")).join(vote, "query_id")
+
+
 # ---------------------------------------------------------------------------
 # A17 preparation report; C15 rule-path evaluation
 @query("preparation_report")
@@ -964,7 +1109,15 @@ def kb_evaluation(spark, sf_dir):
     cl = S.nonblank_of_types(
         _clauses(spark, sf_dir).withColumn(
             "expected", F.element_at(F.array(*[F.lit(x) for x in EXPECTED_TYPES]), F.substring("priority", 1, 1).cast("int"))),
-        "text", "expected", EXPECTED_TYPES[:4])  # the fifth type is left out
+        "text", "expected", EXPECTED_TYPES)
     a = R.analyze_clauses(cl, "clause_id", "title", "text", keep_cols=["expected"])
     pred = a.select("expected", F.coalesce("type", F.lit("None")).alias("predicted"))
     return M.class_report(M.confusion(pred, "expected", "predicted"))
+
+
+@query("nonblank_of_types")
+def nonblank_of_types(spark, sf_dir):
+    """P5: clauses with a text and one of four types; orders without lines
+    have none, and the fifth type is rejected."""
+    cl = C.order_clauses(spark, sf_dir).join(C.clause_bodies(spark, sf_dir), "clause_id", "left")
+    return S.nonblank_of_types(cl, "text", "title", [t for _, t in C.CLAUSE_TITLES[:4]]).select("clause_id", "title")

@@ -600,7 +600,7 @@ SQL["kb_evaluation"] = f"""WITH {ANALYSIS},
 ev AS (SELECT {_EXP}[CAST(substr(o.o_orderpriority, 1, 1) AS INTEGER)] AS expected,
               coalesce(list_min(b.cands), 'None') AS predicted
        FROM b JOIN orders o ON o.o_orderkey = b.clause_id JOIN contract_clause c ON c.clause_id = b.clause_id
-       WHERE {X.strip_ws('c.text')} <> '' AND substr(o.o_orderpriority, 1, 1) <> '5'),
+       WHERE {X.strip_ws('c.text')} <> ''),
 conf AS (SELECT expected, predicted, count(*) AS cnt FROM ev GROUP BY ALL),
 pl AS {_per_label('conf', [])}
 SELECT CAST(label AS VARCHAR) AS label, precision, recall, f1, support FROM pl
@@ -751,3 +751,48 @@ _ORDERED = ", ".join(f"({i}, {q(m)})" for i, (m, _, _) in enumerate(E.sub_models
 SQL["composite_predictions"] = SQL["ensemble_search"].split("members(ensemble_no")[0] + f"""names(pos, model) AS (VALUES {_ORDERED})
 SELECT d.id AS doc_id, string_agg(coalesce(CAST(p.y AS VARCHAR), '-'), ',' ORDER BY n.pos) AS codes
 FROM d CROSS JOIN names n LEFT JOIN preds p ON p.id = d.id AND p.model = n.model GROUP BY d.id"""
+
+# ---------------------------------------------------------------------------
+# Rules and vocabularies from files
+SQL["policy_rule_file"] = SQL["policy_all"]
+SQL["rule_file_sentences"] = SQL["notable_sentences"]
+_MANY = "(CASE WHEN {0} < 8 THEN [['cheque', 'client', 'convenance', 'fournisseur', 'partenaire', 'preavis', 'remuneration', 'virement'][{0} + 1]] ELSE []::VARCHAR[] END)"
+
+
+def _digit(i: int) -> str:
+    return f"(instr('0123456789abcdef', substr(h, {i}, 1)) - 1)"
+
+
+_MANY_RULES = f"""rules AS (SELECT row_number() OVER (ORDER BY k) AS idx, 'G' || substr(h, 7, 2) AS policy,
+    ['indemnisation', 'non_concurrence', 'non_sollicitation', 'paiement', 'resiliation'][{_digit(1)} % 5 + 1] AS type,
+    {_MANY.format(_digit(2))} AS clause_need, {_MANY.format(_digit(3))} AS clause_forbid, {_MANY.format(_digit(4))} AS sent_need,
+    CASE WHEN {_digit(5)} < 4 THEN '<' WHEN {_digit(5)} < 8 THEN '>' END AS dur_op, ({_digit(6)} + 1) * 30 AS dur_days,
+    CASE WHEN {_digit(5)} < 8 OR {_digit(4)} < 8 THEN 'sentence' ELSE 'clause' END AS scope
+  FROM (SELECT k, md5(k) AS h FROM (SELECT DISTINCT p_type || '|' || p_size || '|' || (p_partkey % 4) AS k FROM part))),
+fired AS"""
+SQL["policy_many_rules"] = SQL["policy_all"].replace(f"rules(idx, policy, type, clause_need, clause_forbid, sent_need, dur_op, dur_days, scope) AS (VALUES {_rules_values}),\nfired AS", _MANY_RULES).replace(
+    "coalesce(pol.policies, '') AS policies", "coalesce(len(string_split(pol.policies, ',')), 0)::INTEGER AS n_policies, md5(coalesce(pol.policies, '')) AS policies_md5")
+SQL["concept_table"] = f"""WITH token AS (SELECT DISTINCT unnest({X.ws_split('lower(text)')}) AS t FROM documents),
+term AS (SELECT DISTINCT substr(t, 2, length(t) - 2) AS term FROM token WHERE length(t) BETWEEN 5 AND 30 AND md5(t)[1] IN ('0', '1'))
+SELECT doc_id, 'k' || md5(term)[1:2] AS name, count(*) AS n_terms
+FROM (SELECT doc_id, lower(text) AS low FROM documents) d JOIN term ON contains(d.low, term.term) GROUP BY ALL"""
+SQL["nonblank_of_types"] = f"""WITH {CONTRACT_SENT}, {CONTRACT_BODY}, c AS (SELECT o_orderkey AS clause_id, {TITLE} AS title FROM orders)
+SELECT c.clause_id, c.title FROM c JOIN contract_body b ON b.clause_id = c.clause_id
+WHERE {X.strip_ws('b.text')} <> '' AND c.title IN ('Résiliation du contrat', 'Conditions de paiement', 'Non-sollicitation du personnel', 'Clause de non-concurrence')"""
+
+# ---------------------------------------------------------------------------
+# T5
+_SHARES = ", ".join(f"CAST(floor(1000 * (length(low) - length(replace(low, '{c}', ''))) / n) AS DOUBLE)" for c in "abcdefghijklmnopqrstuvwxyz")
+_KNN = f"""WITH d AS (SELECT doc_id, lang, [{_SHARES}] AS v FROM
+  (SELECT *, greatest(length(low), 1) AS n FROM (SELECT doc_id, lang, lower(coalesce(text, '')) AS low FROM documents))),
+p AS (SELECT a.doc_id AS query_id, b.doc_id, b.lang, list_sum(list_transform(list_zip(a.v, b.v), lambda z: abs(z[1] - z[2]))) AS distance
+  FROM d a JOIN d b ON a.doc_id <> b.doc_id WHERE a.doc_id % 50 = 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, doc_id) AS rank FROM p QUALIFY rank <= 50)"""
+SQL["knn_l1"] = f"""{_KNN}
+SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, distance FROM n"""
+SQL["knn_language"] = f"""{_KNN},
+v AS (SELECT query_id, lang, count(*) FILTER (WHERE distance = 0) AS same, coalesce(sum(1.0 / distance) FILTER (WHERE distance > 0), 0) AS weight
+  FROM n WHERE lang IS NOT NULL GROUP BY ALL)
+SELECT w.query_id, d.lang AS expected, w.lang AS predicted
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY same DESC, round(weight, 9) DESC, lang) AS r FROM v) w
+JOIN d ON d.doc_id = w.query_id WHERE r = 1"""
