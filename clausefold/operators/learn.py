@@ -44,11 +44,12 @@ def code_column(cfg: SubModel, label_col: str = "label"):
     return M.label_to_val(label_col, cfg.classes)
 
 
-def classifier(name: str, n_rows: int, features_col: str = "features", label_col: str = "y"):
-    """M1 / M2: the default is a linear SVM (C = 25, so regParam = 1/(C n) for
-    n training rows) one-vs-rest; others are the exploration zoo."""
-    from pyspark.ml.classification import (LinearSVC, LogisticRegression, MultilayerPerceptronClassifier,
-                                           NaiveBayes, OneVsRest, RandomForestClassifier)
+def classifier(name: str, features_col: str = "features", label_col: str = "y"):
+    """M1 / M2: the default is a linear SVM (C = 25, squared hinge, L2)
+    one-vs-rest; others are the exploration zoo."""
+    from pyspark.ml.classification import LogisticRegression, NaiveBayes, RandomForestClassifier
+
+    from clausefold.operators.svm import squared_hinge_svm
     if name == "logreg":
         return LogisticRegression(featuresCol=features_col, labelCol=label_col, maxIter=50)
     if name == "nb":
@@ -61,10 +62,7 @@ def classifier(name: str, n_rows: int, features_col: str = "features", label_col
         return RandomForestClassifier(featuresCol=features_col, labelCol=label_col, numTrees=50, seed=1)
     if name == "mlp":
         raise ValueError("mlp needs layer sizes; use mlp_classifier()")
-    svm = LinearSVC(featuresCol=features_col, labelCol=label_col, maxIter=20,
-                    regParam=1.0 / (25.0 * max(n_rows, 1)))
-    # one binary SVM per class, fitted concurrently (each is a distributed job)
-    return OneVsRest(classifier=svm, featuresCol=features_col, labelCol=label_col, parallelism=4)
+    return squared_hinge_svm(features_col, label_col)
 
 
 def sentence_rows(clauses: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
@@ -150,7 +148,7 @@ def fit(data: DataFrame, cfg: SubModel, text_col: str = "text"):
     if len(codes) <= 1:
         return FittedSubModel(None, codes)
     dense = data.withColumn("y", (F.array_position(F.array(*[F.lit(c) for c in codes]), F.col("y")) - 1).cast("double"))
-    model = Pipeline(stages=stages + [classifier(cfg.classifier, sum(counts.values()))]).fit(dense)
+    model = Pipeline(stages=stages + [classifier(cfg.classifier)]).fit(dense)
     return FittedSubModel(model, codes)
 
 

@@ -607,9 +607,15 @@ def _lang_split(spark, sf_dir):
     return FE.hash_split(d, "id", 0.25, seed=1)
 
 
+def _written_split(spark, sf_dir):
+    """The split, written once for all fits and answers."""
+    from clausefold.session import written_table
+    return written_table(_lang_split(spark, sf_dir), "split")
+
+
 @query("svm_predictions")
 def svm_predictions(spark, sf_dir):
-    split = _lang_split(spark, sf_dir)
+    split = _written_split(spark, sf_dir)
     cfg = L.SubModel(1, E.LANG_MAPPING, granularity=0, transformer="tfidf")
     train = L.training_rows(split.where(~F.col("is_test")), cfg)
     model = L.fit(train, cfg)
@@ -644,7 +650,7 @@ def alpha_ensemble(spark, sf_dir):
 def model_zoo(spark, sf_dir):
     """Feature extraction x classifier grid, one metrics row
     per run."""
-    split = _lang_split(spark, sf_dir)
+    split = _written_split(spark, sf_dir)
     train, test = split.where(~F.col("is_test")), split.where("is_test")
     truth = test.select("id", M.label_to_val("label", E.LANG_MAPPING).alias("expected"))
     out = None
