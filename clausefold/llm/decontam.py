@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clausefold.llm.common import WORD_BYTES, append_columns, binary
+from clausefold.llm.common import WORD_BYTES, append_columns, binary, named
 
 #: Words of a phrase.
 WINDOW = 10
@@ -347,7 +347,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, names: tuple[str,
 
 
 def contamination_digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated; ``n_items``
+    counts distinct ids, so items that share one (or have none) count once."""
     found = find_contamination(docs.select("doc_id", "text"), benchmark)
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["begin"])
     rows = found.select("doc_id", "n_words", hit.alias("n_hit"), "items")
@@ -381,7 +382,7 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         elif c == "n_chars":
             columns.append(F.when(F.size("__spans") > 0, F.length("__text").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c))
         else:
-            columns.append(F.col(c))
+            columns.append(named(c))
     return done.select(*columns)
 
 

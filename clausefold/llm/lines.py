@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clausefold.llm.common import append_columns, binary, bound_batches, written
+from clausefold.llm.common import append_columns, binary, bound_batches, named, written
 
 #: White space that a line's key is stripped of.
 BLANK = b" \t\n\v\f\r"
@@ -275,7 +275,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep: s
 def _in_order(docs: DataFrame, new: list[T.StructField]) -> list[Column]:
     """The columns of ``docs`` as they stood, then the new ones."""
     names = docs.columns + [f.name for f in new if f.name not in docs.columns]
-    return [F.col("`" + c.replace("`", "``") + "`") for c in names]
+    return [named(c) for c in names]
 
 
 def line_digest(docs: DataFrame) -> DataFrame:
