@@ -9,8 +9,9 @@ priority that begins earlier, reaches further or is listed first) is
 suppressed.  The base rules count all their places before that.
 
 The rules are made from the tables below: every licence family by its name,
-its notices, its SPDX identifier and its link, and signatures by hand.  One narrow pass over the
-documents, no shuffle.
+its notices, its SPDX identifier and its link, and signatures by hand.  SPDX
+expressions are read word by word.  One narrow pass over the documents, no
+shuffle.
 """
 
 from __future__ import annotations
@@ -82,7 +83,7 @@ FAMILIES = (
     ("cc-by-nd", "CC-BY-ND-3.0 CC-BY-ND-4.0", "cc|creative", r"(?:cc by nd|creative commons attribution no ?deriv(?:ative)?s?)(?: [1234] 0)?"),
     ("cc-by-sa", "CC-BY-SA-3.0 CC-BY-SA-4.0", "cc|creative", r"(?:cc by sa|creative commons attribution share ?alike)(?: [1234] 0)?"),
     ("cc-by", "CC-BY-3.0 CC-BY-4.0", "cc|creative", r"(?:cc by|creative commons attribution)(?: [1234] 0)?"),
-    ("odbl", "ODbL-1.0", "odbl|database", r"(?:odbl|open (?:data commons )?open database licen[sc]e)(?: v?1 0)?"),
+    ("odbl", "ODbL-1.0", "odbl|database", r"(?:odbl|(?:open data commons )?open database licen[sc]e)(?: v?1 0)?"),
     ("odc-by", "ODC-By-1.0", "attribution license|licence", r"open data commons attribution licen[sc]e"),
     ("pddl", "PDDL-1.0", "pddl|dedication", r"(?:pddl|public domain dedication and licen[sc]e)"),
     ("ofl", "OFL-1.0 OFL-1.1", "font", r"(?:sil )?open font licen[sc]e(?: version)?(?: 1 [01])?"),
@@ -129,7 +130,7 @@ NOTICES = (
 BASE_PRIORITY, BASE_RELEVANCE = 4, 0.7
 
 # Signatures written by hand; label, kind, keywords, pattern.  A
-# bare name counts behind a notice only.
+# bare name counts behind a notice only, a declared one behind "license".
 _V = r"(?: or (?:any )?later(?: version)?)?"
 SIGNATURES = (
     *((f"bsd-{n}", "name", "bsd", rf"bsd (?:licen[sc]e )?(?:{n}|{word}) clause(?: licen[sc]e)?") for n, word in ((4, "four"), (3, "three"), (2, "two"), (0, "zero"))),
@@ -140,6 +141,18 @@ SIGNATURES = (
     *((label, "bare", word, word) for label, word in (
         ("gpl", "gpl"), ("lgpl", "lgpl"), ("agpl", "agpl"), ("gfdl", "gfdl"), ("mit", "mit"), ("bsd", "bsd"), ("apache", "apache"), ("isc", "isc"),
         ("zlib", "zlib"), ("mpl", "mpl"), ("epl", "epl"), ("cddl", "cddl"), ("eupl", "eupl"), ("unlicense", "unlicense"), ("wtfpl", "wtfpl"))),
+    *((label, "declared", "license|licence", word) for label, word in (
+        ("gpl", "gpl"), ("lgpl", "lgpl"), ("agpl", "agpl"), ("mit", "mit"), ("bsd", "bsd"), ("isc", "isc"), ("zlib", "zlib"), ("mpl", "mpl"), ("epl", "epl"),
+        ("unlicense", "unlicense"), ("wtfpl", "wtfpl"))),
+    ("mpl-1", "name", "mpl", r"mpl (?:version )?v?1 [01]"),
+    ("mpl-2", "name", "mpl", r"mpl (?:version )?v?2(?: 0)?"),
+    ("epl", "name", "epl", r"epl (?:version )?v?[12](?: 0)?"),
+    ("cddl", "name", "cddl", r"cddl (?:version )?v?1(?: [01])?"),
+    ("eupl", "name", "eupl", r"eupl (?:version )?v?1(?: [012])?"),
+    ("isc", "text", "permission", r"permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted"),
+    *((f"gpl-{n}", "text", "general", rf"gnu general public licen[sc]e as published by the free software foundation (?:either )?version {n}(?: of the licen[sc]e)?{_V}") for n in (1, 2, 3)),
+    ("lgpl", "text", "general", rf"gnu (?:lesser|library) general public licen[sc]e as published by the free software foundation (?:either )?version [23](?: [01])?(?: of the licen[sc]e)?{_V}"),
+    ("agpl", "text", "affero", rf"gnu affero general public licen[sc]e as published by the free software foundation (?:either )?version 3(?: of the licen[sc]e)?{_V}"),
     *((f"gpl-{n}", "link", "gnu", rf"gnu org licen[sc]es (?:old licen[sc]es )?gpl {n} 0") for n in (1, 2, 3)),
     ("gpl", "link", "gnu", r"gnu org (?:licen[sc]es|copyleft) gpl"),
     ("lgpl", "link", "gnu", r"gnu org (?:licen[sc]es|copyleft) (?:old licen[sc]es )?(?:lgpl|lesser)(?: [23] [01])?"),
@@ -159,7 +172,8 @@ class Rule:
     kind: str
     priority: int
     relevance: float
-    pattern: re.Pattern[bytes]
+    #: None: the rule of an expression's later identifiers
+    pattern: re.Pattern[bytes] | None
     #: sets of words; a match holds a word of each
     needs: tuple[frozenset[bytes], ...]
 
@@ -183,16 +197,16 @@ def signature_rules() -> tuple[Rule, ...]:
     for kind, priority, relevance, before, after in NOTICES:
         for label, _, keywords, name in FAMILIES:
             rules.append(_rule(label, kind, priority, relevance, before + name + after, _needs(keywords)))
-    every = sorted((i.lower().replace("-", " ").replace(".", " ") for _, ids, _, _ in FAMILIES for i in ids.split()), key=len, reverse=True)
-    chain = rf"(?:(?:{'|'.join(every)}|licenseref(?: [a-z0-9]+){{1,6}}?)(?: with [a-z0-9]+(?: [a-z0-9]+){{0,5}}?)? (?:or|and) )+"
-    for label, ids, _, _ in FAMILIES:
-        # an expression's later identifiers, each in its own place
-        own = "|".join(sorted((i.lower().replace("-", " ").replace(".", " ") for i in ids.split()), key=len, reverse=True))
-        rules.append(_rule(label, "identifier", 0, 1.0, f"spdx license identifier {chain}(?P<own>{own})", _needs("spdx")))
+    # an expression's later identifiers, each in its own place
+    rules.extend(Rule(label, "identifier", 0, 1.0, None, _needs("spdx")) for label, *_ in FAMILIES)
     for label, how, keywords, pattern in SIGNATURES:
         for kind, priority, relevance, before, _ in NOTICES:
             if how == "link" and kind == "name":
                 rules.append(_rule(label, "link", 2, 0.9, pattern, _needs(keywords)))
+            elif how == "declared" and kind == "name":
+                rules.append(_rule(label, kind, priority, relevance, f"licen[sc]e (?:type |name )?{pattern}", _needs(keywords)))
+            elif how == "text" and kind == "name":
+                rules.append(_rule(label, kind, priority, relevance, pattern, _needs(keywords)))
             elif how == "name" or how == "bare" and kind == "notice":
                 rules.append(_rule(label, kind, priority, relevance, before + pattern, _needs(keywords)))
     for phrase, label in BASE:
@@ -211,21 +225,73 @@ class Detection:
     rule: int
 
 
+#: Label of every identifier's words, and the most words one has.
+IDENTIFIERS = {tuple(i.lower().replace("-", " ").replace(".", " ").encode().split()): label for label, ids, _, _ in FAMILIES for i in ids.split()}
+LONGEST = max(map(len, IDENTIFIERS))
+
+#: Words that a reference's or an exception's name may have.
+NAME_WORDS = 6
+
+
+def expressions(words: list[bytes]) -> Iterator[tuple[int, int, str]]:
+    """(begin, end, label) of the identifiers after the first in every SPDX
+    expression, read once from left to right: the longest known identifier or
+    a reference, perhaps an exception, an operator, and so on."""
+    linked = (b"or", b"and")
+
+    def name(at: int, stops: tuple[bytes, ...]) -> int:
+        end = at
+        while end < len(words) and end - at < NAME_WORDS and words[end] not in stops:
+            end += 1
+        return end
+
+    at = 0
+    while True:
+        try:
+            at = words.index(b"spdx", at)
+        except ValueError:
+            return
+        at += 1
+        if words[at : at + 2] != [b"license", b"identifier"]:
+            continue
+        at += 2
+        first = True
+        while True:
+            size = next((n for n in range(min(LONGEST, len(words) - at), 0, -1) if tuple(words[at : at + n]) in IDENTIFIERS), 0)
+            if size:
+                if not first:
+                    yield at, at + size, IDENTIFIERS[tuple(words[at : at + size])]
+                at += size
+            elif words[at : at + 1] == [b"licenseref"] and (end := name(at + 1, (*linked, b"with"))) > at + 1:
+                at = end
+            else:
+                break
+            if words[at : at + 1] == [b"with"]:
+                at = name(at + 1, linked)
+            if at >= len(words) or words[at] not in linked:
+                break
+            at, first = at + 1, False
+
+
 def detect(words: list[bytes], rules: tuple[Rule, ...] = RULES, keywords: frozenset[bytes] = KEYWORDS) -> list[Detection]:
     """All detections, in words (end exclusive), by rule, then place."""
     there = keywords.intersection(words)
     if not there:
         return []
     line, out = None, []
+    later: dict[str, list[tuple[int, int]]] = {}
+    for begin, end, label in expressions(words) if b"spdx" in there else ():
+        later.setdefault(label, []).append((begin, end))
     for number, rule in enumerate(rules):
-        if all(not need.isdisjoint(there) for need in rule.needs):
+        if rule.pattern is None:
+            out.extend(Detection(begin, end, number) for begin, end in later.get(rule.label, ()))
+        elif all(not need.isdisjoint(there) for need in rule.needs):
             line = line or b" ".join(words)
             word, at = 0, 0
-            own = "own" if "own" in rule.pattern.groupindex else 0
             for m in rule.pattern.finditer(line):
-                word += line.count(b" ", at, m.start(own))
-                at = m.start(own)
-                out.append(Detection(word, word + m[own].count(b" ") + 1, number))
+                word += line.count(b" ", at, m.start())
+                at = m.start()
+                out.append(Detection(word, word + m[0].count(b" ") + 1, number))
     return out
 
 
@@ -281,4 +347,6 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
 
 
 def license_digest(docs: DataFrame) -> DataFrame:
+    """doc_id and the scan's columns of every row, repeated ones too; null and
+    empty texts as in ``scan_licenses``, no rows for an empty table."""
     return scan_licenses(docs.select("doc_id", "text")).drop("text")

@@ -87,3 +87,32 @@ def test_common_forms_by_hand():
         "https://creativecommons.org/licenses/by-sa/4.0/": "cc-by-sa", "the GPL is long": "",
     }.items():
         assert labels(text) == want, text
+
+
+def test_forms_by_hand_of_declarations_and_texts():
+    for text, want in {
+        "Open Database License": "odbl", "Open Data Commons Open Database License v1.0": "odbl", "MPL 2.0": "mpl-2", "EPL-2.0": "epl", "license: MIT": "mit",
+        "License = \"ISC\"": "isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted": "isc",
+        "under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version": "gpl,gpl-3",
+        "SPDX-License-Identifier: LicenseRef-Foo-1 OR MIT": "mit", "SPDX-License-Identifier: MIT OR nothing": "mit",
+    }.items():
+        assert labels(text) == want, text
+
+
+def test_hostile_and_long_texts_take_linear_time():
+    import time
+
+    for piece, repeats in (("LicenseRef a OR ", 60_000), ("MIT OR ", 100_000), ("SPDX-License-Identifier: MIT WITH a AND ", 25_000), ("licensed under the terms of the ", 30_000),
+                           ("see the ", 100_000), ("creative commons attribution non ", 25_000), ("gnu general public license version ", 25_000)):
+        text = ("SPDX-License-Identifier: " + piece * repeats + "zzz").encode()
+        start = time.process_time()
+        licenses.scan(text)
+        assert time.process_time() - start < 20, piece
+    # twice the text takes about twice the time, not a multiple of it
+    for piece in ("LicenseRef a OR ", "LicenseRef a b c OR "):
+        taken = []
+        for n in (10_000, 40_000):
+            start = time.process_time()
+            licenses.scan(("SPDX-License-Identifier: " + piece * n + "zzz").encode())
+            taken.append(time.process_time() - start)
+        assert taken[1] < 12 * taken[0] + 1
