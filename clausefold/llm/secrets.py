@@ -13,7 +13,8 @@ pairs already scanned, and the findings.  A scan
 4. joins findings back to all paths that hold the blob.
 
 Positions are code points: a text is split at a rule's matches, and the
-lengths of what lies between and of the matches add up to starts and ends.
+lengths of what lies between and of the matches add up to starts and ends, by
+a running sum over a text's matches.
 Everything is DataFrame operations and Column expressions.
 """
 
@@ -21,7 +22,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clausefold.llm.common import shared_folder
@@ -52,13 +53,17 @@ RULES = (
     Rule("private_key", 1, r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]*(?:-----END [A-Z ]*PRIVATE KEY-----)?", r"PRIVATE KEY-----"),
     Rule("forge_token", 1, r"gh[opsur]_[A-Za-z0-9]{36,}", r"gh[opsur]_"),
     Rule("chat_token", 1, r"xox[abprs]-[A-Za-z0-9-]{10,}", r"xox[abprs]-"),
-    Rule("web_token", 1, r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", r"eyJ[A-Za-z0-9_-]+\.eyJ"),
-    Rule("url_login", 1, r"[a-z][a-z0-9+.-]*://[^\s/:@]+:[^\s/:@]+@", r"://[^\s/:@]+:[^\s/:@]+@"),
+    # these two begin where a run of their characters begins and take it whole,
+    # so a long run is read once and not from each of its places
+    Rule("web_token", 2, r"(?<![A-Za-z0-9_-])(?=[A-Za-z0-9_-]*eyJ[A-Za-z0-9_-]{8})[A-Za-z0-9_-]++\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+", r"\.eyJ"),
+    Rule("url_login", 2, r"(?<![a-z0-9+.-])(?=[0-9+.-]*+[a-z])[a-z0-9+.-]++://[^\s/:@]++:[^\s/:@]++@", r"://[^\s/:@]++:[^\s/:@]++@"),
 )
 
 
-def _spans(text: Column, rule: Rule) -> Column:
-    """array<struct<kind, start, end>> of a rule's matches, in order."""
+def _steps(text: Column, rule: Rule) -> Column:
+    """array<struct<kind, gap, n, judged, least>> of a rule's matches in order:
+    the code points since the match before, its length, and that of the group
+    that is judged."""
     # a maximal run of at least n is found by {n,} as by + and a filter; it
     # only keeps the many short runs from being listed
     pattern, least = rule.pattern, rule.least
@@ -68,20 +73,11 @@ def _spans(text: Column, rule: Rule) -> Column:
     judged = F.regexp_extract_all(text, F.lit(pattern), F.lit(rule.group)) if rule.group else whole
     gaps = F.transform(F.split(text, pattern, -1), lambda s: F.length(s).cast("long"))
     lengths = F.zip_with(whole, judged, lambda w, j: F.struct(F.length(w).cast("long").alias("n"), F.length(j).alias("judged")))
-    steps = F.zip_with(gaps, lengths, lambda g, m: F.struct(g.alias("gap"), m["n"].alias("n"), m["judged"].alias("judged")))
-    none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint,judged:int>>")
-
-    def walk(s: Column, x: Column) -> Column:
-        start = s["at"] + x["gap"]
-        return F.struct((start + x["n"]).alias("at"), F.concat(s["out"], F.array(F.struct(
-            F.lit(rule.kind).alias("kind"), start.alias("start"), (start + x["n"]).alias("end"), x["judged"].alias("judged")))).alias("out"))
-
+    steps = F.zip_with(gaps, lengths, lambda g, m: F.struct(
+        F.lit(rule.kind).alias("kind"), g.alias("gap"), m["n"].alias("n"), m["judged"].alias("judged"), F.lit(least).alias("least")))
     # the last gap has no match behind it: its n is null and it is left out
     matched = F.filter(steps, lambda x: x["n"].isNotNull())
-    found = F.aggregate(matched, F.struct(F.lit(0).cast("long").alias("at"), none.alias("out")), walk)["out"]
-    kept = F.filter(found, lambda x: x["judged"] >= least)
-    slim = F.transform(kept, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
-    return F.when(text.rlike(rule.anchor), slim).otherwise(F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>"))
+    return F.when(text.rlike(rule.anchor), matched).otherwise(F.array().cast("array<struct<kind:string,gap:bigint,n:bigint,judged:int,least:int>>"))
 
 
 class BlobLedger:
@@ -123,11 +119,16 @@ class BlobLedger:
         # text stays with its version until it is known to be needed
         texts = versions.select(F.col("path").alias("held_by"), text.alias("text")).withColumn("blob", F.sha2("text", 256))
         fetched = texts.join(todo, texts["held_by"].eqNullSafe(todo["held_by"]) & (texts["blob"] == todo["blob"])).select(todo["blob"], "kinds", "text")
-        each = [F.when(F.array_contains("kinds", r.kind), _spans(F.col("text"), r)) for r in rules]
+        each = [F.when(F.array_contains("kinds", r.kind), _steps(F.col("text"), r)) for r in rules]
         number = F.create_map(*[x for r in rules for x in (F.lit(r.kind), F.lit(r.version))])
-        spans = F.flatten(F.filter(F.array(*each), lambda s: s.isNotNull()))
-        found = fetched.select("blob", F.explode(spans).alias("s")).select(
-            "blob", "s.kind", number[F.col("s.kind")].cast("int").alias("version"), "s.start", "s.end")
+        steps = F.flatten(F.filter(F.array(*each), lambda s: s.isNotNull()))
+        # lengths add up to places, match by match; only matches are shuffled
+        rows = fetched.select("blob", F.posexplode(steps).alias("at", "s")).select("blob", "at", "s.*")
+        so_far = Window.partitionBy("blob", "kind").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        # repeated rows hold a blob together: one of their lists counts
+        rows = rows.repartition("blob", "kind").dropDuplicates(["blob", "kind", "at"])
+        placed = rows.withColumn("end", F.sum(F.col("gap") + F.col("n")).over(so_far)).where(F.col("judged") >= F.col("least"))
+        found = placed.select("blob", "kind", number[F.col("kind")].cast("int").alias("version"), (F.col("end") - F.col("n")).alias("start"), "end")
         found.write.mode("append").parquet(f"{self.folder}/findings")
         done = todo.select("blob", F.explode("kinds").alias("kind")).select("blob", "kind", number[F.col("kind")].cast("int").alias("version"))
         done.write.mode("append").parquet(f"{self.folder}/pairs")
@@ -149,7 +150,10 @@ def _listed(spans: Column) -> Column:
 
 def secret_digest(docs: DataFrame, ledger: BlobLedger | None = None) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256 and spans of every
-    document; without a ledger, a new one in the shared folder."""
+    document; without a ledger, a new one in the shared folder.
+
+    A null text is an empty one and has no spans.  Repeated rows are returned
+    one by one; an empty table gives no rows; other columns play no part."""
     ledger = ledger or BlobLedger(docs.sparkSession, shared_folder(docs.sparkSession, "blob-ledger"))
     hashed = ledger.scan(docs.select(F.col("doc_id").alias("path"), "text"))
     found = ledger.report(hashed)
