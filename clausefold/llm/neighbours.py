@@ -98,7 +98,14 @@ def visit(a: np.ndarray, b: np.ndarray, counts: np.ndarray, budget: int) -> list
 
 
 def cosine(query: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Cosines of one vector with rows, each row summed alike."""
+    """Cosines of one vector with rows, each row summed alike.  A power of two
+    is taken out of each first, which rounds nothing, so that no square
+    overflows or vanishes."""
+    def scaled(v: np.ndarray) -> np.ndarray:
+        return np.ldexp(v, -np.frexp(np.abs(v).max(axis=-1, keepdims=True))[1])
+
+    query, rows = scaled(query), scaled(rows)
+
     def length(v: np.ndarray) -> np.ndarray:
         return np.sqrt((v * v).sum(axis=-1))
 

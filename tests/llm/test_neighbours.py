@@ -84,3 +84,14 @@ def test_recall_and_exact_scores(spark, monkeypatch, part):
         for i, s in got[q]:
             a, b = x[q].astype(float), x[i].astype(float)
             assert abs(s - a @ b / np.sqrt((a @ a) * (b @ b))) < 1e-12
+
+
+def test_very_large_and_small_vectors_have_a_cosine():
+    import numpy as np
+
+    rows = np.array([[1e200, 1e200], [1e-200, -1e-200], [3.0, 4.0]])
+    got = neighbours.cosine(np.array([1e250, 0.0]), rows)
+    assert np.allclose(got, [0.5 ** 0.5, 0.5 ** 0.5, 0.6])
+    plain = np.random.default_rng(1).normal(size=(50, 64))
+    length = np.sqrt((plain * plain).sum(axis=-1))
+    assert (neighbours.cosine(plain[0], plain) == (plain * plain[0]).sum(axis=-1) / (length * length[0])).all()
