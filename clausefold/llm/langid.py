@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clausefold.llm.common import append_columns, binary, uniform
+from clausefold.llm.common import append_columns, binary, named, uniform
 
 #: Bytes of a window, units of a layer.
 LENGTH, UNITS = 128, 8
@@ -312,14 +312,20 @@ def identify(docs: DataFrame, net: Network, names: tuple[str, str] = ("lang_pred
 
 
 def language_digest(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred and score of every document."""
+    """doc_id, held_out, lang_pred and score of every row, repeated ones too.
+    Null texts and texts without a letter are ``und`` with score 0; so are all
+    if no document is labelled.  An empty table gives no rows."""
     found = identify(docs.select("doc_id", "text"), fit(docs.select("doc_id", "text", "lang")))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
 def keep_identified(docs: DataFrame, net: Network) -> DataFrame:
     """The documents whose language is identified, or could be if there were a
-    network that knows languages; texts that are null or have no letter go."""
-    names = ("__lang", "__score")
-    found = identify(docs, net, names).where((F.col(names[0]) != UNKNOWN) | has_letter(F.col("text")))
-    return found.select(*docs.columns)
+    network that knows languages; texts that are null or have no letter go.
+    A null ``lang`` becomes the network's answer; a given one stays, and so
+    does a null one where the network knows no language."""
+    answer, score = "__lang", "__score"
+    found = identify(docs, net, (answer, score)).where((F.col(answer) != UNKNOWN) | has_letter(F.col("text")))
+    own = {f.name: f.dataType for f in docs.schema.fields}
+    filled = F.coalesce("lang", F.when(F.col(answer) != UNKNOWN, F.col(answer)).cast(own["lang"])).alias("lang") if "lang" in own else None
+    return found.select(*[filled if c == "lang" else named(c) for c in docs.columns])
