@@ -35,7 +35,11 @@ class Node:
         return sum(c.weight for c in self.children) if self.children else self.leaf_weight
 
 
-def default_tree(shards: int, base: int = 8) -> Node:
+#: Shards of the regions that are there from the start.
+BASE = 8
+
+
+def default_tree(shards: int, base: int = BASE) -> Node:
     """The tree for shards ``0 .. shards - 1``, all of weight 1.
 
     The first ``base`` shards fill two regions of two racks.  Every later
@@ -108,8 +112,11 @@ def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
 
     Only doc_id and the number of shards decide.  A null text has no bytes
     and the checksum 0; equal rows get different slots of one shard; columns
-    other than doc_id and text are not read.
+    other than doc_id and text are not read.  The law ``key`` holds from the
+    tree's ``BASE`` shards on; fewer are an error.
     """
+    if shards < BASE:
+        raise ValueError(f"at least {BASE} shards")
     text = F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8")
     rows = docs.select("doc_id", (F.octet_length(text).cast("long") + F.lit(1)).alias("size"), F.crc32(text).alias("text_crc32"))
     placed = place(rows, "doc_id", default_tree(shards), default_tree(shards + 1))
