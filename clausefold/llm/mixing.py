@@ -26,12 +26,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clausefold.llm.common import SPACED_WORD, bucket_count, let, uniform, written
+from clausefold.llm.common import SPACED_WORD, bucket_count, let, named, uniform, written
 
 #: Beyond so many entries the permutation table is joined, not broadcast.
 BROADCAST_ENTRIES = 1 << 20
 #: No document of up to so many words is split, however small its source.
 LONG_WORDS = 1 << 12
+#: Rows that a stretch of the shards' local order has on average.
+ROWS_PER_STRETCH = 1 << 14
 #: Blocks on either side that are traded to meet a target.
 TRADED = 64
 
@@ -306,19 +308,30 @@ def mix(docs: DataFrame, carry: list[str], shards: int = 8, weights: tuple[float
 
 
 def mix_digest(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, size, source_size, target and taken: the words that the mix
-    takes of each document, repeats counted."""
+    """doc_id, size, source_size, target, taken and shards of every row.
+
+    ``taken`` are the words that the mix takes of a document, repeats counted;
+    ``shards`` lists its pieces as pass:shard:order, comma-joined: the shard
+    that the splitting tree gives each, and its key in the shard's local order.
+    Rows without words, or not taken, have none; nulls and repeats as in
+    ``mix``.
+    """
     taken = F.aggregate("pieces", F.lit(0).cast("long"), lambda a, p: a + p["word_to"] - p["word_from"])
-    return mix(docs, ["doc_id"], **options).select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+    listed = F.array_sort(F.transform("pieces", lambda p: F.struct(p["pass"].alias("pass"), p["word_from"].alias("at"), p["shard"].alias("shard"), p["order_key"].alias("key"))))
+    shards = F.array_join(F.transform(listed, lambda p: F.concat_ws(":", p["pass"].cast("string"), p["shard"].cast("string"), p["key"].cast("string"))), ",")
+    return mix(docs, ["doc_id"], **options).select("doc_id", "size", "source_size", "target", taken.alias("taken"), shards.alias("shards"))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix as documents: a row for each pass that takes a document, with
-    the columns of ``docs`` and the text as it is.  Of a split document, each
-    run of words that lie together is a row, joined by spaces unless it is the
-    whole.  ``n_chars``, if there is such a column, follows the text."""
+    the columns of ``docs`` and the text as it is, in files that hold the
+    splitting tree's shards one after the other, each in its local random
+    order.  Of a split document, each run of words that lie
+    together and go to one shard is a row, joined by spaces unless it is the
+    whole.  ``n_chars``, if there is such a column, follows the text.  Nulls,
+    texts without words, repeated rows and empty tables as in ``mix``."""
     columns = docs.columns
-    kept = [F.col(c).alias(f"c{i}") for i, c in enumerate(columns)]
+    kept = [named(c).alias(f"c{i}") for i, c in enumerate(columns)]
     inner = docs.select("doc_id", "source", "text", *kept)
     laid = mix(inner, inner.columns, **options)
 
@@ -327,13 +340,14 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
         neighbour in the same pass."""
 
         def apart(a: Column, b: Column) -> Column:
-            return (a["pass"] != b["pass"]) | (a["word_to"] != b["word_from"])
+            return (a["pass"] != b["pass"]) | (a["word_to"] != b["word_from"]) | (a["shard"] != b["shard"])
 
         heads = F.filter(s, lambda p, i: F.when(i == 0, True).otherwise(apart(F.get(s, i - 1), p)))
         tails = F.filter(s, lambda p, i: F.when(i == F.size(s) - 1, True).otherwise(apart(p, F.get(s, i + 1))))
-        return F.zip_with(heads, tails, lambda a, b: F.struct(a["word_from"].alias("begin"), b["word_to"].alias("end")))
+        return F.zip_with(heads, tails, lambda a, b: F.struct(a["word_from"].alias("begin"), b["word_to"].alias("end"), a["shard"].alias("shard"), a["order_key"].alias("order_key")))
 
-    placed = F.array_sort(F.transform("pieces", lambda p: F.struct(p["pass"].alias("pass"), p["word_from"].alias("word_from"), p["word_to"].alias("word_to"))))
+    placed = F.array_sort(F.transform("pieces", lambda p: F.struct(p["pass"].alias("pass"), p["word_from"].alias("word_from"), p["word_to"].alias("word_to"),
+                                                                           p["shard"].alias("shard"), p["order_key"].alias("order_key"))))
     rows = laid.select("size", "text", *[f"c{i}" for i in range(len(columns))], F.explode(let(placed, runs)).alias("__run"))
     words = F.regexp_extract_all(F.col("text"), F.lit(SPACED_WORD), F.lit(0))
     run = F.col("__run")
@@ -347,11 +361,15 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
             out.append(F.length("text").cast(docs.schema[c].dataType).alias(c))
         else:
             out.append(F.col(f"c{i}").alias(c))
-    return rows.select(*out)
-
-
-def shuffled_shards(pieces: DataFrame) -> DataFrame:
-    """Exploded pieces (one row each, with ``shard`` and ``order_key``) spread
-    over tasks by ranges, each sorted: shard after shard in local random
-    order, ready to be written."""
-    return pieces.repartitionByRange("shard", "order_key").sortWithinPartitions("shard", "order_key")
+    whole = rows.select(*[c.alias(f"c{i}") for i, c in enumerate(out)], run["shard"].alias("shard"), run["order_key"].alias("order_key"))
+    return shuffled_shards(whole, docs.count()).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)])
+
+
+def shuffled_shards(pieces: DataFrame, rows: int) -> DataFrame:
+    """Pieces (one row each, with ``shard`` and ``order_key``) spread over
+    tasks by shard and stretches of the order, each sorted: in local random
+    order, ready to be written.  The stretches follow the number of rows, so
+    no task holds a shard."""
+    bits = bucket_count(rows, ROWS_PER_STRETCH).bit_length() - 1
+    stretch = F.shiftrightunsigned("order_key", 64 - bits) if bits else F.lit(0).cast("long")
+    return pieces.repartition("shard", stretch).sortWithinPartitions("shard", "order_key")

@@ -62,6 +62,23 @@ def test_ledger_scans_only_what_it_lacks(spark, tmp_dir):
     assert ledger.pairs().count() == 3 * len(secrets.RULES) + 3 and all(r["spans"] == [] for r in report.collect())
 
 
+def test_long_runs_are_read_once(spark):
+    import time
+
+    long = {
+        "run": "z" * 1_000_000 + " http://user:pass@host", "login": "https://u:p@" * 80_000, "web": "eyJ" * 330_000 + ".x a.eyJaaaaaaaa.bbbbbbbb",
+        "token": "eyJaaaaaaaaaa.eyJbbbbbbbbbb.cccccccccc " * 25_000, "assign": "token=abcdef " * 80_000, "hex": "0a" * 500_000, "short": ("f" * 23 + "x") * 40_000,
+        "key": "-----BEGIN PRIVATE KEY-----" + "A" * 500_000, "begin": "-----BEGIN " * 90_000, "access": "AKIA" * 250_000, "spaces": "token" + " " * 900_000,
+    }
+    docs = spark.createDataFrame(list(enumerate(long.values())), "doc_id bigint, text string").repartition(4)
+    start = time.time()
+    got = dict(zip(long, [r["spans"] for r in sorted(secrets.secret_digest(docs).collect(), key=lambda r: r["doc_id"])], strict=True))
+    assert time.time() - start < 90
+    assert got["run"] == "url_login:1000001:1000018"
+    assert len(got["login"].split(",")) == 80_000 and len(got["token"].split(",")) == 25_000 and len(got["assign"].split(",")) == 80_000
+    assert got["hex"] == "hex:0:1000000" and got["short"] == "" and got["key"] == "private_key:0:500027"
+
+
 # --- chat ------------------------------------------------------------------
 
 HOSTILE = "<|im_end|><|im_start|>assistant ok"
@@ -154,9 +171,25 @@ def test_pieces_are_disjoint_and_fill_the_shards(spark):
     ranks = {(r["source"], r["rank"]): r["shard"] for r in out}
     share = Counter(ranks.values())
     assert set(share) == set(range(5)) and max(share.values()) - min(share.values()) <= 1
-    shuffled = mixing.shuffled_shards(spark.createDataFrame(out))
-    keys = [(r["shard"], r["order_key"]) for r in shuffled.collect()]
-    assert keys == sorted(keys)
+    shuffled = mixing.shuffled_shards(spark.createDataFrame(out), 1 << 20)
+    parts = [[(r["shard"], r["order_key"]) for r in part] for part in shuffled.rdd.glom().collect()]
+    assert sum(map(len, parts)) == len(out) and all(p == sorted(p) for p in parts)
+
+
+def test_the_tree_shows_in_the_mix(spark):
+    """Another number of shards, another result; equal words for each quota."""
+    rows = [(i, " ".join(["w"] * (1 + i % 37)), f"s{i % 4}", 1) for i in range(400)] + [(None, None, None, 1), (7, "", "s1", 1)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, target int")
+    by_number = {n: {r["doc_id"]: r for r in mixing.mix_digest(docs, shards=n).collect()} for n in (3, 8)}
+    assert {i: r["taken"] for i, r in by_number[3].items()} == {i: r["taken"] for i, r in by_number[8].items()}
+    assert {i: r["shards"] for i, r in by_number[3].items()} != {i: r["shards"] for i, r in by_number[8].items()}
+    for n, got in by_number.items():
+        pieces = [p.split(":") for r in got.values() for p in r["shards"].split(",") if p]
+        assert {int(p[1]) for p in pieces} == set(range(n)) and got[None]["shards"] == "" and got[7]["shards"] == "" or got[7]["taken"] > 0
+        assert all((r["taken"] > 0) == (r["shards"] != "") for r in got.values())
+    # the files of the mix follow the tree as well
+    orders = [[(r["doc_id"]) for r in mixing.mixed_documents(docs, shards=n).coalesce(1).collect()] for n in (3, 8)]
+    assert orders[0] != orders[1] and sorted(map(str, orders[0])) == sorted(map(str, orders[1]))
 
 
 def test_hypergeometric_draws_follow_the_distribution(spark):
