@@ -1127,3 +1127,87 @@ def nonblank_of_types(spark, sf_dir):
     have none, and the fifth type is rejected."""
     cl = C.order_clauses(spark, sf_dir).join(C.clause_bodies(spark, sf_dir), "clause_id", "left")
     return S.nonblank_of_types(cl, "text", "title", [t for _, t in C.CLAUSE_TITLES[:4]]).select("clause_id", "title")
+
+
+# ---------------------------------------------------------------------------
+# M3 ANOVA selection, X6 in three languages, files by id (S2, S3, S9, S11), run log
+from clausefold.operators import anova as AV  # noqa: E402
+from clausefold.sources import filetree as FT  # noqa: E402
+from clausefold.sources import runs as RL  # noqa: E402
+
+
+@query("anova_selected")
+def anova_selected(spark, sf_dir):
+    """M3: the F value of every term's counts between the languages, and
+    whether the top 45 % hold it."""
+    d = _clean_docs(spark, sf_dir)
+    counts = XA.explode_rows(d, ["doc_id"], T.word_tokens(F.col("text")), "term").groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("value"))
+    from clausefold.session import written_table
+    scores = AV.anova_f(counts, _docs(spark, sf_dir, ["doc_id", "lang"]), "doc_id", "term", "value", "lang")
+    # read by each step of the cut
+    return AV.select_top(written_table(scores, "anova"), 0.45)
+
+
+@query("number_names")
+def number_names(spark, sf_dir):
+    """X6 in French, English and Spanish: numbers below a million in words,
+    read back as digits."""
+    rows = C.numbers_in_words(spark, sf_dir)
+    read = [T.with_clean_full(rows.where(F.col("lang") == lang), "text", "digits", lang) for lang in C.NAMES]
+    return read[0].unionByName(read[1]).unionByName(read[2]).select("l_orderkey", "l_linenumber", "lang", F.col("digits").alias("text"))
+
+
+def _file_tree(spark, sf_dir):
+    """The documents as one file each, by source, with the labels of nine in
+    ten and of some that have no text, read back as one dataset."""
+    texts, labels = _folder(spark, "texts"), _folder(spark, "labels")
+    d = table(spark, sf_dir, "documents", ["doc_id", "text", "lang", "source"]).select(
+        F.coalesce("source", F.lit("none")).alias("dataset"), F.col("doc_id").cast("string").alias("id"), "doc_id", "text", F.coalesce("lang", F.lit("")).alias("lang"))
+    FT.write_texts(d.where("text IS NOT NULL AND doc_id % 17 <> 0"), texts)
+    FT.write_labels(d.where("doc_id % 10 <> 0"), ["lang"], labels)
+    return FT.read_datasets(spark, texts, labels, ["lang"])
+
+
+@query("file_tree")
+def file_tree(spark, sf_dir):
+    """Texts and labels of many datasets, merged under new ids."""
+    rows, _ = _file_tree(spark, sf_dir)
+    return rows.select("id", "dataset", F.md5("text").alias("text_md5"), "lang")
+
+
+@query("file_tree_mismatches")
+def file_tree_mismatches(spark, sf_dir):
+    """Texts without a label and labels without a text."""
+    return _file_tree(spark, sf_dir)[1]
+
+
+@query("file_listing")
+def file_listing(spark, sf_dir):
+    """The files of every dataset."""
+    folder = _folder(spark, "texts")
+    d = table(spark, sf_dir, "conversations", ["conv_id", "turn", "text"])
+    FT.write_texts(d.select(I.zfill(F.col("conv_id"), 6).alias("dataset"), I.zfill(F.col("turn"), 3).alias("id"), "text"), folder)
+    return FT.read_texts(spark, folder).groupBy("dataset").agg(F.count(F.lit(1)).alias("n_files"), F.sum(F.length("text")).alias("n_chars"))
+
+
+def _logged(spark, sf_dir):
+    """Each keyword model's scores by source, logged twice with a failed run
+    in between."""
+    folder = _folder(spark, "runs")
+    scores = _doc_model_scores(spark, sf_dir).drop("cfg_no")
+    RL.log_runs(scores, ["source", "model"], folder)
+    RL.log_runs(scores.withColumn("macro_f1", F.lit(-1.0)), ["source", "model"], folder)
+    RL.log_runs(scores, ["source", "model"], folder)
+    return RL.read_runs(spark, folder)
+
+
+@query("run_log")
+def run_log(spark, sf_dir):
+    """The log of the runs in its long form."""
+    return RL.long_runs(_logged(spark, sf_dir), ["source", "model"], ["accuracy", "macro_precision", "macro_recall", "macro_f1"])
+
+
+@query("run_log_wide")
+def run_log_wide(spark, sf_dir):
+    """M7: the wide form."""
+    return _logged(spark, sf_dir).select("run", "source", "model", "accuracy", "macro_f1")

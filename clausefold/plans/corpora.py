@@ -100,6 +100,64 @@ def french_name(n: int) -> str:
     return tens[ten] + (" et " if rest in (1, 11) and ten < 8 else "-") + low[rest]
 
 
+def french_name_999(n: int) -> str:
+    """The French cardinal of 0 to 999."""
+    hundreds, rest = divmod(n, 100)
+    if not hundreds:
+        return french_name(n)
+    head = "cent" if hundreds == 1 else f"{french_name(hundreds)} cent" + ("" if rest else "s")
+    return head + (f" {french_name(rest)}" if rest else "")
+
+
+def english_name(n: int) -> str:
+    """The English cardinal of 0 to 999."""
+    # The names that the others are made of
+    low = ("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen").split()
+    tens = "twenty thirty forty fifty sixty seventy eighty ninety".split()
+    if n < 20:
+        return low[n]
+    if n < 100:
+        return tens[n // 10 - 2] + (f"-{low[n % 10]}" if n % 10 else "")
+    return f"{low[n // 100]} hundred" + (f" and {english_name(n % 100)}" if n % 100 else "")
+
+
+def spanish_name(n: int) -> str:
+    """The Spanish cardinal of 0 to 999."""
+    # The names that the others are made of
+    low = ("cero uno dos tres cuatro cinco seis siete ocho nueve diez once doce trece catorce quince dieciséis diecisiete dieciocho diecinueve veinte "
+           "veintiuno veintidós veintitrés veinticuatro veinticinco veintiséis veintisiete veintiocho veintinueve").split()
+    tens = "treinta cuarenta cincuenta sesenta setenta ochenta noventa".split()
+    hundreds = "ciento doscientos trescientos cuatrocientos quinientos seiscientos setecientos ochocientos novecientos".split()
+    if n < 30:
+        return low[n]
+    if n < 100:
+        return tens[n // 10 - 3] + (f" y {low[n % 10]}" if n % 10 else "")
+    return "cien" if n == 100 else hundreds[n // 100 - 1] + (f" {spanish_name(n % 100)}" if n % 100 else "")
+
+
+NAMES = {"fr": french_name_999, "en": english_name, "es": spanish_name}
+
+
+def numbers_in_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(l_orderkey, l_linenumber, lang, n, text) one sentence per line item
+    with a number below a million in words, in one of three languages."""
+    li = table(spark, sf_dir, "lineitem", ["l_orderkey", "l_linenumber", "l_extendedprice"])
+    n = (F.floor(F.col("l_extendedprice") * 100) + F.col("l_orderkey")) % 1_000_000
+    rows = li.select("l_orderkey", "l_linenumber", F.element_at(F.array(*[F.lit(x) for x in NAMES]), (F.col("l_linenumber") % 3 + 1).cast("int")).alias("lang"), n.alias("n"))
+    rows = rows.withColumn("high", F.floor(F.col("n") / 1000)).withColumn("low", F.col("n") % 1000)
+    # three thousand rows, whatever the tables
+    names = spark.createDataFrame([(lang, k, name(k)) for lang, name in NAMES.items() for k in range(1000)], "lang string, k long, name string")
+    rows = rows.join(F.broadcast(names.select("lang", F.col("k").alias("high"), F.col("name").alias("many"))), ["lang", "high"])
+    rows = rows.join(F.broadcast(names.select("lang", F.col("k").alias("low"), F.col("name").alias("rest"))), ["lang", "low"])
+    lang, one = F.col("lang"), F.col("high") == 1
+    # before "mille" the plural of cents and vingts goes
+    french = F.when(one, F.lit("mille")).otherwise(F.concat(F.regexp_replace("many", "(cent|vingt)s$", "$1"), F.lit(" mille")))
+    thousands = F.when(lang == "fr", french).when(lang == "en", F.concat("many", F.lit(" thousand"))).otherwise(F.when(one, F.lit("mil")).otherwise(F.concat("many", F.lit(" mil"))))
+    joint = F.when((lang == "en") & (F.col("low") < 100), F.lit(" and ")).otherwise(F.lit(" "))
+    words = F.when(F.col("high") == 0, F.col("rest")).when(F.col("low") == 0, thousands).otherwise(F.concat(thousands, joint, "rest"))
+    return rows.select("l_orderkey", "l_linenumber", "lang", "n", F.concat(F.lit("Article "), words, F.lit(" du contrat")).alias("text"))
+
+
 def _template(tpl: str):
     parts = []
     rest = tpl

@@ -796,3 +796,31 @@ v AS (SELECT query_id, lang, count(*) FILTER (WHERE distance = 0) AS same, coale
 SELECT w.query_id, d.lang AS expected, w.lang AS predicted
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY same DESC, round(weight, 9) DESC, lang) AS r FROM v) w
 JOIN d ON d.doc_id = w.query_id WHERE r = 1"""
+
+# ---------------------------------------------------------------------------
+# M3, X6, files by id, run log
+SQL["anova_selected"] = f"""WITH {CLEAN_DOCS},
+tok AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS term FROM cd),
+x AS (SELECT t.doc_id, t.term, d.lang, count(*) AS x FROM tok t JOIN documents d ON d.doc_id = t.doc_id WHERE d.lang IS NOT NULL GROUP BY ALL),
+size AS (SELECT lang, count(*) AS n FROM documents WHERE lang IS NOT NULL GROUP BY lang),
+whole AS (SELECT sum(n) AS n, count(*) AS k FROM size),
+c AS (SELECT x.term, x.lang, sum(x.x) AS s, sum(x.x * x.x) AS q FROM x GROUP BY ALL),
+t AS (SELECT c.term, sum(c.s * c.s / size.n) AS means, sum(c.s) AS s, sum(c.q) AS q FROM c JOIN size ON size.lang = c.lang GROUP BY c.term),
+v AS (SELECT term, greatest(0, means - s * s / n) AS between_, CASE WHEN q - means > 1e-12 * q THEN q - means ELSE 0 END AS within_, q, n, k FROM t, whole),
+f AS (SELECT term, CASE WHEN within_ > 0 THEN (between_ / (k - 1)) / (within_ / (n - k)) WHEN between_ > 1e-12 * q THEN 'inf'::DOUBLE END AS f FROM v),
+r AS (SELECT term, f, row_number() OVER (ORDER BY round(coalesce(least(f, 1e300), -1), 9) DESC, {_h32("'1'", 'term')}, term) AS r, count(*) OVER () AS n FROM f)
+SELECT term, f, r <= floor(0.45 * n) AS selected FROM r"""
+SQL["number_names"] = """SELECT l_orderkey, l_linenumber, lang, 'article ' || CASE WHEN n = 1 AND lang = 'fr' THEN 'un' WHEN n = 1 AND lang = 'es' THEN 'uno' ELSE CAST(n AS VARCHAR) END || ' du contrat' AS text
+FROM (SELECT l_orderkey, l_linenumber, ['fr', 'en', 'es'][l_linenumber % 3 + 1] AS lang, (CAST(floor(l_extendedprice * 100) AS BIGINT) + l_orderkey) % 1000000 AS n FROM lineitem)"""
+_TREE = """d AS (SELECT coalesce(source, 'none') AS dataset, CAST(doc_id AS VARCHAR) AS id, text, coalesce(lang, '') AS lang,
+    text IS NOT NULL AND doc_id % 17 <> 0 AS written, doc_id % 10 <> 0 AS labelled FROM documents)"""
+SQL["file_tree"] = f"""WITH {_TREE}, n AS (SELECT dataset, dense_rank() OVER (ORDER BY dataset) AS docno FROM (SELECT DISTINCT dataset FROM d WHERE labelled))
+SELECT {X.zfill('docno', 5)} || '_' || id AS id, d.dataset, md5(text) AS text_md5, lang FROM d JOIN n ON n.dataset = d.dataset WHERE written AND labelled"""
+SQL["file_tree_mismatches"] = f"""WITH {_TREE} SELECT dataset, id, CASE WHEN written THEN 'text_only' ELSE 'label_only' END AS side FROM d WHERE written <> labelled"""
+SQL["file_listing"] = f"""SELECT {X.zfill('conv_id', 6)} AS dataset, count(*) AS n_files, CAST(sum(length(text)) AS BIGINT) AS n_chars
+FROM conversations GROUP BY ALL"""
+_RUN = "md5('model=' || coalesce(chr(39) || model || chr(39), 'null') || ';source=' || coalesce(chr(39) || source || chr(39), 'null'))"
+SQL["run_log"] = f"""WITH {MODEL_SCORES}
+SELECT run, source, model, metric, value FROM (SELECT {_RUN} AS run, source, model, accuracy, macro_precision, macro_recall, macro_f1 FROM scores)
+UNPIVOT (value FOR metric IN (accuracy, macro_precision, macro_recall, macro_f1))"""
+SQL["run_log_wide"] = f"WITH {MODEL_SCORES} SELECT {_RUN} AS run, source, model, accuracy, macro_f1 FROM scores"
