@@ -30,7 +30,7 @@ class SubModel:
     binary: bool = False               # classes[0] -> -1, others 1 (P7 binary)
     ref_classes: list[str] = field(default_factory=list)  # P7 ref mode when given
     oversample: bool = False           # G1 on the training rows
-    classifier: str = "svm"            # svm | logreg | nb | rf | mlp
+    classifier: str = "svm"            # svm | logreg | nb | rf | mlp | words
     vectorizer_args: dict = field(default_factory=dict)
     vote_mode: str = "std"             # vote of sentence ballots: std | ato | not
     vote_default: int | None = None
@@ -128,7 +128,11 @@ def prepare(data: DataFrame, cfg: SubModel, generations: int = 0, fraction: floa
 
 
 def fit(data: DataFrame, cfg: SubModel, text_col: str = "text"):
-    """Fit vectorizer + classifier as one ``PipelineModel``."""
+    """Fit vectorizer + classifier as one ``PipelineModel``; the
+    classifier ``words`` is a naive Bayes model of word tables."""
+    if cfg.classifier == "words":
+        from clausefold.operators import bayes
+        return bayes.fit(data, text_col)
     from pyspark.ml import Pipeline
 
     from clausefold.session import checkpoint_dir
@@ -216,9 +220,18 @@ def save_model(model: "FittedSubModel", path: str) -> None:
 
 
 def load_model(spark: SparkSession, path: str) -> "FittedSubModel":
-    """A model of one class has no pipeline; any other must have one, and a
-    missing one is an error."""
+    """A word model has its classes, any other its codes; of these a model of
+    one class has no pipeline, any other must have one, and a missing one is
+    an error."""
     from pyspark.ml import PipelineModel
+    from pyspark.sql.utils import AnalysisException
+
+    from clausefold.operators import bayes
+    try:
+        return bayes.load(spark, path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
     codes = sorted(r[0] for r in spark.read.parquet(f"{path}/codes").collect())
     return FittedSubModel(PipelineModel.load(f"{path}/pipeline") if len(codes) > 1 else None, codes)
 

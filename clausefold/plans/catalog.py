@@ -863,7 +863,10 @@ def search_alpha(spark, sf_dir):
 
 def _search_types(spark, sf_dir, configs_of):
     from functools import reduce
-    rows = _search_rows(spark, sf_dir)
+
+    from clausefold.session import written_table
+    # read once for each type
+    rows = written_table(_search_rows(spark, sf_dir), "search-rows")
     found = [_search(rows, configs, t) for t in [*SEARCH_TYPES, None] if (configs := configs_of(t))]
     return reduce(lambda a, b: a.unionByName(b), found)
 
@@ -878,7 +881,7 @@ def search_gamma(spark, sf_dir):
     return _search_types(spark, sf_dir, AN.gamma_configs)
 
 
-def _phases(spark, sf_dir):
+def _phases(spark, sf_dir, classifier="nb"):
     """The analysis fitted on the train side of the split; the labelled,
     split clauses are written once for all fits."""
     from clausefold.session import checkpoint_dir
@@ -886,7 +889,7 @@ def _phases(spark, sf_dir):
     split = FE.hash_split(_labelled(spark, sf_dir), "id", 0.25, seed=1).checkpoint()
     train, test = split.where(~F.col("is_test")).drop("is_test"), split.where("is_test").drop("is_test")
     # Bernoulli models: one pass over the rows for each of the dozen sub-models
-    return AN.train_phases(train, classifier="nb"), test
+    return AN.train_phases(train, classifier=classifier), test
 
 
 @query("phased_analysis")
@@ -1211,3 +1214,46 @@ def run_log(spark, sf_dir):
 def run_log_wide(spark, sf_dir):
     """M7: the wide form."""
     return _logged(spark, sf_dir).select("run", "source", "model", "accuracy", "macro_f1")
+
+
+# ---------------------------------------------------------------------------
+# C8-C12, C14, C17, C18, S16 over word tables: fitted sub-models that SQL can
+# express
+@query("phased_words")
+def phased_words(spark, sf_dir):
+    """Type, validity and policies of the test side by sub-models
+    fitted on the train side, the title keyword among the type's ballots."""
+    pm, test = _phases(spark, sf_dir, "words")
+    a = AN.analyze(pm, test.select("id", "title", "text"))
+    return a.select("id", "type", "anomalous", F.array_join("anomaly", ",").alias("anomaly"))
+
+
+@query("phased_words_evaluation")
+def phased_words_evaluation(spark, sf_dir):
+    """C14: the four reports of the same analysis."""
+    pm, test = _phases(spark, sf_dir, "words")
+    return AN.evaluate_phases(AN.analyze(pm, test.select("id", "title", "text")), test.select("id", "type", "policy"), SEARCH_TYPES, R.POLICIES)
+
+
+@query("model_answers")
+def model_answers(spark, sf_dir):
+    """The requests answered by route with an analysis that was
+    stored and loaded."""
+    folder = _folder(spark, "analysis")
+    pm, _ = _phases(spark, sf_dir, "words")
+    AN.save_phases(spark, pm, folder)
+    a = AN.answer(AN.load_phases(spark, folder), C.clause_requests(spark, sf_dir))
+    return a.select("request_id", "route", "type", "anomalous", F.array_join("anomaly", ",").alias("anomaly"))
+
+
+@query("folder_classification")
+def folder_classification(spark, sf_dir):
+    """C17: the files of a folder of texts, typed by one stored model."""
+    texts, stored = _folder(spark, "texts"), _folder(spark, "model")
+    train = FE.hash_split(_labelled(spark, sf_dir), "id", 0.25, seed=1).where(~F.col("is_test"))
+    cfg = L.SubModel(1, SEARCH_TYPES, classifier="words")
+    L.save_model(L.fit(L.training_rows(train.select("id", "text", F.col("type").alias("label")), cfg), cfg), stored)
+    cl = _clauses(spark, sf_dir)
+    FT.write_texts(cl.select(F.col("contract_id").cast("string").alias("dataset"), F.col("clause_id").cast("string").alias("id"), "text"), texts)
+    y = L.predict_ballots(L.load_model(spark, stored), FT.read_texts(spark, texts), cfg)
+    return y.select("id", F.element_at(F.array(*[F.lit(t) for t in SEARCH_TYPES]), F.col("y") + 1).alias("type"))

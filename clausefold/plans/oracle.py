@@ -824,3 +824,99 @@ SQL["run_log"] = f"""WITH {MODEL_SCORES}
 SELECT run, source, model, metric, value FROM (SELECT {_RUN} AS run, source, model, accuracy, macro_precision, macro_recall, macro_f1 FROM scores)
 UNPIVOT (value FOR metric IN (accuracy, macro_precision, macro_recall, macro_f1))"""
 SQL["run_log_wide"] = f"WITH {MODEL_SCORES} SELECT {_RUN} AS run, source, model, accuracy, macro_f1 FROM scores"
+
+# ---------------------------------------------------------------------------
+# Fitted analyses over word tables
+_WORD_LIST = "list_distinct(regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}_]{{2,}}'))"
+
+
+def _bayes(name: str, train: str, rows: str) -> str:
+    """CTEs of a Bernoulli naive Bayes model: ``train`` selects (y, text),
+    ``rows`` (id, sno, text); ``name`` holds (id, sno, y)."""
+    return f"""{name}_t AS ({train}),
+{name}_n AS (SELECT y, count(*) AS n FROM {name}_t GROUP BY y),
+{name}_c AS (SELECT term, y, count(*) AS c FROM (SELECT y, unnest({_WORD_LIST.format('text')}) AS term FROM {name}_t) GROUP BY ALL),
+{name}_p AS (SELECT v.term, n.y, (coalesce(c.c, 0) + 1) / (n.n + 2.0) AS p FROM (SELECT DISTINCT term FROM {name}_c) v CROSS JOIN {name}_n n
+  LEFT JOIN {name}_c c ON c.term = v.term AND c.y = n.y),
+{name}_b AS (SELECT n.y, ln(n.n / (SELECT sum(n) FROM {name}_n)) + coalesce(a.s, 0) AS bias FROM {name}_n n
+  LEFT JOIN (SELECT y, sum(ln(1 - p)) AS s FROM {name}_p GROUP BY y) a ON a.y = n.y),
+{name}_r AS (SELECT row_number() OVER () AS rid, * FROM ({rows})),
+{name}_s AS (SELECT w.rid, p.y, sum(ln(p) - ln(1 - p)) AS s FROM (SELECT rid, unnest({_WORD_LIST.format('text')}) AS term FROM {name}_r) w JOIN {name}_p p ON p.term = w.term GROUP BY ALL),
+{name} AS (SELECT id, sno, y FROM (
+  SELECT r.id, r.sno, b.y, row_number() OVER (PARTITION BY r.rid ORDER BY round(b.bias + coalesce(s.s, 0), 9) DESC, b.y) AS k
+  FROM {name}_r r CROSS JOIN {name}_b b LEFT JOIN {name}_s s ON s.rid = r.rid AND s.y = b.y) WHERE k = 1)"""
+
+
+_TYPES_OF_RULES = AN.types_of_rules()
+_MULTI = [t for t in _TYPES_OF_RULES if len(AN.policies_of(t)) > 1]
+_SPLIT = f"""{_LABELLED},
+sp AS (SELECT lab.*, c.title, row_number() OVER (ORDER BY {_h32("'1'", 'CAST(lab.id AS VARCHAR)')}, lab.id) <= ceil(count(*) OVER () * 0.25) AS is_test
+  FROM lab JOIN contract_clause c ON c.clause_id = lab.id)"""
+
+
+def _sentences_sql(rows: str, extra: str = "") -> str:
+    return f"SELECT id, unnest(range(0, len(a))) AS sno, unnest(a) AS text{extra} FROM (SELECT *, {X.split_sentences('body')} AS a FROM ({rows}))"
+
+
+def _phases_sql(targets: str) -> str:
+    """CTEs of the phased analysis; ``targets`` selects (id, title, body,
+    given, stage).  ``answered`` has (id, stage, type, anomalous, anomaly)."""
+    type_code, policy_code = _case_code("type", _TYPES_OF_RULES), _case_code("policy", R.POLICY_CLASSES)
+    names = "[" + ", ".join(q(t) for t in _TYPES_OF_RULES) + "]"
+    classes = "[" + ", ".join(q(p) for p in R.POLICY_CLASSES) + "]"
+    known = "', '".join(_TYPES_OF_RULES)
+    other = f"(type IS NULL OR type NOT IN ('{known}'))"
+    best = "row_number() OVER (PARTITION BY id ORDER BY count(*) DESC, min({0})) AS k"
+    parts = [
+        f"tgt AS ({targets})",
+        _bayes("am", f"SELECT {type_code} AS y, body AS text FROM sp WHERE NOT is_test AND {type_code} >= 0", "SELECT id, 0 AS sno, body AS text FROM tgt"),
+        _bayes("asm", f"SELECT {type_code} AS y, text FROM ({_sentences_sql('SELECT * FROM sp WHERE NOT is_test', ', type')}) WHERE {type_code} >= 0", _sentences_sql("SELECT * FROM tgt")),
+        f"asv AS (SELECT id, y FROM (SELECT id, y, {best.format('sno')} FROM asm GROUP BY id, y) WHERE k = 1)",
+        f"tt AS (SELECT id, {_case_code(_TT_TYPE, _TYPES_OF_RULES)} AS y FROM (SELECT id, {X.ws_split('title')} AS tok FROM tgt))",
+        "ab AS (SELECT id, y, 0 AS pos FROM tt WHERE y >= 0 UNION ALL SELECT id, y, 1 FROM am UNION ALL SELECT id, y, 2 FROM asv)",
+        f"av AS (SELECT id, {names}[y + 1] AS type FROM (SELECT id, y, {best.format('pos')} FROM ab GROUP BY id, y) WHERE k = 1)",
+        "typed AS (SELECT t.id, t.body, t.stage, CASE WHEN stage = 'full' THEN av.type ELSE given END AS type FROM tgt t LEFT JOIN av ON av.id = t.id)",
+    ]
+    bad = "SELECT CASE WHEN policy = 'None' THEN 0 ELSE 1 END AS y, body AS text FROM sp WHERE NOT is_test"
+    asked = "SELECT id, 0 AS sno, body AS text FROM typed WHERE stage <> 'gamma' AND "
+    for i, t in enumerate(_TYPES_OF_RULES):
+        parts.append(_bayes(f"b{i}m", f"{bad} AND type = {q(t)}", f"{asked} type = {q(t)}"))
+    parts.append(_bayes("bdm", bad, asked + other))
+    beta = " UNION ALL ".join(f"SELECT id, y FROM {n}" for n in [*(f"b{i}m" for i in range(len(_TYPES_OF_RULES))), "bdm"])
+    parts.append(f"flagged AS (SELECT t.*, t.stage = 'gamma' OR coalesce(b.y = 1, false) AS anomalous FROM typed t LEFT JOIN ({beta}) b ON b.id = t.id)")
+    violated = "SELECT id, 0 AS sno, body AS text FROM flagged WHERE anomalous AND "
+    coded = f"SELECT {policy_code} AS y, body AS text FROM sp WHERE NOT is_test AND "
+    for i, t in enumerate(_MULTI):
+        own = ", ".join(q(p) for p in AN.policies_of(t))
+        parts.append(_bayes(f"g{i}m", f"{coded} type = {q(t)} AND policy IN ({own})", f"{violated} type = {q(t)}"))
+    parts.append(_bayes("gdm", f"{coded} policy <> 'None'", violated + other))
+    single = " ".join(f"WHEN f.type = {q(t)} THEN {q(AN.policies_of(t)[0])}" for t in _TYPES_OF_RULES if t not in _MULTI)
+    gamma = " UNION ALL ".join(f"SELECT id, {classes}[y + 1] AS policy FROM {n} WHERE y > 0" for n in [*(f"g{i}m" for i in range(len(_MULTI))), "gdm"])
+    parts.append(f"""answered AS (SELECT f.id, f.stage, f.type, f.anomalous,
+    CASE WHEN f.anomalous THEN CASE {single} ELSE coalesce(g.policy, '') END END AS anomaly FROM flagged f LEFT JOIN ({gamma}) g ON g.id = f.id)""")
+    return ",\n".join(parts)
+
+
+_TEST_SIDE = "SELECT id, title, body, NULL::VARCHAR AS given, 'full' AS stage FROM sp WHERE is_test"
+_TEST_PHASES = f"{_SPLIT},\n{_phases_sql(_TEST_SIDE)}"
+SQL["phased_words"] = f"WITH {_TEST_PHASES} SELECT id, type, anomalous, anomaly FROM answered"
+_REPORTS = SQL["rule_phase_evaluation"].split("cell AS (", 1)[1]
+SQL["phased_words_evaluation"] = f"""WITH {_TEST_PHASES},
+ans AS (SELECT sp.id, sp.type, sp.policy, a.type AS p_type, CASE WHEN a.anomalous THEN 1 END AS policies,
+    CASE WHEN coalesce(a.anomaly, '') <> '' THEN [{_case_code('a.anomaly', R.POLICIES)}] END AS codes FROM sp JOIN answered a ON a.id = sp.id),
+cell AS ({_REPORTS}"""
+_WAY = """CASE WHEN r.type = '' THEN 'full' WHEN r.anomalous = '' THEN 'beta_gamma' WHEN r.anomalous IN ('True', '1', 'true') THEN 'gamma' ELSE 'none' END"""
+_ASKED = REQUESTS.split("requests AS (", 1)[1]
+_ROUTED = f"""requests AS ({_ASKED},
+way AS (SELECT r.*, {_WAY} AS route FROM requests r WHERE {' AND '.join(f'r.{f} IS NOT NULL' for f in _FIELDS)})"""
+_REQUESTED = "SELECT w.request_id AS id, w.title, sp.body, w.type AS given, w.route AS stage FROM way w JOIN sp ON sp.id = w.request_id WHERE w.route <> 'none'"
+SQL["model_answers"] = f"""WITH {_SPLIT},
+{_ROUTED},
+{_phases_sql(_REQUESTED)}
+SELECT w.request_id, w.route, CASE WHEN w.route = 'full' THEN coalesce(a.type, 'None') ELSE w.type END AS type,
+  CASE WHEN coalesce(a.anomalous, false) THEN 'True' ELSE 'False' END AS anomalous, a.anomaly
+FROM way w LEFT JOIN answered a ON a.id = w.request_id"""
+_TYPE_CODE = _case_code("type", _TYPES_OF_RULES)
+SQL["folder_classification"] = f"""WITH {_SPLIT},
+{_bayes('fm', f"SELECT {_TYPE_CODE} AS y, body AS text FROM sp WHERE NOT is_test AND {_TYPE_CODE} >= 0", "SELECT id, 0 AS sno, body AS text FROM sp")}
+SELECT CAST(id AS VARCHAR) AS id, [{', '.join(q(t) for t in _TYPES_OF_RULES)}][y + 1] AS type FROM fm"""
