@@ -107,8 +107,9 @@ def hash_split(df: DataFrame, id_col: str, frac: float = 0.25, seed: int = 1,
 # MLlib stages (used for fitting)
 # Terms are hashed: no vocabulary is gathered on the driver and no term is
 # dropped.  The space follows the number of distinct terms, HASH_ROOM places
-# for each (up to LARGEST_SPACE), so as few terms share a feature at any size.
-HASH_ROOM, LARGEST_SPACE = 2, 1 << 24
+# for each, so as few terms share a feature at any size; LARGEST_SPACE is the
+# largest power of two that MLlib can number.
+HASH_ROOM, LARGEST_SPACE = 2, 1 << 30
 
 
 def hashed_counts(input_col: str, output_col: str):

@@ -266,40 +266,3 @@ def percentile_selector(percentile: float, features_col: str = "features", out_c
                                     selectionMode="percentile")
     sel.setFeatureType("continuous").setLabelType("categorical").setSelectionThreshold(percentile)
     return sel
-
-
-def stacked_forest(features_col: str = "features", label_col: str = "y", trees: int = 50):
-    """M5: a first forest's class probabilities appended to the features of
-    a second forest, as one pipeline."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.feature import VectorAssembler
-    rf1 = RandomForestClassifier(featuresCol=features_col, labelCol=label_col, numTrees=trees, seed=1,
-                                 predictionCol="__p1", probabilityCol="__prob1", rawPredictionCol="__raw1")
-    asm = VectorAssembler(inputCols=[features_col, "__prob1"], outputCol="__stacked")
-    rf2 = RandomForestClassifier(featuresCol="__stacked", labelCol=label_col, numTrees=trees, seed=2)
-    return Pipeline(stages=[rf1, asm, rf2])
-
-
-def recursive_elimination(data: DataFrame, n_keep: int, step: float = 0.4, features_col: str = "features",
-                          label_col: str = "y", trees: int = 20) -> list[int]:
-    """M4: recursive feature elimination by forest importances: drop the
-    lowest ``step`` fraction of the remaining features until ``n_keep`` are
-    left.  Returns the kept feature indices (the loop runs on the driver
-    over fits; the data work is the distributed forest fit)."""
-    from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.feature import VectorSlicer
-    n = len(data.select(features_col).first()[0])
-    kept = list(range(n))
-    while len(kept) > n_keep:
-        # sliced from the input each round: the plan never grows
-        cur = data if len(kept) == n else VectorSlicer(inputCol=features_col, outputCol="__sliced", indices=kept).transform(data) \
-            .drop(features_col).withColumnRenamed("__sliced", features_col)
-        model = RandomForestClassifier(featuresCol=features_col, labelCol=label_col, numTrees=trees,
-                                       seed=1).fit(cur)
-        imp = model.featureImportances.toArray()
-        order = sorted(range(len(kept)), key=lambda i: (imp[i], i))
-        drop = max(1, int(len(kept) * step))
-        drop = min(drop, len(kept) - n_keep)
-        kept = [kept[i] for i in sorted(order[drop:])]
-    return kept

@@ -327,10 +327,10 @@ def write_vocab(vocab: DataFrame, directory: str) -> None:
 
 def class_files(spark: SparkSession, directory: str) -> DataFrame:
     """One class per line, one file per label column ->
-    ``(domain, pos, name)``."""
-    df = spark.read.text(directory, wholetext=True).select(
-        F.col("value"), F.col("_metadata.file_name").alias("file"))
-    e = df.select(F.regexp_replace("file", "\\.[^.]*$", "").alias("domain"),
-                  F.posexplode(F.split("value", "\n")).alias("pos", "name"))
-    return e.where(X.strip_ws(F.col("name")) != "").select("domain", "pos", X.strip_ws(F.col("name")).alias("name"))
-
+    ``(domain, pos, name)``.  A file of a ``domain=<column>`` folder belongs to
+    that column."""
+    df = spark.read.text(directory, wholetext=True, recursiveFileLookup=True).select(
+        F.col("value"), F.col("_metadata.file_name").alias("file"), F.regexp_extract("_metadata.file_path", "/domain=([^/]*)/[^/]*$", 1).alias("part"))
+    domain = F.when(F.col("part") != "", F.url_decode("part")).otherwise(F.regexp_replace("file", "\\.[^.]*$", ""))
+    lines = F.filter(F.transform(F.split("value", "\n"), X.strip_ws), lambda x: x != "")
+    return df.select(domain.alias("domain"), F.posexplode(lines).alias("pos", "name"))

@@ -657,7 +657,7 @@ def model_zoo(spark, sf_dir):
     for fe in ["tfidf", "hash"]:
         for clf in ["svm", "logreg", "nb"]:
             cfg = L.SubModel(1, E.LANG_MAPPING, granularity=0, transformer=fe, classifier=clf,
-                             vectorizer_args={"num_features": None} if fe == "hash" else {})
+                             vectorizer_args={})
             model = L.fit(L.training_rows(train, cfg), cfg)
             m = L.evaluate(L.predict_ballots(model, test, cfg), truth)
             m = m.select(F.lit(fe).alias("fe"), F.lit(clf).alias("clf"), "accuracy", "macro_f1")
@@ -665,6 +665,62 @@ def model_zoo(spark, sf_dir):
     return out
 
 
+@query("tree_zoo")
+def tree_zoo(spark, sf_dir):
+    """A forest on all of 256 hashed features, on the 64 that
+    elimination keeps, and a forest stacked on a forest; one metrics row each."""
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.feature import VectorSlicer
+
+    from clausefold.operators import stacking as ST
+    from clausefold.session import written_table
+    split = _written_split(spark, sf_dir)
+    cfg = L.SubModel(1, E.LANG_MAPPING)
+    stages = PipelineModel(FE.hashing_stages("text", num_features=256))
+
+    def featured(rows):
+        clean = T.with_clean_full(rows, "text", "text")
+        return written_table(stages.transform(clean).select("id", "features", L.code_column(cfg).cast("double").alias("y")).where("y >= 0"), "features")
+
+    train, test = featured(split.where(~F.col("is_test"))), featured(split.where("is_test"))
+    n = len(E.LANG_MAPPING)
+    kept = ST.eliminate(ST.labelled(train, n), 64)
+    narrow = VectorSlicer(inputCol="features", outputCol="narrow", indices=kept)
+    said = {
+        "forest": ST.forest(trees=20).fit(ST.labelled(train, n)).transform(test),
+        "eliminated": ST.forest("narrow", trees=20).fit(narrow.transform(ST.labelled(train, n))).transform(narrow.transform(test)),
+        "stacked": ST.fit_stacked(train, n, folds=4, trees=20).transform(test),
+    }
+    out = None
+    for name, rows in said.items():
+        conf = M.confusion(rows.select(F.col("y").cast("int").alias("expected"), F.col("prediction").cast("int").alias("y")), "expected", "y")
+        m = M.macro_scores(conf).select(F.lit("hash256").alias("fe"), F.lit(name).alias("clf"), "accuracy", "macro_f1")
+        out = m if out is None else out.unionByName(m)
+    return out
+
+
+@query("paragraph_vectors")
+def paragraph_vectors(spark, sf_dir):
+    """the embedding of every document."""
+    from clausefold.operators import paragraphs as PV
+    return PV.document_vectors(_docs(spark, sf_dir, ["doc_id", "text"]), "doc_id")
+
+
+@query("label_classes")
+def label_classes(spark, sf_dir):
+    """Class files of the documents' languages and sources, written
+    and read back, and every document's position in them (-1: unknown)."""
+    d = _docs(spark, sf_dir, ["doc_id", "lang", "source"])
+    files = d.select(F.explode(F.array(*[F.struct(F.lit(c).alias("domain"), F.col(c).alias("name")) for c in ("lang", "source")])).alias("x")).select("x.*")
+    files = files.where("name IS NOT NULL").groupBy("domain").agg(F.array_join(F.array_sort(F.collect_set("name")), "\n").alias("value"))
+    folder = _folder(spark, "classes")
+    files.write.partitionBy("domain").text(folder)
+    classes = RU.class_files(spark, folder)
+    for c in ("lang", "source"):
+        d = d.join(F.broadcast(classes.where(F.col("domain") == c).select(F.col("name").alias(c), F.col("pos").alias(f"{c}_code"))), c, "left")
+    return d.select("doc_id", *[F.coalesce(f"{c}_code", F.lit(-1)).alias(f"{c}_code") for c in ("lang", "source")])
+
+
 # ---------------------------------------------------------------------------
 # File formats, written from the given tables to the shared folder and read
 # back (S1, S4, S8, S10, S12-S14, A13, A14, J2, J8, J9, N5)

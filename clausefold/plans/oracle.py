@@ -920,3 +920,7 @@ _TYPE_CODE = _case_code("type", _TYPES_OF_RULES)
 SQL["folder_classification"] = f"""WITH {_SPLIT},
 {_bayes('fm', f"SELECT {_TYPE_CODE} AS y, body AS text FROM sp WHERE NOT is_test AND {_TYPE_CODE} >= 0", "SELECT id, 0 AS sno, body AS text FROM sp")}
 SELECT CAST(id AS VARCHAR) AS id, [{', '.join(q(t) for t in _TYPES_OF_RULES)}][y + 1] AS type FROM fm"""
+SQL["label_classes"] = """WITH l AS (SELECT name, row_number() OVER (ORDER BY name) - 1 AS pos FROM (SELECT DISTINCT lang AS name FROM documents WHERE lang IS NOT NULL)),
+s AS (SELECT name, row_number() OVER (ORDER BY name) - 1 AS pos FROM (SELECT DISTINCT source AS name FROM documents WHERE source IS NOT NULL))
+SELECT doc_id, CAST(coalesce(l.pos, -1) AS INTEGER) AS lang_code, CAST(coalesce(s.pos, -1) AS INTEGER) AS source_code
+FROM documents d LEFT JOIN l ON l.name = d.lang LEFT JOIN s ON s.name = d.source"""

@@ -136,9 +136,11 @@ def test_exploration_extras(spark):
     d = _vec_data(spark)
     sel = L.percentile_selector(0.5).fit(d).transform(d)
     assert len(sel.first()["selected"]) == 2
-    st = L.stacked_forest(trees=5).fit(d).transform(d)
+    from clausefold.operators import stacking as ST
+    numbered = d.withColumn("id", F.monotonically_increasing_id()).cache()
+    st = ST.fit_stacked(numbered, 2, folds=3, trees=5).transform(numbered)
     assert st.where("prediction = y").count() >= 36
-    kept = L.recursive_elimination(d, 2, trees=5)
+    kept = ST.eliminate(d, 2, trees=5)
     assert len(kept) == 2 and (0 in kept or 2 in kept)
     mlp = L.mlp_classifier(4, 2, hidden=4).fit(d)
     assert mlp.transform(d).count() == 40
