@@ -40,6 +40,8 @@ RECORD_END = "\r\n\r\n"
 
 # Elements without readable content, and those that break lines.
 _SILENT = ("script", "style", "title", "noscript", "template", "svg", "iframe", "object", "textarea", "select")
+# of the silent ones, those that hold no markup: unclosed, they run to the end
+_RAW = ("script", "style", "title", "textarea")
 _BREAKING = frozenset(
     "address article aside blockquote body br caption dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hr html li main nav ol option p pre section table tbody td tfoot th thead tr ul".split())
@@ -109,6 +111,7 @@ def read_page(page: str, base: str) -> tuple[str, dict]:
     out: list[str] = []
     links: list[dict] = []
     meta: list[dict] = []
+    unclosed: set[str] = set()
     title, language, at = None, "", 0
     for m in _TOKEN.finditer(page):
         if m.start() < at:  # inside an element that is passed over
@@ -120,17 +123,8 @@ def read_page(page: str, base: str) -> tuple[str, dict]:
             out.append("\n")
         if not opened:
             continue
-        if opened in _SILENT and not m[2].endswith("/"):
-            end = _END[opened].search(page, at)
-            if opened == "title" and title is None:
-                title = page[at : end.start() if end else len(page)]
-            at = end.end() if end else len(page)
-            continue
+        # an element's own links are read before it is passed over
         own = _attributes(m[2]) if m[2].strip(" /\t\r\n") else {}
-        if opened == "html":
-            language = own.get("lang", "")
-        elif opened == "meta" and own:
-            meta.append(own)
         for name in ("href", "src"):
             if own.get(name):
                 try:
@@ -138,6 +132,20 @@ def read_page(page: str, base: str) -> tuple[str, dict]:
                 except ValueError:
                     address = own[name]
                 links.append({"path": f"{opened}@/{name}", "url": address})
+        if opened in _SILENT and not m[2].endswith("/"):
+            end = _END[opened].search(page, at) if opened in _RAW or opened not in unclosed else None
+            if opened == "title" and title is None:
+                title = page[at : end.start() if end else len(page)]
+            if end or opened in _RAW:
+                at = end.end() if end else len(page)
+            else:
+                # nothing closes it, nor any other of its kind that follows
+                unclosed.add(opened)
+            continue
+        if opened == "html":
+            language = own.get("lang", "")
+        elif opened == "meta" and own:
+            meta.append(own)
     out.append(page[at:])
     lines = (_BLANK.sub(" ", line).strip() for line in entities.unescape("".join(out)).split("\n"))
     about = {"title": " ".join(entities.unescape(title or "").split()), "language": language, "metas": meta, "links": links}
@@ -159,8 +167,9 @@ def derivatives(record: str) -> list[dict]:
     kind = dict((k.lower(), v) for k, v in http).get("content-type", "")
     text, about = read_page(payload.decode("utf-8", "replace"), target or "") if "html" in kind or not kind else (payload.decode("utf-8", "replace"), {})
     envelope = {
-        "source_headers": dict(headers),
-        "http": {"status": status, "headers": dict(http)},
+        # in their order, repeated ones too
+        "source_headers": headers,
+        "http": {"status": status, "headers": http},
         "payload": {"length": len(payload), "digest": found, "digest_matches": named.get("warc-payload-digest", found) == found},
         "page": about,
     }
@@ -235,5 +244,8 @@ def write_files(records: DataFrame, path: str) -> None:
 
 
 def derivative_digest(pages: DataFrame) -> DataFrame:
-    """The derivatives of all pages, by way of their response records."""
+    """The derivatives of all pages, by way of their response records: two rows
+    for each row of ``pages``, repeated ones too.  A null page is an empty one,
+    a null address gives no target; an empty table gives no rows, and other
+    columns play no part."""
     return derive(responses(pages))
