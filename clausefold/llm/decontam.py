@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clausefold.llm.common import WORD_BYTES, append_columns, binary, named
+from clausefold.llm.common import WORD_BYTES, append_columns, binary, named, written
 
 #: Words of a phrase.
 WINDOW = 10
@@ -43,6 +43,8 @@ SAMPLE = 16
 SHARD_BYTES = 4 << 20
 #: UTF-8 bytes of benchmark text in a block of phrases.
 BLOCK_BYTES = 4 << 20
+#: Blocks that are searched in one go.
+PASSES = 4
 
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
@@ -343,6 +345,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, names: tuple[str,
         own = items.where(F.pmod(F.xxhash64("name", "text"), F.lit(blocks)) == k).collect()
         phrases = phrases_of([(r["name"], r["text"].encode()) for r in own])
         out = _search_pass(out, phrases, list(names), k == 0)
+        if (k + 1) % PASSES == 0 and k + 1 < blocks:
+            # each pass has a worker of its own in every task: a large
+            # benchmark's passes run a few at a time
+            out = written(out, "contamination")
     return out
 
 
