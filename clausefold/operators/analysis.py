@@ -243,6 +243,66 @@ def search(train: DataFrame, test: DataFrame, configs: list[Config], types: list
     return best_configs(vote_configs(rows, configs, ["expected"]), [])
 
 
+def search_words(train: DataFrame, test: DataFrame, searches: dict[str | None, list[Config]], types: list[str]) -> DataFrame:
+    """C5-C7 over word-table models: ``(type, config, macro_f1)`` of the best
+    configuration of each search.  ``searches`` has a type's configurations,
+    or under None those for all clauses; both tables are (id, title, text,
+    type, policy).
+
+    All sub-models of all searches are fitted in one pass over the training
+    rows and answer in one pass over the test rows; a sub-model answers for
+    the rows of the searches that use it.
+    """
+    from clausefold.functions import text as X
+    from clausefold.operators import bayes as B
+    members: dict[str, tuple[Member, int | None]] = {}
+    askers: dict[str, set[str | None]] = {}
+    for ctype, configs in searches.items():
+        for m, default in distinct_members(configs):
+            members[m.key] = m, default
+            askers.setdefault(m.key, set()).add(ctype)
+
+    def facts(m: Member) -> list[Column]:
+        return [F.lit(m.key).alias("member"), F.lit(m.granularity).alias("g"), F.lit(m.transformer).alias("kind"), F.lit(m.oversample).alias("balanced")]
+
+    def learns(m: Member) -> Column:
+        own = F.lit(True)
+        if m.only_type:
+            own = own & (F.col("type") == m.only_type)
+        if m.only_policies:
+            own = own & F.col("policy").isin(*m.only_policies)
+        y = {"type": M.label_to_val("type", types), "anomalous": (F.col("policy") != NONE).cast("int"), "policy": M.label_to_val("policy", R.POLICY_CLASSES)}[m.target]
+        return F.when(own & (y >= 0), F.struct(*facts(m), y.alias("y")))
+
+    def asks(m: Member) -> Column:
+        own = F.lit(None in askers[m.key])
+        for t in askers[m.key] - {None}:
+            own = own | (F.col("type") == t)
+        return F.when(own, F.struct(*facts(m)))
+
+    def spread(rows: DataFrame, parts: list[Column]) -> DataFrame:
+        e = explode_rows(rows, ["id"], F.filter(F.array(*parts), lambda x: x.isNotNull()), "x")
+        return e.select("id", "x.*")
+
+    def cleaned(rows: DataFrame) -> DataFrame:
+        return X.with_clean_full(rows.select("id", "text"), "text", "text")
+
+    weights, bias = B.fit_many(spread(train, [learns(m) for m, _ in members.values()]), cleaned(train))
+    said = B.predict_many(weights, bias, spread(test, [asks(m) for m, _ in members.values()]).drop("balanced"), cleaned(test))
+    votes = said.groupBy("id", "member").agg(F.transform(F.array_sort(F.collect_list(F.struct("sno", "y"))), lambda x: x["y"]).alias("v"))
+    least = {k: d for k, (m, d) in members.items() if m.granularity and d is not None}
+    y = reduce(lambda other, k: F.when(F.col("member") == k, F.when(F.array_contains("v", least[k]), F.lit(least[k]))).otherwise(other), least, V.vote_arrays(F.col("v")))
+    ballots = votes.select("id", "member", y.cast("int").alias("y")).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("member", "y"))).alias("ballots"))
+    rows = cut(test.select("id", "type", "policy").join(ballots, "id"))
+    out = []
+    for ctype, configs in searches.items():
+        kept = rows.where(F.col("type") == ctype) if ctype else rows
+        d = kept.select(expected_codes(configs[0].members[0].target, types).alias("expected"), "ballots")
+        best = best_configs(vote_configs(d, configs, ["expected"]), [])
+        out.append(best.select(F.lit(ctype or DEFAULT).alias("type"), "config", "macro_f1"))
+    return reduce(lambda a, b: a.unionByName(b), out)
+
+
 # ---------------------------------------------------------------------------
 # phased analysis
 @dataclass

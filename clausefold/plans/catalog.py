@@ -1313,3 +1313,28 @@ def folder_classification(spark, sf_dir):
     FT.write_texts(cl.select(F.col("contract_id").cast("string").alias("dataset"), F.col("clause_id").cast("string").alias("id"), "text"), texts)
     y = L.predict_ballots(L.load_model(spark, stored), FT.read_texts(spark, texts), cfg)
     return y.select("id", F.element_at(F.array(*[F.lit(t) for t in SEARCH_TYPES]), F.col("y") + 1).alias("type"))
+
+
+def _fitted_search(spark, sf_dir, configs_of, ctypes):
+    from clausefold.session import written_table
+    split = written_table(FE.hash_split(_labelled(spark, sf_dir), "id", 0.25, seed=1), "search-split")
+    searches = {t: configs for t in ctypes if (configs := configs_of(t))}
+    return AN.search_words(split.where(~F.col("is_test")), split.where("is_test"), searches, SEARCH_TYPES)
+
+
+@query("search_alpha_fitted")
+def search_alpha_fitted(spark, sf_dir):
+    """C5 over fitted sub-models."""
+    return _fitted_search(spark, sf_dir, lambda t: AN.alpha_configs(), [None])
+
+
+@query("search_beta_fitted")
+def search_beta_fitted(spark, sf_dir):
+    """C6 over fitted sub-models, all types in one pass."""
+    return _fitted_search(spark, sf_dir, AN.beta_configs, [*SEARCH_TYPES, None])
+
+
+@query("search_gamma_fitted")
+def search_gamma_fitted(spark, sf_dir):
+    """C7 over fitted sub-models, all types in one pass."""
+    return _fitted_search(spark, sf_dir, AN.gamma_configs, [*SEARCH_TYPES, None])

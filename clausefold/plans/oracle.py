@@ -628,12 +628,14 @@ def _stand_in_sql(member, x: str) -> str:
     return f"(CASE {whens} ELSE {stand_in_else(member)} END)"
 
 
-def _search_sql(configs, ctype, n: int) -> str:
-    """CTEs and the final SELECT of one search; ``n`` keeps names apart."""
+def _search_sql(configs, ctype, n: int, lab: str = "lab", voted: str | None = None) -> str:
+    """CTEs and the final SELECT of one search; ``n`` keeps names apart.
+    ``voted`` (id, key, y) has the ballots of all sub-models, if they are not
+    stand-ins."""
     from clausefold.plans.catalog import SEARCH_TYPES
     only = f" WHERE type = {q(ctype)}" if ctype else ""
-    preds = []
-    for m, d in AN.distinct_members(configs):
+    preds = [f"SELECT v.id, v.key, v.y FROM {voted} v JOIN (SELECT id FROM {lab}{only}) o ON o.id = v.id"] if voted else []
+    for m, d in AN.distinct_members(configs) if not voted else []:
         if m.granularity == 0:
             preds.append(f"SELECT id, {q(m.key)} AS key, {_stand_in_sql(m, 'body')} AS y FROM lab{only}")
         elif d is None:
@@ -654,7 +656,7 @@ a{n} AS (SELECT *, count(*) FILTER (WHERE y <> def) OVER (PARTITION BY id, confi
 w{n} AS (SELECT id, config, y FROM (SELECT *, row_number() OVER (PARTITION BY id, config ORDER BY cnt DESC, fs) AS rk FROM a{n}
   WHERE mode = 'std' OR (mode = 'ato' AND y = def) OR (mode = 'not' AND (y <> def OR others = 0))) WHERE rk = 1),
 e{n} AS (SELECT x.config, x.expected, coalesce(w.y, -1) AS predicted, count(*) AS cnt
-  FROM (SELECT id, {code} AS expected, g.config FROM lab, (SELECT DISTINCT config FROM m{n}) g{only}) x
+  FROM (SELECT id, {code} AS expected, g.config FROM {lab}, (SELECT DISTINCT config FROM m{n}) g{only}) x
   LEFT JOIN w{n} w ON w.id = x.id AND w.config = x.config GROUP BY ALL),
 s{n} AS ({_macro(_per_label(f'e{n}', ['config']), ['config'])}),
 b{n} AS (SELECT {q(ctype or 'default')} AS type, config, macro_f1 FROM
@@ -924,3 +926,60 @@ SQL["label_classes"] = """WITH l AS (SELECT name, row_number() OVER (ORDER BY na
 s AS (SELECT name, row_number() OVER (ORDER BY name) - 1 AS pos FROM (SELECT DISTINCT source AS name FROM documents WHERE source IS NOT NULL))
 SELECT doc_id, CAST(coalesce(l.pos, -1) AS INTEGER) AS lang_code, CAST(coalesce(s.pos, -1) AS INTEGER) AS source_code
 FROM documents d LEFT JOIN l ON l.name = d.lang LEFT JOIN s ON s.name = d.source"""
+
+
+def _fitted_searches(configs_of, ctypes) -> str:
+    searches = [(t, configs) for t in ctypes if (configs := configs_of(t))]
+    members, askers = {}, {}
+    for t, configs in searches:
+        for m, d in AN.distinct_members(configs):
+            members[m.key] = m, d
+            askers.setdefault(m.key, set()).add(t)
+    y_of = {"type": _TYPE_CODE, "anomalous": "CAST(policy <> 'None' AS INTEGER)", "policy": _case_code("policy", R.POLICY_CLASSES)}
+    learn, ask, votes = [], [], []
+    for key, (m, d) in members.items():
+        cond = ["NOT is_test", f"{y_of[m.target]} >= 0"]
+        if m.only_type:
+            cond.append(f"type = {q(m.only_type)}")
+        if m.only_policies:
+            cond.append(f"policy IN ({', '.join(q(p) for p in m.only_policies)})")
+        own = f"{q(key)} AS key, {m.granularity} AS g, {q(m.transformer)} AS kind"
+        learn.append(f"SELECT id, {own}, {str(m.oversample).lower()} AS balanced, {y_of[m.target]} AS y FROM sp WHERE {' AND '.join(cond)}")
+        only = "" if None in askers[key] else f" AND type IN ({', '.join(q(t) for t in sorted(askers[key]))})"
+        ask.append(f"SELECT id, {own} FROM sp WHERE is_test{only}")
+        if m.granularity and d is not None:
+            votes.append(f"WHEN key = {q(key)} THEN {d}")
+    least = f"CASE {' '.join(votes)} END" if votes else "NULL::INTEGER"
+    words = _WORD_LIST.format("text")
+    ctes = ",\n".join(_search_sql(configs, t, i, "lt", "voted") for i, (t, configs) in enumerate(searches))
+    return f"""WITH {_SPLIT},
+lt AS (SELECT * FROM sp WHERE is_test),
+units AS (SELECT id, 0 AS g, -1 AS sno, body AS text FROM sp UNION ALL SELECT id, 1, sno, text FROM ({_sentences_sql('SELECT * FROM sp')})),
+terms AS (SELECT id, g, sno, 'tfidf' AS kind, unnest({words}) AS term FROM units
+  UNION ALL SELECT id, g, sno, 'hash', unnest(list_distinct(list_transform({words}, lambda w: md5(w)[1:3]))) FROM units
+  UNION ALL SELECT id, g, sno, 'count', unnest(list_distinct({X.char_wb_grams('text')})) FROM units),
+mem AS ({' UNION ALL '.join(learn)}),
+asked AS ({' UNION ALL '.join(ask)}),
+sizes AS (SELECT m.key, m.balanced, m.y, count(*) AS n FROM mem m JOIN units u ON u.id = m.id AND u.g = m.g GROUP BY ALL),
+scaled AS (SELECT key, y, n, CASE WHEN balanced THEN max(n) OVER (PARTITION BY key) / n ELSE 1.0 END AS scale FROM sizes),
+sz AS (SELECT key, y, scale, n * scale AS size, ln(n * scale / sum(n * scale) OVER (PARTITION BY key)) AS prior FROM scaled),
+cnt AS (SELECT m.key, t.term, m.y, count(*) AS c FROM mem m JOIN terms t ON t.id = m.id AND t.g = m.g AND t.kind = m.kind GROUP BY ALL),
+grid AS (SELECT t.key, t.term, sz.y, (coalesce(c.c, 0) * sz.scale + 1) / (sz.size + 2) AS p FROM (SELECT DISTINCT key, term FROM cnt) t JOIN sz ON sz.key = t.key
+  LEFT JOIN cnt c ON c.key = t.key AND c.term = t.term AND c.y = sz.y),
+absent AS (SELECT key, y, sum(ln(1 - p)) AS s FROM grid GROUP BY ALL),
+sums AS (SELECT a.id, t.sno, a.key, g.y, sum(ln(g.p) - ln(1 - g.p)) AS s FROM asked a JOIN terms t ON t.id = a.id AND t.g = a.g AND t.kind = a.kind
+  JOIN grid g ON g.key = a.key AND g.term = t.term GROUP BY ALL),
+said AS (SELECT id, sno, key, y FROM (SELECT a.id, u.sno, a.key, sz.y, row_number() OVER (PARTITION BY a.id, u.sno, a.key
+    ORDER BY round(sz.prior + coalesce(absent.s, 0) + coalesce(sums.s, 0), 9) DESC, sz.y) AS k
+  FROM asked a JOIN units u ON u.id = a.id AND u.g = a.g JOIN sz ON sz.key = a.key LEFT JOIN absent ON absent.key = sz.key AND absent.y = sz.y
+  LEFT JOIN sums ON sums.id = a.id AND sums.sno = u.sno AND sums.key = a.key AND sums.y = sz.y) WHERE k = 1),
+counted AS (SELECT id, key, y, row_number() OVER (PARTITION BY id, key ORDER BY count(*) DESC, min(sno)) AS k, {least} AS least,
+  max(CAST(y = {least} AS INTEGER)) OVER (PARTITION BY id, key) AS met FROM said GROUP BY id, key, y),
+voted AS (SELECT id, key, CASE WHEN least IS NULL THEN y WHEN met = 1 THEN least END AS y FROM counted WHERE k = 1),
+{ctes}
+""" + " UNION ALL ".join(f"SELECT * FROM b{i}" for i in range(len(searches)))
+
+
+SQL["search_alpha_fitted"] = _fitted_searches(lambda t: AN.alpha_configs(), [None])
+SQL["search_beta_fitted"] = _fitted_searches(AN.beta_configs, [*_TYPES_OF_RULES, None])
+SQL["search_gamma_fitted"] = _fitted_searches(AN.gamma_configs, [*_TYPES_OF_RULES, None])
