@@ -97,6 +97,17 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
+def release() -> None:
+    """Give back what this worker's allocators hold unused.  Workers outlive
+    their tasks and wait, several to an executor, for the next stage's."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def binary(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     """The UTF-8 bytes of a string column, without decoding them."""
     if isinstance(column, pa.ChunkedArray):
@@ -139,6 +150,7 @@ def append_columns(df: DataFrame, needs: list[str], new: list[T.StructField],
             columns = [batch.column(k) for k in stay] + list(arrays)
             yield pa.RecordBatch.from_arrays(
                 [c if c.type == f.type else c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+        release()
 
     placed = df.toDF(*(f"c{k}" for k in range(len(at))))
     return placed.mapInArrow(run, schema).toDF(*(f.name for f in [*kept, *new]))

@@ -291,11 +291,11 @@ def identify(docs: DataFrame, net: Network, names: tuple[str, str] = ("lang_pred
             texts, ok = [t or b"" for t in binary(text)], np.array(letter.to_pylist(), dtype=bool)
             best, score = np.full(len(texts), UNKNOWN, dtype=object), np.zeros(len(texts))
             some = np.flatnonzero(ok) if reader else []
-            # a few MB of text at a time
+            # a MB of text at a time
             start = 0
             while start < len(some):
                 stop, held = start, 0
-                while stop < len(some) and (stop == start or held < 4 << 20):
+                while stop < len(some) and (stop == start or held < 1 << 20):
                     held += len(texts[some[stop]])
                     stop += 1
                 own = some[start:stop]

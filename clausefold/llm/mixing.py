@@ -368,8 +368,8 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 def shuffled_shards(pieces: DataFrame, rows: int) -> DataFrame:
     """Pieces (one row each, with ``shard`` and ``order_key``) spread over
     tasks by shard and stretches of the order, each sorted: in local random
-    order, ready to be written.  The stretches follow the number of rows, so
-    no task holds a shard."""
+    order, ready to be written.  Stretches and tasks follow the number of rows,
+    so no task holds a shard, nor more rows at a larger scale."""
     bits = bucket_count(rows, ROWS_PER_STRETCH).bit_length() - 1
     stretch = F.shiftrightunsigned("order_key", 64 - bits) if bits else F.lit(0).cast("long")
-    return pieces.repartition("shard", stretch).sortWithinPartitions("shard", "order_key")
+    return pieces.repartition(-(-max(rows, 1) // ROWS_PER_STRETCH), "shard", stretch).sortWithinPartitions("shard", "order_key")
