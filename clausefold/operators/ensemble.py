@@ -1,19 +1,17 @@
 """Sub-model ballots, ensemble votes and the ensemble search (A7, A8, M6,
 C4, C5-C7 selection, W8).
 
-A search is plain relational work: every distinct sub-model predicts once
-(``(model, id, sentence_no, y)``), predictions are joined to the
-``ensemble_member(ensemble_no, model, pos)`` table (small, grows with the
-configuration, not with the data), sentence ballots are voted to clause
-ballots (A7), member ballots to an ensemble answer (A8), scored (A11) and
-the best configuration picked (W8).
+Every distinct sub-model predicts once, and a row holds all its ballots: the
+sentences' votes (A7), the members' votes of every ensemble (A8) and so the
+answers are worked out in the row.  One aggregation scores all ensembles, and
+the best one is picked (W8).
 """
 
 from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clausefold.functions import text as X
@@ -68,28 +66,6 @@ def ensembles(sizes=(2, 3)) -> list[tuple[int, str, int]]:
     return out
 
 
-def predictions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """M6: one row per (id, model) with the model's clause-level ballot.
-
-    Document models predict on the cleaned text; sentence models predict per
-    sentence (X9 on the cleaned text) and the sentence ballots are voted to
-    the document (A7, std vote, ties to the earlier sentence)."""
-    vocab = dict(KEYWORD_MODELS)
-    clean = docs.select(F.col(id_col).alias("id"), X.clean(F.col(text_col)).alias("clean"))
-    # tokens get a projection of their own: every keyword test reads them
-    doc_tok = clean.select("id", X.ws_split(F.col("clean")).alias("tok"))
-    doc_preds = explode_rows(doc_tok, ["id"], F.array(*[
-        F.struct(F.lit(f"{m}_g0").alias("model"), keyword_predict(F.col("tok"), vocab[m]).alias("y"))
-        for m, _ in KEYWORD_MODELS]), "p").select("id", "p.model", "p.y")
-    sents = explode_rows(clean, ["id"], X.split_sentences(F.col("clean")), "s", "sno")
-    sent_tok = sents.select("id", "sno", X.ws_split(F.col("s")).alias("tok"))
-    sent_preds = explode_rows(sent_tok, ["id", "sno"], F.array(*[
-        F.struct(F.lit(f"{m}_g1").alias("model"), keyword_predict(F.col("tok"), vocab[m]).alias("y"))
-        for m, _ in KEYWORD_MODELS]), "p").select("id", "sno", "p.model", "p.y")
-    voted = V.elect(sent_preds, ["id", "model"], "y", ["sno"], mode="std", level="min", keep_empty=False)
-    return doc_preds.unionByName(voted.select("id", "model", F.col("winner").alias("y")))
-
-
 def ballot_rows(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
     """M6 / A7 inside the row: ``(keep..., y)`` with one ballot per sub-model
     in the order of ``sub_models``.  Sentences of a document are an array of
@@ -124,25 +100,6 @@ def search_rows(ballots: DataFrame, group_cols: list[str], expected_col: str = "
     return best_ensemble(M.confusion(voted, "expected", "y", group_cols + ["ensemble_no"]), group_cols)
 
 
-def ensemble_answers(preds: DataFrame, members: DataFrame) -> DataFrame:
-    """Std vote of member ballots per (id, ensemble); ties go to the
-    earlier member."""
-    j = preds.join(members, "model", "inner")
-    v = V.elect(j, ["id", "ensemble_no"], "y", ["pos"], mode="std", level="min", keep_empty=False)
-    return v.select("id", "ensemble_no", F.col("winner").alias("y"))
-
-
-def member_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(ensembles(), "ensemble_no int, model string, pos int")
-
-
-def search(answers: DataFrame, truth: DataFrame, group_cols: list[str]) -> DataFrame:
-    """A11 + W8: macro F1 per (group, ensemble); best ensemble per group
-    (higher F1 wins, ties to the first generated)."""
-    j = answers.join(truth, "id", "inner")
-    return best_ensemble(M.confusion(j, "expected", "y", group_cols + ["ensemble_no"]), group_cols)
-
-
 def best_ensemble(conf: DataFrame, group_cols: list[str]) -> DataFrame:
     """W8 on the confusion of (group, ensemble)."""
     scores = M.macro_scores(conf, group_cols + ["ensemble_no"])

@@ -1,5 +1,5 @@
 """Readers and writers for the label / text / annotation file formats
-(S1-S3, S9-S12, S14, S15).
+(S1-S3, S9-S12, S14).
 
 Every reader is a Spark scan (CSV, text, binaryFile) over a folder, so a
 folder of any size is read in parallel; order-dependent rules (last row of
@@ -161,14 +161,9 @@ def read_annotations(spark: SparkSession, folder: str, name: str, columns: list[
 
 
 # ---------------------------------------------------------------------------
-# Document store and metric sinks
+# Document store
 def store_documents(texts: DataFrame, documents: DataFrame, folder: str) -> None:
     """``Texts`` (instances) and ``Documents`` (metadata), appended and
     partitioned by domain."""
     texts.write.mode("append").partitionBy("domain").parquet(f"{folder}/Texts")
     documents.write.mode("append").partitionBy("domain").parquet(f"{folder}/Documents")
-
-
-def write_metrics(df: DataFrame, path: str, mode: str = "append") -> None:
-    """Metric rows (wide or long) as a table."""
-    df.write.mode(mode).parquet(path)

@@ -66,6 +66,15 @@ def test_file_tree_round_trip(spark, tmp_dir):
     assert FT.read_texts(spark, f"{tmp_dir}/nothing").count() == 0
 
 
+def test_deeper_trees(spark, tmp_dir):
+    df = spark.createDataFrame([("d", str(i), f"t{i}") for i in range(40)], "dataset string, id string, text string")
+    FT.write_texts(df, f"{tmp_dir}/t", depth=2)
+    assert {tuple(r) for r in FT.read_texts(spark, f"{tmp_dir}/t").collect()} == {tuple(r) for r in df.collect()}
+    assert len(FT.FileTreeReader("x", 2).partitions()) == 256 ** 2
+    for d, _, files in os.walk(f"{tmp_dir}/t"):
+        assert not files or len(os.path.relpath(d, f"{tmp_dir}/t").split("/")) == 3
+
+
 def test_null_texts_are_an_error(spark, tmp_dir):
     df = spark.createDataFrame([("a", "1", None)], "dataset string, id string, text string")
     with pytest.raises(Exception, match="must not be null"):

@@ -67,3 +67,17 @@ def test_contract_roundtrip(spark, tmp_dir):
     assert strict == 4  # two sentences, and the clauses that are left without any
     rows = D.clause_rows(back).orderBy("title").collect()
     assert [r.text for r in rows] == ["a bb ", "ccc ", ""] and rows[1].policies == "R9"
+
+
+def test_flat_dataset_and_numbered_label_sets(spark, tmp_dir):
+    import os
+    for k, rows in (("b", "1, x\n2,y\n3,\n"), ("a", "id,label\n7, z\n")):
+        os.makedirs(f"{tmp_dir}/{k}/texts")
+        open(f"{tmp_dir}/{k}/classes.csv", "w").write(rows)
+    for i in (1, 2, 9):
+        open(f"{tmp_dir}/b/texts/{i}.txt", "w").write(f"text {i}")
+    rows, mismatches = SF.read_flat_dataset(spark, f"{tmp_dir}/b")
+    assert {tuple(r) for r in rows.collect()} == {("1", "x", "text 1"), ("2", "y", "text 2")}
+    assert {tuple(r) for r in mismatches.collect()} == {("3", "label_only"), ("9", "text_only")}
+    many = SF.read_many_label_sets(spark, [f"{tmp_dir}/b", f"{tmp_dir}/a"], "classes.csv", ["label"])
+    assert {(r.id, r.label) for r in many.collect()} == {("00001_7", "z"), ("00002_1", "x"), ("00002_2", "y"), ("00002_3", None)}
