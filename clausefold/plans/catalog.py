@@ -921,8 +921,8 @@ def _search_types(spark, sf_dir, configs_of):
     from functools import reduce
 
     from clausefold.session import written_table
-    # read once for each type
-    rows = written_table(_search_rows(spark, sf_dir), "search-rows")
+    # read once for each type, by as many tasks as there are cores
+    rows = written_table(_search_rows(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism), "search-rows")
     found = [_search(rows, configs, t) for t in [*SEARCH_TYPES, None] if (configs := configs_of(t))]
     return reduce(lambda a, b: a.unionByName(b), found)
 
