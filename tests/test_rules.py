@@ -60,3 +60,12 @@ def test_clause_analysis(spark):
     assert out[2].policies == [] and out[2].valid
     assert out[3].policies == ["R11"] and out[3].notable == ["paiement par cheque sous 10 jours."]
     assert out[4].type is None and out[4].valid
+
+
+def test_more_rules_than_bits(spark):
+    # 70 sentence rules: their tests take two numbers of bits
+    rules = [(f"P{i}", 1, "resiliation", [], [], [], ">", i, "sentence") for i in range(70)]
+    df = spark.createDataFrame([(1, "Résiliation", "preavis de 68 jours. rien. delai de 3 jours")], "id int, title string, text string")
+    r = R.analyze_clauses(df, "id", "title", "text", rules=rules).first()
+    assert r["policies"] == [f"P{i}" for i in range(68)] and not r["valid"]
+    assert r["notable"] == ["preavis de 68 jours.", " delai de 3 jours."]

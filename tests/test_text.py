@@ -1,3 +1,5 @@
+import re
+
 from pyspark.sql import functions as F
 
 from clausefold.functions import text as T
@@ -119,3 +121,23 @@ def test_number_words_in_english_and_spanish(spark):
     plain = [("en", "thirty days or one hundred and five"), ("es", "treinta dias y veinticinco meses"), ("en", "two three"), ("en", "sand and band")]
     got = [spark.createDataFrame([(t,)], "text string").select(T.clean_full(F.col("text"), lang)).first()[0] for lang, t in plain]
     assert got == ["30 days or 105", "30 dias 25 meses", "2 3", "sand and band"]
+
+
+def test_texts_are_not_split_by_regexes(spark):
+    # a regex given to split is compiled for every row
+    df = spark.createDataFrame([("Le  client's\tpaie \"a\" 5\n\x1cÉté un œuf",), ("",), (None,)], "s string")
+    out = df.select(T.ws_split("s").alias("w"), T.clean("s").alias("c"), T.value_units("s").alias("v"))
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert set(re.findall("split\\([^,]*, (.*?), -1\\)", plan)) <= {" "}
+    rows = out.collect()
+    assert rows[0]["w"] == ["Le", "client's", "paie", '"a"', "5", "Été", "un", "œuf"]
+    assert rows[0]["c"] == "le client paie 5 ete un oeuf"
+    assert (rows[1]["w"], rows[1]["c"], rows[1]["v"]) == ([], "", [])
+    assert (rows[2]["w"], rows[2]["c"], rows[2]["v"]) == (None, None, None)
+
+
+def test_number_words_at_the_ends_and_beside_line_breaks(spark):
+    cases = [("vingt et un jours", "21 jours"), ("dix", "10"), ("sous un an", "sous un an"), ("deux cent-foo trois", "2 cent-foo 3"),
+             ("deux mille-trois", "2003"), ("un et et deux", "un et et 2"), ("sept\nhuit", "sept\nhuit"), ("a\nb huit", "a\nb 8"), ("", "")]
+    df = spark.createDataFrame([(a,) for a, _ in cases], "s string").coalesce(1)
+    assert [r[0] for r in df.select(T.number_words(F.col("s"))).collect()] == [b for _, b in cases]
