@@ -103,3 +103,33 @@ def test_same_as_the_fixed_rules(spark):
     b = K._by_rule_file(spark, sf, K._policy_rows(spark))
     cols = ["clause_id", "type", "type_candidates", "valid", "policies", "notable"]
     assert {tuple(map(str, r)) for r in a.select(cols).collect()} == {tuple(map(str, r)) for r in b.withColumn("type_candidates", F.array_sort("type_candidates")).select(cols).collect()}
+
+
+def test_common_tokens_and_lead_facts_do_not_gather(spark):
+    """Tokens, concepts and facts that most clauses share meet the few terms
+    and rules where they lie, whatever Spark thinks of the tables' sizes; more
+    rules than that are dealt out."""
+    from clausefold import session
+
+    clauses = spark.createDataFrame([(i, "paiement", "le client paie sous 20 jours.") for i in range(200)], "id long, title string, text string")
+    vocab = spark.createDataFrame([("paiement", ["paiement"], True), ("client", ["client"], False)], VOCAB)
+    texts = RB.clause_texts(clauses, "id", "title", "text")
+    facts = RB.with_facts(texts, RB.clause_facts(texts, vocab))
+    rules = spark.createDataFrame(
+        [(i, f"P{i}", i, ["type:paiement"], [], ["client"], [], None, 30, True, True) for i in range(3)],
+        "pos int, policy string, rule_no int, need array<string>, forbid array<string>, sent_need array<string>, sent_forbid array<string>, "
+        "above int, below int, timed boolean, by_sentence boolean")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), session.SENT_ROWS
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        found = RB.fired_rules(facts, rules)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        for key in ("lead", "term", "token", "name"):
+            assert f"SortMergeJoin [{key}#" not in plan and f"BroadcastHashJoin [{key}#" in plan
+        sent = sorted(map(str, found.collect()))
+        session.SENT_ROWS = 0
+        assert sorted(map(str, RB.fired_rules(facts, rules).collect())) == sent
+    finally:
+        session.SENT_ROWS = before[1]
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before[0])
+    assert len(sent) == 600
