@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -144,3 +146,18 @@ def test_exploration_extras(spark):
     assert len(kept) == 2 and (0 in kept or 2 in kept)
     mlp = L.mlp_classifier(4, 2, hidden=4).fit(d)
     assert mlp.transform(d).count() == 40
+
+
+def test_rows_of_models_and_texts_are_not_sent_by_the_driver(spark):
+    """Many models make many rows of few files: the joins on them are merges,
+    however small Spark takes them for."""
+    from clausefold.operators import bayes as B
+
+    rows = spark.createDataFrame([(1, "le client paie"), (2, "le fournisseur resilie")], "id long, text string")
+    asked = spark.createDataFrame([(i, "m", 0, "tfidf") for i in (1, 2)], "id long, member string, g int, kind string")
+    weights = spark.createDataFrame([("m", "client", 0, 1.0), ("m", "client", 1, -1.0)], "member string, term string, y int, w double")
+    bias = spark.createDataFrame([("m", 0, -0.5), ("m", 1, 0.0)], "member string, y int, bias double")
+    said = B.predict_many(weights, bias, asked, rows)
+    plan = re.sub(r"#\d+L?", "", said._jdf.queryExecution().executedPlan().toString())
+    assert "BroadcastHashJoin [id, g" not in plan and "BroadcastHashJoin [member, term]" not in plan
+    assert sorted((r["id"], r["y"]) for r in said.collect()) == [(1, 0), (2, 1)]
