@@ -1,4 +1,5 @@
 import math
+import re
 
 from clausefold.operators import features as FE
 from clausefold.operators import learn as L
@@ -77,3 +78,24 @@ def test_models_come_back_or_fail(spark, tmp_dir):
     spark.createDataFrame([(0.0,), (1.0,)], "code double").write.parquet(f"{tmp_dir}/broken/codes")
     with pytest.raises(Exception):
         L.load_model(spark, f"{tmp_dir}/broken")
+
+
+def test_gram_counts_of_words_at_both_sides(spark):
+    """Repeated words, short words, other scripts and letters beyond the basic
+    plane; no gram is made by an interpreted lambda."""
+    texts = ["a de bon bon  bonjour", "bon\t𝒳𝒴𝒵𝒳𝒴 été été x", "", None]
+
+    def grams(t):
+        out = []
+        for w in re.findall("[^\t\n\x0b\f\r\x1c-\x1f ]+", (t or "").lower()):
+            p = f" {w} "
+            out += [p] if len(p) <= 4 else [p[i:i + n] for n in (4, 5) for i in range(len(p) - n + 1)]
+        return out
+
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = {r.gram: (r.cnt, r.df) for r in FE.gram_counts(df, "text").collect()}
+    all_grams = [grams(t) for t in texts]
+    want = {g: (sum(x.count(g) for x in all_grams), sum(g in x for x in all_grams)) for x in all_grams for g in x}
+    assert got == want
+    plan = FE.gram_counts(df, "text")._jdf.queryExecution().executedPlan().toString()
+    assert "lambdafunction" not in plan
