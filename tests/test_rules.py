@@ -69,3 +69,23 @@ def test_more_rules_than_bits(spark):
     r = R.analyze_clauses(df, "id", "title", "text", rules=rules).first()
     assert r["policies"] == [f"P{i}" for i in range(68)] and not r["valid"]
     assert r["notable"] == ["preavis de 68 jours.", " delai de 3 jours."]
+
+
+def test_only_bodies_that_a_rule_asks_for_are_read(spark):
+    """A type without rules on the body, a missing title and a missing body;
+    the query of a policy checks its own rules alone."""
+    rows = [(1, "Indemnisation", "sous 10 jours."), (2, None, "sous 10 jours."), (3, "Résiliation", None), (4, "Indemnisation", None),
+            (5, "Résiliation et indemnisation", "sous dix jours. rien."), (6, "Non-sollicitation", "rémunération de deux jours.")]
+    df = spark.createDataFrame(rows, "id int, title string, text string")
+    a = R.analyze_clauses(df, "id", "title", "text")
+    out = {r.id: (r.type, r.policies, r.notable) for r in a.collect()}
+    assert out == {1: ("indemnisation", ["R13"], []), 2: (None, [], []), 3: ("resiliation", [], None), 4: ("indemnisation", ["R13"], None),
+                   5: ("indemnisation", ["R7", "R9", "R13"], ["sous 10 jours."]), 6: ("non_sollicitation", ["R2", "R4"], ["remuneration de 2 jours."])}
+    assert "arrays_overlap" in a._jdf.queryExecution().optimizedPlan().toString()
+    from clausefold.plans.catalog import Q
+    from tests.conftest import SF_SMALL
+    plan = Q["policy_R4"](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "R4" in plan and "R13" not in plan
+    for p in R.POLICIES:
+        one = R.analyze_clauses(df, "id", "title", "text", rules=[r for r in R.POLICY_RULES if r[0] == p])
+        assert {r.id for r in one.collect() if p in (r.policies or [])} == {i for i, x in out.items() if p in (x[1] or [])}
