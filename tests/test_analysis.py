@@ -118,6 +118,20 @@ def test_search_fits_each_model_once(spark, monkeypatch):
     assert best[0].macro_f1 >= max(scores.values()) - 1e-12 and scores.get(best[0].config, best[0].macro_f1) == best[0].macro_f1
 
 
+def test_configurations_vote_once_for_each_combination_of_codes(spark, monkeypatch):
+    configs = AN.gamma_configs("paiement")
+    keys = [m.key for m, _ in AN.distinct_members(configs)]
+    # null and missing codes, null and unknown labels among them
+    rows = [(None if i % 11 == 0 else i % 3, {k: None if (i + j) % 5 == 0 else (i % 7 + j) % 3 for j, k in enumerate(keys) if (i % 7 + j) % 4}) for i in range(385 * 4)]
+    df = spark.createDataFrame(rows, "expected int, ballots map<string,int>").repartition(3)
+    want = AN.best_configs(AN.vote_configs(df, configs, ["expected"]), []).collect()
+    voted, real = [], AN.vote_configs
+    monkeypatch.setattr(AN, "vote_configs", lambda d, *a: voted.append(d) or real(d, *a))
+    assert AN.best_on_ballots(df, configs).collect() == want
+    # 385 rows that differ, each four times
+    assert voted[0].count() <= 385 and voted[0].agg(F.sum("n")).first()[0] == len(rows)
+
+
 def test_rule_labels(spark):
     df = spark.createDataFrame([(1, "Paiement", "Paiement par cheque.")], "id int, title string, text string")
     r = AN.rule_labels(df, "id").first()
