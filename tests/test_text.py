@@ -141,3 +141,18 @@ def test_number_words_at_the_ends_and_beside_line_breaks(spark):
              ("deux mille-trois", "2003"), ("un et et deux", "un et et 2"), ("sept\nhuit", "sept\nhuit"), ("a\nb huit", "a\nb 8"), ("", "")]
     df = spark.createDataFrame([(a,) for a, _ in cases], "s string").coalesce(1)
     assert [r[0] for r in df.select(T.number_words(F.col("s"))).collect()] == [b for _, b in cases]
+
+
+def test_number_words_of_a_long_run(spark):
+    # a loop that takes stack for each word fails on runs of a few thousand
+    spaced, hyphened = " ".join(["trois"] * 20000), "-".join(["trois"] * 20000)
+    df = spark.createDataFrame([(f"abc {spaced} xyz",), (f"abc {hyphened} xyz",), (f"abc {hyphened}x xyz",)], "t string")
+    got = [r[0] for r in df.select(T.number_words(F.col("t"))).collect()]
+    assert got[:2] == ["abc " + " ".join(["3"] * 20000) + " xyz"] * 2
+    assert got[2] == f"abc {hyphened}x xyz"
+
+
+def test_number_runs_end_at_whole_tokens(spark):
+    cases = [("vingt deux-centimes", "20 deux-centimes"), ("vingt-et un ans", "21 ans"), ("cent vingt-deuxx", "100 vingt-deuxx"), ("deux et-trois", "2 et 3")]
+    df = spark.createDataFrame(cases, "t string, n string")
+    assert [r["a"] for r in df.select(T.number_words(F.col("t")).alias("a")).collect()] == [n for _, n in cases]
