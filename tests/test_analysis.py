@@ -175,3 +175,31 @@ def test_rows_of_models_and_texts_are_not_sent_by_the_driver(spark):
     plan = re.sub(r"#\d+L?", "", said._jdf.queryExecution().executedPlan().toString())
     assert "BroadcastHashJoin [id, g" not in plan and "BroadcastHashJoin [member, term]" not in plan
     assert sorted((r["id"], r["y"]) for r in said.collect()) == [(1, 0), (2, 1)]
+
+
+def test_word_models_by_cell_equal_those_of_their_rows(spark):
+    from clausefold.functions import text as X
+    # ids that come twice and null labels among the rows
+    rows = [(i // 2 if i < 8 else i, "t", f"mot{i % 3} terme{i % 5} commun. suite{i % 4} fin", ["resiliation", "paiement", None][i % 3], ["R7", "R9", "None", "R11", None][i % 5]) for i in range(40)]
+    d = spark.createDataFrame(rows, "id int, title string, text string, type string, policy string")
+    types = AN.types_of_rules()
+    members = [AN.Member("type", 0, "tfidf"), AN.Member("type", 1, "tfidf"), AN.Member("anomalous", 0, "tfidf", only_type="resiliation"),
+               AN.Member("policy", 0, "tfidf", only_policies=("R7", "R9")), AN.Member("policy", 0, "tfidf", only_policies=("R20",))]
+    fitted = AN.fit_words(AN.L.cleaned(d), members, types)
+    for m, (cfg, got) in zip(members, fitted, strict=True):
+        want_cfg, want = AN.fit_member(d, m, types, classifier="words")
+        assert (cfg, got.codes) == (want_cfg, want.codes)
+        assert [round(b, 9) for b in got.biases] == [round(b, 9) for b in want.biases]
+
+        def terms(model):
+            return {r["term"]: [round(w, 9) for w in r["weights"]] for r in model.terms.collect() if any(r["weights"])}
+        assert terms(got) == terms(want)
+
+
+def test_training_texts_are_counted_once_for_all_word_models(spark, monkeypatch):
+    from clausefold.operators import bayes as B
+    counted = []
+    monkeypatch.setattr(B, "words", lambda c, was=B.words: counted.append(c) or was(c))
+    rows = [(i, "t", f"mot{i % 3} terme{i % 5}", "resiliation", ["R7", "R9", "None"][i % 3]) for i in range(12)]
+    AN.train_phases(spark.createDataFrame(rows, "id int, title string, text string, type string, policy string"), classifier="words")
+    assert len(counted) == 2  # clauses and sentences
